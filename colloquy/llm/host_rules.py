@@ -29,6 +29,7 @@ MAX_SYMBOLS = 10  # symbols per 100 words
 MAX_DUP_LINES = 30  # per cent of lines
 WORD_LENGTHS = (2, 12)  # mean characters of a word
 BAD_HOST = 0.5  # shrunken failure rate
+SALTS = 64  # parts that a host's documents are joined in
 
 
 def measure(text: str) -> tuple[int, ...]:
@@ -92,7 +93,7 @@ def quality_rules(docs: DataFrame, host: str = "source", bad_host: float = BAD_H
     Null texts count as empty (they fail the base rule); null hosts are one host. Repeated rows count each. Input
     columns named like an output are replaced, in any case. An empty table gives an empty table.
     """
-    rows = without(docs, [*OUT, "_host", "_s"]).withColumn("_host", F.coalesce(F.col(f"`{host}`").cast("string"), F.lit("")))
+    rows = without(docs, [*OUT, "_host", "_s", "_salt"]).withColumn("_host", F.coalesce(F.col(f"`{host}`").cast("string"), F.lit("")))
     kept = [F.col(f"`{c}`") for c in rows.columns]
 
     def measured(df: DataFrame, cols) -> DataFrame:
@@ -100,5 +101,8 @@ def quality_rules(docs: DataFrame, host: str = "source", bad_host: float = BAD_H
         return df.withColumn("base_failed", base_failed()).withColumn("rule_failed", rule_failed())
 
     verdicts = host_verdicts(measured(rows.select("_host", "text"), [F.col("_host")]), bad_host)
-    judged = measured(rows, kept).join(verdicts, "_host")  # few hosts: broadcast once measured; many: a skew-split join
-    return judged.withColumn("kept", ~F.col("base_failed") & ~(F.col("host_bad") & F.col("rule_failed"))).drop("_host")
+    # Salted, so that a host with a third of all rows is joined by many tasks; there are few hosts to repeat.
+    verdicts = verdicts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = measured(rows, kept).withColumn("_salt", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int"))
+    judged = salted.join(verdicts, ["_host", "_salt"])
+    return judged.withColumn("kept", ~F.col("base_failed") & ~(F.col("host_bad") & F.col("rule_failed"))).drop("_host", "_salt")
