@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules, piece_codec, secret_scan, suffix_dedup, token_store
+from . import host_rules, piece_codec, secret_scan, suffix_dedup, token_store, vector_join
 from .common import documents
 
 
@@ -28,13 +28,18 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op8_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_join.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.select("vec_id", "n_links", "component_id", "kept")
+
+
 def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = host_rules.quality_rules(documents(spark, sf_dir).select("doc_id", "text", "source"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_secret_scan, op5_token_store, op6_piece_codec, op7_suffix_dedup, op9_host_rules)}
+    return {f.__name__: f for f in (op3_secret_scan, op5_token_store, op6_piece_codec, op7_suffix_dedup, op8_vector_join, op9_host_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
