@@ -26,10 +26,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._shared_path = path
+    return written
+
+
+def discard(written: DataFrame) -> None:
+    """Delete a table of materialize() that no later step reads."""
+    spark = written.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(written._shared_path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def text_of(name: str = "text") -> Column:

@@ -11,7 +11,7 @@ the repeated windows. To spare one row per byte, digits are taken from the insid
    equal throughout, hence all their windows are repeated, and they leave as resolved.
 3. What is left (blocks at the ends of repeated passages) goes on window by window.
 
-Groups are counted by 128-bit digests of the bytes, with partial sums before each shuffle, so a passage that a third
+Groups are counted by pairs of 64-bit digests of the bytes (of the block, and of the slice), with partial sums before each shuffle, so a passage that a third
 of all documents share costs one row per task. No step collects a group, and matches never cross documents because
 windows don't.
 """
@@ -22,29 +22,28 @@ import hashlib
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of, without
+from .common import discard, materialize, text_of, without
 
 ANCHOR = 64
 OUT = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "removed_spans", "kept_text"]
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+BASE = 0x9E3779B97F4A7C15
 
 
 @cache
-def tables(lane: int) -> np.ndarray:
+def numbers() -> np.ndarray:
     """A 64-bit number for each byte, fixed by a digest."""
-    return np.array([int.from_bytes(hashlib.sha256(bytes([lane, b])).digest()[:8], "little") for b in range(256)], np.uint64)
+    return np.array([int.from_bytes(hashlib.sha256(bytes([b])).digest()[:8], "little") for b in range(256)], np.uint64)
 
 
 @cache
-def powers(lane: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.ones(size + 1, np.uint64), np.ones(size + 1, np.uint64)
-    up[1:] = np.cumprod(np.full(size, BASES[lane], np.uint64))
-    down[1:] = np.cumprod(np.full(size, pow(BASES[lane], -1, 1 << 64), np.uint64))
+    up[1:] = np.cumprod(np.full(size, BASE, np.uint64))
+    down[1:] = np.cumprod(np.full(size, pow(BASE, -1, 1 << 64), np.uint64))
     return up, down
 
 
@@ -57,82 +56,80 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Rolling:
     """Digests of any slices of data, from prefix sums of byte numbers times powers of a base (modulo 2**64)."""
 
-    def __init__(self, data: bytes, lane: int):
+    def __init__(self, data: bytes):
         a = np.frombuffer(data, np.uint8)
-        size = 1 << max(12, len(a).bit_length())
-        up, self.down = powers(lane, size)
+        up, self.down = powers(1 << max(12, len(a).bit_length()))
         self.sums = np.zeros(len(a) + 1, np.uint64)
-        np.cumsum(tables(lane)[a] * up[: len(a)], out=self.sums[1:])
+        np.cumsum(numbers()[a] * up[: len(a)], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
+    def blocks(self) -> np.ndarray:
+        """The digests of all ANCHOR-byte slices."""
+        return mixed((self.sums[ANCHOR:] - self.sums[:-ANCHOR]) * self.down[: len(self.sums) - ANCHOR] + np.uint64(ANCHOR))
 
-def anchors(roll: Rolling, n: int, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Blocks (position, digest) that windows choose, and the range first..last of the windows that choose each."""
-    at = np.arange(n - ANCHOR + 1)
-    h = roll.of(at, at + ANCHOR)
-    wide = threshold - ANCHOR + 1
+
+def anchors(h: np.ndarray, windows: int, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Blocks that windows choose: the place of each, and the first and last of the windows that choose it."""
     padded = np.concatenate([h, np.full(-len(h) % wide, np.uint64(2**64 - 1))]).reshape(-1, wide)
     before = np.minimum.accumulate(padded, axis=1).ravel()
     after = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
-    windows = n - threshold + 1
     least = np.minimum(after[:windows], before[wide - 1 : wide - 1 + windows])
-    # The leftmost place of the least digest, for each window: the next equal place at or after its start.
-    places = np.flatnonzero(np.isin(h, np.unique(least)))
-    order = np.lexsort((places, h[places]))
-    keys, spots = h[places][order], places[order]
     first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     last = np.concatenate([first[1:], [windows]]) - 1
-    out_p, out_f, out_l = [], [], []
-    lo, hi = np.searchsorted(keys, least[first], "left"), np.searchsorted(keys, least[first], "right")
-    for f, e, a, b in zip(first.tolist(), last.tolist(), lo.tolist(), hi.tolist()):
-        if b - a == 1:
-            out_p.append(spots[a])
-            out_f.append(f)
-            out_l.append(e)
-            continue
-        k = a + int(np.searchsorted(spots[a:b], f))  # the same block again and again: each serves windows up to its start
-        while f <= e:
-            p = int(spots[k])
-            out_p.append(p)
-            out_f.append(f)
-            out_l.append(min(e, p))
-            f, k = p + 1, k + 1
-    p = np.array(out_p, np.int64)
-    return p, h[p], np.array(out_f, np.int64), np.array(out_l, np.int64)
+    out = []
+    for f, e, v in zip(first.tolist(), last.tolist(), least[first]):
+        while f <= e:  # more than once where the same block comes again and again: each serves windows up to its start
+            p = f + int((h[f : f + wide] == v).argmax())
+            out.append((p, f, min(e, p)))
+            f = p + 1
+    return tuple(np.array(out, np.int64).T)
 
 
-BLOCK = "key binary, place int, first int, last int, d1 long, d2 long, w1 long, w2 long"
-SPAN = 16  # windows of one block that are judged together first
+# Rows hold the text's key (k1, k2), the place of a block, and how far before it its windows start: far..near.
+BLOCK = "k1 long, k2 long, at long, d long, w long"
+SPAN = 32  # windows of one block that are judged together first
 
 
-def table(names, columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64) if getattr(x, "dtype", None) == np.uint64 else x) for x in columns], names=names)
+def packed(place, far, near):
+    return (place << 20) | (far << 10) | near
 
 
-def _blocks(threshold: int):
-    names = [x.split()[0] for x in BLOCK.split(", ")]
+def unpacked(at):
+    return at >> 20, (at >> 10) & 1023, at & 1023
+
+
+def table(schema: str, columns) -> pa.RecordBatch:
+    names = [x.split()[0] for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for x in columns], names=names)
 
+
+def _blocks(threshold: int):
     def blocks(batches):
         for batch in batches:
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
+            keys = [batch.column(c).to_numpy() for c in ("k1", "k2")]
+            for k, text in enumerate(batch.column("text").to_pylist()):
                 data = text.encode("utf-8", "replace")
                 n = len(data)
                 if n < threshold:
                     continue
-                one, two = Rolling(data, 0), Rolling(data, 1)
-                p, d1, first, last = anchors(one, n, threshold)
+                roll = Rolling(data)
+                h = roll.blocks()
+                p, first, last = anchors(h, n - threshold + 1, threshold - ANCHOR + 1)
                 lo, hi = np.maximum(p - (threshold - ANCHOR), 0), np.minimum(p + threshold, n)
                 # Bytes beyond the ends of a document count as different from any, by their number.
-                cut = ((p - lo).astype(np.uint64) << np.uint64(32)) | (hi - p).astype(np.uint64)
-                yield table(names, [[key] * len(p), *(x.astype(np.int32) for x in (p, first, last)), d1, two.of(p, p + ANCHOR), mixed(one.of(lo, hi) ^ cut), mixed(two.of(lo, hi) + cut)])
+                ends = ((p - lo).astype(np.uint64) << np.uint64(32)) | (hi - p).astype(np.uint64)
+                yield table(BLOCK, [*(np.full(len(p), x[k]) for x in keys), packed(p, p - first, p - last), h[p], mixed(roll.of(lo, hi) ^ ends)])
 
     return blocks
 
 
+DIGEST = "k1 long, k2 long, first long, last long, kind long, n long, d long, w long"
+
+
 def _digests(threshold: int, single: bool):
-    """(key, text, [(place, first, last, n)]) -> digests of spans (core, and union where whole) or of single windows.
+    """(text, blocks) -> digests of spans (core, and union where whole) or of single windows.
 
     A core is what all windows of a span hold, a union all that they hold together: a core found once settles that no
     window of the span is repeated, a union found twice that all are.
@@ -140,34 +137,32 @@ def _digests(threshold: int, single: bool):
 
     def digests(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                data = row["text"].encode("utf-8", "replace")
-                lanes = [Rolling(data, 0), Rolling(data, 1)]
-                out = []
-                for r in row["parts"]:
-                    if single:
-                        at = np.arange(r["first"], r["last"] + 1)
-                        first, last, start, end, kind = at, at, at, at + threshold, np.zeros(len(at), np.int64)
-                        offset = r["place"] - at
-                    else:
-                        k = np.arange((r["place"] - r["last"]) // SPAN, (r["place"] - r["first"]) // SPAN + 1)
-                        a, b = r["place"] - SPAN * k - SPAN + 1, r["place"] - SPAN * k
-                        first, last = np.maximum(a, r["first"]), np.minimum(b, r["last"])
-                        full = (first == a) & (last == b)
-                        first, last, offset = (np.concatenate([x, x[full]]) for x in (first, last, SPAN * k))
-                        start, end = np.concatenate([b, a[full]]), np.concatenate([a + threshold, b[full] + threshold])
-                        kind = np.concatenate([np.zeros(len(k), np.int64), np.ones(int(full.sum()), np.int64)])
-                    salt = (offset.astype(np.uint64) << np.uint64(1)) | kind.astype(np.uint64)
-                    ds = [mixed(lane.of(start, end) + salt) for lane in lanes]
-                    size = len(first)
-                    out.append([np.full(size, r["place"]), first, last, kind, np.full(size, r["n"]), *ds])
-                cols = [np.concatenate(c) for c in zip(*out)]
-                yield table(["key", "place", "first", "last", "kind", "n", "d1", "d2"], [[row["key"]] * len(cols[0]), *cols])
+            parts = batch.column("parts")
+            flat, sizes = parts.flatten(), parts.value_lengths().to_numpy()
+            at, d, n = (flat.field(c).to_numpy() for c in ("at", "d", "n"))
+            keys = [batch.column(c).to_numpy() for c in ("k1", "k2")]
+            end = np.cumsum(sizes)
+            for k, text in enumerate(batch.column("text").to_pylist()):
+                roll = Rolling(text.encode("utf-8", "replace"))
+                own = slice(end[k] - sizes[k], end[k])
+                place, far, near = unpacked(at[own])
+                step = 1 if single else SPAN
+                count = far // step - near // step + 1
+                which = np.repeat(np.arange(len(place)), count)
+                s = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + (near // step)[which]
+                b = place[which] - step * s  # the last window of the span
+                a = b - step + 1
+                first, last = np.maximum(a, (place - far)[which]), np.minimum(b, (place - near)[which])
+                full = (first == a) & (last == b) if not single else np.zeros(len(a), bool)
+                w = [mixed(roll.of(b, a + threshold) + (s.astype(np.uint64) << np.uint64(1))), mixed(roll.of(a[full], b[full] + threshold) + (s[full].astype(np.uint64) << np.uint64(1)) + np.uint64(1))]
+                cols = [np.concatenate([x, x[full]]) for x in (first, last, np.zeros(len(a), np.int64), n[own][which], d[own][which])]
+                cols[2][len(a) :] = 1
+                yield table(DIGEST, [*(np.full(len(cols[0]), x[k]) for x in keys), *cols, np.concatenate(w)])
 
     return digests
 
 
-DIGEST = "key binary, place long, first long, last long, kind long, n long, d1 long, d2 long"
+KEY = ["k1", "k2"]
 
 
 def _found_again(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -177,34 +172,43 @@ def _found_again(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     return rows.join(materialize(totals, name), keys, "left_semi")
 
 
-def _with_text(texts: DataFrame, parts: DataFrame, name: str) -> DataFrame:
-    listed = parts.groupBy("key").agg(F.collect_list(F.struct("place", "first", "last", "n")).alias("parts"))
-    return texts.join(materialize(listed, name), "key")
+def _digested(texts: DataFrame, parts: DataFrame, threshold: int, single: bool, name: str) -> DataFrame:
+    listed = materialize(parts.groupBy(*KEY).agg(F.collect_set(F.struct("at", "d", "n")).alias("parts")), name + "-parts")
+    return materialize(texts.join(listed, KEY).mapInArrow(_digests(threshold, single), DIGEST), name)
 
 
-def repeated_windows(texts: DataFrame, threshold: int = 400) -> DataFrame:
-    """Rows (key, text), equal keys for equal texts -> ranges (key, first, last) of the starts of repeated windows."""
-    made = texts.mapInArrow(_blocks(threshold), BLOCK)
-    same = [F.first(c).alias(c) for c in ("first", "last", "d1", "d2", "w1", "w2")]
-    blocks = materialize(made.groupBy("key", "place").agg(F.count(F.lit(1)).alias("n"), *same), "blocks")  # copies become a weight
-    alive = materialize(_found_again(blocks, ["d1", "d2"], "digit1"), "alive")
-    groups = alive.groupBy("d1", "d2", "w1", "w2").agg(F.sum("n").alias("n"), F.min(F.struct("key", "place", "first", "last")).alias("one"))
+def repeated_windows(texts: DataFrame, threshold: int = 400) -> tuple[DataFrame, DataFrame]:
+    """Rows (k1, k2, text), equal keys for equal texts -> ranges (k1, k2, first, last) of the starts of repeated
+    windows, and the distinct texts that hold any."""
+    blocks = materialize(texts.mapInArrow(_blocks(threshold), BLOCK), "blocks")
+    alive = _found_again(blocks.withColumn("n", F.lit(1)), ["d"], "digit1")
+    alive = materialize(alive.groupBy(*KEY, "at", "d", "w").agg(F.sum("n").alias("n")), "alive")  # copies become a weight
+    discard(blocks)
+    needed = materialize(alive.select(*KEY).distinct(), "needed")
+    some = materialize(texts.join(needed, KEY, "left_semi").groupBy(*KEY).agg(F.first("text").alias("text")), "texts")
+    groups = alive.groupBy("d", "w").agg(F.sum("n").alias("n"), F.min(F.struct(*KEY, "at")).alias("one"))
     groups = materialize(groups, "digit2")
-    resolved = alive.join(groups.filter("n > 1").select("d1", "d2", "w1", "w2"), ["d1", "d2", "w1", "w2"], "left_semi").select("key", "first", "last")
-    open_digits = materialize(groups.groupBy("d1", "d2").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("kinds")).filter("least = 1 and kinds > 1").select("d1", "d2"), "open")
-    members = groups.join(open_digits, ["d1", "d2"], "left_semi").select("one.*", F.col("n").cast("int").alias("n"))
-    spans = _with_text(texts, members, "members").mapInArrow(_digests(threshold, False), DIGEST)
-    spans = materialize(spans.dropDuplicates(["key", "place", "first", "kind"]), "spans")
-    hit = materialize(_found_again(spans, ["d1", "d2"], "digit3"), "hit")
-    whole = hit.filter("kind = 1").select("key", "place", "first", "last")
-    partly = hit.filter("kind = 0").join(whole, ["key", "place", "first", "last"], "left_anti")
+    resolved = alive.join(groups.filter("n > 1").select("d", "w"), ["d", "w"], "left_semi")
+    ends = materialize(groups.groupBy("d").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("kinds")).filter("least = 1 and kinds > 1").select("d"), "open")
+    members = groups.join(ends, ["d"], "left_semi").select("one.*", "d", "n")
+    spans = _digested(some, members, threshold, False, "spans")
+    hit = materialize(_found_again(spans, ["d", "w"], "digit3"), "hit")
+    discard(spans)
+    whole = hit.filter("kind = 1").select(*KEY, "first", "last", "d")
+    partly = hit.filter("kind = 0").join(whole, [*KEY, "first", "last", "d"], "left_anti")
     # A window of a partly repeated span may equal one of a wholly repeated span elsewhere: that one counts, too.
-    mixed_up = materialize(partly.select("d1", "d2").distinct(), "mixed")
-    again = hit.filter("kind = 0").join(mixed_up, ["d1", "d2"], "left_semi").select("key", "place", "first", "last", F.col("n").cast("int").alias("n"))
-    windows = _with_text(texts, again, "windows").mapInArrow(_digests(threshold, True), DIGEST)
-    windows = materialize(windows.dropDuplicates(["key", "place", "first"]), "single")
-    single = _found_again(windows, ["d1", "d2"], "digit4").select("key", "first", "last")
-    return resolved.select("key", F.col("first").cast("long"), F.col("last").cast("long")).unionByName(whole.select("key", "first", "last")).unionByName(single)
+    unsettled = materialize(partly.select("d", "w").distinct(), "unsettled")
+    again = hit.filter("kind = 0").join(unsettled, ["d", "w"], "left_semi").select(*KEY, "first", "last", "d")
+    # Spans lie at multiples of SPAN before their block, whose place comes from the member they were made of.
+    place = F.shiftright("at", 20).alias("place")
+    at = members.select(*KEY, "d", place, (F.shiftright("at", 20) - F.shiftright("at", 10).bitwiseAND(F.lit(1023))).alias("lo"), (F.shiftright("at", 20) - F.col("at").bitwiseAND(F.lit(1023))).alias("hi"), "n")
+    again = again.join(at, [*KEY, "d"]).filter("first >= lo and last <= hi")
+    again = again.select(*KEY, (F.shiftleft("place", 20) + F.shiftleft(F.col("place") - F.col("first"), 10) + F.col("place") - F.col("last")).alias("at"), "d", "n")
+    windows = _digested(some, again, threshold, True, "windows")
+    single = _found_again(windows, ["d", "w"], "digit4").select(*KEY, "first", "last")
+    far = F.shiftright("at", 10).bitwiseAND(F.lit(1023))
+    resolved = resolved.select(*KEY, (F.shiftright("at", 20) - far).alias("first"), (F.shiftright("at", 20) - F.col("at").bitwiseAND(F.lit(1023))).alias("last"))
+    return resolved.unionByName(whole.drop("d")).unionByName(single), some
 
 
 def cut(data: bytes, ranges: list[tuple[int, int]], threshold: int) -> tuple[list[tuple[int, int]], bytes]:
@@ -229,21 +233,26 @@ def suffix_dedup(docs: DataFrame, threshold: int = 400, keep_text: bool = False)
     Null and empty texts have no bytes and nothing removed. Repeated rows are copies of each other. Input columns named
     like an output are replaced, all others kept; an empty table gives an empty table.
     """
-    rows = without(docs, [*OUT, "_key", "_r"]).withColumn("_key", F.unhex(F.md5(text_of())))
-    texts = rows.select(F.col("_key").alias("key"), text_of().alias("text"))
-    ranges = repeated_windows(texts, threshold).groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("_ranges"))
-    ranges = materialize(ranges, "ranges").withColumnRenamed("key", "_key")
-    fields = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed_spans array<struct<start:long,end:long>>" + (", kept_text string" if keep_text else "")
-
-    @F.pandas_udf(fields)
-    def results(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
-        out = []
-        for text, r in zip(texts, found):
-            data = text.encode("utf-8", "replace")
-            spans, kept = cut(data, [(x["first"], x["last"]) for x in r] if r is not None else [], threshold)
-            row = [len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [{"start": a, "end": b} for a, b in spans]]
-            out.append([*row, kept.decode("utf-8", "ignore")] if keep_text else row)
-        return pd.DataFrame(out, columns=OUT if keep_text else OUT[:5])
-
-    held = rows.join(ranges, "_key", "left").withColumn("_r", results(text_of(), F.col("_ranges")))
-    return held.select(*[F.col(f"`{c}`") for c in rows.columns if c != "_key"], "_r.*")
+    rows = without(docs, [*OUT, "_k1", "_k2", "_full", "_size"])
+    t = text_of()
+    rows = rows.withColumns({"_k1": F.xxhash64(t), "_k2": F.xxhash64(F.lit(1), t), "_full": F.sha2(t, 256), "_size": F.octet_length(t).cast("long")})
+    texts = rows.select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), t.alias("text"))
+    ranges, some = repeated_windows(texts, threshold)
+    ranges = materialize(ranges.groupBy(*KEY).agg(F.collect_set(F.struct("first", "last")).alias("ranges")), "ranges")
+    fields = ["k1 long", "k2 long", "n_removed long", "n_spans long", "kept_sha256 string", "removed_spans array<struct<start:long,end:long>>", *["kept_text string"] * keep_text]
+
+    def results(batches):
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                data = row["text"].encode("utf-8", "replace")
+                spans, kept = cut(data, [(x["first"], x["last"]) for x in row["ranges"]], threshold)
+                one = {"k1": row["k1"], "k2": row["k2"], "n_removed": len(data) - len(kept), "n_spans": len(spans), "kept_sha256": hashlib.sha256(kept).hexdigest(), "removed_spans": [{"start": a, "end": b} for a, b in spans]}
+                out.append(one | ({"kept_text": kept.decode("utf-8", "ignore")} if keep_text else {}))
+            yield pa.RecordBatch.from_pylist(out)
+
+    removed = materialize(some.join(ranges, KEY).mapInArrow(results, ", ".join(fields)), "removed")
+    known = removed.withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
+    out = rows.join(known, ["_k1", "_k2"], "left").withColumnsRenamed({"_size": "n_bytes"})
+    out = out.withColumns({"n_removed": F.coalesce("n_removed", F.lit(0).cast("long")), "n_spans": F.coalesce("n_spans", F.lit(0).cast("long")), "kept_sha256": F.coalesce("kept_sha256", "_full"), "removed_spans": F.coalesce("removed_spans", F.array())})
+    return (out.withColumn("kept_text", F.coalesce("kept_text", text_of())) if keep_text else out).drop("_k1", "_k2", "_full")
