@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules, piece_codec, secret_scan, suffix_dedup, token_store, vector_join
+from . import host_rules, piece_codec, secret_scan, suffix_dedup, token_store, vector_join, weighted_minhash
 from .common import documents
 
 
@@ -38,8 +38,13 @@ def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = weighted_minhash.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "class_id", "component_id", "n_shingles", "kept")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_secret_scan, op5_token_store, op6_piece_codec, op7_suffix_dedup, op8_vector_join, op9_host_rules)}
+    return {f.__name__: f for f in (op3_secret_scan, op5_token_store, op6_piece_codec, op7_suffix_dedup, op8_vector_join, op9_host_rules, op10_weighted_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
