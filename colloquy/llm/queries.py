@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules, piece_codec, secret_scan, suffix_dedup, token_store, vector_join, weighted_minhash
+from . import host_rules, mixing, piece_codec, secret_scan, suffix_dedup, token_store, vector_join, weighted_minhash
 from .common import documents
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source")).drop("text")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secret_scan.joined(F.col("base_spans")), 256).alias("base_sha256"), secret_scan.joined(F.col("all_spans")).alias("spans"))
@@ -44,7 +48,7 @@ def op10_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_secret_scan, op5_token_store, op6_piece_codec, op7_suffix_dedup, op8_vector_join, op9_host_rules, op10_weighted_minhash)}
+    return {f.__name__: f for f in (op2_source_mixing, op3_secret_scan, op5_token_store, op6_piece_codec, op7_suffix_dedup, op8_vector_join, op9_host_rules, op10_weighted_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
