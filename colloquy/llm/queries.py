@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules, mixing, piece_codec, secret_scan, suffix_dedup, token_store, vector_join, weighted_minhash
+from . import host_rules, lm_scoring, mixing, piece_codec, secret_scan, suffix_dedup, token_store, vector_join, weighted_minhash, wrapper_extract
 from .common import documents
 
 
+def op1_wrapper_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text", "n_chars")
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source")).drop("text")
 
@@ -19,6 +23,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secret_scan.joined(F.col("base_spans")), 256).alias("base_sha256"), secret_scan.joined(F.col("all_spans")).alias("spans"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1")
+    return lm_scoring.cross_entropy_difference(documents(spark, sf_dir), good)
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.stored_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -48,7 +57,7 @@ def op10_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_source_mixing, op3_secret_scan, op5_token_store, op6_piece_codec, op7_suffix_dedup, op8_vector_join, op9_host_rules, op10_weighted_minhash)}
+    return {f.__name__: f for f in (op1_wrapper_extract, op2_source_mixing, op3_secret_scan, op4_lm_scoring, op5_token_store, op6_piece_codec, op7_suffix_dedup, op8_vector_join, op9_host_rules, op10_weighted_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
