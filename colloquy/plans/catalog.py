@@ -1,11 +1,497 @@
-"""The named queries of the engine over the test tables, and their SQL."""
+"""The named queries of the engine over the test tables, and the same in SQL for DuckDB.
+
+The test tables stand for the store: conversations are segments (conv_id the project, turn the position, role the
+speaker), events timed segments of users, documents notes, embeddings voiceprints, nations and customers folders.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import fixed
+from ..functions import text as tx
+from ..operators import intervals, ordered, relational, vectors
+from ..sources.store import read_table
+
+_QUERIES: dict[str, Callable] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[Callable[[str], DataFrame]], DataFrame]):
+        _QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: read_table(spark, sf_dir, name))
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
 
-def queries() -> dict:
-    return {}
+    return register
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def micros(column: str = "ts"):
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {column})")
+
+
+def segments(t) -> DataFrame:
+    return t("conversations").select(F.col("conv_id").alias("project_id"), F.col("turn").alias("idx"), F.col("role").alias("speaker"), "text")
+
+
+def timed(t) -> DataFrame:
+    """Events as timed segments: value (in tenths of a second) is the duration."""
+    start = micros() / 1e6
+    return t("events").select("user_id", "event_id", "event_type", (start).alias("start"), (start + F.col("value") / 10).alias("end"), "value")
+
+
+TIMED = "(SELECT user_id, event_id, event_type, epoch_us(ts) / 1e6 AS start, epoch_us(ts) / 1e6 + value / 10 AS \"end\", value FROM events)"
+
+
+def sql_any(column: str, phrases) -> str:
+    return "(" + " OR ".join("contains({}, '{}')".format(column, p.replace("'", "''")) for p in phrases) + ")"
+
+
+# --- scans, filters, projections, sorts ---------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+def scan_projects(t):
+    return t("orders").select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query("SELECT conv_id AS project_id, turn AS idx, role AS speaker, text FROM conversations WHERE conv_id = 7")
+def segments_of_project(t):
+    return segments(t).filter(F.col("project_id") == 7).orderBy("idx")
+
+
+@query("SELECT doc_id, lang, n_chars FROM documents WHERE doc_id = 42")
+def note_lookup(t):
+    return t("documents").filter(F.col("doc_id") == 42).select("doc_id", "lang", "n_chars").limit(1)
+
+
+@query("SELECT doc_id, source FROM documents WHERE source IN ('src1', 'src2')")
+def optional_in_filter(t):
+    return relational.optional_in(t("documents"), "source", ["src1", "src2"]).select("doc_id", "source")
+
+
+@query("SELECT doc_id FROM documents")
+def optional_in_filter_empty(t):
+    return relational.optional_in(t("documents"), "source", []).select("doc_id")
+
+
+@query("""SELECT c.conv_id AS project_id, c.turn AS idx, c.role AS speaker, c.text, d.lang AS title, d.n_chars AS updated_at
+    FROM conversations c JOIN documents d ON c.conv_id = d.doc_id WHERE contains(lower(c.text), 'the')
+    ORDER BY d.n_chars DESC, c.conv_id, c.turn LIMIT 50""")
+def search_segments(t):
+    projects = t("documents").select(F.col("doc_id").alias("project_id"), F.col("lang").alias("title"), F.col("n_chars").alias("updated_at"))
+    return relational.search_segments(segments(t), projects, " The ").select("project_id", "idx", "speaker", "text", "title", "updated_at")
+
+
+@query("SELECT conv_id AS project_id, turn AS segment_index FROM conversations WHERE contains(lower(text), 'on') AND role IN ('user', 'assistant')")
+def search_completed_jobs(t):
+    hits = segments(t).filter(relational.contains_text(F.col("text"), "ON") & F.col("speaker").isin("user", "assistant"))
+    return hits.select("project_id", F.col("idx").alias("segment_index"))
+
+
+@query("SELECT count(*) AS n FROM customer WHERE starts_with(c_name, 'Customer#00000001')")
+def prefix_count(t):
+    return t("customer").filter(F.startswith("c_name", F.lit("Customer#00000001"))).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, left(text, 100) AS preview, left(text, 200) AS context FROM documents")
+def previews(t):
+    return t("documents").select("doc_id", F.substring("text", 1, 100).alias("preview"), F.substring("text", 1, 200).alias("context"))
+
+
+@query("SELECT conv_id AS project_id, string_agg('[' || coalesce(role, 'Unknown') || '] ' || text, chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id")
+def transcript_lines(t):
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("idx", "speaker", "text"))), lambda s: tx.line(s["speaker"], s["text"]))
+    return segments(t).groupBy("project_id").agg(F.array_join(lines, "\n").alias("transcript"))
+
+
+@query("SELECT user_id, count(*) AS segment_count, CAST(round(max_by(value, event_id) * 1000) AS BIGINT) AS duration_ms FROM events GROUP BY user_id")
+def segment_counts(t):
+    return t("events").groupBy("user_id").agg(F.count(F.lit(1)).alias("segment_count"), F.round(F.max_by("value", "event_id") * 1000).cast("long").alias("duration_ms"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 20")
+def newest_first(t):
+    return t("orders").orderBy(F.desc_nulls_last("o_totalprice"), "o_orderkey").select("o_orderkey", "o_totalprice").limit(20)
+
+
+_MIME_CASES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fixed.MIME.items())
+
+
+@query(f"SELECT event_id, CASE lower(string_split(name, '.')[-1]) {_MIME_CASES} ELSE 'application/octet-stream' END AS mime FROM (SELECT event_id, 'f.' || CASE event_id % 4 WHEN 0 THEN 'PDF' WHEN 1 THEN 'tar.md' WHEN 2 THEN 'xyz' ELSE 'mp3' END AS name FROM events)")
+def mime_types(t):
+    name = F.concat(F.lit("f."), F.when(F.col("event_id") % 4 == 0, "PDF").when(F.col("event_id") % 4 == 1, "tar.md").when(F.col("event_id") % 4 == 2, "xyz").otherwise("mp3"))
+    return t("events").select("event_id", tx.mime_type(name).alias("mime"))
+
+
+# --- joins and merges -----------------------------------------------------------------------------------------------
+
+
+@query("SELECT d.doc_id AS project_id, coalesce(CAST(l.quality AS VARCHAR), 'Unknown') AS project_title FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def title_lookup(t):
+    projects = t("labels").select(F.col("doc_id").alias("project_id"), F.col("quality").cast("string").alias("title"))
+    return relational.with_title(t("documents").select(F.col("doc_id").alias("project_id")), projects)
+
+
+@query("""SELECT e.user_id AS project_id, c.c_name AS project_title, CAST(json_extract(e.props, '$.k') AS BIGINT) AS k
+    FROM events e JOIN customer c ON e.user_id = c.c_custkey""")
+def action_items(t):
+    lists = t("events").select(F.col("user_id").alias("project_id"), F.concat(F.lit("["), F.col("props"), F.lit("]")).alias("action_items"))
+    projects = t("customer").select(F.col("c_custkey").alias("project_id"), F.col("c_name").alias("title"))
+    return relational.action_items(lists, projects, "array<struct<k:bigint>>")
+
+
+FOLDERS = """SELECT 'r' || r_regionkey AS id, NULL AS parent_id FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation
+    UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer"""
+
+
+def folders(t) -> DataFrame:
+    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    return (
+        t("region").select(key("r", "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent_id"))
+        .unionByName(t("nation").select(key("n", "n_nationkey").alias("id"), key("r", "n_regionkey").alias("parent_id")))
+        .unionByName(t("customer").select(key("c", "c_custkey").alias("id"), key("n", "c_nationkey").alias("parent_id")))
+    )
+
+
+@query(f"WITH RECURSIVE f AS ({FOLDERS}), tree(id, depth) AS (SELECT id, 0 FROM f WHERE id = 'r1' UNION ALL SELECT f.id, tree.depth + 1 FROM f JOIN tree ON f.parent_id = tree.id) SELECT id, depth FROM tree")
+def folder_subtree(t):
+    return relational.subtree(folders(t), "r1")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)")
+def cascade_delete(t):
+    gone = t("nation").filter("n_regionkey = 2").select(F.col("n_nationkey").alias("id"))
+    return relational.without_ids(t("customer"), gone, "c_nationkey").select("c_custkey")
+
+
+@query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
+def latest_summary(t):
+    return relational.latest_wins(t("events"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "value")
+
+
+@query("""SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, coalesce(n.v, o.v) AS v, coalesce(o.made, n.made) AS made
+    FROM (SELECT doc_id, n_chars AS v, 'old' AS made FROM documents WHERE doc_id % 2 = 0) o
+    FULL OUTER JOIN (SELECT doc_id, CAST(quality AS BIGINT) AS v, 'new' AS made FROM labels) n ON o.doc_id = n.doc_id""")
+def upsert_notes(t):
+    old = t("documents").filter("doc_id % 2 = 0").select("doc_id", F.col("n_chars").alias("v"), F.lit("old").alias("made"))
+    new = t("labels").select("doc_id", F.col("quality").cast("long").alias("v"), F.lit("new").alias("made"))
+    return relational.keyed_merge(old, new, ["doc_id"], keep=("made",))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey = 5 THEN 'renamed' ELSE c_name END AS c_name FROM customer")
+def partial_update(t):
+    return relational.partial_update(t("customer").select("c_custkey", "c_name"), "c_custkey", 5, {"c_name": "renamed"})
+
+
+@query("SELECT n.n_nationkey, o.pos AS sort_order FROM nation n JOIN (VALUES (3, 0), (1, 1), (2, 2)) o(id, pos) ON n.n_nationkey = o.id")
+def reorder(t):
+    order = t("nation").limit(1).select(F.posexplode(F.array(F.lit(3), F.lit(1), F.lit(2))).alias("sort_order", "n_nationkey"))
+    return t("nation").select("n_nationkey").join(order, "n_nationkey").select("n_nationkey", "sort_order")
+
+
+@query("SELECT c.conv_id, c.turn, coalesce(n.n_name, c.role) AS speaker FROM conversations c LEFT JOIN nation n ON c.turn = n.n_nationkey")
+def rename_speakers(t):
+    names = t("nation").select(F.col("n_nationkey").cast("long").alias("turn"), "n_name")
+    return t("conversations").join(names, "turn", "left").select("conv_id", "turn", F.coalesce("n_name", "role").alias("speaker"))
+
+
+@query("SELECT s_name AS name FROM supplier WHERE s_nationkey > 10 UNION ALL SELECT s_name FROM supplier s WHERE s_nationkey <= 10 AND s_name NOT IN (SELECT s_name FROM supplier WHERE s_nationkey > 10)")
+def create_if_absent(t):
+    have = t("supplier").filter("s_nationkey > 10").select(F.col("s_name").alias("name"))
+    new = t("supplier").filter("s_nationkey <= 10").select(F.col("s_name").alias("name"))
+    return have.unionByName(new.join(have, "name", "left_anti"))
+
+
+@query("SELECT DISTINCT ON (k) k, src FROM (SELECT n_nationkey AS k, 'nation' AS src, 0 AS p FROM nation UNION ALL SELECT s_nationkey, 'supplier', 1 FROM supplier UNION ALL SELECT c_nationkey, 'customer', 2 FROM customer) ORDER BY k, p")
+def merge_by_precedence(t):
+    one = lambda name, col: t(name).select(F.col(col).alias("k"), F.lit(name).alias("src")).distinct()
+    return relational.first_wins([one("nation", "n_nationkey"), one("supplier", "s_nationkey"), one("customer", "c_nationkey")], ["k"])
+
+
+@query("SELECT doc_id, coalesce(v, first_value(v IGNORE NULLS) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS v FROM (SELECT d.doc_id, d.source, l.quality AS v FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)")
+def propagate_voiceprints(t):
+    rows = t("documents").select("doc_id", "source").join(t("labels").select("doc_id", F.col("quality").alias("v")), "doc_id", "left")
+    return relational.fill_from_label(rows, "source", "v", ["doc_id"]).select("doc_id", "v")
+
+
+_TURNS = f"(SELECT user_id, start, \"end\", event_type AS speaker, event_id AS pos FROM {TIMED} WHERE event_id % 3 = 0)"
+_POINTS = f"(SELECT user_id, event_id AS idx, (start + \"end\") / 2 AS t FROM {TIMED} WHERE event_id % 3 <> 0)"
+
+
+@query(f"""SELECT user_id, idx, speaker FROM (SELECT p.user_id, p.idx, u.speaker, row_number() OVER (PARTITION BY p.user_id, p.idx ORDER BY
+    CASE WHEN u.start <= p.t AND p.t <= u."end" THEN 0 ELSE 1 END, CASE WHEN u.start <= p.t AND p.t <= u."end" THEN 0 ELSE least(abs(p.t - u.start), abs(p.t - u."end")) END,
+    CASE WHEN u.start <= p.t AND p.t <= u."end" THEN -u.start ELSE 0 END, u.pos) AS rn FROM {_POINTS} p LEFT JOIN {_TURNS} u ON p.user_id = u.user_id) WHERE rn = 1""")
+def assign_speakers(t):
+    rows = timed(t)
+    turns = rows.filter("event_id % 3 = 0").select("user_id", "start", "end", F.col("event_type").alias("speaker"), F.col("event_id").alias("pos"))
+    points = rows.filter("event_id % 3 <> 0").select("user_id", F.col("event_id").alias("idx"), ((F.col("start") + F.col("end")) / 2).alias("t"))
+    return intervals.assign_turns(points, turns, ["user_id"]).select("user_id", "idx", "speaker")
+
+
+@query(f"SELECT user_id, arg_min(event_id, abs(start - 1704067200.0) * 1e6 + 0 * event_id) AS idx FROM (SELECT * FROM {TIMED} ORDER BY user_id, event_id) GROUP BY user_id")
+def nearest_segment(t):
+    return intervals.nearest_segment(timed(t).withColumnRenamed("event_id", "idx"), ["user_id"], 1704067200.0)
+
+
+# --- aggregations ---------------------------------------------------------------------------------------------------
+
+
+@query("SELECT count(*) AS meetings, CAST(coalesce(sum(n_chars), 0) AS BIGINT) AS total_chars FROM documents")
+def meeting_stats(t):
+    return t("documents").agg(F.count(F.lit(1)).alias("meetings"), F.coalesce(F.sum("n_chars"), F.lit(0)).alias("total_chars"))
+
+
+@query("SELECT CASE WHEN coalesce(role, '') = '' THEN 'Unknown' ELSE role END AS speaker, CAST(sum(length(text)) AS BIGINT) AS total_duration, count(*) AS segment_count FROM conversations GROUP BY role")
+def speaker_analysis(t):
+    return relational.speaker_analysis(segments(t), "speaker", F.length("text"))
+
+
+@query("SELECT DISTINCT conv_id AS project_id FROM conversations")
+def distinct_projects(t):
+    return segments(t).select("project_id").distinct()
+
+
+@query("SELECT c_nationkey AS parent, coalesce(max(c_custkey), -1) AS max_order FROM customer GROUP BY c_nationkey")
+def sibling_max(t):
+    return t("customer").groupBy(F.col("c_nationkey").alias("parent")).agg(F.coalesce(F.max("c_custkey"), F.lit(-1)).alias("max_order"))
+
+
+@query("SELECT user_id, event_type, votes FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY votes DESC, f) AS rn FROM (SELECT user_id, event_type, count(*) AS votes, min(event_id) AS f FROM events GROUP BY ALL)) WHERE rn = 1")
+def majority_label(t):
+    return relational.majority(t("events"), ["user_id"], "event_type", "event_id")
+
+
+@query("""WITH n AS (SELECT label, sqrt(sum(m * m)) AS norm FROM (SELECT label, p, avg(x) AS m FROM (SELECT label, generate_subscripts(embedding, 1) AS p, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY label, p) GROUP BY label),
+    v AS (SELECT label, p, avg(x) AS m, count(*) AS n FROM (SELECT label, generate_subscripts(embedding, 1) AS p, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY label, p)
+    SELECT v.label, CAST(v.p - 1 AS INT) AS pos, v.n, round(v.m / norm, 6) AS x FROM v JOIN n ON v.label = n.label""")
+def speaker_centroids(t):
+    rows = vectors.centroids(t("embeddings"), ["label"], "embedding")
+    return rows.select("label", "n", F.posexplode("centroid").alias("pos", "x")).withColumn("x", F.round("x", 6))
+
+
+# --- ordered operators ----------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT user_id, event_id, CAST(sum(n) OVER (PARTITION BY user_id ORDER BY start, event_id) AS BIGINT) AS session FROM (SELECT *, CASE WHEN start - lag(\"end\") OVER (PARTITION BY user_id ORDER BY start, event_id) > 3600 THEN 1 ELSE 0 END AS n FROM {TIMED})")
+def gap_sessions(t):
+    return ordered.gap_sessions(timed(t), ["user_id"], ["start", "event_id"], F.col("start"), F.col("end"), 3600).select("user_id", "event_id", "session")
+
+
+_ISLAND = "(SELECT *, sum(c) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM (SELECT *, CASE WHEN turn > min(turn) OVER (PARTITION BY conv_id) AND role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN 1 ELSE 0 END AS c FROM conversations))"
+
+
+@query(f"SELECT conv_id AS project_id, CAST(island AS BIGINT) AS island, min(role) AS speaker, min(turn) AS first_pos, max(turn) AS last_pos, count(*) AS n, string_agg(text, '' ORDER BY turn) AS text FROM {_ISLAND} GROUP BY conv_id, island")
+def merge_speaker_runs(t):
+    return ordered.merge_runs(segments(t), ["project_id"], "idx", "speaker", "text")
+
+
+@query(f"SELECT conv_id AS project_id, turn AS idx, CASE WHEN lead(island) OVER (PARTITION BY conv_id ORDER BY turn) <> island THEN text || chr(10) || chr(10) ELSE text END AS text FROM {_ISLAND}")
+def mark_paragraphs(t):
+    rows = ordered.islands(segments(t), ["project_id"], ["idx"], "speaker")
+    return ordered.mark_boundaries(rows, ["project_id"], ["idx"], "island", "text").select("project_id", "idx", "text")
+
+
+@query("""WITH w AS (SELECT a.user_id, a.event_id, b.event_type AS l, b.event_id AS e FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) a
+    JOIN (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) b ON a.user_id = b.user_id AND b.r BETWEEN a.r - 2 AND a.r + 2)
+    SELECT user_id, event_id, l AS smoothed FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_id ORDER BY n DESC, f) AS rn FROM (SELECT user_id, event_id, l, count(*) AS n, min(e) AS f FROM w GROUP BY ALL)) WHERE rn = 1""")
+def smooth_labels(t):
+    return ordered.smooth_labels(t("events"), ["user_id"], "event_id", "event_type").select("user_id", "event_id", "smoothed")
+
+
+@query("SELECT conv_id AS project_id, turn AS idx, 'Speaker ' || dense_rank() OVER (PARTITION BY conv_id ORDER BY f) AS renamed FROM (SELECT *, min(turn) OVER (PARTITION BY conv_id, role) AS f FROM conversations)")
+def renumber_speakers(t):
+    return ordered.renumber(segments(t), ["project_id"], "idx", "speaker").select("project_id", "idx", "renamed")
+
+
+@query('SELECT conv_id AS project_id, turn AS idx, CAST(coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM conversations')
+def char_offsets(t):
+    return ordered.char_offsets(segments(t), ["project_id"], ["idx"], "text").select("project_id", "idx", "offset")
+
+
+@query("SELECT event_id, CAST(unnest(CASE WHEN value / 10 >= 3 THEN range(0, CAST(floor(value / 10 - 3) AS BIGINT) + 1) ELSE [] END) AS DOUBLE) AS window_start FROM events")
+def sliding_windows(t):
+    return ordered.sliding_windows(t("events").select("event_id", (F.col("value") / 10).alias("d")), "d").select("event_id", "window_start")
+
+
+@query()
+def semantic_paragraphs(t):
+    return ordered.fold(segments(t), ["project_id"], ["idx"], _number("semantic"), "project_id long, idx long, paragraph long")
+
+
+@query()
+def hybrid_paragraphs(t):
+    return ordered.fold(segments(t), ["project_id"], ["idx"], _number("hybrid"), "project_id long, idx long, paragraph long")
+
+
+def _number(mode: str):
+    markers = tuple(fixed.MARKERS_EN)
+
+    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+        start = pdf["idx"] * 4.0
+        numbers = ordered.paragraphs(start, start + 3.0, pdf["text"].str.lower(), markers, mode)
+        return pd.DataFrame({"project_id": pdf["project_id"], "idx": pdf["idx"], "paragraph": numbers})
+
+    return step
+
+
+@query()
+def repeated_segments(t):
+    def similar(a: str, b: str) -> float:
+        return 1.0 if a == b else 0.0
+
+    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"user_id": pdf["user_id"], "event_id": pdf["event_id"], "repeated": ordered.repeated_runs(list(pdf["event_type"]), similar, 0.6, 3)})
+
+    return ordered.fold(timed(t), ["user_id"], ["start", "event_id"], step, "user_id long, event_id long, repeated boolean")
+
+
+@query()
+def overlapping_segments(t):
+    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"user_id": pdf["user_id"], "event_id": pdf["event_id"], "overlaps": ordered.overlap_flags(pdf["start"], pdf["end"], 0.7)})
+
+    return ordered.fold(timed(t), ["user_id"], ["start", "event_id"], step, "user_id long, event_id long, overlaps boolean")
+
+
+@query()
+def pack_segments(t):
+    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"project_id": pdf["project_id"], "idx": pdf["idx"], "chunk": ordered.pack_lines(pdf["text"].str.len(), 500)})
+
+    return ordered.fold(segments(t), ["project_id"], ["idx"], step, "project_id long, idx long, chunk long")
+
+
+# --- text -----------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, {sql_any('lower(text)', [p.lower() for p in fixed.BLOCKED_ZH + fixed.BLOCKED_EN])} AS template FROM documents")
+def template_phrases(t):
+    return t("documents").select("doc_id", tx.template_phrase(F.col("text")).alias("template"))
+
+
+@query(r"""SELECT doc_id, length(s) >= 4 AND c + l > 0 AND CASE WHEN c + l = 0 THEN 0 ELSE c / (c + l) END < 0.2 AND l > 10 AS switched FROM (SELECT doc_id, s, length(regexp_replace(s, '[^\x{4E00}-\x{9FFF}]', '', 'g')) AS c, length(regexp_replace(s, '[^A-Za-z]', '', 'g')) AS l
+    FROM (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS s FROM documents))""")
+def language_switches(t):
+    return t("documents").select("doc_id", tx.language_switch(F.col("text"), True).alias("switched"))
+
+
+@query("SELECT event_id, value < 0 OR value / 10 > 5 AS odd FROM events")
+def odd_times(t):
+    return t("events").select("event_id", tx.odd_times(F.lit(0.0), F.col("value") / 10, 5.0).alias("odd"))
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN {sql_any('lower(text)', fixed.STATS_KEYWORDS)} THEN 'stats' WHEN {sql_any('lower(text)', fixed.ACTION_KEYWORDS)} THEN 'action_items' WHEN {sql_any('lower(text)', fixed.SPEAKER_KEYWORDS)} THEN 'speaker' ELSE 'search' END AS route FROM conversations")
+def route_questions(t):
+    return t("conversations").select("conv_id", "turn", tx.route_question(F.col("text")).alias("route"))
+
+
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '([\x{4E00}-\x{9FFF}]{2,}|[a-zA-Z]{3,}|[0-9]+)', 1)) AS n FROM documents")
+def keyword_counts(t):
+    return t("documents").select("doc_id", F.size(tx.keywords(F.col("text"))).cast("long").alias("n"))
+
+
+@query("SELECT event_id, printf('%02d:%02d', CAST(floor(value * 10 / 60) AS BIGINT), CAST(floor(value * 10) AS BIGINT) % 60) AS clock FROM events")
+def clock_times(t):
+    return t("events").select("event_id", tx.clock(F.col("value") * 10).alias("clock"))
+
+
+@query("SELECT event_id, translate(CAST(event_id AS VARCHAR), '0123456789', '零一二三四五六七八九') AS digits FROM events")
+def digit_words(t):
+    return t("events").select("event_id", tx.chinese_digits(F.col("event_id").cast("string")).alias("digits"))
+
+
+_EN = ", ".join(f"'{w}'" for w in fixed.FILLER_LANGUAGES_EN)
+
+
+@query(rf"SELECT doc_id, round(least(coalesce(list_sum(list_transform(list_filter(regexp_split_to_array(lower(text), '[ \t\n\r]+'), lambda w: w IN ({_EN})), lambda w: length(w))), 0) / greatest(length(text), 1), 1.0), 9) AS density FROM documents")
+def filler_density(t):
+    return t("documents").select("doc_id", F.round(tx.filler_density_en(F.col("text")), 9).alias("density"))
+
+
+_HALL = " + ".join(f"len(regexp_extract_all(text, '(?i){p}'))" for p in fixed.HALLUCINATIONS)
+
+
+@query(f"SELECT doc_id, CAST({_HALL} AS BIGINT) AS n FROM documents")
+def hallucination_counts(t):
+    return t("documents").select("doc_id", tx.hallucination_count(F.col("text")).alias("n"))
+
+
+@query(f"SELECT doc_id, CAST(round(greatest(0.0, 1 - least(0.1 * ({_HALL}), 0.3)), 9) AS DOUBLE) AS score FROM documents")
+def readability_scores(t):
+    return t("documents").select("doc_id", F.round(tx.readability(F.lit(0.0), F.lit(0.0), F.lit(0), tx.hallucination_count(F.col("text"))), 9).alias("score"))
+
+
+@query()
+def cleaned_text(t):
+    c = tx.clean_spaces(tx.remove_fillers_en(tx.merge_repeats_en(F.col("text"))))
+    return t("conversations").select("conv_id", "turn", c.alias("text")).filter("trim(text) <> ''")
+
+
+@query()
+def document_chunks(t):
+    @F.pandas_udf("array<string>")
+    def chunks(texts: pd.Series) -> pd.Series:
+        return texts.fillna("").map(tx.chunk_text)
+
+    return t("documents").select("doc_id", F.posexplode(chunks("text")).alias("chunk", "text"))
+
+
+# --- vectors --------------------------------------------------------------------------------------------------------
+
+_Q = [((i * 37) % 19 - 9) / 10 for i in range(64)]
+_QSQL = "[" + ", ".join(map(str, _Q)) + "]::DOUBLE[]"
+
+
+@query(f"SELECT vec_id, round(list_distance(CAST(embedding AS DOUBLE[]), {_QSQL}), 6) AS distance FROM embeddings ORDER BY list_distance(CAST(embedding AS DOUBLE[]), {_QSQL}), vec_id LIMIT 5")
+def nearest_vectors(t):
+    return vectors.knn(t("embeddings"), _Q, 5).select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query(f"SELECT vec_id, row_number() OVER (ORDER BY d, vec_id) AS rank, 0.0::DOUBLE AS score FROM (SELECT vec_id, d FROM (SELECT vec_id, list_distance(CAST(embedding AS DOUBLE[]), {_QSQL}) AS d FROM embeddings WHERE label IN (1, 2)) ORDER BY d, vec_id LIMIT 15) ORDER BY d, vec_id LIMIT 5")
+def rerank_fallback(t):
+    got = vectors.knn(relational.optional_in(t("embeddings"), "label", [1, 2]), _Q, 15)
+    rank = F.row_number().over(Window.orderBy("distance", "vec_id"))  # of 3 * k rows
+    return got.withColumn("rank", rank.cast("long")).filter("rank <= 5").select("vec_id", "rank", F.lit(0.0).alias("score"))
+
+
+@query(f"SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_QSQL}), 6) AS cosine FROM embeddings")
+def cosine_scores(t):
+    q = F.array(*map(F.lit, _Q))
+    return t("embeddings").select("vec_id", F.round(vectors.cosine(vectors.doubles(F.col("embedding")), q), 6).alias("cosine"))
+
+
+@query("""SELECT qid, lid, round(s, 6) AS score, s >= 0.3 AS matched FROM (SELECT q.vec_id AS qid, l.vec_id AS lid, s, row_number() OVER (PARTITION BY q.vec_id ORDER BY s DESC, l.vec_id) AS rn
+    FROM embeddings q, embeddings l, LATERAL (SELECT list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(l.embedding AS DOUBLE[])) AS s) WHERE l.vec_id < 20 AND q.vec_id >= 20) WHERE rn = 1""")
+def match_voiceprints(t):
+    v = t("embeddings").select("vec_id", vectors.doubles(F.col("embedding")).alias("v"))
+    q = v.filter("vec_id >= 20").select(F.col("vec_id").alias("qid"), F.col("v").alias("qvec"))
+    lib = v.filter("vec_id < 20").select(F.col("vec_id").alias("lid"), F.col("v").alias("lvec"))
+    return vectors.best_match(q, lib, 0.3).withColumn("score", F.round("score", 6))
+
+
+@query()
+def merged_voiceprints(t):
+    v = vectors.doubles(F.col("embedding"))
+    rows = t("embeddings").select("label", "vec_id", v.alias("v"))
+    pair = rows.groupBy("label").agg(F.min_by("v", "vec_id").alias("a"), F.max_by("v", "vec_id").alias("b"))
+    return pair.select("label", vectors.weighted_merge(F.col("a"), F.lit(3.0), F.col("b"), F.lit(1.0)).alias("merged"), vectors.blend(F.col("a"), F.lit(30), F.col("b")).alias("blended"))
+
+
+@query()
+def cluster_voiceprints(t):
+    return vectors.cluster_within(t("embeddings").filter("label is not null"), "label", "vec_id", "embedding", 0.55)
