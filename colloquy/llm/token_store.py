@@ -8,6 +8,7 @@ therefore reads the footers and the one stripe that can hold it, and stripes are
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
@@ -35,26 +36,52 @@ def file_number() -> Column:
 class Words(dict):
     """Memo: a text between white space -> its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, parts: bool = True):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
-        self.parts = Words(path, False) if parts else None
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHED:
+        self.parts: dict[str, bytes] = {"": b""}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def learn(self, new: set[str]) -> None:
+        """Encode words that aren't known, the parts that they have in common once and all in one call."""
+        if len(self) + len(new) > CACHED:
             self.clear()
-        if self.parts is not None and (m := PLAIN.fullmatch(word)):
-            # In this range lower case has no context and nothing composes, so both pre-tokens stand alone.
-            got = self.parts[m[1].lower()] + (self.parts[m[2]] if m[2] else b"")
-        else:
-            got = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = got
-        return got
-
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, BLANK.findall(text)))
+        if len(self.parts) > 2 * CACHED:
+            self.parts = {"": b""}
+        # Within PLAIN lower case has no context and nothing composes, so both pre-tokens stand alone.
+        split = [(w, (m[1].lower(), m[2]) if (m := PLAIN.fullmatch(w)) else (w,)) for w in new]
+        self._encode_plain(list({p for _, ps in split if len(ps) > 1 for p in ps} - self.parts.keys()))
+        odd = [ps[0] for _, ps in split if len(ps) == 1 and ps[0] not in self.parts]
+        for p, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
+            self.parts[p] = np.array(e.ids, "<u4").tobytes()
+        for w, ps in split:
+            self[w] = b"".join([self.parts[p] for p in ps])
+
+    def _encode_plain(self, parts: list[str]) -> None:
+        """Parts that are one pre-token each, many to a text: the token that ends a pre-token says so in its name."""
+        for k in range(0, len(parts), 2000):
+            some = parts[k : k + 2000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            if len(ends) != len(some):
+                raise ValueError("a part is not one pre-token")
+            raw = ids.tobytes()
+            for p, a, b in zip(some, [0, *ends], ends):
+                self.parts[p] = raw[a:b]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        found = [BLANK.findall(t) for t in texts]
+        new = set().union(*found)
+        if missing := new - self.keys():
+            self.learn(missing)
+            if not new <= self.keys():  # emptied meanwhile
+                self.learn(new - self.keys())
+        return [b"".join(map(self.__getitem__, ws)) for ws in found]
 
 
 @cache
@@ -68,7 +95,7 @@ def encoder(path: str, end_id: int):
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                got = [w.encode(t) + end for t in part.column("text").to_pylist()]
+                got = [ids + end for ids in w.encode(part.column("text").to_pylist())]
                 sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
                 ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(got), np.int32)))
