@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules, lm_scoring, mixing, piece_codec, secret_scan, suffix_dedup, token_store, vector_join, weighted_minhash, wrapper_extract
+from . import host_rules, lm_scoring, mixing, piece_codec, secret_scan, sql, suffix_dedup, token_store, vector_join, weighted_minhash, wrapper_extract
 from .common import documents
 
 
@@ -61,4 +61,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()
