@@ -3,7 +3,7 @@
 Each round, every node moves to the neighbour (or itself) that comes first in a hashed order, and edges move with
 their ends; edges whose ends have met go. Hashed order keeps chains short, so the rounds are logarithmic. Every round is
 grouped minima (partial before the shuffle) and joins of written tables (split where one node is very common), and no
-node's neighbours are ever gathered.
+node's neighbours are ever gathered. A round's tables go when the next round's are written.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,7 +25,10 @@ def components(edges: DataFrame) -> DataFrame:
         to = ends.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("label"), F.least(rank("a"), F.col("m"))["v"].alias("to"))
         to = materialize(to, "moves")
         moved = edges.join(to.select(F.col("label").alias("a"), F.col("to").alias("a2")), "a").join(to.select(F.col("label").alias("b"), F.col("to").alias("b2")), "b")
+        old = edges, labels, to
         edges = materialize(moved.filter("a2 <> b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), "edges")
         labels = materialize(labels.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+        for table in old:
+            discard(table)
     least = materialize(labels.groupBy("label").agg(F.min("node").alias("component")), "least")
     return labels.join(least, "label").select("node", "component")
