@@ -1,16 +1,16 @@
 """LM scoring by cross-entropy difference.
 
 A target model (documents labelled good) and a background model (all others, their counts scaled to the target's number
-of tokens, so that both are smoothed alike) share one vocabulary: the VOCABULARY - 1 most frequent words of the whole
-corpus, and one id for all others. Both are bigram models with Dirichlet smoothing towards their unigrams,
+of tokens, so that both are smoothed alike) share one vocabulary: all words of the corpus, V of them (VOCABULARY if
+fewer). Both are bigram models with Dirichlet smoothing towards their unigrams,
 P(w | v) = (c(v, w) + MU * P(w)) / (c(v) + MU), P(w) = (c(w) + 1 / 2) / (c + V / 2), with the text's start as id 0.
 A document's score is the mean over its tokens of target loss less background loss, in nats: low is like the target.
 
-Counts cover all documents. Unigrams (VOCABULARY numbers) and the bigrams of the HEAD most frequent words (HEAD squared)
-are bounded tables, summed up per task and sent to the tasks; every other bigram is counted and scored where it meets its
-own kind: each task packs (bigram, document, count) by hash into parts, as many as the tokens need, and the part adds up
-a bigram's counts and gives every document its share of the loss. Bigrams in a third of all documents are head bigrams
-or spread thinly; a part's size follows from the number of parts.
+Counts cover all documents and words. The counts of the VOCABULARY - 1 most frequent words and of the bigrams of the
+HEAD most frequent (HEAD squared) are bounded tables, summed up per task and sent to the tasks. All other words and
+bigrams go by 64-bit hash: documents are packed into chunks of about CHUNK tokens, a chunk sends each of its words and
+bigrams once, with its counts, to the part of that hash, and gets the corpus's counts back. So a bigram that every document
+has comes once per chunk, and what a task holds is one chunk or one part, as many as the tokens need.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ VOCABULARY = 65_535
 HEAD = 512
 MU = 50.0
 PART = 3_000_000  # tokens a part should have
+CHUNK = 500_000  # tokens of a chunk, or one document
+TAIL = 1 << 63  # set in the ids of words beyond the most frequent, which are hashes
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -37,8 +40,8 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def vocabulary(docs: DataFrame) -> list[str]:
-    """The most frequent words, by falling frequency, then by name: at most VOCABULARY - 1 reach the driver."""
+def vocabulary(docs: DataFrame) -> tuple[list[str], int]:
+    """The VOCABULARY - 1 most frequent words, by falling frequency, then by name, and the number of all words."""
 
     def count(batches):
         for batch in batches:
@@ -47,47 +50,72 @@ def vocabulary(docs: DataFrame) -> list[str]:
                 c.update(words(t))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["word", "n"])
 
-    counts = docs.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - 1).collect()]
+    counts = materialize(docs.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - 1).collect()], counts.count()
+
+
+class Ids(dict):
+    def __missing__(self, word: str) -> int:
+        return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) | TAIL
 
 
 def _encode(known: list[str]):
-    """Texts -> token ids (1 is the most frequent word, VOCABULARY all that aren't known) as 16-bit numbers."""
+    """Texts -> token ids (1 is the most frequent word, a hash of TAIL or more all that aren't known) as 64-bit numbers."""
 
     def encode(batches):
-        ids = dict(zip(known, range(1, len(known) + 1)))
-        get = ids.get
+        get = Ids(zip(known, range(1, len(known) + 1))).__getitem__
         for batch in batches:
-            rows = [np.array([get(w, VOCABULARY) for w in words(t)], np.uint16).tobytes() for t in batch.column("text").to_pylist()]
+            rows = [np.array(list(map(get, words(t))), np.uint64).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), pa.array(rows, pa.binary())], names=["key", "doc_id", "ids"])
 
     return encode
 
 
-def _pairs(ids: np.ndarray) -> np.ndarray:
-    before = np.concatenate([[0], ids[:-1]]).astype(np.uint32) if len(ids) else ids.astype(np.uint32)
-    return (before << np.uint32(16)) | ids
+def _chunks(batches):
+    """Documents -> chunks: the first one's key, and all their ids, classes, lengths and tokens."""
+    for batch in batches:
+        ids, rows, a = batch.column("ids").to_pylist(), [], 0
+        n = np.array([len(x) // 8 for x in ids], np.int64)
+        ends = np.cumsum(n)
+        while a < len(ids):
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] - n[a] + CHUNK, side="right")))
+            good = batch.column("good").slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.int8)
+            rows.append((batch.column("key")[a].as_py(), batch.column("doc_id").slice(a, b - a).to_pylist(), good.tobytes(), n[a:b].tobytes(), b"".join(ids[a:b])))
+            a = b
+        for row in rows:
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 3))], names=["chunk", "doc_ids", "good", "n", "ids"])
+
+
+CHUNKS = "chunk long, doc_ids array<long>, good binary, n binary, ids binary"
+
+
+def _tokens(good: bytes, n: bytes, ids: bytes) -> tuple[np.ndarray, ...]:
+    """A chunk's lengths of documents, and for each token: its id, the id before (0 at a start), and whether its document is good."""
+    n, w = np.frombuffer(n, np.int64), np.frombuffer(ids, np.uint64)
+    v = np.concatenate([np.zeros(1, np.uint64), w[:-1]]) if len(w) else w.copy()
+    v[(np.cumsum(n) - n)[n > 0]] = 0
+    return n, w, v, np.repeat(np.frombuffer(good, np.int8), n)
+
+
+def _rows(batches):
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("chunk", "good", "n", "ids"))):
+            yield row[0], _tokens(*row[1:])
 
 
 def _tables(head_words: int):
-    """Unigram and head bigram counts by class: kind 0 and 1, at, target, background."""
+    """Unigram (VOCABULARY: all others) and head bigram counts by class: kind 0 and 1, at, target, background."""
 
     def tables(batches):
         uni, head = np.zeros((2, VOCABULARY + 1), np.int64), np.zeros((2, head_words * head_words), np.int64)
-        starts = np.zeros(2, np.int64)
-        for batch in batches:
-            for b, y in zip(batch.column("ids").to_pylist(), batch.column("good").to_pylist()):
-                ids = np.frombuffer(b, np.uint16)
-                k = 0 if y else 1
-                starts[k] += len(ids) > 0
-                uni[k] += np.bincount(ids, minlength=VOCABULARY + 1) if len(ids) > 4096 else 0
-                if len(ids) <= 4096:
-                    np.add.at(uni[k], ids, 1)
-                p = _pairs(ids)
-                v, w = p >> np.uint32(16), p & np.uint32(0xFFFF)
-                both = (v < head_words) & (w < head_words)
-                np.add.at(head[k], (v[both] * head_words + w[both]).astype(np.int64), 1)
-        uni[:, 0] = starts
+        for _, (n, w, v, good) in _rows(batches):
+            both = _is_head(v, w, head_words)
+            for k in (0, 1):
+                own = good == 1 - k
+                uni[k] += np.bincount(np.minimum(w[own], VOCABULARY).astype(np.int64), minlength=VOCABULARY + 1)
+                uni[k, 0] += (v[own] == 0).sum()
+                own &= both
+                np.add.at(head[k], (v[own] * np.uint64(head_words) + w[own]).astype(np.int64), 1)
         for kind, t in ((0, uni), (1, head)):
             at = np.flatnonzero(t.any(axis=0))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind)), pa.array(at), pa.array(t[0][at]), pa.array(t[1][at])], names=["kind", "at", "t", "b"])
@@ -96,83 +124,86 @@ def _tables(head_words: int):
 
 
 class Models:
-    """Both models' bounded tables: losses are computed from a bigram's counts in either class."""
+    """Both models' bounded tables: losses are computed from the counts of words and bigrams in either class."""
 
-    def __init__(self, uni: np.ndarray, head: np.ndarray):
-        self.head = head
-        self.context = uni.astype(np.float64)
-        self.context[:, VOCABULARY] = uni[:, VOCABULARY]
+    def __init__(self, uni: np.ndarray, head: np.ndarray, size: int):
+        self.uni, self.head = uni, head
         total = uni[:, 1:].sum(axis=1).astype(np.float64)
-        self.scale = total[0] / total[1] if total.all() else 1.0
-        self.context[1] *= self.scale
-        scaled = uni * np.array([[1.0], [self.scale]])
-        self.unigram = (scaled + 0.5) / (scaled[:, 1:].sum(axis=1, keepdims=True) + 0.5 * VOCABULARY)
-
-    def difference(self, pairs: np.ndarray, target: np.ndarray, background: np.ndarray) -> np.ndarray:
-        v, w = pairs >> np.uint32(16), pairs & np.uint32(0xFFFF)
-        p = [(c + MU * self.unigram[k][w]) / (self.context[k][v] + MU) for k, c in enumerate((target, background * self.scale))]
+        self.scale = [1.0, total[0] / total[1] if total.all() else 1.0]
+        self.total = [t * s + 0.5 * size for t, s in zip(total, self.scale)]
+
+    def difference(self, v: np.ndarray, w: np.ndarray, both: np.ndarray) -> np.ndarray:
+        """Counts of the words before, of the words and of the bigrams, a row for each class."""
+        p = [(c * s + MU * (y * s + 0.5) / t) / (x * s + MU) for x, y, c, s, t in zip(v, w, both, self.scale, self.total)]
         return np.log(p[1]) - np.log(p[0])
 
 
-def _is_head(pairs: np.ndarray, head_words: int) -> np.ndarray:
-    return ((pairs >> np.uint32(16)) < head_words) & ((pairs & np.uint32(0xFFFF)) < head_words)
+def _is_head(v: np.ndarray, w: np.ndarray, head_words: int) -> np.ndarray:
+    return (v < head_words) & (w < head_words)
 
 
-def _pack(parts: int, head_words: int):
-    """Documents -> for each part: bigrams (4 bytes), document keys (8 bytes), counts and classes."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
 
-    def pack(batches):
-        for batch in batches:
-            keys, ids, good = batch.column("key").to_numpy(), batch.column("ids").to_pylist(), batch.column("good").to_pylist()
-            cols = []
-            for k in range(len(ids)):
-                p = _pairs(np.frombuffer(ids[k], np.uint16))
-                p, n = np.unique(p[~_is_head(p, head_words)], return_counts=True)
-                cols.append((p, np.full(len(p), k, np.int32), (n.astype(np.int64) * 2 + bool(good[k])).astype(np.int32)))
-            p, d, n = (np.concatenate(c) for c in zip(*cols))
-            part = ((p * np.uint32(2654435761)) >> np.uint32(8)) % np.uint32(parts)
-            order = np.argsort(part, kind="stable")
-            cut = np.searchsorted(part[order], np.arange(parts + 1))
-            rows = []
-            for i in np.flatnonzero(np.diff(cut)):
-                own = order[cut[i] : cut[i + 1]]
-                rows.append((int(i), p[own].tobytes(), d[own].tobytes(), keys.tobytes(), n[own].tobytes()))
-            names = ["part", "pairs", "docs", "keys", "n"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), *[pa.binary()] * 4))], names=names)
-
-    return pack
-
-
-def _score_part(models):
-    def score(table: pa.Table) -> pa.Table:
-        m = models.value
-        at = [np.frombuffer(x, np.int32) for x in table.column("docs").to_pylist()]
-        keys = np.concatenate([np.frombuffer(k, np.int64)[a] for k, a in zip(table.column("keys").to_pylist(), at)])
-        p = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("pairs").to_pylist()])
-        n = np.concatenate([np.frombuffer(x, np.int32) for x in table.column("n").to_pylist()])
-        unique, which = np.unique(p, return_inverse=True)
-        good, n = n & 1, n >> 1
-        counts = [np.bincount(which, weights=n * (good == k), minlength=len(unique)) for k in (1, 0)]
-        share = m.difference(unique, *counts)[which] * n
-        doc, which = np.unique(keys, return_inverse=True)
-        return pa.table({"key": pa.array(doc), "share": pa.array(np.bincount(which, weights=share))})
 
-    return score
+def _keys(v: np.ndarray, w: np.ndarray, parts: int, head_words: int) -> tuple[np.ndarray, ...]:
+    """What a chunk asks for: the keys of its tail words (ids) and non-head bigrams (hashes below TAIL) by part, where each
+    part's begin, and which tokens' words, then bigrams, they are, and the place of each among the keys."""
+    words, pairs = np.flatnonzero(w >= TAIL), np.flatnonzero(~_is_head(v, w, head_words))
+    hashed = _mixed(_mixed(_mixed(v[pairs] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + w[pairs])) >> np.uint64(1)
+    keys, which = np.unique(np.concatenate([w[words], hashed]), return_inverse=True)
+    part = (keys % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.arange(len(keys))
+    return keys[order], np.searchsorted(part[order], np.arange(parts + 1)), words, pairs, place[which]
+
+
+def _ask(parts: int, head_words: int):
+    """Chunks -> for each part: keys (8 bytes) and the chunk's counts of either class (4 bytes each)."""
 
+    def ask(batches):
+        for chunk, (n, w, v, good) in _rows(batches):
+            keys, cut, words, pairs, which = _keys(v, w, parts, head_words)
+            good = good[np.concatenate([words, pairs])]
+            counts = [np.bincount(which, weights=good == y, minlength=len(keys)).astype(np.int32) for y in (1, 0)]
+            at = np.flatnonzero(np.diff(cut))
+            own = [slice(cut[i], cut[i + 1]) for i in at]
+            cols = [pa.array([x[o].tobytes() for o in own], pa.binary()) for x in (keys, *counts)]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([chunk] * len(at), pa.int64()), *cols], names=["part", "chunk", "keys", "t", "b"])
 
-def _score_head(models, head_words: int):
-    def score(batches):
+    return ask
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """A part's keys summed up, and the sums sent back in the order of each chunk's keys."""
+    asked = table.column("keys").to_pylist()
+    cut = np.cumsum([0] + [len(x) // 8 for x in asked])
+    keys, which = np.unique(np.frombuffer(b"".join(asked), np.uint64), return_inverse=True)
+    sums = [np.bincount(which, weights=np.frombuffer(b"".join(table.column(c).to_pylist()), np.int32), minlength=len(keys)).astype(np.int64)[which] for c in ("t", "b")]
+    back = [pa.array([x[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary()) for x in sums]
+    return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "t": back[0], "b": back[1]})
+
+
+def _score(models, parts: int, head_words: int):
+    def score(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         m = models.value
-        for batch in batches:
-            shares, sizes = [], []
-            for b in batch.column("ids").to_pylist():
-                ids = np.frombuffer(b, np.uint16)
-                p = _pairs(ids)
-                p = p[_is_head(p, head_words)]
-                at = ((p >> np.uint32(16)) * head_words + (p & np.uint32(0xFFFF))).astype(np.int64)
-                shares.append(float(m.difference(p, m.head[0][at], m.head[1][at]).sum()))
-                sizes.append(len(ids))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), pa.array(shares), pa.array(sizes, pa.int64())], names=["key", "doc_id", "head", "n_tokens"])
+        n, w, v, _ = _tokens(*(chunk.column(c)[0].as_py() for c in ("good", "n", "ids")))
+        _, _, words, pairs, which = _keys(v, w, parts, head_words)
+        answers = answers.sort_by("part")
+        total = np.array([np.frombuffer(b"".join(answers.column(c).to_pylist()), np.int64) for c in ("t", "b")])[:, which]
+        of_word = m.uni[:, np.minimum(w, VOCABULARY).astype(np.int64)]
+        of_word[:, words] = total[:, : len(words)]
+        before = np.concatenate([of_word[:, :1], of_word[:, :-1]], axis=1)
+        before[:, v == 0] = m.uni[:, :1]
+        head = np.flatnonzero(_is_head(v, w, head_words))
+        both = np.zeros((2, len(w)), np.int64)
+        both[:, head] = m.head[:, (v[head] * np.uint64(head_words) + w[head]).astype(np.int64)]
+        both[:, pairs] = total[:, len(words) :]
+        loss = np.bincount(np.repeat(np.arange(len(n)), n), weights=m.difference(before, of_word, both), minlength=len(n))
+        scores = pa.array(loss / np.maximum(n, 1), mask=n == 0)
+        return pa.table({"doc_id": pa.array(chunk.column("doc_ids")[0].as_py(), pa.int64()), "n_tokens": pa.array(n), "score": scores})
 
     return score
 
@@ -186,20 +217,19 @@ def cross_entropy_difference(docs: DataFrame, good: DataFrame, id_col: str = "do
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_of(text).alias("text"))
-    known = vocabulary(rows)
+    known, size = vocabulary(rows)
     keyed = rows.withColumn("key", F.monotonically_increasing_id())
     encoded = keyed.mapInArrow(_encode(known), "key long, doc_id long, ids binary")
     marked = good.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct().withColumn("good", F.lit(True))
-    texts = materialize(encoded.join(marked, "doc_id", "left").withColumn("good", F.coalesce("good", F.lit(False))), "encoded")
-    tables = texts.mapInArrow(_tables(head_words), "kind long, at long, t long, b long").groupBy("kind", "at").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+    texts = encoded.join(marked, "doc_id", "left").select("key", "doc_id", "ids", F.coalesce("good", F.lit(False)).alias("good"))
+    chunks = materialize(texts.mapInArrow(_chunks, CHUNKS), "chunks")
+    tables = chunks.mapInArrow(_tables(head_words), "kind long, at long, t long, b long").groupBy("kind", "at").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
     uni, head = np.zeros((2, VOCABULARY + 1), np.int64), np.zeros((2, head_words * head_words), np.int64)
     for r in tables.collect():  # at most VOCABULARY + HEAD * HEAD rows
         (uni if r["kind"] == 0 else head)[:, r["at"]] = r["t"], r["b"]
-    models = spark.sparkContext.broadcast(Models(uni, head))
+    models = spark.sparkContext.broadcast(Models(uni, head, max(size, VOCABULARY)))
     parts = max(1, math.ceil(int(uni[:, 1:].sum()) / PART), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    packed = texts.select("key", "ids", "good").mapInArrow(_pack(parts, head_words), "part int, pairs binary, docs binary, keys binary, n binary")
-    shares = packed.groupBy("part").applyInArrow(_score_part(models), "key long, share double").groupBy("key").agg(F.sum("share").alias("share"))
-    heads = texts.select("key", "doc_id", "ids").mapInArrow(_score_head(models, head_words), "key long, doc_id long, head double, n_tokens long")
-    out = heads.join(shares, "key", "left")
-    loss = F.col("head") + F.coalesce("share", F.lit(0.0))
-    return out.select("doc_id", "n_tokens", F.when(F.col("n_tokens") > 0, loss / F.col("n_tokens")).alias("score"))
+    asked = chunks.mapInArrow(_ask(parts, head_words), "part int, chunk long, keys binary, t binary, b binary")
+    answers = asked.groupBy("part").applyInArrow(_answer, "chunk long, part int, t binary, b binary")
+    scored = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+    return scored.applyInArrow(_score(models, parts, head_words), "doc_id long, n_tokens long, score double")

@@ -4,6 +4,8 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from colloquy.llm import lm_scoring as lm
@@ -62,3 +64,13 @@ def test_held_out_texts_and_empty(spark):
     wins = [score[a] < score[b] for a in range(201, 300, 2) for b in range(200, 300, 2)]
     assert sum(wins) / len(wins) > 0.9
     assert lm.cross_entropy_difference(df.limit(0), good).count() == 0
+
+
+def test_rare_words_keep_their_own_counts(spark):
+    docs = [(0, " ".join(f"w{k} w{k}" for k in range(lm.VOCABULARY + 500))), (1, "rare_a rare_b"), (2, "rare_c rare_d"), (3, "rare_a rare_b"), (4, "w1 rare_c")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r for r in lm.cross_entropy_difference(df, spark.createDataFrame([(1,)], "doc_id long")).collect()}
+    want = {r[0]: r for r in plain(docs, {1}, lm.VOCABULARY + 504, lm.MU)}
+    assert got.keys() == want.keys()
+    for i, r in got.items():
+        assert r.n_tokens == want[i][1] and r.score == pytest.approx(want[i][2], abs=1e-9)
