@@ -74,3 +74,11 @@ def test_rare_words_keep_their_own_counts(spark):
     assert got.keys() == want.keys()
     for i, r in got.items():
         assert r.n_tokens == want[i][1] and r.score == pytest.approx(want[i][2], abs=1e-9)
+
+
+def test_a_bigram_of_all_documents_comes_once_per_chunk():
+    rare = np.array([lm.TAIL + 5, lm.TAIL + 9], np.uint64)
+    rows = [(k, k, rare.tobytes(), k % 2 == 0) for k in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["key", "doc_id", "ids", "good"])
+    asked = [len(x) // 8 for b in lm._ask(4, 8)(lm._chunks([batch])) for x in b.column("keys").to_pylist()]
+    assert sum(asked) == 4  # two words, the start's bigram and theirs
