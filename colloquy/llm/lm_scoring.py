@@ -32,6 +32,7 @@ HEAD = 512
 MU = 50.0
 PART = 3_000_000  # tokens a part should have
 CHUNK = 500_000  # tokens of a chunk, or one document
+WIDE = 1 << 32
 TAIL = 1 << 63  # set in the ids of words beyond the most frequent, which are hashes
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -71,6 +72,12 @@ def _encode(known: list[str]):
     return encode
 
 
+def _packed(ids: bytes) -> tuple[bytes, bytes]:
+    """Token ids as 16-bit numbers (VOCABULARY for tail words), and the tail words' ids."""
+    ids = np.frombuffer(ids, np.uint64)
+    return np.minimum(ids, VOCABULARY).astype(np.uint16).tobytes(), ids[ids >= TAIL].tobytes()
+
+
 def _chunks(batches):
     """Documents -> chunks: the first one's key, and all their ids, classes, lengths and tokens."""
     for batch in batches:
@@ -80,18 +87,19 @@ def _chunks(batches):
         while a < len(ids):
             b = max(a + 1, int(np.searchsorted(ends, ends[a] - n[a] + CHUNK, side="right")))
             good = batch.column("good").slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.int8)
-            rows.append((batch.column("key")[a].as_py(), batch.column("doc_id").slice(a, b - a).to_pylist(), good.tobytes(), n[a:b].tobytes(), b"".join(ids[a:b])))
+            rows.append((batch.column("key")[a].as_py(), batch.column("doc_id").slice(a, b - a).to_pylist(), good.tobytes(), n[a:b].tobytes(), *_packed(b"".join(ids[a:b]))))
             a = b
         for row in rows:
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 3))], names=["chunk", "doc_ids", "good", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4))], names=["chunk", "doc_ids", "good", "n", "ids", "tail"])
 
 
-CHUNKS = "chunk long, doc_ids array<long>, good binary, n binary, ids binary"
+CHUNKS = "chunk long, doc_ids array<long>, good binary, n binary, ids binary, tail binary"
 
 
-def _tokens(good: bytes, n: bytes, ids: bytes) -> tuple[np.ndarray, ...]:
+def _tokens(good: bytes, n: bytes, ids: bytes, tail: bytes) -> tuple[np.ndarray, ...]:
     """A chunk's lengths of documents, and for each token: its id, the id before (0 at a start), and whether its document is good."""
-    n, w = np.frombuffer(n, np.int64), np.frombuffer(ids, np.uint64)
+    n, w = np.frombuffer(n, np.int64), np.frombuffer(ids, np.uint16).astype(np.uint64)
+    w[w == VOCABULARY] = np.frombuffer(tail, np.uint64)
     v = np.concatenate([np.zeros(1, np.uint64), w[:-1]]) if len(w) else w.copy()
     v[(np.cumsum(n) - n)[n > 0]] = 0
     return n, w, v, np.repeat(np.frombuffer(good, np.int8), n)
@@ -99,7 +107,7 @@ def _tokens(good: bytes, n: bytes, ids: bytes) -> tuple[np.ndarray, ...]:
 
 def _rows(batches):
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("chunk", "good", "n", "ids"))):
+        for row in zip(*(batch.column(c).to_pylist() for c in ("chunk", "good", "n", "ids", "tail"))):
             yield row[0], _tokens(*row[1:])
 
 
@@ -148,12 +156,14 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _keys(v: np.ndarray, w: np.ndarray, parts: int, head_words: int) -> tuple[np.ndarray, ...]:
-    """What a chunk asks for: the keys of its tail words (ids) and non-head bigrams (hashes below TAIL) by part, where each
-    part's begin, and which tokens' words, then bigrams, they are, and the place of each among the keys."""
+    """What a chunk asks for: the keys of its tail words (ids) and non-head bigrams by part, where each
+    part's begin, and which tokens' words, then bigrams, they are, and the place of each among the keys.
+    Bigrams of most frequent words are below WIDE, hashes of all others between WIDE and TAIL; a part's keys ascend."""
     words, pairs = np.flatnonzero(w >= TAIL), np.flatnonzero(~_is_head(v, w, head_words))
-    hashed = _mixed(_mixed(_mixed(v[pairs] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + w[pairs])) >> np.uint64(1)
+    hashed = _mixed(_mixed(_mixed(v[pairs] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + w[pairs])) >> np.uint64(2) | np.uint64(1 << 62)
+    hashed = np.where((v[pairs] < TAIL) & (w[pairs] < TAIL), v[pairs] << np.uint64(16) | w[pairs], hashed)
     keys, which = np.unique(np.concatenate([w[words], hashed]), return_inverse=True)
-    part = (keys % np.uint64(parts)).astype(np.int64)
+    part = (_mixed(keys) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     place = np.empty(len(keys), np.int64)
     place[order] = np.arange(len(keys))
@@ -161,7 +171,7 @@ def _keys(v: np.ndarray, w: np.ndarray, parts: int, head_words: int) -> tuple[np
 
 
 def _ask(parts: int, head_words: int):
-    """Chunks -> for each part: keys (8 bytes) and the chunk's counts of either class (4 bytes each)."""
+    """Chunks -> for each part: keys (known: those below WIDE, 4 bytes, less the one before) and the chunk's counts of either class."""
 
     def ask(batches):
         for chunk, (n, w, v, good) in _rows(batches):
@@ -170,17 +180,19 @@ def _ask(parts: int, head_words: int):
             counts = [np.bincount(which, weights=good == y, minlength=len(keys)).astype(np.int32) for y in (1, 0)]
             at = np.flatnonzero(np.diff(cut))
             own = [slice(cut[i], cut[i + 1]) for i in at]
-            cols = [pa.array([x[o].tobytes() for o in own], pa.binary()) for x in (keys, *counts)]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([chunk] * len(at), pa.int64()), *cols], names=["part", "chunk", "keys", "t", "b"])
+            narrow = [k[k < WIDE] for o in own for k in (keys[o],)]
+            cols = [[np.diff(k, prepend=np.uint64(0)).astype(np.uint32).tobytes() for k in narrow], [keys[o][len(k) :].tobytes() for o, k in zip(own, narrow)]]
+            cols = [pa.array(c, pa.binary()) for c in (*cols, *([x[o].tobytes() for o in own] for x in counts))]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([chunk] * len(at), pa.int64()), *cols], names=["part", "chunk", "known", "keys", "t", "b"])
 
     return ask
 
 
 def _answer(table: pa.Table) -> pa.Table:
     """A part's keys summed up, and the sums sent back in the order of each chunk's keys."""
-    asked = table.column("keys").to_pylist()
-    cut = np.cumsum([0] + [len(x) // 8 for x in asked])
-    keys, which = np.unique(np.frombuffer(b"".join(asked), np.uint64), return_inverse=True)
+    asked = [np.concatenate([np.frombuffer(x, np.uint32).cumsum(dtype=np.uint64), np.frombuffer(y, np.uint64)]) for x, y in zip(*(table.column(c).to_pylist() for c in ("known", "keys")))]
+    cut = np.cumsum([0] + [len(x) for x in asked])
+    keys, which = np.unique(np.concatenate(asked), return_inverse=True)
     sums = [np.bincount(which, weights=np.frombuffer(b"".join(table.column(c).to_pylist()), np.int32), minlength=len(keys)).astype(np.int64)[which] for c in ("t", "b")]
     back = [pa.array([x[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary()) for x in sums]
     return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "t": back[0], "b": back[1]})
@@ -189,7 +201,7 @@ def _answer(table: pa.Table) -> pa.Table:
 def _score(models, parts: int, head_words: int):
     def score(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         m = models.value
-        n, w, v, _ = _tokens(*(chunk.column(c)[0].as_py() for c in ("good", "n", "ids")))
+        n, w, v, _ = _tokens(*(chunk.column(c)[0].as_py() for c in ("good", "n", "ids", "tail")))
         _, _, words, pairs, which = _keys(v, w, parts, head_words)
         answers = answers.sort_by("part")
         total = np.array([np.frombuffer(b"".join(answers.column(c).to_pylist()), np.int64) for c in ("t", "b")])[:, which]
@@ -229,7 +241,7 @@ def cross_entropy_difference(docs: DataFrame, good: DataFrame, id_col: str = "do
         (uni if r["kind"] == 0 else head)[:, r["at"]] = r["t"], r["b"]
     models = spark.sparkContext.broadcast(Models(uni, head, max(size, VOCABULARY)))
     parts = max(1, math.ceil(int(uni[:, 1:].sum()) / PART), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    asked = chunks.mapInArrow(_ask(parts, head_words), "part int, chunk long, keys binary, t binary, b binary")
+    asked = chunks.mapInArrow(_ask(parts, head_words), "part int, chunk long, known binary, keys binary, t binary, b binary")
     answers = asked.groupBy("part").applyInArrow(_answer, "chunk long, part int, t binary, b binary")
     scored = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk"))
     return scored.applyInArrow(_score(models, parts, head_words), "doc_id long, n_tokens long, score double")
