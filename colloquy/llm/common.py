@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors see: spark.checkpoint.dir. Where it is unset, a local master (tests) gets a temporary
+    folder of its own; a cluster is refused, as its machines would each write to another disk."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="colloquy-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -33,10 +36,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return written
 
 
-def discard(written: DataFrame) -> None:
-    """Delete a table of materialize() that no later step reads."""
-    spark = written.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(written._shared_path)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that no later step reads."""
+    for written in tables:
+        delete(written.sparkSession, written._shared_path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
