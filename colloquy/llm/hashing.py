@@ -6,7 +6,10 @@ import hashlib
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+ROWS, BYTES = 256, 4 << 20  # texts that a task holds as Python objects: so many, or so many bytes, or one
 BASE = 0x9E3779B97F4A7C15
 PIECE = 1 << 20  # bytes hashed at a time, or one word
 BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
@@ -33,13 +36,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words of the texts (cut at ASCII white space), in order, and each text's number of words."""
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' bytes, where each word (cut at ASCII white space) begins and ends in them, and each text's number of words."""
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     blank = BLANK[data]
     edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
     edges = edges if blank[0] else np.concatenate([[0], edges])
     start, end = edges[::2], edges[1::2]
+    last = np.cumsum([len(t) + 1 for t in texts])
+    return data, start, end, np.diff(np.searchsorted(start, last), prepend=0)
+
+
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hash of each slice; slices ascend and don't overlap."""
     out, a = np.empty(len(start), np.uint64), 0
     while a < len(start):
         b = max(a + 1, int(np.searchsorted(end, start[a] + PIECE, side="right")))
@@ -50,8 +59,13 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         s, e = start[a:b] - start[a], end[a:b] - start[a]
         out[a:b] = mixed((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
         a = b
-    last = np.cumsum([len(t) + 1 for t in texts])
-    return out, np.diff(np.searchsorted(start, last), prepend=0)
+    return out
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of the texts, in order, and each text's number of words."""
+    data, start, end, count = words_of(texts)
+    return hashes(data, start, end), count
 
 
 def shingle_hashes(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,3 +88,15 @@ def shingle_hashes(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarr
     new[cut[:-1][size > 0]] = True
     at = np.flatnonzero(new)
     return s[at], np.diff(np.append(at, len(s))), np.searchsorted(at, cut)
+
+
+def slices(column: pa.Array, rows: int = ROWS, lower: bool = True):
+    """(first row, bytes of some texts): the texts of an Arrow column, a bounded number at a time, in lower case if asked for."""
+    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False)) if len(column) else np.zeros(0)
+    a = 0
+    while a < len(column):
+        before = ends[a - 1] if a else 0
+        b = min(max(a + 1, int(np.searchsorted(ends, before + BYTES, side="right"))), a + rows, len(column))
+        some = column.slice(a, b - a)
+        yield a, [t.lower().encode("utf-8", "surrogatepass") for t in some.to_pylist()] if lower else some.cast(pa.binary()).to_pylist()
+        a = b

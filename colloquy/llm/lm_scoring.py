@@ -6,109 +6,138 @@ fewer). Both are bigram models with Dirichlet smoothing towards their unigrams,
 P(w | v) = (c(v, w) + MU * P(w)) / (c(v) + MU), P(w) = (c(w) + 1 / 2) / (c + V / 2), with the text's start as id 0.
 A document's score is the mean over its tokens of target loss less background loss, in nats: low is like the target.
 
-Counts cover all documents and words. The counts of the VOCABULARY - 1 most frequent words and of the bigrams of the
-HEAD most frequent (HEAD squared) are bounded tables, summed up per task and sent to the tasks. All other words and
-bigrams go by 64-bit hash: documents are packed into chunks of about CHUNK tokens, a chunk sends each of its words and
-bigrams once, with its counts, to the part of that hash, and gets the corpus's counts back. So a bigram that every document
-has comes once per chunk, and what a task holds is one chunk or one part, as many as the tokens need.
+Counts cover all documents and words. Words are known by 64-bit hashes. The counts of the most frequent words (fewer than
+VOCABULARY) and of the bigrams of the HEAD most frequent (HEAD squared) are bounded tables, summed up per task and sent to
+the tasks. All other words and bigrams go by key: documents are packed into chunks of about CHUNK tokens, a chunk sends
+each of its words and bigrams once, with its counts, to the part of that key, and gets the corpus's counts back. So a
+bigram that every document has comes once per chunk, and a task holds one chunk or one part, as many as the tokens need.
+What travels is sorted, differenced and compressed. Tail words and their bigrams have keys of 48 and 56 bits.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import discard, materialize, text_of
+from .hashing import mixed, slices, word_hashes
 
 VOCABULARY = 65_535
 HEAD = 512
 MU = 50.0
-PART = 3_000_000  # tokens a part should have
-CHUNK = 500_000  # tokens of a chunk, or one document
-WIDE = 1 << 32
-TAIL = 1 << 63  # set in the ids of words beyond the most frequent, which are hashes
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
+PART = 2_000_000  # tokens a part should have
+CHUNK = 1_000_000  # tokens of a chunk, or one document
+TAIL = 1 << 48  # set in the ids of words beyond the most frequent, which are hashes
+STEPS = 8  # bins of an octave in the histogram of word counts
 
 
-def words(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+def squeezed(x: np.ndarray) -> bytes:
+    """Numbers below 2**64, byte by byte of equal weight, compressed."""
+    x = np.ascontiguousarray(x, np.uint64)
+    return len(x).to_bytes(8, "little") + pa.compress(x.view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
 
 
-def vocabulary(docs: DataFrame) -> tuple[list[str], int]:
-    """The VOCABULARY - 1 most frequent words, by falling frequency, then by name, and the number of all words."""
+def opened(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = pa.decompress(data[8:], decompressed_size=8 * n, codec="zstd", asbytes=True)
+    return np.frombuffer(planes, np.uint8).reshape(8, n).T.copy().view(np.uint64).ravel()
 
-    def count(batches):
-        for batch in batches:
-            c: Counter = Counter()
-            for t in batch.column("text").to_pylist():
-                c.update(words(t))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["word", "n"])
-
-    counts = materialize(docs.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - 1).collect()], counts.count()
 
+def vocabulary(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """The hashes of the most frequent words (fewer than VOCABULARY), by falling frequency, and the number of all words.
 
-class Ids(dict):
-    def __missing__(self, word: str) -> int:
-        return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) | TAIL
-
+    The cut-off is a count, read off a histogram, so that the driver gets no more than these words.
+    """
 
-def _encode(known: list[str]):
-    """Texts -> token ids (1 is the most frequent word, a hash of TAIL or more all that aren't known) as 64-bit numbers."""
+    def counted(h: list[np.ndarray]) -> pa.RecordBatch:
+        words, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *h]), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], names=["word", "n"])
 
-    def encode(batches):
-        get = Ids(zip(known, range(1, len(known) + 1))).__getitem__
+    def count(batches):
+        held: list[np.ndarray] = []
         for batch in batches:
-            rows = [np.array(list(map(get, words(t))), np.uint64).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), pa.array(rows, pa.binary())], names=["key", "doc_id", "ids"])
-
-    return encode
-
-
-def _packed(ids: bytes) -> tuple[bytes, bytes]:
-    """Token ids as 16-bit numbers (VOCABULARY for tail words), and the tail words' ids."""
-    ids = np.frombuffer(ids, np.uint64)
-    return np.minimum(ids, VOCABULARY).astype(np.uint16).tobytes(), ids[ids >= TAIL].tobytes()
-
-
-def _chunks(batches):
-    """Documents -> chunks: the first one's key, and all their ids, classes, lengths and tokens."""
-    for batch in batches:
-        ids, rows, a = batch.column("ids").to_pylist(), [], 0
-        n = np.array([len(x) // 8 for x in ids], np.int64)
-        ends = np.cumsum(n)
-        while a < len(ids):
-            b = max(a + 1, int(np.searchsorted(ends, ends[a] - n[a] + CHUNK, side="right")))
-            good = batch.column("good").slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.int8)
-            rows.append((batch.column("key")[a].as_py(), batch.column("doc_id").slice(a, b - a).to_pylist(), good.tobytes(), n[a:b].tobytes(), *_packed(b"".join(ids[a:b]))))
-            a = b
-        for row in rows:
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4))], names=["chunk", "doc_ids", "good", "n", "ids", "tail"])
-
-
-CHUNKS = "chunk long, doc_ids array<long>, good binary, n binary, ids binary, tail binary"
-
-
-def _tokens(good: bytes, n: bytes, ids: bytes, tail: bytes) -> tuple[np.ndarray, ...]:
-    """A chunk's lengths of documents, and for each token: its id, the id before (0 at a start), and whether its document is good."""
-    n, w = np.frombuffer(n, np.int64), np.frombuffer(ids, np.uint16).astype(np.uint64)
-    w[w == VOCABULARY] = np.frombuffer(tail, np.uint64)
+            for _, raw in slices(batch.column("text")):
+                held.append(word_hashes(raw)[0])
+                if sum(map(len, held)) > 4_000_000:
+                    yield counted(held)
+                    held = []
+        yield counted(held)
+
+    counts = docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = materialize(counts.withColumn("bin", F.floor(F.log2("n") * STEPS)), "words")
+    size, least, seen = 0, math.inf, 0
+    for r in sorted(counts.groupBy("bin").count().collect(), key=lambda r: -r["bin"]):  # at most 64 * STEPS rows
+        size += r["count"]
+        seen += r["count"]
+        if seen < VOCABULARY:
+            least = r["bin"]
+    known = counts.filter(F.col("bin") >= least).select("word", "n").collect() if least < math.inf else []
+    discard(counts)
+    return np.array([r["word"] for r in sorted(known, key=lambda r: (-r["n"], r["word"]))], np.int64).view(np.uint64), size
+
+
+def _chunks(shared):
+    """Texts -> chunks: the first one's key, and all their ids of documents, lengths and tokens (16 bits, VOCABULARY for
+    tail words, and the tail words' own)."""
+
+    def encoded(h: np.ndarray, known: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        return np.where(known[at] == h, rank[at], h >> np.uint64(16) | np.uint64(TAIL)) if len(known) else h >> np.uint64(16) | np.uint64(TAIL)
+
+    def chunks(batches):
+        order = np.argsort(shared.value)
+        known, rank = shared.value[order], (order + 1).astype(np.uint64)
+        for batch in batches:
+            tokens: list[np.ndarray] = []
+            sizes: list[np.ndarray] = []
+            start = done = 0
+
+            def chunk():
+                w, n = np.concatenate(tokens), np.concatenate(sizes)
+                row = (batch.column("key")[start].as_py(), batch.column("doc_id").slice(start, len(n)).to_pylist(), squeezed(n), squeezed(np.minimum(w, VOCABULARY)), squeezed(w[w >= TAIL]))
+                return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 3))], names=["chunk", "doc_ids", "n", "ids", "tail"])
+
+            for _, raw in slices(batch.column("text")):
+                h, n = word_hashes(raw)
+                tokens.append(encoded(h, known, rank))
+                sizes.append(n)
+                done += len(n)
+                if sum(map(len, tokens)) >= CHUNK:
+                    yield chunk()
+                    tokens.clear()
+                    sizes.clear()
+                    start = done
+            if sizes:
+                yield chunk()
+
+    return chunks
+
+
+CHUNKS = "chunk long, doc_ids array<long>, n binary, ids binary, tail binary"
+
+
+def _tokens(n: bytes, ids: bytes, tail: bytes) -> tuple[np.ndarray, ...]:
+    """A chunk's lengths of documents, and for each token: its id and the id before (0 at a start)."""
+    n, w = opened(n).astype(np.int64), opened(ids)
+    w[w == VOCABULARY] = opened(tail)
     v = np.concatenate([np.zeros(1, np.uint64), w[:-1]]) if len(w) else w.copy()
     v[(np.cumsum(n) - n)[n > 0]] = 0
-    return n, w, v, np.repeat(np.frombuffer(good, np.int8), n)
+    return n, w, v
 
 
 def _rows(batches):
+    """Chunks with `good`, the places of the target's documents -> the chunk, its tokens, and whether each is good."""
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("chunk", "good", "n", "ids", "tail"))):
-            yield row[0], _tokens(*row[1:])
+        for k in range(batch.num_rows):
+            chunk, good, *rest = (batch.column(c)[k].as_py() for c in ("chunk", "good", "n", "ids", "tail"))
+            n, w, v = _tokens(*rest)
+            marked = np.zeros(len(n), np.int8)
+            marked[np.array(good or [], np.int64)] = 1
+            yield chunk, (n, w, v, np.repeat(marked, n))
 
 
 def _tables(head_words: int):
@@ -150,20 +179,18 @@ def _is_head(v: np.ndarray, w: np.ndarray, head_words: int) -> np.ndarray:
     return (v < head_words) & (w < head_words)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(29))
-
-
 def _keys(v: np.ndarray, w: np.ndarray, parts: int, head_words: int) -> tuple[np.ndarray, ...]:
     """What a chunk asks for: the keys of its tail words (ids) and non-head bigrams by part, where each
     part's begin, and which tokens' words, then bigrams, they are, and the place of each among the keys.
-    Bigrams of most frequent words are below WIDE, hashes of all others between WIDE and TAIL; a part's keys ascend."""
+    Bigrams of most frequent words are below 2**32, tail words between TAIL and 2 * TAIL, hashes of all other bigrams
+    above; a part's keys ascend."""
     words, pairs = np.flatnonzero(w >= TAIL), np.flatnonzero(~_is_head(v, w, head_words))
-    hashed = _mixed(_mixed(_mixed(v[pairs] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + w[pairs])) >> np.uint64(2) | np.uint64(1 << 62)
-    hashed = np.where((v[pairs] < TAIL) & (w[pairs] < TAIL), v[pairs] << np.uint64(16) | w[pairs], hashed)
-    keys, which = np.unique(np.concatenate([w[words], hashed]), return_inverse=True)
-    part = (_mixed(keys) % np.uint64(parts)).astype(np.int64)
+    a, b = v[pairs], w[pairs]
+    keys = a << np.uint64(16) | b
+    odd = np.flatnonzero((a >= TAIL) | (b >= TAIL))
+    keys[odd] = mixed(mixed(a[odd] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + b[odd]) >> np.uint64(8) | np.uint64(1 << 56)
+    keys, which = np.unique(np.concatenate([w[words], keys]), return_inverse=True)
+    part = (mixed(keys) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     place = np.empty(len(keys), np.int64)
     place[order] = np.arange(len(keys))
@@ -171,40 +198,50 @@ def _keys(v: np.ndarray, w: np.ndarray, parts: int, head_words: int) -> tuple[np
 
 
 def _ask(parts: int, head_words: int):
-    """Chunks -> for each part: keys (known: those below WIDE, 4 bytes, less the one before) and the chunk's counts of either class."""
+    """Chunks -> for each part: keys (each less the one before) and the chunk's counts of either class."""
 
     def ask(batches):
         for chunk, (n, w, v, good) in _rows(batches):
             keys, cut, words, pairs, which = _keys(v, w, parts, head_words)
             good = good[np.concatenate([words, pairs])]
-            counts = [np.bincount(which, weights=good == y, minlength=len(keys)).astype(np.int32) for y in (1, 0)]
-            at = np.flatnonzero(np.diff(cut))
-            own = [slice(cut[i], cut[i + 1]) for i in at]
-            narrow = [k[k < WIDE] for o in own for k in (keys[o],)]
-            cols = [[np.diff(k, prepend=np.uint64(0)).astype(np.uint32).tobytes() for k in narrow], [keys[o][len(k) :].tobytes() for o, k in zip(own, narrow)]]
-            cols = [pa.array(c, pa.binary()) for c in (*cols, *([x[o].tobytes() for o in own] for x in counts))]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([chunk] * len(at), pa.int64()), *cols], names=["part", "chunk", "known", "keys", "t", "b"])
+            counts = [np.bincount(which, weights=good == y, minlength=len(keys)) for y in (1, 0)]
+            for i in np.flatnonzero(np.diff(cut)).tolist():
+                own = slice(cut[i], cut[i + 1])
+                row = [squeezed(np.diff(keys[own], prepend=np.uint64(0))), *(squeezed(x[own]) for x in counts)]
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([chunk], pa.int64()), *(pa.array([x], pa.binary()) for x in row)], names=["part", "chunk", "keys", "t", "b"])
 
     return ask
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """A part's keys summed up, and the sums sent back in the order of each chunk's keys."""
-    asked = [np.concatenate([np.frombuffer(x, np.uint32).cumsum(dtype=np.uint64), np.frombuffer(y, np.uint64)]) for x, y in zip(*(table.column(c).to_pylist() for c in ("known", "keys")))]
+    """A part's keys summed up; each chunk gets, in the order of its keys, what other chunks have of them."""
+    asked = [opened(x).cumsum(dtype=np.uint64) for x in table.column("keys").to_pylist()]
     cut = np.cumsum([0] + [len(x) for x in asked])
     keys, which = np.unique(np.concatenate(asked), return_inverse=True)
-    sums = [np.bincount(which, weights=np.frombuffer(b"".join(table.column(c).to_pylist()), np.int32), minlength=len(keys)).astype(np.int64)[which] for c in ("t", "b")]
-    back = [pa.array([x[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary()) for x in sums]
+    back = []
+    for c in ("t", "b"):
+        own = np.concatenate([opened(x) for x in table.column(c).to_pylist()]).astype(np.int64)
+        others = np.bincount(which, weights=own, minlength=len(keys)).astype(np.int64)[which] - own
+        back.append(pa.array([squeezed(others[i:j]) for i, j in zip(cut, cut[1:])], pa.binary()))
     return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "t": back[0], "b": back[1]})
 
 
 def _score(models, parts: int, head_words: int):
     def score(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         m = models.value
-        n, w, v, _ = _tokens(*(chunk.column(c)[0].as_py() for c in ("good", "n", "ids", "tail")))
-        _, _, words, pairs, which = _keys(v, w, parts, head_words)
+        good, *rest = (chunk.column(c)[0].as_py() for c in ("good", "n", "ids", "tail"))
+        n, w, v = _tokens(*rest)
+        marked = np.zeros(len(n), np.int8)
+        marked[np.array(good or [], np.int64)] = 1
+        good = np.repeat(marked, n)
+        keys, _, words, pairs, which = _keys(v, w, parts, head_words)
         answers = answers.sort_by("part")
-        total = np.array([np.frombuffer(b"".join(answers.column(c).to_pylist()), np.int64) for c in ("t", "b")])[:, which]
+        good = good[np.concatenate([words, pairs])]
+        total = np.zeros((2, len(keys)), np.int64)
+        for k, c in enumerate(("t", "b")):
+            others = [opened(x) for x in answers.column(c).to_pylist()]
+            total[k] = np.concatenate([np.zeros(0, np.uint64), *others]).astype(np.int64) + np.bincount(which, weights=good == 1 - k, minlength=len(keys)).astype(np.int64)
+        total = total[:, which]
         of_word = m.uni[:, np.minimum(w, VOCABULARY).astype(np.int64)]
         of_word[:, words] = total[:, : len(words)]
         before = np.concatenate([of_word[:, :1], of_word[:, :-1]], axis=1)
@@ -230,18 +267,20 @@ def cross_entropy_difference(docs: DataFrame, good: DataFrame, id_col: str = "do
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_of(text).alias("text"))
     known, size = vocabulary(rows)
-    keyed = rows.withColumn("key", F.monotonically_increasing_id())
-    encoded = keyed.mapInArrow(_encode(known), "key long, doc_id long, ids binary")
-    marked = good.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct().withColumn("good", F.lit(True))
-    texts = encoded.join(marked, "doc_id", "left").select("key", "doc_id", "ids", F.coalesce("good", F.lit(False)).alias("good"))
-    chunks = materialize(texts.mapInArrow(_chunks, CHUNKS), "chunks")
+    packed = rows.withColumn("key", F.monotonically_increasing_id()).mapInArrow(_chunks(spark.sparkContext.broadcast(known)), CHUNKS)
+    packed = materialize(packed, "packed")
+    # Only ids travel to be marked; a chunk gets the places of its good documents.
+    marked = good.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
+    places = packed.select("chunk", F.posexplode("doc_ids").alias("at", "doc_id")).join(marked, "doc_id", "left_semi")
+    places = materialize(places.groupBy("chunk").agg(F.collect_list("at").alias("good")), "places")
+    chunks = packed.join(places, "chunk", "left").select("chunk", "doc_ids", "good", "n", "ids", "tail")
     tables = chunks.mapInArrow(_tables(head_words), "kind long, at long, t long, b long").groupBy("kind", "at").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
     uni, head = np.zeros((2, VOCABULARY + 1), np.int64), np.zeros((2, head_words * head_words), np.int64)
     for r in tables.collect():  # at most VOCABULARY + HEAD * HEAD rows
         (uni if r["kind"] == 0 else head)[:, r["at"]] = r["t"], r["b"]
     models = spark.sparkContext.broadcast(Models(uni, head, max(size, VOCABULARY)))
-    parts = max(1, math.ceil(int(uni[:, 1:].sum()) / PART), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    asked = chunks.mapInArrow(_ask(parts, head_words), "part int, chunk long, known binary, keys binary, t binary, b binary")
+    parts = math.ceil(max(int(uni[:, 1:].sum()), 1) / PART)
+    asked = chunks.mapInArrow(_ask(parts, head_words), "part int, chunk long, keys binary, t binary, b binary")
     answers = asked.groupBy("part").applyInArrow(_answer, "chunk long, part int, t binary, b binary")
     scored = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk"))
     return scored.applyInArrow(_score(models, parts, head_words), "doc_id long, n_tokens long, score double")

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -12,7 +13,7 @@ from colloquy.llm import lm_scoring as lm
 
 
 def plain(docs, good, size, mu):
-    words = {k: lm.words(t or "") for k, (_, t) in enumerate(docs)}
+    words = {k: [w for w in re.split("[\x20\x09-\x0d]+", (t or "").lower()) if w] for k, (_, t) in enumerate(docs)}
     freq = Counter(w for x in words.values() for w in x)
     known = {w: i for i, (w, _) in enumerate(sorted(freq.items(), key=lambda x: (-x[1], x[0]))[: size - 1], 1)}
     ids = {k: [known.get(w, size) for w in x] for k, x in words.items()}
@@ -77,8 +78,18 @@ def test_rare_words_keep_their_own_counts(spark):
 
 
 def test_a_bigram_of_all_documents_comes_once_per_chunk():
-    rare = np.array([lm.TAIL + 5, lm.TAIL + 9], np.uint64)
-    rows = [(k, k, rare.tobytes(), k % 2 == 0) for k in range(3000)]
-    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["key", "doc_id", "ids", "good"])
-    asked = [len(x) // 8 for b in lm._ask(4, 8)(lm._chunks([batch])) for x in b.column("keys").to_pylist()]
-    assert sum(asked) == 4  # two words, the start's bigram and theirs
+    class Known:
+        value = np.zeros(0, np.uint64)
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(range(3000)), pa.array(["Rare words"] * 3000)], names=["key", "doc_id", "text"])
+    chunks = [pa.RecordBatch.from_arrays([*c.columns, pa.array([[0, 2]])], names=[*c.schema.names, "good"]) for c in lm._chunks(Known)([batch])]
+    rows = [r for c in lm._ask(4, 8)(chunks) for r in c.to_pylist()]
+    assert len(chunks) == 1 and sum(len(lm.opened(r["keys"])) for r in rows) == 4  # two words, the start's bigram and theirs
+    assert sorted(int(n) for r in rows for n in lm.opened(r["t"])) == [2] * 4
+
+
+def test_packed_numbers():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 1000):
+        x = rng.integers(0, 2**64, n, dtype=np.uint64)
+        assert (lm.opened(lm.squeezed(x)) == x).all()
