@@ -9,23 +9,24 @@ therefore reads the footers and the one stripe that can hold it, and stripes are
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import shared_dir, text_of
+from .common import delete, materialize, shared_dir, text_of
+from .hashing import hashes, slices, words_of
 
-CACHED = 400_000  # entries of each worker's caches, which are emptied when full
-BLANK = re.compile(r"[^\x20\x09-\x0D]+")  # white space never lies within a token, so texts are cut there
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,:;!?()]*)")  # letters, then marks: two pre-tokens at most
+KNOWN = 1_500_000  # words that a worker remembers; it forgets them all when there are more
+PLAIN = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[.,:;!?()]*)$"  # letters, then marks: two pre-tokens at most
+STRIPE, STRIDE = 64 << 20, 10_000  # bytes of a stripe, rows of an index entry
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
 def file_number() -> Column:
@@ -33,55 +34,69 @@ def file_number() -> Column:
     return F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("long")
 
 
-class Words(dict):
-    """Memo: a text between white space -> its ids as little-endian unsigned 32-bit integers."""
+class Words:
+    """Ids of texts. White space never lies within a token, so texts are cut there, and a word is encoded once a worker.
+
+    Words are known by 64-bit hashes: sorted, with where each word's ids begin in `flat` and how many they are.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
-        self.parts: dict[str, bytes] = {"": b""}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-
-    def learn(self, new: set[str]) -> None:
-        """Encode words that aren't known, the parts that they have in common once and all in one call."""
-        if len(self) + len(new) > CACHED:
-            self.clear()
-        if len(self.parts) > 2 * CACHED:
-            self.parts = {"": b""}
-        # Within PLAIN lower case has no context and nothing composes, so both pre-tokens stand alone.
-        split = [(w, (m[1].lower(), m[2]) if (m := PLAIN.fullmatch(w)) else (w,)) for w in new]
-        self._encode_plain(list({p for _, ps in split if len(ps) > 1 for p in ps} - self.parts.keys()))
-        odd = [ps[0] for _, ps in split if len(ps) == 1 and ps[0] not in self.parts]
-        for p, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
-            self.parts[p] = np.array(e.ids, "<u4").tobytes()
-        for w, ps in split:
-            self[w] = b"".join([self.parts[p] for p in ps])
-
-    def _encode_plain(self, parts: list[str]) -> None:
-        """Parts that are one pre-token each, many to a text: the token that ends a pre-token says so in its name."""
-        for k in range(0, len(parts), 2000):
-            some = parts[k : k + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-            if len(ends) != len(some):
-                raise ValueError("a part is not one pre-token")
-            raw = ids.tobytes()
-            for p, a, b in zip(some, [0, *ends], ends):
-                self.parts[p] = raw[a:b]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        found = [BLANK.findall(t) for t in texts]
-        new = set().union(*found)
-        if missing := new - self.keys():
-            self.learn(missing)
-            if not new <= self.keys():  # emptied meanwhile
-                self.learn(new - self.keys())
-        return [b"".join(map(self.__getitem__, ws)) for ws in found]
+        self.forget()
+
+    def forget(self) -> None:
+        self.hashes, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        """Encode words that aren't known: plain ones many to a text, as the token that ends a pre-token says so in its name."""
+        text = pa.array(words, pa.binary()).cast(pa.string())
+        found = pc.extract_regex(text, PLAIN)
+        plain = found.is_valid().to_numpy(zero_copy_only=False)
+        marks = pc.fill_null(pc.binary_length(found.field("marks")), 0).to_numpy(zero_copy_only=False)
+        ids, sizes = [], np.zeros(len(words), np.int64)
+        at = np.flatnonzero(plain)
+        for k in range(0, len(at), 2000):
+            own = at[k : k + 2000]
+            got = np.array(self.tokenizer.encode(" ".join(text.take(pa.array(own)).to_pylist()), add_special_tokens=False).ids, np.int32)
+            ends, pieces = np.flatnonzero(self.ends[got]) + 1, np.cumsum(1 + (marks[own] > 0))
+            if len(ends) != pieces[-1] or ends[-1] != len(got):
+                raise ValueError("a plain word is not one or two pre-tokens")
+            sizes[own] = np.diff(ends[pieces - 1], prepend=0)
+            ids.append(got)
+        odd = np.flatnonzero(~plain)
+        for k, e in zip(odd, self.tokenizer.encode_batch_fast(text.take(pa.array(odd)).to_pylist(), add_special_tokens=False)):
+            sizes[k] = len(e.ids)
+            ids.append(np.array(e.ids, np.int32))
+        new = np.concatenate([at, odd])  # the order of ids
+        start = np.empty(len(words), np.int64)
+        start[new] = len(self.flat) + np.cumsum(sizes[new]) - sizes[new]
+        self.flat = np.concatenate([self.flat, *ids])
+        every = np.concatenate([self.hashes, hashes])
+        order = np.argsort(every, kind="stable")
+        self.hashes, self.start, self.size = every[order], np.concatenate([self.start, start])[order], np.concatenate([self.size, sizes])[order]
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids one after the other, and each text's number of them."""
+        data, start, end, count = words_of(texts)
+        h, first, which = np.unique(hashes(data, start, end), return_index=True, return_inverse=True)
+        if len(self.hashes) + len(h) > KNOWN:
+            self.forget()
+        new = ~np.isin(h, self.hashes, assume_unique=True)
+        if new.any():
+            raw = data.tobytes()
+            self.learn(h[new], [raw[a:b] for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist())])
+        at = np.searchsorted(self.hashes, h)[which]
+        size = self.size[at]
+        before = np.concatenate([[0], np.cumsum(size)])
+        ids = self.flat[np.repeat(self.start[at] - before[:-1], size) + np.arange(before[-1])]
+        return ids, np.diff(before[np.concatenate([[0], np.cumsum(count)])])
 
 
 @cache
@@ -91,20 +106,18 @@ def words(path: str) -> Words:
 
 def encoder(path: str, end_id: int):
     def encode(batches):
-        w, end = words(path), np.array([end_id], "<u4").tobytes()
+        w = words(path)
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                got = [ids + end for ids in w.encode(part.column("text").to_pylist())]
-                sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
-                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(got), np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(sizes), ids], names=["doc_id", "n_tokens", "ids"])
+            for k, texts in slices(batch.column("text"), rows=4096, lower=False):
+                ids, sizes = w.encode(texts)
+                ids, ends = np.insert(ids, np.cumsum(sizes), end_id), np.cumsum(sizes + 1)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(k, len(texts)).cast(pa.int64()), pa.array(sizes + 1), lists], names=["doc_id", "n_tokens", "ids"])
 
     return encode
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, partitions: int | None = None) -> str:
+def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, partitions: int | None = None, stripe: int = STRIPE, stride: int = STRIDE) -> str:
     """Encode every whole text (null: empty), append end_id, and write ORC files in ascending doc_id order.
 
     Rows of one doc_id (repeated or null ones, which come first) stand next to each other, in the order of their
@@ -117,17 +130,24 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, pa
         ranged.mapInArrow(encoder(tokenizer, end_id), SCHEMA)
         .write.option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
-        .option("orc.row.index.stride", "10000")
-        .option("orc.stripe.size", str(64 << 20))
+        .option("orc.row.index.stride", str(stride))
+        .option("orc.stripe.size", str(stripe))
         .orc(path)
     )
     return path
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """All rows; a file's stripes are read by different tasks where it is longer than spark.sql.files.maxPartitionBytes."""
     return spark.read.schema(SCHEMA).orc(path)
 
 
+def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """The rows of some ids. The filter reaches the ORC reader, which leaves out files, stripes and row groups whose least
+    and largest doc_id or Bloom filter exclude them all."""
+    return read_tokens(spark, path).filter(F.col("doc_id").isin(doc_ids))
+
+
 def token_digests(tokens: DataFrame) -> DataFrame:
     """Per stored row: doc_id, start (ids of all rows before it), n_tokens and ids_crc32.
 
@@ -157,7 +177,12 @@ def token_digests(tokens: DataFrame) -> DataFrame:
 
 
 def stored_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
-    """Write the token files to the shared folder and read their digests back."""
+    """The digests of the token files, written to the shared folder and read back; the files go when they are digested.
+
+    Nulls, repeated rows and empty tables as for write_tokens(); columns other than doc_id and text aren't returned.
+    """
     spark = docs.sparkSession
     path = write_tokens(docs, tokenizer, f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}", end_id)
-    return token_digests(read_tokens(spark, path))
+    digests = materialize(token_digests(read_tokens(spark, path)), "digests")
+    delete(spark, path)
+    return digests

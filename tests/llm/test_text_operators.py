@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 from colloquy.llm import host_rules, piece_codec, queries, secret_scan, token_store  # noqa: E402
@@ -107,6 +108,46 @@ def test_token_files_round_trip(spark, odd, small, tmp_path):
             start += r.n_tokens
 
 
+def rows_scanned(df):
+    """Rows that the scan of an executed query gave to the rest of its plan."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    while not plan.getClass().getSimpleName().startswith("FileSourceScan"):
+        plan = plan.executedPlan() if plan.getClass().getSimpleName().startswith("Adaptive") else plan.children().head()
+    return plan.metrics().get("numOutputRows").get().value()
+
+
+def test_lookup_skips_files_stripes_and_row_groups(spark, tmp_path):
+    path = f"file://{tmp_path}/tokens"
+    docs = spark.range(20_000).select((F.col("id") * 2).alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    token_store.write_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), path, partitions=2, stride=1000)
+    files = token_store.read_tokens(spark, path)
+    assert rows_scanned(files) == 20_000
+    one = token_store.lookup(spark, path, [2_000])
+    assert "In(doc_id" in one._jdf.queryExecution().toString() or "EqualTo(doc_id" in one._jdf.queryExecution().toString()
+    assert rows_scanned(one) == 1000 and [r.doc_id for r in one.collect()] == [2_000]  # one row group of one file
+    assert rows_scanned(token_store.lookup(spark, path, [50_001])) == 0  # beyond all ranges
+    odd = [rows_scanned(token_store.lookup(spark, path, [k])) for k in range(1001, 1101, 2)]
+    assert sum(n == 0 for n in odd) >= 45  # within a range, but not in the Bloom filter
+
+
+def test_stripes_are_read_by_different_tasks(spark, tmp_path):
+    import pyarrow.orc
+
+    path = f"file://{tmp_path}/striped"
+    docs = spark.range(15_000).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("w"), F.sha2(F.col("id").cast("string"), 256), F.lit(" ")), 5).alias("text"))
+    token_store.write_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), path, partitions=1, stripe=100_000, stride=1000)
+    [file] = tmp_path.glob("striped/*.orc")
+    assert pyarrow.orc.ORCFile(file).nstripes > 1
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(file.stat().st_size // 3))
+        tasks = token_store.read_tokens(spark, path).select("doc_id", F.spark_partition_id().alias("p")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert len(tasks) == 15_000 and len({r.p for r in tasks}) > 1
+
+
 def test_quality_rules(spark, odd, small):
     for df in (odd, spark.read.parquet(f"{small}/documents.parquet")):
         rows = host_rules.quality_rules(df).collect()
