@@ -5,10 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BITS = 1 << 27  # of a Bloom filter, at most: 16 MB
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: spark.checkpoint.dir. Where it is unset, a local master (tests) gets a temporary
     folder of its own; a cluster is refused, as its machines would each write to another disk."""
@@ -29,22 +35,63 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    delete(spark, path, at_exit=True)
     written = spark.read.schema(df.schema).parquet(path)
     written._shared_path = path
     return written
 
 
+def bucketed(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """materialize(), in buckets of the keys: joins on them, however many, spare this table the shuffle."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{table}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    delete(spark, path, at_exit=True)
+    written = spark.table(table)
+    written._shared_path, written._table = path, table
+    return written
+
+
 def discard(*tables: DataFrame) -> None:
-    """Delete tables of materialize() that no later step reads."""
+    """Delete tables of materialize() and bucketed() that no later step reads."""
     for written in tables:
+        if hasattr(written, "_table"):
+            written.sparkSession.sql(f"DROP TABLE IF EXISTS {written._table}")
         delete(written.sparkSession, written._shared_path)
 
 
-def delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str, at_exit: bool = False) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.deleteOnExit(target) if at_exit else files.delete(target, True)
+
+
+def semi_join(rows: DataFrame, needed: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys are in needed (a written table of distinct keys): a semi join, before which a Bloom filter of the
+    needed keys, of BITS at most, spares most other rows the shuffle. Beyond that size it lets more rows through, no less."""
+    spark = rows.sparkSession
+    size = 1 << int(np.clip(np.ceil(np.log2(max(needed.count(), 1) * 16)), 16, np.log2(BITS)))
+    places = [F.pmod(F.xxhash64(F.lit(k), *keys), F.lit(size)) for k in (2, 3)]
+
+    def packed(key, table):
+        bits = np.zeros(1 << 16, bool)
+        bits[table.column("p").to_numpy() & 0xFFFF] = True
+        return pa.table({"slot": [key[0].as_py()], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    set_bits = needed.select(F.explode(F.array(*places)).alias("p")).distinct().withColumn("slot", F.shiftright("p", 16))
+    table = np.zeros(size // 8, np.uint8)
+    for r in set_bits.groupBy("slot").applyInArrow(packed, "slot long, bits binary").collect():  # size / 8 bytes
+        table[r["slot"] * 8192 : r["slot"] * 8192 + 8192] = np.frombuffer(r["bits"], np.uint8)
+    shared = spark.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def maybe(a: pd.Series, b: pd.Series) -> pd.Series:
+        bits, (a, b) = shared.value, (a.to_numpy(), b.to_numpy())
+        return pd.Series((bits[a >> 3] >> (a & 7).astype(np.uint8)) & (bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 1)
+
+    return rows.filter(maybe(*places)).join(needed, keys, "left_semi")
 
 
 def text_of(name: str = "text") -> Column:

@@ -19,38 +19,17 @@ windows don't.
 from __future__ import annotations
 
 import hashlib
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, text_of, without
+from .common import bucketed, discard, materialize, semi_join, text_of, without
+from .hashing import mixed, numbers, powers
 
 ANCHOR = 64
 OUT = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "removed_spans", "kept_text"]
-BASE = 0x9E3779B97F4A7C15
-
-
-@cache
-def numbers() -> np.ndarray:
-    """A 64-bit number for each byte, fixed by a digest."""
-    return np.array([int.from_bytes(hashlib.sha256(bytes([b])).digest()[:8], "little") for b in range(256)], np.uint64)
-
-
-@cache
-def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.ones(size + 1, np.uint64), np.ones(size + 1, np.uint64)
-    up[1:] = np.cumprod(np.full(size, BASE, np.uint64))
-    down[1:] = np.cumprod(np.full(size, pow(BASE, -1, 1 << 64), np.uint64))
-    return up, down
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xFF51AFD7ED558CCD)
-    return x ^ (x >> np.uint64(32))
 
 
 class Rolling:
@@ -166,34 +145,41 @@ KEY = ["k1", "k2"]
 
 
 def _found_again(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """The rows whose keys have a total weight n above one. The totals are written first: joins of two written tables
-    split where one key is very common."""
-    totals = rows.groupBy(*keys).agg(F.sum("n").alias("n")).filter("n > 1").select(*keys)
-    return rows.join(materialize(totals, name), keys, "left_semi")
+    """The rows (a written table, which goes) whose keys have a total weight n above one. The totals are written first:
+    joins of two written tables split where one key is very common."""
+    totals = materialize(rows.groupBy(*keys).agg(F.sum("n").alias("n")).filter("n > 1").select(*keys), name + "-keys")
+    found = materialize(semi_join(rows, totals, keys), name)
+    discard(rows, totals)
+    return found
 
 
-def _digested(texts: DataFrame, parts: DataFrame, threshold: int, single: bool, name: str) -> DataFrame:
+def _digested(some: DataFrame, parts: DataFrame, threshold: int, single: bool, name: str) -> DataFrame:
     listed = materialize(parts.groupBy(*KEY).agg(F.collect_set(F.struct("at", "d", "n")).alias("parts")), name + "-parts")
-    return materialize(texts.join(listed, KEY).mapInArrow(_digests(threshold, single), DIGEST), name)
+    made = materialize(some.join(listed, KEY).mapInArrow(_digests(threshold, single), DIGEST), name)
+    discard(listed)
+    return made
 
 
 def repeated_windows(texts: DataFrame, threshold: int = 400) -> tuple[DataFrame, DataFrame]:
-    """Rows (k1, k2, text), equal keys for equal texts -> ranges (k1, k2, first, last) of the starts of repeated
-    windows, and the distinct texts that hold any."""
-    blocks = materialize(texts.mapInArrow(_blocks(threshold), BLOCK), "blocks")
-    alive = _found_again(blocks.withColumn("n", F.lit(1)), ["d"], "digit1")
-    alive = materialize(alive.groupBy(*KEY, "at", "d", "w").agg(F.sum("n").alias("n")), "alive")  # copies become a weight
-    discard(blocks)
+    """Rows (k1, k2, text), equal keys for equal texts -> (k1, k2, ranges), the ranges (first, last) of the starts of
+    repeated windows, and the distinct texts that hold any."""
+    blocks = materialize(texts.mapInArrow(_blocks(threshold), BLOCK).withColumn("n", F.lit(1)), "blocks")
+    again = _found_again(blocks, ["d"], "digit1")
+    alive = materialize(again.groupBy(*KEY, "at", "d", "w").agg(F.sum("n").alias("n")), "alive")  # copies become a weight
     needed = materialize(alive.select(*KEY).distinct(), "needed")
-    some = materialize(texts.join(needed, KEY, "left_semi").groupBy(*KEY).agg(F.first("text").alias("text")), "texts")
+    some = bucketed(semi_join(texts, needed, KEY).groupBy(*KEY).agg(F.first("text").alias("text")), KEY, "texts")
     groups = alive.groupBy("d", "w").agg(F.sum("n").alias("n"), F.min(F.struct(*KEY, "at")).alias("one"))
     groups = materialize(groups, "digit2")
-    resolved = alive.join(groups.filter("n > 1").select("d", "w"), ["d", "w"], "left_semi")
-    ends = materialize(groups.groupBy("d").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("kinds")).filter("least = 1 and kinds > 1").select("d"), "open")
-    members = groups.join(ends, ["d"], "left_semi").select("one.*", "d", "n")
-    spans = _digested(some, members, threshold, False, "spans")
-    hit = materialize(_found_again(spans, ["d", "w"], "digit3"), "hit")
-    discard(spans)
+    discard(again, needed)
+    twice = materialize(groups.filter("n > 1").select("d", "w"), "twice")
+    far, near = F.shiftright("at", 10).bitwiseAND(F.lit(1023)), F.col("at").bitwiseAND(F.lit(1023))
+    resolved = alive.join(twice, ["d", "w"], "left_semi").select(*KEY, (F.shiftright("at", 20) - far).alias("first"), (F.shiftright("at", 20) - near).alias("last"))
+    resolved = materialize(resolved, "resolved")
+    discard(alive, twice)
+    ends = groups.groupBy("d").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("kinds")).filter("least = 1 and kinds > 1").select("d")
+    members = materialize(groups.join(materialize(ends, "open"), ["d"], "left_semi").select("one.*", "d", "n"), "members")
+    discard(groups)
+    hit = _found_again(_digested(some, members, threshold, False, "spans"), ["d", "w"], "digit3")
     whole = hit.filter("kind = 1").select(*KEY, "first", "last", "d")
     partly = hit.filter("kind = 0").join(whole, [*KEY, "first", "last", "d"], "left_anti")
     # A window of a partly repeated span may equal one of a wholly repeated span elsewhere: that one counts, too.
@@ -201,14 +187,14 @@ def repeated_windows(texts: DataFrame, threshold: int = 400) -> tuple[DataFrame,
     again = hit.filter("kind = 0").join(unsettled, ["d", "w"], "left_semi").select(*KEY, "first", "last", "d")
     # Spans lie at multiples of SPAN before their block, whose place comes from the member they were made of.
     place = F.shiftright("at", 20).alias("place")
-    at = members.select(*KEY, "d", place, (F.shiftright("at", 20) - F.shiftright("at", 10).bitwiseAND(F.lit(1023))).alias("lo"), (F.shiftright("at", 20) - F.col("at").bitwiseAND(F.lit(1023))).alias("hi"), "n")
+    at = members.select(*KEY, "d", place, (F.shiftright("at", 20) - far).alias("lo"), (F.shiftright("at", 20) - near).alias("hi"), "n")
     again = again.join(at, [*KEY, "d"]).filter("first >= lo and last <= hi")
     again = again.select(*KEY, (F.shiftleft("place", 20) + F.shiftleft(F.col("place") - F.col("first"), 10) + F.col("place") - F.col("last")).alias("at"), "d", "n")
     windows = _digested(some, again, threshold, True, "windows")
     single = _found_again(windows, ["d", "w"], "digit4").select(*KEY, "first", "last")
-    far = F.shiftright("at", 10).bitwiseAND(F.lit(1023))
-    resolved = resolved.select(*KEY, (F.shiftright("at", 20) - far).alias("first"), (F.shiftright("at", 20) - F.col("at").bitwiseAND(F.lit(1023))).alias("last"))
-    return resolved.unionByName(whole.drop("d")).unionByName(single), some
+    discard(members, unsettled)
+    ranges = resolved.unionByName(whole.drop("d")).unionByName(single)
+    return materialize(ranges.groupBy(*KEY).agg(F.collect_set(F.struct("first", "last")).alias("ranges")), "ranges"), some
 
 
 def cut(data: bytes, ranges: list[tuple[int, int]], threshold: int) -> tuple[list[tuple[int, int]], bytes]:
@@ -238,7 +224,6 @@ def suffix_dedup(docs: DataFrame, threshold: int = 400, keep_text: bool = False)
     rows = rows.withColumns({"_k1": F.xxhash64(t), "_k2": F.xxhash64(F.lit(1), t), "_full": F.sha2(t, 256), "_size": F.octet_length(t).cast("long")})
     texts = rows.select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), t.alias("text"))
     ranges, some = repeated_windows(texts, threshold)
-    ranges = materialize(ranges.groupBy(*KEY).agg(F.collect_set(F.struct("first", "last")).alias("ranges")), "ranges")
     fields = ["k1 long", "k2 long", "n_removed long", "n_spans long", "kept_sha256 string", "removed_spans array<struct<start:long,end:long>>", *["kept_text string"] * keep_text]
 
     def results(batches):
@@ -252,6 +237,7 @@ def suffix_dedup(docs: DataFrame, threshold: int = 400, keep_text: bool = False)
             yield pa.RecordBatch.from_pylist(out)
 
     removed = materialize(some.join(ranges, KEY).mapInArrow(results, ", ".join(fields)), "removed")
+    discard(some, ranges)
     known = removed.withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
     out = rows.join(known, ["_k1", "_k2"], "left").withColumnsRenamed({"_size": "n_bytes"})
     out = out.withColumns({"n_removed": F.coalesce("n_removed", F.lit(0).cast("long")), "n_spans": F.coalesce("n_spans", F.lit(0).cast("long")), "kept_sha256": F.coalesce("kept_sha256", "_full"), "removed_spans": F.coalesce("removed_spans", F.array())})
