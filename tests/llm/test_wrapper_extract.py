@@ -53,3 +53,70 @@ def test_odd_pages(spark):
     assert found[1] == found[2] == "" and found[3] == "plain & text é" and found[4] == "a bcd e f" and found[5] == ""
     assert found[6] == "x < y <z deep" and found[None] == " ".join(["q"] * 2000)
     assert we.extract(df.limit(0)).count() == 0
+
+
+def test_articles_keep_words_that_only_look_like_marks():
+    kept = ["class='share-price'", "id='reply-to-critics'", "class='notice-board-history'", "data-id='related'", 'title="class=\'menu\'"']
+    for attrs in kept:
+        assert we.main_text(f"<article><p>one</p><p {attrs}>two</p></article>", None) == "one two", attrs
+    for attrs in ("class='site-header sidebar-left'", "id=comment-list", "class='x cookie-notice'", "role='navigation'", "hidden", "style='display: none'"):
+        assert we.main_text(f"<article><p>one</p><p {attrs}>two</p></article>", None) == "one", attrs
+    assert we.main_text("<body><form action=/go/>a</form><nav class=top/>b</nav><p>c</p>", None) == "c"
+
+
+def test_depth_and_long_lists_have_no_cap():
+    deep = "<div>" * 5000 + "<p class=menu>m</p><p>text</p>" + "</div>" * 5000
+    assert we.main_text(deep, we.induce([deep.replace("text", f"w{k}") for k in range(4)])) == "text"
+
+
+def best(a, b):
+    """Simple tree matching by its plain recurrence."""
+    if a.key != b.key:
+        return 0
+    x, y = a.nodes, b.nodes
+    w = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i, p in enumerate(x, 1):
+        for j, q in enumerate(y, 1):
+            w[i][j] = max(w[i - 1][j], w[i][j - 1], w[i - 1][j - 1] + best(p, q))
+    return w[-1][-1] + 1
+
+
+def test_tree_matching_equals_the_plain_recurrence(monkeypatch):
+    rng = random.Random(5)
+
+    def tree(depth):
+        tag = rng.choice(["div", "p", "span", "ul"])
+        return f"<{tag}>" + "".join(tree(depth - 1) for _ in range(rng.randint(0, 4) if depth else 0)) + rng.choice(["", "a", "b"]) + f"</{tag}>"
+
+    for whole in (4_000_000, 3):
+        monkeypatch.setattr(we, "WHOLE", whole)
+        we._SIZES.clear()
+        for _ in range(150):
+            a, b = (we.parse("<section>" + tree(3) + tree(2) + "</section>") for _ in range(2))
+            assert we.tree_match(a, b) == best(a, b)
+            pairs = we.match(a.nodes[0].nodes, b.nodes[0].nodes)
+            order = lambda side, k: [side.index(p[k]) for p in sorted(pairs, key=lambda p: a.nodes[0].nodes.index(p[0]))]
+            assert order(b.nodes[0].nodes, 1) == sorted(order(b.nodes[0].nodes, 1))
+
+
+def test_an_inserted_advert_does_not_shift_the_template():
+    rng = random.Random(6)
+    text = lambda: "".join(rng.choice("abcdef") for _ in range(12))
+    shape = lambda advert: f"<body><p>Menu one</p>{'<p>' + text() + '</p>' if advert else ''}<p>Always here</p><div><p>{text()}</p><p>{text()}</p></div></body>"
+    sample = [shape(k % 2) for k in range(8)]
+    source = shape(True)
+    got = we.main_text(source, we.induce(sample))
+    assert "Menu one" not in got and "Always here" not in got and all(t in got for t in re.findall("[a-f]{12}", source))
+
+
+def test_copies_of_one_article_are_no_template(spark):
+    pages = [f"<body><nav>n</nav><article><h1>T</h1><p>Same words</p></article><footer>{k}</footer></body>" for k in range(12)]
+    rows = [(k, "http://one.example/" + str(k), p) for k, p in enumerate(pages)]
+    got = we.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.text for r in got} == {"T Same words"}
+
+
+def test_hosts_of_three_pages_get_a_wrapper(spark):
+    rows = [(3 * h + k, f"http://h{h}.example/{k}", f"<body><p>Read all our terms</p><div><p>story {h} {k} {'x' * k}</p></div></body>") for h in range(12) for k in range(3)]
+    got = we.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r.text.startswith("story") for r in got)
