@@ -1,5 +1,7 @@
 """Word lists, phrases, patterns and thresholds that results depend on."""
 
+import re
+
 FILLERS_ZH = {
     "light": ["啊", "呃", "嗯", "额", "哦", "嘶", "emmm", "emm", "em"],
     "medium": ["那个", "就是", "然后", "嘿", "哈", "喂", "诶", "呢", "吧", "嘛", "呐", "唉"],
@@ -49,3 +51,16 @@ MIME = {
     "csv": "text/csv",
 }
 CHINESE_DIGITS = "零一二三四五六七八九"
+CJK_WIDE = "\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}\\x{F900}-\\x{FAFF}\\x{20000}-\\x{2A6DF}\\x{2A700}-\\x{2EBEF}"
+IDEOGRAPH = "[\u4e00-\u9fff\u3400-\u4dbf\uf900-\ufaff]"
+WIDE = "\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}\\x{3000}-\\x{303F}\\x{FF00}-\\x{FFEF}"
+TIDY = [(" {2,}", " "), (" ([，。、！？；：])", "$1"), (r"([，。、！？；：,.])\1+", "$1"), (r"^[，。、,.\s]+", "")]
+KEPT_NUMBERS = [re.compile(p) for p in (r"\d{4}年", r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}", r"[vV]?\d+\.\d+(?:\.\d+)*", r"\d[\d\-]{9,}\d", r"[#＃]\d+", r"(?i)No\.\d+", r"\d+%", r"\d{4,}")]
+TITLE_MARKS = "[\"'。.，,\n]"
+WEEKDAYS = "日一二三四五六"
+QUANTITIES = "[0-9一二三四五六七八九十百千万]+[美金元块%年月日天个台]+"
+IMPERATIVES = "(?:你|我们|他)(?:先|要|去|可以|需要|应该)[^，。！？\n]{4,30}"
+STOP_WORDS = ["的", "了", "是", "在", "和", "与", "或", "这", "那", "个", "把", "被"]
+SUMMARY_WEIGHTS = {"topics": 0.35, "actions": 0.30, "data": 0.20, "structure": 0.15}
+LOCAL_ENGINES = {"zh": [(6.0, "qwen3", "qwen3-asr-1.7B"), (3.0, "qwen3", "qwen3-asr-0.6B"), (2.0, "paraformer", "paraformer-large")], "other": [(6.0, "whisper", "large-v3"), (4.0, "whisper", "medium"), (2.0, "whisper", "small"), (1.0, "whisper", "base")]}
+CLOUD_ENGINES = {"alibaba": ("alibaba-asr", "paraformer-v2"), "openai": ("openai-whisper", "whisper-1"), "none": ("whisper", "tiny")}

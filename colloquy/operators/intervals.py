@@ -2,24 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
-def assign_turns(points: DataFrame, turns: DataFrame, keys: list[str], first: bool = False) -> DataFrame:
-    """points (keys, idx, t) with the speaker of the turn (start, end, pos, speaker) that holds t, else of the nearest.
+SPAN = 60.0  # seconds; a turn is held against the points of each span it touches
 
-    Of several holding turns the one that starts last counts (or, with first, the earliest in the list); of equally near
-    ones the earliest. Meetings without turns leave the speaker null. The best turn is a minimum over each point's
-    turns, partial before any shuffle.
-    """
-    both = points.join(turns, keys, "left")
-    inside = (F.col("start") <= F.col("t")) & (F.col("t") <= F.col("end"))
-    far = F.when(inside, 0.0).otherwise(F.least(F.abs(F.col("t") - F.col("start")), F.abs(F.col("t") - F.col("end"))))
-    prefer = F.when(inside, F.lit(0.0) if first else -F.col("start")).otherwise(0.0)
-    order = F.struct((~inside).alias("out"), far.alias("far"), prefer.alias("prefer"), F.col("pos"))
-    best = both.groupBy(*keys, "idx", "t").agg(F.min_by("speaker", F.when(F.col("pos").isNotNull(), order)).alias("speaker"))
-    return best
+
+def _containing(points: DataFrame, turns: DataFrame, keys: list[str], order: Column) -> DataFrame:
+    """(keys, idx, inside): the turn (speaker, pos) that holds each point, the greatest in the order; turns meet points by span of time."""
+    at = lambda c: F.floor(F.col(c) / SPAN)
+    spread = turns.filter("start <= end").withColumn("_span", F.explode(F.sequence(at("start"), at("end"))))
+    held = points.withColumn("_span", at("t")).join(spread, [*keys, "_span"]).filter("start <= t and t <= end")
+    return held.groupBy(*keys, "idx").agg(F.max_by(F.struct("speaker", "pos"), order).alias("inside"))
+
+
+def _neighbours(points: DataFrame, events: DataFrame, keys: list[str], strict: bool) -> DataFrame:
+    """points with `before` and `after`: the last of the events (at, seq, what) up to t (before it, if strict) and the first one
+    beyond; of equal times the last and the first by seq. One sort each way, and running values."""
+    mark = 1 if strict else -1
+    both = points.select(*keys, "idx", F.col("t").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast(events.schema["what"].dataType).alias("what"))
+    both = both.unionByName(events.select(*keys, F.lit(None).cast(points.schema["idx"].dataType).alias("idx"), F.col("at").cast("double"), F.lit(mark).alias("kind"), F.col("seq").cast("long"), "what"))
+    running = lambda *order: F.last("what", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    both = both.withColumn("before", running("at", "kind", "seq")).withColumn("after", running(F.desc("at"), F.desc("kind"), F.desc("seq")))
+    return both.filter("kind = 0").select(*keys, "idx", F.col("at").alias("t"), "before", "after")
+
+
+def assign_turns(points: DataFrame, turns: DataFrame, keys: list[str]) -> DataFrame:
+    """points (keys, idx, t) with the speaker of the turn (start, end, pos, speaker) that holds t: of several, the one that starts
+    last (then, that comes last). Where none does, the nearer of the two turns around t in order of start, the earlier of equals.
+    Meetings without turns leave the speaker null."""
+    inside = _containing(points, turns, keys, F.struct("start", "pos"))
+    near = _neighbours(points, turns.select(*keys, F.col("start").alias("at"), F.col("pos").alias("seq"), F.struct("start", "end", "speaker").alias("what")), keys, False)
+    far = lambda c: F.least(F.abs(F.col("t") - F.col(f"{c}.start")), F.abs(F.col("t") - F.col(f"{c}.end")))
+    nearest = F.when(F.col("after").isNull() | (far("before") <= far("after")), F.col("before.speaker")).otherwise(F.col("after.speaker"))
+    return near.join(inside, [*keys, "idx"], "left").select(*keys, "idx", "t", F.when(F.col("inside").isNotNull(), F.col("inside.speaker")).otherwise(nearest).alias("speaker"))
+
+
+def assign_turns_linear(points: DataFrame, turns: DataFrame, keys: list[str]) -> DataFrame:
+    """As assign_turns(), but by the order of the list: the first turn that holds t, else the nearest of all, the first of equals."""
+    inside = _containing(points, turns, keys, -F.col("pos"))
+    edges = turns.select(*keys, F.explode(F.array("start", "end")).alias("at"), "pos", "speaker")
+    edges = edges.groupBy(*keys, "at").agg(F.min(F.struct("pos", "speaker")).alias("first"))
+    edges = edges.select(*keys, "at", F.col("first.pos").alias("seq"), F.struct("at", "first.pos", "first.speaker").alias("what"))
+    near = _neighbours(points, edges, keys, False)
+    left, right = F.col("t") - F.col("before.at"), F.col("after.at") - F.col("t")
+    nearest = F.when(F.col("after").isNull() | (left < right) | ((left == right) & (F.col("before.pos") <= F.col("after.pos"))), F.col("before.speaker")).otherwise(F.col("after.speaker"))
+    return near.join(inside, [*keys, "idx"], "left").select(*keys, "idx", "t", F.when(F.col("inside").isNotNull(), F.col("inside.speaker")).otherwise(nearest).alias("speaker"))
+
+
+def assign_speakers(segments: DataFrame, turns: DataFrame, keys: list[str]) -> DataFrame:
+    """Segments (keys, idx, start, end, speaker) with the speaker at their middle; where there is none, their own stays."""
+    middle = assign_turns(segments.select(*keys, "idx", ((F.col("start") + F.col("end")) / 2).alias("t")), turns, keys)
+    found = middle.select(*keys, "idx", F.col("speaker").alias("_found"))
+    return segments.join(found, [*keys, "idx"], "left").withColumn("speaker", F.coalesce("_found", "speaker")).drop("_found")
 
 
 def nearest_segment(segments: DataFrame, keys: list[str], time: float) -> DataFrame:
@@ -28,12 +65,9 @@ def nearest_segment(segments: DataFrame, keys: list[str], time: float) -> DataFr
 
 
 def interpolate(points: DataFrame, anchors: DataFrame, keys: list[str]) -> DataFrame:
-    """Piecewise-linear times of character positions from anchors (pos, time); outside the anchors the nearest one's."""
-    both = points.join(anchors, keys)
-    low = F.max_by("time", F.when(F.col("pos") <= F.col("at"), F.col("pos")))
-    lowp = F.max(F.when(F.col("pos") <= F.col("at"), F.col("pos")))
-    high = F.min_by("time", F.when(F.col("pos") >= F.col("at"), F.col("pos")))
-    highp = F.min(F.when(F.col("pos") >= F.col("at"), F.col("pos")))
-    g = both.groupBy(*keys, "at").agg(low.alias("t0"), lowp.alias("p0"), high.alias("t1"), highp.alias("p1"))
-    mid = F.col("t0") + (F.col("t1") - F.col("t0")) * F.try_divide(F.col("at") - F.col("p0"), F.col("p1") - F.col("p0"))
-    return g.select(*keys, "at", F.coalesce(F.when(F.col("p0") == F.col("p1"), F.col("t0")), mid, "t0", "t1").alias("time"))
+    """Piecewise-linear times of character positions (keys, idx, at) from anchors (pos, time); outside the anchors the nearest
+    one's, and of anchors at one position the first one's time."""
+    events = anchors.select(*keys, F.col("pos").alias("at"), F.row_number().over(Window.partitionBy(*keys, "pos").orderBy("time")).alias("seq"), F.struct("pos", "time").alias("what"))
+    near = _neighbours(points.withColumn("t", F.col("at").cast("double")), events, keys, True)
+    mid = F.col("before.time") + (F.col("after.time") - F.col("before.time")) * F.try_divide(F.col("t") - F.col("before.pos"), F.col("after.pos") - F.col("before.pos"))
+    return near.select(*keys, "idx", F.col("t").alias("at"), F.coalesce(F.when(F.col("after.pos") == F.col("t"), F.col("after.time")), mid, "before.time", "after.time").alias("time"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
@@ -88,29 +89,61 @@ def paragraphs(starts, ends, texts, markers: tuple[str, ...], mode: str, gap: fl
     return out
 
 
+def char_similarity(a: str, b: str) -> float:
+    """Shared characters, with multiplicity, over the longer length; an empty text is only like an empty one."""
+    if not a or not b:
+        return float(a == b)
+    return sum((Counter(a) & Counter(b)).values()) / max(len(a), len(b))
+
+
 def repeated_runs(texts: list[str], similar: Callable[[str, str], float], ratio: float, least: int) -> list[bool]:
-    """Flags all but the first of each run of near-equal texts (compared to the run's first) of at least so many."""
+    """Flags all but the first of each run of near-equal texts (compared to the run's first) of at least so many; empty texts
+    found no run."""
     flags, head = [False] * len(texts), 0
-    for i in range(1, len(texts) + 1):
-        if i < len(texts) and similar(texts[head], texts[i]) >= ratio:
-            continue
+    while head < len(texts):
+        i = head + 1
+        while texts[head] and i < len(texts) and similar(texts[head], texts[i]) >= ratio:
+            i += 1
         if i - head >= least:
             flags[head + 1 : i] = [True] * (i - head - 1)
         head = i
     return flags
 
 
-def overlap_flags(starts, ends, most: float) -> list[bool]:
-    """Flags segments that overlap the last unflagged one by more than a share of the shorter; one without duration doesn't overlap."""
-    flags, prev = [], None
-    for s, e in zip(starts, ends):
-        flag = False
-        if prev is not None and (shorter := min(prev[1] - prev[0], e - s)) > 0:
-            flag = max(0.0, prev[1] - s) / shorter > most
-        flags.append(flag)
-        if not flag:
-            prev = (s, e)
-    return flags
+def time_flags(rows: DataFrame, keys: list[str], order: list[str], longest: float, most: float, name: str = "odd") -> DataFrame:
+    """Flags segments of negative or too long duration, and those that overlap the one before by more than a share of the shorter,
+    unless that one is flagged. Segments without duration overlap nothing.
+
+    A flag depends on the one before only within a run of overlapping segments, where flags take turns: so the distance to
+    the run's beginning settles each, by windows and without a fold.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order)
+    length = F.col("end") - F.col("start")
+    prev = lambda c: F.lag(c).over(w)
+    rows = rows.withColumns({"_bad": F.coalesce((length < 0) | (length > longest), F.lit(False)), "_n": F.row_number().over(w), "_prev": prev(length), "_past": F.greatest(prev("end") - F.col("start"), F.lit(0.0))})
+    rows = rows.withColumn("_over", ~F.col("_bad") & F.coalesce((F.col("_prev") > 0) & (length > 0) & (F.try_divide("_past", F.least("_prev", length)) > most), F.lit(False)))
+    begin = F.last(F.when(~F.col("_over"), F.struct("_n", "_bad")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("_begin", begin)
+    odd = ((F.col("_n") - F.col("_begin._n")) % 2 == 1) != F.col("_begin._bad")
+    return rows.withColumn(name, odd).drop("_bad", "_n", "_prev", "_past", "_over", "_begin")
+
+
+def merge_windows(rows: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """Neighbouring windows (start, end) of one label become one; windows without a label are left out first."""
+    numbered = islands(rows.filter(F.col(label).isNotNull()), keys, ["start", "end"], label)
+    return numbered.groupBy(*keys, "island").agg(F.first(label).alias(label), F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+
+
+def paragraph_bounds(rows: DataFrame, keys: list[str], order: str, paragraph: str) -> DataFrame:
+    """The start of each paragraph's first and the end of its last segment."""
+    return rows.groupBy(*keys, paragraph).agg(F.min_by("start", order).alias("start"), F.max_by("end", order).alias("end"))
+
+
+def keep_prefix(old: DataFrame, new: DataFrame, keys: list[str], start: str = "start") -> DataFrame:
+    """Segments of old before the first of new, followed by new; meetings that new doesn't have stay whole."""
+    first = new.groupBy(*keys).agg(F.min(start).alias("_first"))
+    prefix = old.join(first, keys, "left").filter(F.col("_first").isNull() | (F.col(start) < F.col("_first"))).drop("_first")
+    return prefix.unionByName(new)
 
 
 def pack_lines(lengths, limit: int, joiner: int = 1) -> list[int]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,10 +27,10 @@ def search_segments(segments: DataFrame, projects: DataFrame, query: str, limit:
     return hits.orderBy(F.desc("updated_at"), "project_id", "idx").limit(n)
 
 
-def latest_wins(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Upsert by replacement: for each key the row that comes first in the order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+def latest_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Upsert by replacement: for each key the row of the greatest order columns; a partial maximum, no sort."""
+    row = F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("_row")
+    return rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(row).select("_row.*")
 
 
 def keyed_merge(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
@@ -50,18 +52,25 @@ def partial_update(table: DataFrame, key: str, key_value, updates: dict, stamp:
     return table.withColumns({c: F.when(hit, v.cast(table.schema[c].dataType)).otherwise(F.col(c)) for c, v in given.items()})
 
 
-def subtree(nodes: DataFrame, root, max_depth: int = 64) -> DataFrame:
-    """(id, depth) of root and all below it in an adjacency list (id, parent_id), level by level; the root needn't exist."""
-    spark = nodes.sparkSession
-    nodes.select("id", "parent_id").createOrReplaceTempView("_folder_nodes")
-    lit = f"'{root}'" if isinstance(root, str) else str(root)
-    return spark.sql(
-        f"""WITH RECURSIVE tree(id, depth) AS (
-              SELECT id, 0 FROM _folder_nodes WHERE id = {lit}
-              UNION ALL
-              SELECT n.id, t.depth + 1 FROM _folder_nodes n JOIN tree t ON n.parent_id = t.id WHERE t.depth < {max_depth})
-            SELECT id, depth FROM tree"""
-    )
+def subtree(nodes: DataFrame, root, levels: int = 10_000) -> DataFrame:
+    """(id, depth) of root and all below it in an adjacency list (id, parent_id), one join a level until a level is empty. A root
+    that doesn't exist gives no rows. More levels than allowed, as in a cycle, are an error, never a shorter result."""
+    edges = nodes.select("id", "parent_id")
+    frontier = edges.filter(F.col("id") == F.lit(root)).select("id", F.lit(0).alias("depth")).persist()
+    found = [frontier]
+    while not frontier.isEmpty():
+        if len(found) > levels:
+            raise ValueError(f"the tree has more than {levels} levels")
+        up = frontier.select(F.col("id").alias("parent_id"), (F.col("depth") + 1).alias("depth"))
+        frontier = edges.join(up, "parent_id").select("id", "depth").persist()
+        found.append(frontier)
+    return reduce(DataFrame.unionByName, found)
+
+
+def delete_subtree(nodes: DataFrame, root, children: dict[str, tuple[DataFrame, str]]) -> dict[str, DataFrame]:
+    """Cascade of deleting a folder: what is left of the nodes ('nodes') and of each table of children (table, its column of node ids)."""
+    gone = subtree(nodes, root).select("id")
+    return {"nodes": without_ids(nodes, gone, "id")} | {name: without_ids(table, gone, column) for name, (table, column) in children.items()}
 
 
 def without_ids(table: DataFrame, ids: DataFrame, column: str, id_column: str = "id") -> DataFrame:
@@ -69,6 +78,30 @@ def without_ids(table: DataFrame, ids: DataFrame, column: str, id_column: str =
     return table.join(ids.select(F.col(id_column).alias(column)).distinct(), column, "left_anti")
 
 
+def reordered(table: DataFrame, id_col: str, order: str, ids: list) -> DataFrame:
+    """Listed rows take their place in the list as their order; all others keep theirs."""
+    place = F.array_position(F.array(*map(F.lit, ids)), F.col(id_col)) - 1
+    return table.withColumn(order, F.when(place >= 0, place).otherwise(F.col(order)))
+
+
+def created_if_absent(have: DataFrame, new: DataFrame, name: str) -> DataFrame:
+    """have, and one row for each new name that it lacks."""
+    return have.unionByName(new.select(*have.columns).dropDuplicates([name]).join(have.select(name).distinct(), name, "left_anti").select(*have.columns))
+
+
+def unlinked(table: DataFrame, column: str, gone: DataFrame, id_column: str = "id") -> DataFrame:
+    """Deleting what a column refers to: its references to gone ids become null."""
+    ids = gone.select(F.col(id_column).alias(column)).distinct().withColumn("_gone", F.lit(True))
+    return table.join(ids, column, "left").withColumn(column, F.when(F.col("_gone").isNull(), F.col(column))).select(*table.columns)
+
+
+def zipped(rows: DataFrame, others: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """rows with the value that stands at the same place of each key's other list (keys, order, value)."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    right = others.withColumn("_place", place).select(*keys, "_place", value)
+    return rows.withColumn("_place", place).join(right, [*keys, "_place"], "left").drop("_place")
+
+
 def with_title(rows: DataFrame, projects: DataFrame, default: str = "Unknown") -> DataFrame:
     """Left lookup of project titles; missing ones get the default."""
     titles = projects.select("project_id", F.col("title").alias("project_title"))
@@ -85,12 +118,9 @@ def action_items(summaries: DataFrame, projects: DataFrame, schema: str, include
 
 def first_wins(sources: list[DataFrame], keys: list[str]) -> DataFrame:
     """Merge of lists by precedence: for each key the row of the first source that has it."""
-    rows = None
-    for k, df in enumerate(sources):
-        df = df.withColumn("_source", F.lit(k))
-        rows = df if rows is None else rows.unionByName(df)
-    w = Window.partitionBy(*keys).orderBy("_source")
-    return rows.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "_source")
+    rows = reduce(DataFrame.unionByName, [df.withColumn("_source", F.lit(k)) for k, df in enumerate(sources)])
+    first = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min_by(F.struct(*sources[0].columns), "_source").alias("_row"))
+    return first.select("_row.*")
 
 
 def speaker_analysis(segments: DataFrame, speaker: str, duration: Column) -> DataFrame:
@@ -100,9 +130,9 @@ def speaker_analysis(segments: DataFrame, speaker: str, duration: Column) -> Dat
 
 
 def fill_from_label(rows: DataFrame, label: str, value: str, order: list[str]) -> DataFrame:
-    """Values propagate within a label: rows without one get the first one of their label."""
-    w = Window.partitionBy(label).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return rows.withColumn(value, F.coalesce(F.col(value), F.first(value, ignorenulls=True).over(w)))
+    """Values propagate within a label: rows without one get the first one of their label. A partial minimum, joined back."""
+    first = rows.filter(F.col(value).isNotNull()).groupBy(label).agg(F.min_by(value, F.struct(*order)).alias("_first"))
+    return rows.join(first, label, "left").withColumn(value, F.coalesce(value, "_first")).drop("_first")
 
 
 def majority(rows: DataFrame, parent: list[str], label: str, position: str) -> DataFrame:

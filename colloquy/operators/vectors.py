@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -59,16 +61,46 @@ def blend(old: Column, count: Column, new: Column) -> Column:
     return F.when((F.size(old) != F.size(new)) | (F.size(old) == 0), new).otherwise(normalise(mean))
 
 
+def cosine_shorter(a: Column, b: Column) -> Column:
+    """Cosine over the length of the shorter one; 0 where a norm vanishes."""
+    n = F.least(F.size(a), F.size(b))
+    return cosine(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n))
+
+
+BLOCK = 4096
+
+
 def best_match(queries: DataFrame, library: DataFrame, threshold: float) -> DataFrame:
-    """For each query (qid, qvec) the most similar library vector (lid, lvec) by cosine, the first of equal ones, and
-    whether it reaches the threshold.
+    """For each query (qid, qvec) the most similar library vector (lid, lvec) by cosine, the first of equal ones, and whether it
+    reaches the threshold. Only vectors of the query's length and a similarity above -1 count; queries without any, null
+    ones among them, have no lid, no score, and don't match.
 
-    The library (known speakers) goes to each task block by block: queries meet it as one broadcast join while it is
-    small, and as a shuffled nested loop beyond; each query keeps one best row throughout (a partial maximum).
+    Blocks of queries meet blocks of the library, BLOCK vectors each, by one product of matrices a task; each pair of
+    blocks gives one best row a query, and a partial maximum the best of all.
     """
-    scored = queries.join(library, F.size("qvec") == F.size("lvec")).select("qid", "lid", cosine(F.col("qvec"), F.col("lvec")).alias("score"))
-    best = scored.groupBy("qid").agg(F.max_by(F.struct("lid", "score"), F.struct("score", -F.col("lid"))).alias("b"))
-    return best.select("qid", "b.lid", "b.score", (F.col("b.score") >= threshold).alias("matched"))
+    n = [max(1, math.ceil(df.count() / BLOCK)) for df in (queries, library)]
+    side = lambda df, id_col, own, other: df.withColumns({own: F.pmod(F.xxhash64(id_col), F.lit(n[own == "_l"])), other: F.explode(F.sequence(F.lit(0), F.lit(n[other == "_l"] - 1)))})
+    q = side(queries.filter("qvec is not null").select("qid", doubles(F.col("qvec")).alias("qvec")), "qid", "_q", "_l")
+    lib = side(library.filter("lvec is not null").select("lid", doubles(F.col("lvec")).alias("lvec")), "lid", "_l", "_q")
+    q, lib = (df.withColumns({c: F.col(c).cast("long") for c in ("_q", "_l")}) for df in (q, lib))
+
+    def scored(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"qid": pd.Series(dtype="int64"), "lid": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})]
+        right = right.sort_values("lid")
+        for size, own in left.groupby(left["qvec"].map(len)):
+            same = right[right["lvec"].map(len) == size]
+            if len(same):
+                a, b = np.vstack(own["qvec"].tolist()), np.vstack(same["lvec"].tolist())
+                norms = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
+                s = np.where(norms < 1e-12, 0.0, (a @ b.T) / np.where(norms < 1e-12, 1.0, norms))
+                k = s.argmax(axis=1)
+                out.append(pd.DataFrame({"qid": own["qid"], "lid": same["lid"].to_numpy()[k], "score": s[np.arange(len(k)), k]}))
+        return pd.concat(out)
+
+    found = q.groupBy("_q", "_l").cogroup(lib.groupBy("_q", "_l")).applyInPandas(scored, "qid long, lid long, score double")
+    best = found.filter("score > -1").groupBy("qid").agg(F.max_by(F.struct("lid", "score"), F.struct("score", -F.col("lid"))).alias("b"))
+    out = queries.select("qid").join(best, "qid", "left")
+    return out.select("qid", "b.lid", "b.score", F.coalesce(F.col("b.score") >= threshold, F.lit(False)).alias("matched"))
 
 
 def greedy_clusters(vectors: list[np.ndarray], threshold: float) -> list[int]:
@@ -115,11 +147,13 @@ def spectral_labels(vectors: list, clusters: int | None = None, most: int = 20,
     x = np.array([vectors[i] for i in at], float)
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     a = np.clip(x @ x.T, 0, 1)
+    np.fill_diagonal(a, 1.0)  # of zero vectors, too
     d = a.sum(axis=1)
     lap = np.eye(len(a)) - a / np.sqrt(np.outer(d, d))
     values, basis = np.linalg.eigh(lap)
-    top = min(most, len(at) - 1)
-    k = clusters or (int(np.argmax(np.diff(values[: top + 1])[1:])) + 2 if top >= 2 else 1)
+    gaps = np.diff(values[: min(most + 1, len(at) - 1)][1:])
+    k = clusters if clusters and 2 <= clusters <= most else min(max(2, int(np.argmax(gaps)) + 2), most) if len(gaps) else 2
+    k = min(k, len(at))
     e = basis[:, : min(k, len(at))]
     e = e / np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1e-12)
     rng = np.random.default_rng(seed)
@@ -136,3 +170,56 @@ def spectral_labels(vectors: list, clusters: int | None = None, most: int = 20,
         centre = np.array([e[label == j].mean(axis=0) if (label == j).any() else centre[j] for j in range(k)])
     names: dict[int, int] = {}
     return {i: names.setdefault(int(v), len(names)) for i, v in zip(at, label)}
+
+
+def spectral_speakers(rows: DataFrame, keys: list[str], id_col: str, vector: str, clusters: int | None = None) -> DataFrame:
+    """(keys, id, speaker): spectral clusters of each meeting's vectors in id order; null vectors get no speaker."""
+    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in [*keys, id_col])
+
+    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(id_col, kind="stable").reset_index(drop=True)
+        got = spectral_labels([None if v is None else np.asarray(v, float) for v in pdf[vector]], clusters)
+        return pdf[[*keys, id_col]].assign(speaker=[f"Speaker {got[i] + 1}" if i in got else None for i in range(len(pdf))])
+
+    return rows.select(*keys, id_col, doubles(F.col(vector)).alias(vector)).groupBy(*keys).applyInPandas(step, fields + ", speaker string")
+
+
+def match_or_enrol(queries: DataFrame, library: DataFrame, threshold: float, batch: str = "batch") -> DataFrame:
+    """Voiceprints of segments (batch, qid, qvec) -> (batch, qid, lid, name, fresh).
+
+    Entries of the library (lid, name, lvec, n) with samples and the length of the queries can match; others are spare. A query
+    takes its best match at the threshold; the rest of a batch (one recording) is clustered greedily in order, and each
+    cluster takes the next spare entry, then a new name, numbered after those of the library that begin alike. Batches
+    see the same library; what they learn is learned_voiceprints().
+    """
+    size = F.size("lvec")
+    dims = queries.filter("qvec is not null").groupBy(batch).agg(F.min_by(F.size("qvec"), "qid").alias("dim"))
+    [dim] = [r[0] for r in dims.agg(F.max("dim")).collect()]
+    usable = (F.col("n") > 0) & F.col("lvec").isNotNull() & (size > 0) & F.coalesce(size == F.lit(dim), F.lit(False))
+    best = best_match(queries.select("qid", "qvec"), library.filter(usable).select("lid", "lvec"), threshold)
+    spare = library.filter(~usable).agg(F.array_sort(F.collect_list(F.struct("lid", "name"))).alias("_spare"))  # entries never learned
+    known = library.filter(F.startswith("name", F.lit(UNKNOWN))).agg(F.count(F.lit(1)).alias("_known"))
+    matched = best.filter("matched").select("qid", "lid").join(library.select("lid", "name"), "lid")
+    first = queries.select(batch, "qid").join(matched, "qid").select(batch, "qid", "lid", "name", F.lit(False).alias("fresh"))
+    left = queries.filter("qvec is not null").join(matched.select("qid"), "qid", "left_anti").select(batch, "qid", "qvec")
+    grouped = cluster_within(left, batch, "qid", "qvec", threshold).withColumn("_c", F.col("cluster").cast("int"))
+    placed = grouped.join(F.broadcast(spare), F.lit(True)).join(F.broadcast(known), F.lit(True))  # one row each
+    entry = F.get("_spare", F.col("_c"))
+    name = F.concat(F.lit(UNKNOWN + " "), (F.col("_known") + F.col("_c") - F.size("_spare") + 1).cast("string"))
+    rest = placed.select(batch, "qid", entry["lid"].alias("lid"), F.coalesce(entry["name"], name).alias("name"), entry.isNull().alias("fresh"))
+    return first.unionByName(rest)
+
+
+UNKNOWN = "未知说话人"
+
+
+def learned_voiceprints(assigned: DataFrame, queries: DataFrame, library: DataFrame) -> DataFrame:
+    """The library after its entries have learned from the segments assigned to them: (lid, lvec, n), blended with the normalised
+    mean of the new vectors, n one more, 100 at most; entries without samples or of another length are replaced."""
+    given = assigned.filter("lid is not null").join(queries.select("qid", "qvec"), "qid")
+    mean = centroids(given, ["lid"], "qvec").select("lid", "centroid", F.col("n").alias("_new"))
+    rows = library.join(mean, "lid", "left")
+    fits = (F.col("n") > 0) & (F.size("lvec") == F.size("centroid"))
+    after = F.when(fits, blend(doubles(F.col("lvec")), F.col("n"), F.col("centroid"))).otherwise(F.col("centroid"))
+    count = F.least(F.when(fits, F.col("n")).otherwise(F.col("_new")) + 1, F.lit(100))
+    return rows.select("lid", F.when(F.col("centroid").isNull(), doubles(F.col("lvec"))).otherwise(after).alias("lvec"), F.when(F.col("centroid").isNull(), F.col("n")).otherwise(count).alias("n"))

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions import fixed
 from ..functions import text as tx
-from ..operators import intervals, ordered, relational, vectors
+from ..operators import intervals, knowledge, ordered, relational, vectors
 from ..sources.store import read_table
 
 _QUERIES: dict[str, Callable] = {}
@@ -33,10 +33,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import meetings  # noqa: F401  registers the rest
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
@@ -66,7 +69,7 @@ def sql_any(column: str, phrases) -> str:
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
 def scan_projects(t):
-    return t("orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return t("orders").select("o_orderkey", "o_custkey", "o_totalprice").orderBy("o_orderkey")
 
 
 @query("SELECT conv_id AS project_id, turn AS idx, role AS speaker, text FROM conversations WHERE conv_id = 7")
@@ -181,14 +184,14 @@ def cascade_delete(t):
 
 @query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
 def latest_summary(t):
-    return relational.latest_wins(t("events"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "value")
+    return relational.latest_wins(t("events"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "value")
 
 
 @query("""SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, coalesce(n.v, o.v) AS v, coalesce(o.made, n.made) AS made
-    FROM (SELECT doc_id, n_chars AS v, 'old' AS made FROM documents WHERE doc_id % 2 = 0) o
+    FROM (SELECT doc_id, n_chars AS v, 'old' AS made FROM documents) o
     FULL OUTER JOIN (SELECT doc_id, CAST(quality AS BIGINT) AS v, 'new' AS made FROM labels) n ON o.doc_id = n.doc_id""")
 def upsert_notes(t):
-    old = t("documents").filter("doc_id % 2 = 0").select("doc_id", F.col("n_chars").alias("v"), F.lit("old").alias("made"))
+    old = t("documents").select("doc_id", F.col("n_chars").alias("v"), F.lit("old").alias("made"))
     new = t("labels").select("doc_id", F.col("quality").cast("long").alias("v"), F.lit("new").alias("made"))
     return relational.keyed_merge(old, new, ["doc_id"], keep=("made",))
 
@@ -198,10 +201,9 @@ def partial_update(t):
     return relational.partial_update(t("customer").select("c_custkey", "c_name"), "c_custkey", 5, {"c_name": "renamed"})
 
 
-@query("SELECT n.n_nationkey, o.pos AS sort_order FROM nation n JOIN (VALUES (3, 0), (1, 1), (2, 2)) o(id, pos) ON n.n_nationkey = o.id")
+@query("SELECT n_nationkey, coalesce(o.pos, n_nationkey) AS sort_order FROM nation LEFT JOIN (VALUES (3, 0), (1, 1), (2, 2)) o(id, pos) ON n_nationkey = o.id")
 def reorder(t):
-    order = t("nation").limit(1).select(F.posexplode(F.array(F.lit(3), F.lit(1), F.lit(2))).alias("sort_order", "n_nationkey"))
-    return t("nation").select("n_nationkey").join(order, "n_nationkey").select("n_nationkey", "sort_order")
+    return relational.reordered(t("nation").select("n_nationkey", F.col("n_nationkey").cast("long").alias("sort_order")), "n_nationkey", "sort_order", [3, 1, 2])
 
 
 @query("SELECT c.conv_id, c.turn, coalesce(n.n_name, c.role) AS speaker FROM conversations c LEFT JOIN nation n ON c.turn = n.n_nationkey")
@@ -210,11 +212,11 @@ def rename_speakers(t):
     return t("conversations").join(names, "turn", "left").select("conv_id", "turn", F.coalesce("n_name", "role").alias("speaker"))
 
 
-@query("SELECT s_name AS name FROM supplier WHERE s_nationkey > 10 UNION ALL SELECT s_name FROM supplier s WHERE s_nationkey <= 10 AND s_name NOT IN (SELECT s_name FROM supplier WHERE s_nationkey > 10)")
+@query("""SELECT c_mktsegment AS name FROM (SELECT DISTINCT c_mktsegment FROM customer WHERE c_custkey <= 2)
+    UNION ALL SELECT DISTINCT c_mktsegment FROM customer WHERE c_mktsegment NOT IN (SELECT c_mktsegment FROM customer WHERE c_custkey <= 2)""")
 def create_if_absent(t):
-    have = t("supplier").filter("s_nationkey > 10").select(F.col("s_name").alias("name"))
-    new = t("supplier").filter("s_nationkey <= 10").select(F.col("s_name").alias("name"))
-    return have.unionByName(new.join(have, "name", "left_anti"))
+    names = t("customer").select(F.col("c_mktsegment").alias("name"), "c_custkey")
+    return relational.created_if_absent(names.filter("c_custkey <= 2").select("name").distinct(), names.select("name"), "name")
 
 
 @query("SELECT DISTINCT ON (k) k, src FROM (SELECT n_nationkey AS k, 'nation' AS src, 0 AS p FROM nation UNION ALL SELECT s_nationkey, 'supplier', 1 FROM supplier UNION ALL SELECT c_nationkey, 'customer', 2 FROM customer) ORDER BY k, p")
@@ -233,14 +235,45 @@ _TURNS = f"(SELECT user_id, start, \"end\", event_type AS speaker, event_id AS p
 _POINTS = f"(SELECT user_id, event_id AS idx, (start + \"end\") / 2 AS t FROM {TIMED} WHERE event_id % 3 <> 0)"
 
 
-@query(f"""SELECT user_id, idx, speaker FROM (SELECT p.user_id, p.idx, u.speaker, row_number() OVER (PARTITION BY p.user_id, p.idx ORDER BY
-    CASE WHEN u.start <= p.t AND p.t <= u."end" THEN 0 ELSE 1 END, CASE WHEN u.start <= p.t AND p.t <= u."end" THEN 0 ELSE least(abs(p.t - u.start), abs(p.t - u."end")) END,
-    CASE WHEN u.start <= p.t AND p.t <= u."end" THEN -u.start ELSE 0 END, u.pos) AS rn FROM {_POINTS} p LEFT JOIN {_TURNS} u ON p.user_id = u.user_id) WHERE rn = 1""")
-def assign_speakers(t):
+_NEAR = """SELECT user_id, idx, t, speaker, abs_far FROM (SELECT p.user_id, p.idx, p.t, u.speaker, least(abs(p.t - u.start), abs(p.t - u."end")) AS abs_far,
+    row_number() OVER (PARTITION BY p.user_id, p.idx ORDER BY {order}) AS rn FROM {points} p JOIN {turns} u ON p.user_id = u.user_id AND {on}) WHERE rn = 1"""
+
+
+def _sql_near(on: str, order: str) -> str:
+    return "(" + _NEAR.format(points=_POINTS, turns=_TURNS, on=on, order=order) + ")"
+
+
+_INSIDE = 'u.start <= p.t AND p.t <= u."end"'
+_SPEAKERS = f"""(SELECT p.user_id, p.idx, CASE WHEN i.idx IS NOT NULL THEN i.speaker WHEN a.idx IS NULL OR b.abs_far <= a.abs_far THEN b.speaker ELSE a.speaker END AS speaker FROM {_POINTS} p
+    LEFT JOIN {_sql_near(_INSIDE, 'u.start DESC, u.pos DESC')} i ON p.user_id = i.user_id AND p.idx = i.idx
+    LEFT JOIN {_sql_near('u.start <= p.t', 'u.start DESC, u.pos DESC')} b ON p.user_id = b.user_id AND p.idx = b.idx
+    LEFT JOIN {_sql_near('u.start > p.t', 'u.start, u.pos')} a ON p.user_id = a.user_id AND p.idx = a.idx)"""
+
+
+def _turns_and_points(t) -> tuple[DataFrame, DataFrame]:
     rows = timed(t)
     turns = rows.filter("event_id % 3 = 0").select("user_id", "start", "end", F.col("event_type").alias("speaker"), F.col("event_id").alias("pos"))
-    points = rows.filter("event_id % 3 <> 0").select("user_id", F.col("event_id").alias("idx"), ((F.col("start") + F.col("end")) / 2).alias("t"))
-    return intervals.assign_turns(points, turns, ["user_id"]).select("user_id", "idx", "speaker")
+    return turns, rows.filter("event_id % 3 <> 0").select("user_id", F.col("event_id").alias("idx"), ((F.col("start") + F.col("end")) / 2).alias("t"), "start", "end", F.col("event_type").alias("speaker"))
+
+
+@query(f"SELECT user_id, idx, speaker FROM {_SPEAKERS}")
+def assign_speakers(t):
+    turns, points = _turns_and_points(t)
+    return intervals.assign_turns(points.select("user_id", "idx", "t"), turns, ["user_id"]).select("user_id", "idx", "speaker")
+
+
+@query(f"""SELECT p.user_id, p.idx, coalesce(i.speaker, n.speaker) AS speaker FROM {_POINTS} p
+    LEFT JOIN {_sql_near(_INSIDE, 'u.pos')} i ON p.user_id = i.user_id AND p.idx = i.idx
+    LEFT JOIN {_sql_near('true', 'least(abs(p.t - u.start), abs(p.t - u."end")), u.pos')} n ON p.user_id = n.user_id AND p.idx = n.idx""")
+def assign_speakers_linear(t):
+    turns, points = _turns_and_points(t)
+    return intervals.assign_turns_linear(points.select("user_id", "idx", "t"), turns, ["user_id"]).select("user_id", "idx", "speaker")
+
+
+@query(f"SELECT s.user_id, s.idx, coalesce(s.speaker, e.event_type) AS speaker FROM {_SPEAKERS} s JOIN events e ON s.idx = e.event_id")
+def assign_or_keep(t):
+    turns, points = _turns_and_points(t)
+    return intervals.assign_speakers(points.drop("t"), turns, ["user_id"]).select("user_id", "idx", "speaker")
 
 
 @query(f"SELECT user_id, arg_min(event_id, abs(start - 1704067200.0) * 1e6 + 0 * event_id) AS idx FROM (SELECT * FROM {TIMED} ORDER BY user_id, event_id) GROUP BY user_id")
@@ -328,12 +361,20 @@ def sliding_windows(t):
     return ordered.sliding_windows(t("events").select("event_id", (F.col("value") / 10).alias("d")), "d").select("event_id", "window_start")
 
 
-@query()
+_MARKED = sql_any("lower(text)", fixed.MARKERS_EN)
+_FOLD = """WITH RECURSIVE s AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r, turn * 4.0 AS a, turn * 4.0 + 3.0 AS b, {marked} AS m, text FROM conversations),
+    f AS (SELECT conv_id, turn, r, b, 0 AS paragraph, 1 AS n, b - a AS speech FROM s WHERE r = 1
+      UNION ALL SELECT conv_id, turn, r, b, paragraph + cut, CASE WHEN cut = 1 THEN 1 ELSE n + 1 END, CASE WHEN cut = 1 THEN own ELSE speech + own END FROM (
+        SELECT s.conv_id, s.turn, s.r, s.b, f.paragraph, f.n, f.speech, s.b - s.a AS own, CASE WHEN {split} THEN 1 ELSE 0 END AS cut FROM f JOIN s ON s.conv_id = f.conv_id AND s.r = f.r + 1))
+    SELECT conv_id AS project_id, turn AS idx, CAST(paragraph AS BIGINT) AS paragraph FROM f"""
+
+
+@query(_FOLD.format(marked=_MARKED, split="s.m AND f.n >= 2"))
 def semantic_paragraphs(t):
     return ordered.fold(segments(t), ["project_id"], ["idx"], _number("semantic"), "project_id long, idx long, paragraph long")
 
 
-@query()
+@query(_FOLD.format(marked=_MARKED, split="(s.a - f.b > 1.5 OR s.m OR f.speech >= 60) AND f.speech >= 5"))
 def hybrid_paragraphs(t):
     return ordered.fold(segments(t), ["project_id"], ["idx"], _number("hybrid"), "project_id long, idx long, paragraph long")
 
@@ -349,26 +390,39 @@ def _number(mode: str):
     return step
 
 
-@query()
+_PLAIN = r"regexp_replace(lower(trim(text)), '[\s\.,!?;:，。！？；：、\-—\x22\x27\(\)\[\]【】「」]+', '', 'g')"
+_ALIKE = """CASE WHEN {a} = '' OR {b} = '' THEN CAST({a} = {b} AS INT) ELSE list_sum(list_transform(list_distinct(string_split({a}, '')), lambda c: least(length({a}) - length(replace({a}, c, '')), length({b}) - length(replace({b}, c, ''))))) / greatest(length({a}), length({b})) END"""
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r, {_PLAIN} AS p FROM conversations),
+    f AS (SELECT conv_id, turn, r, p AS head, r AS first FROM s WHERE r = 1
+      UNION ALL SELECT s.conv_id, s.turn, s.r, CASE WHEN f.head <> '' AND {_ALIKE.format(a='f.head', b='s.p')} >= 0.6 THEN f.head ELSE s.p END,
+        CASE WHEN f.head <> '' AND {_ALIKE.format(a='f.head', b='s.p')} >= 0.6 THEN f.first ELSE s.r END FROM f JOIN s ON s.conv_id = f.conv_id AND s.r = f.r + 1)
+    SELECT conv_id AS project_id, turn AS idx, r > first AND count(*) OVER (PARTITION BY conv_id, first) >= 3 AS repeated FROM f""")
 def repeated_segments(t):
-    def similar(a: str, b: str) -> float:
-        return 1.0 if a == b else 0.0
+    limits = fixed.SENSITIVITY["medium"]
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"user_id": pdf["user_id"], "event_id": pdf["event_id"], "repeated": ordered.repeated_runs(list(pdf["event_type"]), similar, 0.6, 3)})
+        flags = ordered.repeated_runs(pdf["plain"].fillna("").tolist(), ordered.char_similarity, limits["repetition_ratio"], limits["min_repetition_count"])
+        return pd.DataFrame({"project_id": pdf["project_id"], "idx": pdf["idx"], "repeated": flags})
 
-    return ordered.fold(timed(t), ["user_id"], ["start", "event_id"], step, "user_id long, event_id long, repeated boolean")
+    rows = segments(t).select("project_id", "idx", tx.comparable(F.col("text")).alias("plain"))
+    return ordered.fold(rows, ["project_id"], ["idx"], step, "project_id long, idx long, repeated boolean")
 
 
-@query()
+@query(f"""WITH RECURSIVE s AS (SELECT user_id, event_id, start, "end", "end" - start AS d, row_number() OVER (PARTITION BY user_id ORDER BY start, event_id) AS r FROM {TIMED}),
+    f AS (SELECT user_id, event_id, r, "end", d, coalesce(d < 0 OR d > 15, false) AS odd FROM s WHERE r = 1
+      UNION ALL SELECT s.user_id, s.event_id, s.r, s."end", s.d, coalesce(s.d < 0 OR s.d > 15, false) OR (NOT f.odd AND coalesce(f.d > 0 AND s.d > 0 AND greatest(f."end" - s.start, 0) / least(f.d, s.d) > 0.7, false))
+        FROM f JOIN s ON s.user_id = f.user_id AND s.r = f.r + 1)
+    SELECT user_id, event_id, odd FROM f""")
 def overlapping_segments(t):
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"user_id": pdf["user_id"], "event_id": pdf["event_id"], "overlaps": ordered.overlap_flags(pdf["start"], pdf["end"], 0.7)})
-
-    return ordered.fold(timed(t), ["user_id"], ["start", "event_id"], step, "user_id long, event_id long, overlaps boolean")
+    return ordered.time_flags(timed(t), ["user_id"], ["start", "event_id"], 15.0, fixed.SENSITIVITY["medium"]["max_overlap_ratio"]).select("user_id", "event_id", "odd")
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations),
+    f AS (SELECT conv_id, turn, r, n AS held, 0 AS chunk FROM s WHERE r = 1
+      UNION ALL SELECT s.conv_id, s.turn, s.r, CASE WHEN f.held + s.n + 1 > 500 THEN s.n ELSE f.held + s.n + 1 END, f.chunk + CASE WHEN f.held + s.n + 1 > 500 THEN 1 ELSE 0 END FROM f JOIN s ON s.conv_id = f.conv_id AND s.r = f.r + 1)
+    SELECT conv_id AS project_id, turn AS idx, CAST(chunk AS BIGINT) AS chunk FROM f""")
 def pack_segments(t):
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"project_id": pdf["project_id"], "idx": pdf["idx"], "chunk": ordered.pack_lines(pdf["text"].str.len(), 500)})
@@ -384,7 +438,8 @@ def template_phrases(t):
     return t("documents").select("doc_id", tx.template_phrase(F.col("text")).alias("template"))
 
 
-@query(r"""SELECT doc_id, length(s) >= 4 AND c + l > 0 AND CASE WHEN c + l = 0 THEN 0 ELSE c / (c + l) END < 0.2 AND l > 10 AS switched FROM (SELECT doc_id, s, length(regexp_replace(s, '[^\x{4E00}-\x{9FFF}]', '', 'g')) AS c, length(regexp_replace(s, '[^A-Za-z]', '', 'g')) AS l
+@query(rf"""SELECT doc_id, length(s) >= 4 AND c + l > 0 AND CASE WHEN c + l = 0 THEN 0 ELSE c / (c + l) END < 0.2 AND l > 10 AS switched FROM (SELECT doc_id, s,
+    len(regexp_extract_all(s, '[{fixed.CJK_WIDE}]')) AS c, length(array_to_string(regexp_extract_all(s, '[a-zA-Z]{{2,}}'), '')) AS l
     FROM (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS s FROM documents))""")
 def language_switches(t):
     return t("documents").select("doc_id", tx.language_switch(F.col("text"), True).alias("switched"))
@@ -431,24 +486,31 @@ def hallucination_counts(t):
     return t("documents").select("doc_id", tx.hallucination_count(F.col("text")).alias("n"))
 
 
-@query(f"SELECT doc_id, CAST(round(greatest(0.0, 1 - least(0.1 * ({_HALL}), 0.3)), 9) AS DOUBLE) AS score FROM documents")
+_READABLE = f"greatest(0.0, 1 - 0.4 * d - least(0.1 * ({_HALL}), 0.3))"
+
+
+@query(rf"""SELECT doc_id, round(d, 9) AS filler_density, CASE WHEN regexp_matches(text, '[\x{{4E00}}-\x{{9FFF}}]') THEN NULL ELSE 0.0 END AS repetition_density, CAST({_HALL} AS BIGINT) AS hallucination_count,
+    round(CASE WHEN trim(text) = '' THEN 0 ELSE {_READABLE} END, 9) AS readability FROM (SELECT doc_id, text, least(coalesce(list_sum(list_transform(list_filter(regexp_split_to_array(lower(text), '[ \t\n\r]+'), lambda w: w IN ({_EN})), lambda w: length(w))), 0) / greatest(length(text), 1), 1.0) AS d FROM documents)""")
 def readability_scores(t):
-    return t("documents").select("doc_id", F.round(tx.readability(F.lit(0.0), F.lit(0.0), F.lit(0), tx.hallucination_count(F.col("text"))), 9).alias("score"))
+    """The SQL has no back-references: it can say that texts without ideographs repeat none, and the given ones have none."""
+    rows = t("documents").select("doc_id", tx.transcript_scores(F.col("text"), False).alias("s"))
+    return rows.select("doc_id", F.round("s.filler_density", 9).alias("filler_density"), "s.repetition_density", "s.hallucination_count", F.round("s.readability", 9).alias("readability"))
 
 
 @query()
 def cleaned_text(t):
-    c = tx.clean_spaces(tx.remove_fillers_en(tx.merge_repeats_en(F.col("text"))))
+    c = tx.filtered(F.col("text"), False)
     return t("conversations").select("conv_id", "turn", c.alias("text")).filter("trim(text) <> ''")
 
 
-@query()
+@query(r"""WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE regexp_matches(text, '\S')),
+    c AS (SELECT doc_id, text, n, 0 AS k, CAST(0 AS BIGINT) AS a, CASE WHEN n <= 500 THEN n ELSE 450 + CASE WHEN m > 0 THEN m ELSE 50 END END AS b FROM (SELECT *, length(regexp_extract(substr(text, 451, 50), '(?s)^.*[。！？.!?\n]')) AS m FROM d)
+      UNION ALL SELECT doc_id, text, n, k + 1, a, CASE WHEN e >= n THEN n ELSE e - 50 + CASE WHEN m > 0 THEN m ELSE 50 END END FROM (
+        SELECT *, length(regexp_extract(substr(text, e - 49, 50), '(?s)^.*[。！？.!?\n]')) AS m FROM (SELECT doc_id, text, n, k, b - 50 AS a, b - 50 + 500 AS e FROM c WHERE b < n))),
+    p AS (SELECT doc_id, k, CASE WHEN n <= 500 THEN text ELSE regexp_replace(substr(text, a + 1, b - a), '^\s+|\s+$', '', 'g') END AS text FROM c)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INT) AS chunk, text FROM p WHERE text <> ''""")
 def document_chunks(t):
-    @F.pandas_udf("array<string>")
-    def chunks(texts: pd.Series) -> pd.Series:
-        return texts.fillna("").map(tx.chunk_text)
-
-    return t("documents").select("doc_id", F.posexplode(chunks("text")).alias("chunk", "text"))
+    return t("documents").select("doc_id", F.posexplode(knowledge.text_chunks(F.col("text"))).alias("chunk", "text"))
 
 
 # --- vectors --------------------------------------------------------------------------------------------------------
@@ -475,23 +537,36 @@ def cosine_scores(t):
     return t("embeddings").select("vec_id", F.round(vectors.cosine(vectors.doubles(F.col("embedding")), q), 6).alias("cosine"))
 
 
-@query("""SELECT qid, lid, round(s, 6) AS score, s >= 0.3 AS matched FROM (SELECT q.vec_id AS qid, l.vec_id AS lid, s, row_number() OVER (PARTITION BY q.vec_id ORDER BY s DESC, l.vec_id) AS rn
-    FROM embeddings q, embeddings l, LATERAL (SELECT list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(l.embedding AS DOUBLE[])) AS s) WHERE l.vec_id < 20 AND q.vec_id >= 20) WHERE rn = 1""")
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, vec_id = min(vec_id) OVER (PARTITION BY label) AS known FROM embeddings),
+    s AS (SELECT q.vec_id AS qid, l.vec_id AS lid, list_cosine_similarity(q.e, l.e) AS s FROM v q JOIN v l ON l.known AND NOT q.known AND len(q.e) = len(l.e)),
+    b AS (SELECT * FROM s WHERE s > -1 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, lid) = 1)
+    SELECT v.vec_id AS qid, b.lid, round(b.s, 6) AS score, coalesce(b.s >= 0.3, false) AS matched FROM v LEFT JOIN b ON v.vec_id = b.qid WHERE NOT v.known""")
 def match_voiceprints(t):
-    v = t("embeddings").select("vec_id", vectors.doubles(F.col("embedding")).alias("v"))
-    q = v.filter("vec_id >= 20").select(F.col("vec_id").alias("qid"), F.col("v").alias("qvec"))
-    lib = v.filter("vec_id < 20").select(F.col("vec_id").alias("lid"), F.col("v").alias("lvec"))
-    return vectors.best_match(q, lib, 0.3).withColumn("score", F.round("score", 6))
+    v = t("embeddings").select("vec_id", "label", vectors.doubles(F.col("embedding")).alias("v"))
+    known = v.groupBy("label").agg(F.min("vec_id").alias("lid"), F.min_by("v", "vec_id").alias("lvec"))  # a voiceprint a label
+    others = v.join(known.select(F.col("lid").alias("vec_id")), "vec_id", "left_anti").select(F.col("vec_id").alias("qid"), F.col("v").alias("qvec"))
+    return vectors.best_match(others, known.select("lid", "lvec"), 0.3).withColumn("score", F.round("score", 6))
 
 
-@query()
+def _sql_unit(values: str) -> str:
+    return f"list_transform({values}, lambda x: x / sqrt(list_sum(list_transform({values}, lambda y: y * y))))"
+
+
+@query(f"""WITH p AS (SELECT label, CAST(arg_min(embedding, vec_id) AS DOUBLE[]) AS a, CAST(arg_max(embedding, vec_id) AS DOUBLE[]) AS b FROM embeddings GROUP BY label),
+    m AS (SELECT label, list_transform(list_zip(a, b), lambda z: (z[1] * 3 + z[2]) / 4) AS m, list_transform(list_zip(a, b), lambda z: z[1] * 20 / 21 + z[2] / 21) AS e FROM p)
+    SELECT label, CAST(unnest(range(len(m))) AS INT) AS pos, round(unnest({_sql_unit('m')}), 6) AS merged, round(unnest({_sql_unit('e')}), 6) AS blended FROM m""")
 def merged_voiceprints(t):
     v = vectors.doubles(F.col("embedding"))
     rows = t("embeddings").select("label", "vec_id", v.alias("v"))
     pair = rows.groupBy("label").agg(F.min_by("v", "vec_id").alias("a"), F.max_by("v", "vec_id").alias("b"))
-    return pair.select("label", vectors.weighted_merge(F.col("a"), F.lit(3.0), F.col("b"), F.lit(1.0)).alias("merged"), vectors.blend(F.col("a"), F.lit(30), F.col("b")).alias("blended"))
+    both = F.arrays_zip(vectors.weighted_merge(F.col("a"), F.lit(3.0), F.col("b"), F.lit(1.0)).alias("m"), vectors.blend(F.col("a"), F.lit(30), F.col("b")).alias("e"))
+    return pair.select("label", F.posexplode(both).alias("pos", "x")).select("label", "pos", F.round("x.m", 6).alias("merged"), F.round("x.e", 6).alias("blended"))
+
+
+RECORDING = 256  # vectors of consecutive ids that stand for one recording
 
 
 @query()
 def cluster_voiceprints(t):
-    return vectors.cluster_within(t("embeddings").filter("label is not null"), "label", "vec_id", "embedding", 0.55)
+    rows = t("embeddings").withColumn("recording", F.floor(F.col("vec_id") / RECORDING))
+    return vectors.cluster_within(rows, "recording", "vec_id", "embedding", 0.55)
