@@ -100,3 +100,39 @@ def slices(column: pa.Array, rows: int = ROWS, lower: bool = True):
         some = column.slice(a, b - a)
         yield a, [t.lower().encode("utf-8", "surrogatepass") for t in some.to_pylist()] if lower else some.cast(pa.binary()).to_pylist()
         a = b
+
+
+class Memo:
+    """Ids of words, learned once a worker: learn() takes words and gives all their ids and each one's number of them.
+
+    Words are known by 64-bit hashes, sorted, with where each word's ids begin in `flat` and how many they are: about 40
+    bytes a word. All are forgotten when there are more than `most`.
+    """
+
+    def __init__(self, learn, most: int = 1_000_000):
+        self.learn, self.most = learn, most
+        self.forget()
+
+    def forget(self) -> None:
+        self.hashes, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def ids(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all slices, one after the other, and where each one's begin (one more entry than slices)."""
+        h, first, which = np.unique(hashes(data, start, end), return_index=True, return_inverse=True)
+        if len(self.hashes) + len(h) > self.most:
+            self.forget()
+        new = ~np.isin(h, self.hashes, assume_unique=True)
+        if new.any():
+            raw = data.tobytes()
+            flat, size = self.learn([raw[a:b] for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist())])
+            size = np.asarray(size, np.int32)
+            every = np.concatenate([self.hashes, h[new]])
+            order = np.argsort(every, kind="stable")
+            begin = len(self.flat) + np.cumsum(size, dtype=np.int64) - size
+            self.hashes, self.flat = every[order], np.concatenate([self.flat, np.asarray(flat, np.int32)])
+            self.start, self.size = np.concatenate([self.start, begin])[order], np.concatenate([self.size, size])[order]
+        at = np.searchsorted(self.hashes, h)[which]
+        size = self.size[at]
+        cut = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        return self.flat[np.repeat(self.start[at] - cut[:-1], size) + np.arange(cut[-1])], cut

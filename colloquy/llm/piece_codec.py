@@ -6,8 +6,8 @@ Aho-Corasick match at each position, keeps it if it is compatible with the piece
 the two, memoised), and otherwise tries shorter ones or steps back. A prefix has one encoding only, so a position
 that was reached and could not be continued is no piece border: a bit field remembers those positions.
 
-Merges never cross two characters that are neighbours in no piece, so texts are cut there first, and the parts'
-encodings are memoised in a bounded cache. Characters without a piece become their UTF-8 byte pieces.
+Merges never cross two characters that are neighbours in no piece, so texts are cut there first, above all before spaces,
+and a word's ids are remembered by the word's hash, in bounded memory. Characters without a piece become their UTF-8 byte pieces.
 """
 
 from __future__ import annotations
@@ -18,32 +18,19 @@ from functools import cache, lru_cache
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of, without
+from .hashing import Memo, slices
 
 SPACE = "▁"
-CACHED = 400_000  # entries of each worker's caches, which are emptied when full
+CACHED = 1 << 16  # parts of words, and pairs of pieces, that a worker remembers
 OUT = ["n_tokens", "ids_sha256", "decoded_sha256", "piece_ids"]
 
 
-class Bounded(dict):
-    """A memo of make(key) that starts afresh when it holds CACHED entries."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key):
-        if len(self) >= CACHED:
-            self.clear()
-        self[key] = value = self.make(key)
-        return value
-
-
 class PieceCodec:
     """Encoder and decoder of one SentencePiece BPE model with byte fallback, identity normalisation and dummy prefix."""
 
@@ -61,9 +48,10 @@ class PieceCodec:
         for p in self.own:
             self.automaton.add_word(p, (len(p), p))
         self.automaton.make_automaton()
-        self.compatible = lru_cache(1 << 18)(lambda a, b: self.merge(a + b) == [a, b])
-        self.parts: Bounded = Bounded(self._part)
-        self.chunks: Bounded = Bounded(self._chunk)
+        self.compatible = lru_cache(CACHED)(lambda a, b: self.merge(a + b) == [a, b])
+        self.part = lru_cache(CACHED)(self._part)
+        self.memo = Memo(self.learn)
+        self.said = [str(i) for i in range(sp.get_piece_size())]
 
     def merge(self, s: str) -> list[str]:
         """Plain merging, best score and then leftmost first: the definition that encoding is checked against."""
@@ -110,19 +98,33 @@ class PieceCodec:
             return tuple(self.byte[b] for b in s.encode("utf-8", "replace"))
         return tuple(self.ids[p] for p in self.backtrack(s))
 
-    def _chunk(self, s: str) -> tuple[bytes, str]:
+    def _word(self, s: str) -> list[int]:
         cuts = [0, *[k for k in range(1, len(s)) if s[k - 1 : k + 1] not in self.joined], len(s)]
-        ids = [i for a, b in zip(cuts, cuts[1:]) for i in self.parts[s[a:b]]]
-        return np.array(ids, np.uint32).tobytes(), "".join(f" {i}" for i in ids)
+        return [i for a, b in zip(cuts, cuts[1:]) for i in self.part(s[a:b])]
+
+    def learn(self, words: list[bytes]) -> tuple[list[int], list[int]]:
+        got = [self._word(w.decode("utf-8", "surrogatepass").replace(" ", SPACE)) for w in words]
+        return [i for ids in got for i in ids], [len(ids) for ids in got]
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each text's begin (one more entry than texts). Words are cut before
+        each run of spaces; an empty text has none."""
+        raw = [(" " + t.replace(SPACE, " ")).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        first = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+        starts = np.zeros(len(data) + 1, bool)
+        if self.chunked and len(data):
+            blank = data == 0x20
+            starts[1:-1] = blank[1:] & ~blank[:-1]
+        starts[first] = True  # of texts, and the end of all
+        edges = np.flatnonzero(starts)
+        ids, cut = self.memo.ids(data, edges[:-1], edges[1:])
+        return ids, cut[np.searchsorted(edges, first)]
 
     def encode(self, text: str) -> tuple[np.ndarray, str]:
         """The ids, and the same in decimal, each after a space; an empty text has none."""
-        if not text:
-            return np.zeros(0, np.uint32), ""
-        s = SPACE + text.replace(" ", SPACE)
-        found = re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", s) if self.chunked else [s]
-        got = [self.chunks[x] for x in found]
-        return np.frombuffer(b"".join([x for x, _ in got]), np.uint32), "".join([x for _, x in got])
+        ids, _ = self.encode_all([text])
+        return ids, "".join(f" {i}" for i in ids.tolist())
 
 
 @cache
@@ -138,16 +140,18 @@ def piece_digests(docs: DataFrame, model: str, eos_id: int = 2, keep_ids: bool =
     """
     fields = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", piece_ids array<int>" if keep_ids else "")
 
-    @F.pandas_udf(fields)
-    def digest(texts: pd.Series) -> pd.DataFrame:
-        c = codec(model)
-        rows = []
-        for text in texts:
-            ids, said = c.encode(text)
-            all_ids = [*ids.tolist(), eos_id]
-            row = (len(all_ids), hashlib.sha256(f"{said} {eos_id}"[1:].encode()).hexdigest(), hashlib.sha256(c.library.decode(all_ids).encode()).hexdigest())
-            rows.append((*row, all_ids) if keep_ids else row)
-        return pd.DataFrame(rows, columns=OUT if keep_ids else OUT[:3])
+    @F.arrow_udf(fields)
+    def digest(texts: pa.Array) -> pa.Array:
+        c, rows = codec(model), []
+        for _, part in slices(texts, 4096, lower=False):
+            ids, cut = c.encode_all([t.decode() for t in part])
+            for a, b in zip(cut.tolist(), cut[1:].tolist()):
+                own = [*ids[a:b].tolist(), eos_id]
+                said = " ".join(map(c.said.__getitem__, own))
+                rows.append((len(own), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(c.library.decode(own).encode()).hexdigest(), own if keep_ids else None))
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()))
+        columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+        return pa.StructArray.from_arrays(columns if keep_ids else columns[:3], OUT if keep_ids else OUT[:3])
 
     held = without(docs, OUT).withColumn("_d", digest(text_of()))
     return held.select(*[F.col(f"`{c}`") for c in held.columns if c != "_d"], "_d.*")

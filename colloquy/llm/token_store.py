@@ -22,9 +22,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import delete, materialize, shared_dir, text_of
-from .hashing import hashes, slices, words_of
+from .hashing import Memo, slices, words_of
 
-KNOWN = 1_500_000  # words that a worker remembers; it forgets them all when there are more
 PLAIN = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[.,:;!?()]*)$"  # letters, then marks: two pre-tokens at most
 STRIPE, STRIDE = 64 << 20, 10_000  # bytes of a stripe, rows of an index entry
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
@@ -35,10 +34,7 @@ def file_number() -> Column:
 
 
 class Words:
-    """Ids of texts. White space never lies within a token, so texts are cut there, and a word is encoded once a worker.
-
-    Words are known by 64-bit hashes: sorted, with where each word's ids begin in `flat` and how many they are.
-    """
+    """Ids of texts. White space never lies within a token, so texts are cut there, and a word is encoded once a worker."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -48,20 +44,17 @@ class Words:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.forget()
-
-    def forget(self) -> None:
-        self.hashes, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.memo = Memo(self.learn)
 
-    def learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
-        """Encode words that aren't known: plain ones many to a text, as the token that ends a pre-token says so in its name."""
+    def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Plain words are encoded many to a text, as the token that ends a pre-token says so in its name, others one by one."""
         text = pa.array(words, pa.binary()).cast(pa.string())
         found = pc.extract_regex(text, PLAIN)
         plain = found.is_valid().to_numpy(zero_copy_only=False)
         marks = pc.fill_null(pc.binary_length(found.field("marks")), 0).to_numpy(zero_copy_only=False)
-        ids, sizes = [], np.zeros(len(words), np.int64)
-        at = np.flatnonzero(plain)
+        ids: list[np.ndarray] = []
+        sizes = np.zeros(len(words), np.int64)
+        at, odd = np.flatnonzero(plain), np.flatnonzero(~plain)
         for k in range(0, len(at), 2000):
             own = at[k : k + 2000]
             got = np.array(self.tokenizer.encode(" ".join(text.take(pa.array(own)).to_pylist()), add_special_tokens=False).ids, np.int32)
@@ -70,33 +63,20 @@ class Words:
                 raise ValueError("a plain word is not one or two pre-tokens")
             sizes[own] = np.diff(ends[pieces - 1], prepend=0)
             ids.append(got)
-        odd = np.flatnonzero(~plain)
         for k, e in zip(odd, self.tokenizer.encode_batch_fast(text.take(pa.array(odd)).to_pylist(), add_special_tokens=False)):
             sizes[k] = len(e.ids)
             ids.append(np.array(e.ids, np.int32))
-        new = np.concatenate([at, odd])  # the order of ids
-        start = np.empty(len(words), np.int64)
-        start[new] = len(self.flat) + np.cumsum(sizes[new]) - sizes[new]
-        self.flat = np.concatenate([self.flat, *ids])
-        every = np.concatenate([self.hashes, hashes])
-        order = np.argsort(every, kind="stable")
-        self.hashes, self.start, self.size = every[order], np.concatenate([self.start, start])[order], np.concatenate([self.size, sizes])[order]
+        order, flat = np.concatenate([at, odd]), np.concatenate([np.zeros(0, np.int32), *ids])
+        begin = np.empty(len(words), np.int64)
+        begin[order] = np.cumsum(sizes[order]) - sizes[order]
+        cut = np.cumsum(sizes) - sizes
+        return flat[np.repeat(begin - cut, sizes) + np.arange(sizes.sum())], sizes
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids one after the other, and each text's number of them."""
         data, start, end, count = words_of(texts)
-        h, first, which = np.unique(hashes(data, start, end), return_index=True, return_inverse=True)
-        if len(self.hashes) + len(h) > KNOWN:
-            self.forget()
-        new = ~np.isin(h, self.hashes, assume_unique=True)
-        if new.any():
-            raw = data.tobytes()
-            self.learn(h[new], [raw[a:b] for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist())])
-        at = np.searchsorted(self.hashes, h)[which]
-        size = self.size[at]
-        before = np.concatenate([[0], np.cumsum(size)])
-        ids = self.flat[np.repeat(self.start[at] - before[:-1], size) + np.arange(before[-1])]
-        return ids, np.diff(before[np.concatenate([[0], np.cumsum(count)])])
+        ids, cut = self.memo.ids(data, start, end)
+        return ids, np.diff(cut[np.concatenate([[0], np.cumsum(count)])])
 
 
 @cache
