@@ -11,11 +11,12 @@ from __future__ import annotations
 import re
 from collections import Counter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of, without
+from .hashing import slices
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BLANKS = " \t\n\x0b\x0c\r"
@@ -29,7 +30,6 @@ MAX_SYMBOLS = 10  # symbols per 100 words
 MAX_DUP_LINES = 30  # per cent of lines
 WORD_LENGTHS = (2, 12)  # mean characters of a word
 BAD_HOST = 0.5  # shrunken failure rate
-SALTS = 64  # parts that a host's documents are joined in
 
 
 def measure(text: str) -> tuple[int, ...]:
@@ -49,9 +49,10 @@ def measure(text: str) -> tuple[int, ...]:
 
 
 def text_stats(text: Column) -> Column:
-    @F.pandas_udf(", ".join(f"{c} long" for c in STATS))
-    def stats(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([measure(t) for t in texts], columns=STATS, dtype="int64")
+    @F.arrow_udf(", ".join(f"{c} long" for c in STATS))
+    def stats(texts: pa.Array) -> pa.Array:
+        rows = [measure(t.decode()) for _, part in slices(texts, lower=False) for t in part]
+        return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(len(STATS))], STATS)
 
     return stats(text)
 
@@ -93,7 +94,7 @@ def quality_rules(docs: DataFrame, host: str = "source", bad_host: float = BAD_H
     Null texts count as empty (they fail the base rule); null hosts are one host. Repeated rows count each. Input
     columns named like an output are replaced, in any case. An empty table gives an empty table.
     """
-    rows = without(docs, [*OUT, "_host", "_s", "_salt"]).withColumn("_host", F.coalesce(F.col(f"`{host}`").cast("string"), F.lit("")))
+    rows = without(docs, [*OUT, "_host", "_s"]).withColumn("_host", F.coalesce(F.col(f"`{host}`").cast("string"), F.lit("")))
     kept = [F.col(f"`{c}`") for c in rows.columns]
 
     def measured(df: DataFrame, cols) -> DataFrame:
@@ -101,8 +102,5 @@ def quality_rules(docs: DataFrame, host: str = "source", bad_host: float = BAD_H
         return df.withColumn("base_failed", base_failed()).withColumn("rule_failed", rule_failed())
 
     verdicts = host_verdicts(measured(rows.select("_host", "text"), [F.col("_host")]), bad_host)
-    # Salted, so that a host with a third of all rows is joined by many tasks; there are few hosts to repeat.
-    verdicts = verdicts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = measured(rows, kept).withColumn("_salt", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int"))
-    judged = salted.join(verdicts, ["_host", "_salt"])
-    return judged.withColumn("kept", ~F.col("base_failed") & ~(F.col("host_bad") & F.col("rule_failed"))).drop("_host", "_salt")
+    judged = measured(rows, kept).join(verdicts, "_host")  # a row a host: broadcast while small, else a join that splits where a host is hot
+    return judged.withColumn("kept", ~F.col("base_failed") & ~(F.col("host_bad") & F.col("rule_failed"))).drop("_host")
