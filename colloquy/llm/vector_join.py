@@ -2,8 +2,9 @@
 
 Unit vectors with cosine >= c lie within r = sqrt(2 - 2c) of each other. Copies become one class with a weight. Large
 labels get pivots, in proportion to their vectors up to a total of PIVOTS; each vector belongs to the cell of its
-nearest pivot p and is repeated in the cell of every other pivot q whose border is within r, by the triangle
-inequality: d(v, q) - d(v, p) <= 2r. So every link of a vector is found in its own cell, and cells join independently.
+nearest pivot p and is repeated in the cell of every other pivot q whose border is within r: by the triangle
+inequality d(v, q) - d(v, p) <= 2r, and, tighter, as a link from p's side to q's crosses the plane midway between them,
+v is within r of that plane: (cos(v, p) - cos(v, q)) / d(p, q) <= r. So every link of a vector is found in its own cell, and cells join independently.
 Cells are dealt out as pairs of blocks of at most about BLOCK vectors, so no task holds a large cell. A task gives
 each vector's number of links and one row per vector that ties it to its part of the links (a star, not all pairs).
 """
@@ -60,6 +61,8 @@ def pivots(classes: DataFrame) -> dict[str, np.ndarray]:
 
 
 def _cells(points: dict[str, np.ndarray], r: float):
+    apart = {k: np.sqrt(np.maximum(2 - 2 * (p @ p.T), 0)) for k, p in points.items()}  # of unit pivots
+
     def cells(batches):
         for batch in batches:
             out = []
@@ -68,9 +71,9 @@ def _cells(points: dict[str, np.ndarray], r: float):
                 if p is None or p.shape[1] != len(u):
                     out.append((row["label"], 0, True, row))
                     continue
-                d = np.sqrt(np.maximum(((p - u) ** 2).sum(axis=1), 0))
-                home = int(d.argmin())
-                out += [(row["label"], int(q), q == home, row) for q in np.flatnonzero(d - d[home] <= 2 * r + 1e-9)]
+                c = p @ u
+                home = int(c.argmax())
+                out += [(row["label"], int(q), q == home, row) for q in np.flatnonzero(c[home] - c <= r * apart[row["label"]][home] + 1e-9)]
             cols = [[o[0] for o in out], [o[1] for o in out], [bool(o[2]) for o in out], *[[o[3][c] for o in out] for c in ("cls", "m", "u")]]
             types = (pa.string(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["label", "cell", "home", "cls", "m", "u"])
