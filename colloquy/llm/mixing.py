@@ -58,6 +58,7 @@ def mixing_plan(docs: DataFrame, source: str = "source", text: str = "text", id_
     once then, and lose them under a budget.
     """
     base = docs.select(F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("_s"), _hash(id_col, text, seed).alias("_h"), tokens(text).alias("n"))
+    base = materialize(base, "tokens")  # texts are read once for the plan
     sources = materialize(base.groupBy("_s").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_tokens")), "sources")
     total = sources.agg(F.sum("n_tokens")).first()[0] or 0
     shares = sources.filter("n_tokens > 0").select((F.col("n_tokens") / F.lit(max(total, 1))).alias("p"))
