@@ -142,16 +142,20 @@ def piece_digests(docs: DataFrame, model: str, eos_id: int = 2, keep_ids: bool =
 
     @F.arrow_udf(fields)
     def digest(texts: pa.Array) -> pa.Array:
-        c, rows = codec(model), []
+        c, rows, kept, sizes = codec(model), [], [np.zeros(0, np.int32)], [np.zeros(1, np.int32)]
         for _, part in slices(texts, 4096, lower=False):
             ids, cut = c.encode_all([t.decode() for t in part])
-            for a, b in zip(cut.tolist(), cut[1:].tolist()):
+            for a, b in zip(cut.tolist(), cut[1:].tolist()):  # lists of one text at a time: they take ten times the room
                 own = [*ids[a:b].tolist(), eos_id]
                 said = " ".join(map(c.said.__getitem__, own))
-                rows.append((len(own), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(c.library.decode(own).encode()).hexdigest(), own if keep_ids else None))
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()))
-        columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-        return pa.StructArray.from_arrays(columns if keep_ids else columns[:3], OUT if keep_ids else OUT[:3])
+                rows.append((len(own), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(c.library.decode(own).encode()).hexdigest()))
+            if keep_ids:
+                kept.append(np.insert(ids, cut[1:], eos_id))
+                sizes.append((np.diff(cut) + 1).astype(np.int32))
+        columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+        if keep_ids:
+            columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes), dtype=np.int32)), pa.array(np.concatenate(kept))))
+        return pa.StructArray.from_arrays(columns, OUT[: len(columns)])
 
     held = without(docs, OUT).withColumn("_d", digest(text_of()))
     return held.select(*[F.col(f"`{c}`") for c in held.columns if c != "_d"], "_d.*")
