@@ -53,18 +53,12 @@ def partial_update(table: DataFrame, key: str, key_value, updates: dict, stamp:
 
 
 def subtree(nodes: DataFrame, root, levels: int = 10_000) -> DataFrame:
-    """(id, depth) of root and all below it in an adjacency list (id, parent_id), one join a level until a level is empty. A root
-    that doesn't exist gives no rows. More levels than allowed, as in a cycle, are an error, never a shorter result."""
-    edges = nodes.select("id", "parent_id")
-    frontier = edges.filter(F.col("id") == F.lit(root)).select("id", F.lit(0).alias("depth")).persist()
-    found = [frontier]
-    while not frontier.isEmpty():
-        if len(found) > levels:
-            raise ValueError(f"the tree has more than {levels} levels")
-        up = frontier.select(F.col("id").alias("parent_id"), (F.col("depth") + 1).alias("depth"))
-        frontier = edges.join(up, "parent_id").select("id", "depth").persist()
-        found.append(frontier)
-    return reduce(DataFrame.unionByName, found)
+    """(id, depth) of root and all below it in an adjacency list (id, parent_id). A root that doesn't exist gives no rows. More
+    levels than allowed, as in a cycle, or more rows than spark.sql.cteRecursionRowLimit, are an error, never a shorter result."""
+    text = f"""WITH RECURSIVE tree(id, depth) MAX RECURSION LEVEL {int(levels)} AS (
+      SELECT id, 0 FROM {{nodes}} WHERE id = :root UNION ALL SELECT n.id, t.depth + 1 FROM {{nodes}} n JOIN tree t ON n.parent_id = t.id)
+      SELECT id, depth FROM tree"""
+    return nodes.sparkSession.sql(text, args={"root": root}, nodes=nodes.select("id", "parent_id"))
 
 
 def delete_subtree(nodes: DataFrame, root, children: dict[str, tuple[DataFrame, str]]) -> dict[str, DataFrame]:

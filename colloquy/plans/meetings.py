@@ -1 +1,473 @@
-"""The queries beyond the catalog: exports, retrieval, corrections, voiceprints, changes of the store."""
+"""The queries beyond the catalog: exports, retrieval, corrections, voiceprints, changes of the store.
+
+Turns of a conversation stand for timed segments: turn k starts at 4 k seconds and lasts three.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import fixed
+from ..functions import text as tx
+from ..operators import correction, evaluation, exports, intervals, knowledge, ordered, relational, vectors
+from .catalog import micros, query, segments, sql_any
+
+_SEGMENTS = "(SELECT conv_id AS project_id, turn AS idx, role AS speaker, text, turn * 4.0 AS start, turn * 4.0 + 3.0 AS \"end\" FROM conversations)"
+
+
+def spoken(t) -> DataFrame:
+    start = F.col("idx") * F.lit(4.0)
+    return segments(t).withColumns({"start": start, "end": start + 3.0})
+
+
+# --- exports --------------------------------------------------------------------------------------------------------
+
+_CLOCK = "printf('%02d:%02d', CAST(start AS BIGINT) // 60, CAST(start AS BIGINT) % 60)"
+_JOIN = "SELECT project_id, {head}string_agg({line}, chr(10) ORDER BY idx) AS body FROM {rows} GROUP BY project_id"
+
+
+@query(_JOIN.format(head="", line=f"'[' || {_CLOCK} || '] ' || CASE WHEN coalesce(speaker, '') = '' THEN '' ELSE '[' || speaker || '] ' END || coalesce(text, '')", rows=_SEGMENTS))
+def export_text(t):
+    return exports.plain_text(spoken(t))
+
+
+@query(_JOIN.format(head="'| Time | Speaker | Text |' || chr(10) || '|------|---------|------|' || chr(10) || ", rows=_SEGMENTS,
+    line=f"'| ' || {_CLOCK} || ' | ' || replace(replace(coalesce(speaker, ''), '|', '\\|'), chr(10), ' ') || ' | ' || replace(replace(coalesce(text, ''), '|', '\\|'), chr(10), ' ') || ' |'"))
+def export_table(t):
+    return exports.markdown_table(spoken(t))
+
+
+_TOPICS = "(SELECT conv_id AS project_id, arg_min(role, turn) AS topic, list(role ORDER BY turn) AS conclusions FROM conversations WHERE turn < 2 GROUP BY conv_id)"
+
+
+def summaries(t) -> DataFrame:
+    """A summary of every meeting's first two turns: their roles are its topic and conclusions."""
+    first = segments(t).filter("idx < 2").groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("idx", "speaker"))).alias("s"))
+    roles = F.transform("s", lambda x: x["speaker"])
+    items = F.array(F.struct(F.lit("Follow up").alias("action"), F.get("s", 0)["speaker"].alias("owner"), F.lit("").alias("deadline")))
+    return first.select("project_id", F.struct(F.get(roles, 0).alias("topic"), roles.alias("conclusions"), items.alias("action_items"), F.lit("").alias("discussion")).alias("summary"))
+
+
+@query(f"""SELECT r.project_id, '# ' || topic || chr(10) || chr(10) || '## Conclusions' || chr(10) || chr(10) || array_to_string(list_transform(conclusions, lambda c: '- ' || c), chr(10)) || chr(10) || chr(10)
+    || '## Action Items' || chr(10) || chr(10) || '- [ ] Follow up (@' || topic || ')' || chr(10) || chr(10) || '## Transcript' || chr(10) || chr(10) || body AS body
+    FROM (SELECT project_id, string_agg('`[' || {_CLOCK} || ']` **' || speaker || '**: ' || text || chr(10), chr(10) ORDER BY idx) AS body FROM {_SEGMENTS} GROUP BY project_id) r JOIN {_TOPICS} s ON r.project_id = s.project_id""")
+def export_markdown(t):
+    return exports.markdown(spoken(t), summaries(t))
+
+
+@query(f"""SELECT r.project_id, n, first, topic FROM (SELECT project_id, CAST(count(*) AS BIGINT) AS n, arg_min(text, idx) AS first FROM {_SEGMENTS} GROUP BY project_id) r JOIN {_TOPICS} s ON r.project_id = s.project_id""")
+def export_json(t):
+    """The exported documents, read back: their segments, the first one's text, and the summary's topic."""
+    body = F.from_json("body", "segments array<struct<start:double,end:double,text:string,speaker:string>>, summary struct<topic:string>")
+    return exports.json_document(spoken(t), summaries(t)).select("project_id", body.alias("d")).select("project_id", F.size("d.segments").cast("long").alias("n"), F.get("d.segments", 0)["text"].alias("first"), "d.summary.topic")
+
+
+_LINES = "list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+
+
+@query(f"""SELECT project_id, row_number() OVER (PARTITION BY project_id ORDER BY idx, k) - 1 AS idx, line AS text, speaker FROM
+    (SELECT project_id, idx, speaker, unnest({_LINES}) AS line, generate_subscripts({_LINES}, 1) AS k FROM {_SEGMENTS})""")
+def markdown_round_trip(t):
+    return exports.read_markdown(exports.speaker_markdown(spoken(t)), spoken(t)).select("project_id", "idx", "text", "speaker")
+
+
+# --- the knowledge base ---------------------------------------------------------------------------------------------
+
+_PACKED = f"""WITH RECURSIVE s AS (SELECT project_id, idx, speaker, start, "end", trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS x, row_number() OVER (PARTITION BY project_id ORDER BY idx) AS r FROM {_SEGMENTS} WHERE regexp_matches(text, '\\S')),
+    f AS (SELECT project_id, r, x, start, "end", speaker, length(x) + 1 AS held, 0 AS position FROM s WHERE r = 1
+      UNION ALL SELECT s.project_id, s.r, s.x, s.start, s."end", s.speaker, CASE WHEN f.held + length(s.x) > 500 THEN length(s.x) + 1 ELSE f.held + length(s.x) + 1 END,
+        f.position + CASE WHEN f.held + length(s.x) > 500 THEN 1 ELSE 0 END FROM f JOIN s ON s.project_id = f.project_id AND s.r = f.r + 1),
+    g AS (SELECT project_id, position, string_agg(x, ' ' ORDER BY r) AS text, CAST(min(start) AS DOUBLE) AS start_time, arg_min(speaker, r) AS speaker, arg_min("end", r) AS closes FROM f GROUP BY project_id, position)
+    SELECT project_id, CAST(position AS INT) AS position, text, start_time, CAST(lead(closes) OVER (PARTITION BY project_id ORDER BY position) AS DOUBLE) AS end_time, speaker FROM g"""
+
+
+@query(_PACKED)
+def segment_chunks(t):
+    return knowledge.segment_chunks(spoken(t))
+
+
+def indexed(t) -> tuple[DataFrame, DataFrame]:
+    """Documents are projects (those of source src0 folders) with their text as note; conversations are their segments."""
+    projects = t("documents").select(F.col("doc_id").alias("project_id"), (F.col("source") == "src0").alias("is_folder"), F.col("lang").alias("title"))
+    notes = t("documents").select(F.col("doc_id").alias("project_id"), "text")
+    briefs = t("benchmark").select(F.col("item_id").alias("project_id"), F.col("text").alias("raw_markdown"), F.lit("benchmark").alias("topic"))
+    files = t("benchmark").select(F.col("item_id").alias("project_id"), F.concat(F.lit("item-"), F.col("item_id"), F.lit(".txt")).alias("filename"), "text")
+    return projects, knowledge.index_chunks(projects, spoken(t), briefs, notes, files)
+
+
+def _chunk_counts(rows: str) -> str:
+    """Chunks of each text by the number of cuts, as chunk_text() makes them."""
+    mark = r"length(regexp_extract(substr(text, {at}, 50), '(?s)^.*[。！？.!?\n]'))"
+    return rf"""(WITH RECURSIVE d AS (SELECT *, length(text) AS n FROM {rows} WHERE regexp_matches(text, '\S')),
+      c AS (SELECT project_id, text, n, CAST(0 AS BIGINT) AS a, CASE WHEN n <= 500 THEN n ELSE 450 + CASE WHEN {mark.format(at=451)} > 0 THEN {mark.format(at=451)} ELSE 50 END END AS b FROM d
+        UNION ALL SELECT project_id, text, n, b - 50, CASE WHEN b + 450 >= n THEN n ELSE b + 400 + CASE WHEN {mark.format(at='b + 401')} > 0 THEN {mark.format(at='b + 401')} ELSE 50 END END FROM c WHERE b < n)
+      SELECT project_id, count(*) FILTER (regexp_matches(substr(text, a + 1, b - a), '\S')) AS k FROM c GROUP BY project_id)"""
+
+
+@query(f"""SELECT d.doc_id AS project_id, CAST(coalesce(s.k, 0) + coalesce(n.k, 0) + 2 * coalesce(b.k, 0) AS BIGINT) AS chunks FROM documents d
+    LEFT JOIN (SELECT project_id, count(*) AS k FROM ({_PACKED}) GROUP BY project_id) s ON d.doc_id = s.project_id
+    LEFT JOIN {_chunk_counts('(SELECT doc_id AS project_id, text FROM documents)')} n ON d.doc_id = n.project_id
+    LEFT JOIN {_chunk_counts('(SELECT item_id AS project_id, text FROM benchmark)')} b ON d.doc_id = b.project_id
+    WHERE d.source <> 'src0'""")
+def index_counts(t):
+    return knowledge.index_counts(*indexed(t))
+
+
+@query(f"SELECT CAST(sum(chunks) AS BIGINT) AS total, count(*) AS projects FROM (SELECT count(*) AS chunks, project_id FROM ({_PACKED}) GROUP BY project_id)")
+def index_total(t):
+    return knowledge.segment_chunks(spoken(t)).groupBy("project_id").count().agg(F.sum("count").alias("total"), F.count(F.lit(1)).alias("projects"))
+
+
+_Q = [((i * 29) % 17 - 8) / 10 for i in range(64)]
+_QSQL = "[" + ", ".join(map(str, _Q)) + "]::DOUBLE[]"
+_FOUND = f"""SELECT vec_id AS chunk_id, label AS project_id, n_name, d, row_number() OVER (ORDER BY d, label, vec_id) - 1 AS ordinal FROM
+    (SELECT vec_id, label, n_name, list_distance(CAST(embedding AS DOUBLE[]), {_QSQL}) AS d FROM embeddings LEFT JOIN nation ON label = n_nationkey) ORDER BY d, label, vec_id LIMIT 15"""
+
+
+def _found(t, fetch: int) -> DataFrame:
+    chunks = t("embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("project_id"), F.col("embedding").alias("vector"), F.lit("note").alias("source_type"), F.concat(F.lit("chunk "), F.col("vec_id")).alias("text"))
+    names = t("nation").select(F.col("n_nationkey").alias("project_id"), F.col("n_name").alias("title"))
+    return knowledge.search(chunks, F.array(*map(F.lit, _Q)), names, 5, fetch)
+
+
+@query(f"SELECT chunk_id, ordinal, coalesce(n_name, 'Unknown') AS project_title, round(d, 6) AS score FROM ({_FOUND})")
+def search_knowledge(t):
+    return _found(t, 15).select("chunk_id", "ordinal", "project_title", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT n.n_nationkey AS rank, f.chunk_id, CAST(1.0 / (1 + n.n_nationkey) AS DOUBLE) AS score FROM nation n JOIN ({_FOUND}) f ON f.ordinal = (n.n_nationkey * 7) % 19 WHERE n.n_nationkey < 5")
+def rerank_join(t):
+    """A reranker's answer of five ordinals, some of them beyond the rows found."""
+    key = F.col("n_nationkey")
+    ranking = t("nation").filter(key < 5).select(key.alias("rank"), ((key * 7) % 19).cast("long").alias("ordinal"), (F.lit(1.0) / (1 + key)).alias("relevance"))
+    return knowledge.reranked(_found(t, 15), ranking).select("rank", "chunk_id", "score")
+
+
+@query(f"""SELECT 'search' AS question, '相关内容：' || chr(10) || string_agg(chr(10) || '[' || coalesce(n_name, 'Unknown') || ' - note]' || chr(10) || 'chunk ' || chunk_id || chr(10), '' ORDER BY ordinal) AS context FROM ({_FOUND}) WHERE ordinal < 5""")
+def retrieved_context(t):
+    return knowledge.context(_found(t, 5).withColumn("question", F.lit("search")), ["question"])
+
+
+# --- corrections and alignment --------------------------------------------------------------------------------------
+
+
+@query(f"""SELECT project_id, idx, CASE WHEN idx % 3 = 0 AND trim(regexp_extract(text, '^[^\\n]*')) <> '' THEN 'late ' || trim(regexp_extract(text, '^[^\\n]*')) WHEN idx % 2 = 0 AND trim(regexp_extract(text, '^[^\\n]*')) <> '' THEN 'new ' || trim(regexp_extract(text, '^[^\\n]*')) ELSE text END AS text FROM {_SEGMENTS}""")
+def corrected_segments(t):
+    """Answers of two chunks, with thoughts before the numbered lines; the second chunk's word is the last."""
+    rows = spoken(t)
+    said = F.trim(F.regexp_extract("text", r"^[^\n]*", 0))
+    answer = lambda word: F.concat(F.lit("<think>[0] not this\n</think>\n["), F.col("idx"), F.lit(f"] {word} "), said)
+    one = rows.filter((F.col("idx") % 2 == 0) & (said != "")).select("project_id", F.lit(0).alias("chunk"), answer("new").alias("answer"))
+    two = rows.filter((F.col("idx") % 3 == 0) & (said != "")).select("project_id", F.lit(1).alias("chunk"), answer("late").alias("answer"))
+    return correction.corrected(rows, one.unionByName(two), ["project_id"]).select("project_id", "idx", "text")
+
+
+@query(r"""WITH RECURSIVE p AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '(?s)[^。！？.!?，,；;]*[。！？.!?，,；;]|[^。！？.!?，,；;]+$')) AS part, generate_subscripts(regexp_extract_all(text, '(?s)[^。！？.!?，,；;]*[。！？.!?，,；;]|[^。！？.!?，,；;]+$'), 1) AS k FROM conversations),
+    m AS (SELECT *, sum(CASE WHEN k = 1 OR length(regexp_replace(part, '^\s+|\s+$', '', 'g')) >= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn ORDER BY k) AS s FROM p)
+    SELECT conv_id, turn, CAST(s - 1 AS INT) AS place, string_agg(part, '' ORDER BY k) AS sentence FROM m GROUP BY conv_id, turn, s""")
+def split_sentences(t):
+    rows = t("conversations").filter("text <> ''")
+    return rows.select("conv_id", "turn", F.posexplode(tx.sentences(F.col("text"))).alias("place", "sentence"))
+
+
+_UNITS = r"CAST(len(regexp_extract_all(text, '[A-Za-z0-9]+')) AS BIGINT)"
+
+
+@query(f"""SELECT project_id, idx, CASE WHEN n > 0 THEN (e - n) * 0.5 END AS start, CASE WHEN n > 0 THEN (e - 1) * 0.5 + 0.4 END AS "end" FROM
+    (SELECT project_id, idx, {_UNITS} AS n, CAST(sum({_UNITS}) OVER (PARTITION BY project_id ORDER BY idx) AS BIGINT) AS e FROM {_SEGMENTS})""")
+def aligned_sentences(t):
+    """The items are a meeting's own units, one each half second. Texts without ideographs: the SQL counts other units only."""
+    rows = spoken(t).select("project_id", "idx", "text")
+    count = rows.groupBy("project_id").agg(F.sum(correction.units(F.col("text"))).alias("n")).filter("n > 0")
+    items = count.select("project_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("pos")).withColumns({"start": F.col("pos") * F.lit(0.5), "end": F.col("pos") * F.lit(0.5) + 0.4})
+    return correction.align(rows, items, ["project_id"]).select("project_id", "idx", "start", "end")
+
+
+@query(f"""WITH a AS (SELECT project_id, idx, start, "end", coalesce(sum(length(text)) OVER w, 0) AS c, sum(length(text)) OVER (PARTITION BY project_id) AS total, max("end") OVER (PARTITION BY project_id) AS last FROM {_SEGMENTS} WINDOW w AS (PARTITION BY project_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    anchors AS (SELECT project_id, c AS pos, min(start) AS time FROM a GROUP BY ALL UNION ALL SELECT DISTINCT project_id, total, last FROM a),
+    p AS (SELECT project_id, idx, c + 7.0 AS at FROM a),
+    b AS (SELECT p.project_id, p.idx, max(pos) AS p0, arg_max(time, pos) AS t0 FROM p JOIN anchors x ON p.project_id = x.project_id AND x.pos < p.at GROUP BY ALL),
+    f AS (SELECT p.project_id, p.idx, min(pos) AS p1, arg_min(time, pos) AS t1 FROM p JOIN anchors x ON p.project_id = x.project_id AND x.pos >= p.at GROUP BY ALL)
+    SELECT p.project_id, p.idx, round(CASE WHEN f.p1 IS NULL THEN b.t0 WHEN f.p1 = p.at OR b.p0 IS NULL THEN f.t1 ELSE b.t0 + (f.t1 - b.t0) * (p.at - b.p0) / (f.p1 - b.p0) END, 9) AS time
+    FROM p LEFT JOIN b USING (project_id, idx) LEFT JOIN f USING (project_id, idx)""")
+def interpolated_times(t):
+    """The time of the eighth character of each segment, and of those after it, from the segments' starts and the meeting's end."""
+    rows = ordered.char_offsets(spoken(t), ["project_id"], ["idx"], "text")
+    ends = rows.groupBy("project_id").agg(F.max_by(F.col("offset") + F.length("text"), "idx").cast("double").alias("pos"), F.max("end").alias("time"))
+    anchors = rows.select("project_id", F.col("offset").cast("double").alias("pos"), F.col("start").alias("time")).unionByName(ends)
+    points = rows.select("project_id", "idx", (F.col("offset") + 7.0).alias("at"))
+    return intervals.interpolate(points, anchors, ["project_id"]).select("project_id", "idx", F.round("time", 9).alias("time"))
+
+
+# --- cleaning and scores --------------------------------------------------------------------------------------------
+
+
+@query()
+def filtered_transcripts(t):
+    """The transcript clean-up as one plan: doubtful segments go, numbers are rewritten, fillers and repetitions removed."""
+    return clean(spoken(t).withColumn("confidence", F.lit(None).cast("double")), "en")
+
+
+def flagged(rows: DataFrame, language: str, sensitivity: str = "medium") -> DataFrame:
+    """Segments (project_id, idx, start, end, text, confidence) with `flag`: whether any of the five detectors, all of which see
+    the rows as they are, takes one for a hallucination."""
+    import pandas as pd
+
+    limits = fixed.SENSITIVITY[sensitivity]
+
+    def repeated(pdf: pd.DataFrame) -> pd.DataFrame:
+        flags = ordered.repeated_runs(pdf["plain"].fillna("").tolist(), ordered.char_similarity, limits["repetition_ratio"], limits["min_repetition_count"])
+        return pd.DataFrame({"project_id": pdf["project_id"], "idx": pdf["idx"], "_run": flags})
+
+    keys = rows.schema["project_id"].dataType.simpleString(), rows.schema["idx"].dataType.simpleString()
+    runs = ordered.fold(rows.select("project_id", "idx", tx.comparable(F.col("text")).alias("plain")), ["project_id"], ["idx"], repeated, f"project_id {keys[0]}, idx {keys[1]}, _run boolean")
+    timed = ordered.time_flags(rows, ["project_id"], ["idx"], limits["max_segment_duration"], limits["max_overlap_ratio"], "_time")
+    text = F.col("text")
+    cjk = language in ("zh", "yue", "wuu", "ja", "ko")
+    any_of = F.col("_run") | F.col("_time") | tx.template_phrase(text) | tx.language_switch(text, cjk) | tx.low_confidence(text, F.col("confidence"), limits["min_confidence"])
+    return timed.join(runs, ["project_id", "idx"]).withColumn("flag", F.coalesce(any_of, F.lit(False))).drop("_run", "_time")
+
+
+def clean(rows: DataFrame, language: str) -> DataFrame:
+    """The clean-up pipeline: detectors, then numbers (Chinese only), then fillers; segments left without text go."""
+    chinese = language in ("zh", "yue", "wuu", "min_nan", "gan", "hakka", "xiang")
+    kept = flagged(rows, language).filter(~F.col("flag")).drop("flag")
+    text = tx.numbers_rewritten(F.col("text")) if chinese else F.col("text")
+    return kept.withColumn("text", tx.filtered(text, chinese)).filter("trim(text) <> ''")
+
+
+@query()
+def compared_transcripts(t):
+    turns = segments(t).groupBy("project_id").agg(F.min_by("text", "idx").alias("a"), F.max_by("text", "idx").alias("b"))
+    return evaluation.compare_transcripts(turns, "a", "b", False).select("project_id", "winner", F.round("score_diff", 9).alias("score_diff"))
+
+
+@query()
+def summary_scores(t):
+    """Each meeting's first turn, scored as a summary against what the whole transcript says of quantities and tasks."""
+    rows = segments(t).groupBy("project_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), "\n").alias("all"), F.min_by("text", "idx").alias("first"))
+    none = F.array().cast("array<string>")
+    made = F.struct(F.col("first").alias("topic"), none.alias("conclusions"), F.array().cast("array<struct<task:string>>").alias("action_items"), F.array().cast("array<struct<topic:string,summary:string>>").alias("discussion"), none.alias("key_data"))
+    scored = evaluation.summary_scores(rows.select("project_id", made.alias("summary"), evaluation.automatic_reference(F.col("all")).alias("reference")))
+    return scored.select("project_id", "topic_coverage", "action_item_recall", "key_data_recall", "structural_score", F.round("overall_score", 9).alias("overall_score"))
+
+
+_LANGUAGES = "CASE event_id % 3 WHEN 0 THEN 'zh' WHEN 1 THEN 'en' ELSE 'de' END"
+
+
+@query(f"""SELECT event_id, CASE WHEN l = 'zh' AND m >= 3 THEN 'qwen3' WHEN l <> 'zh' AND m >= 1 THEN 'whisper' WHEN l = 'zh' AND m >= 2 THEN 'paraformer' WHEN l = 'zh' AND b THEN 'alibaba-asr' WHEN a THEN 'openai-whisper' WHEN b THEN 'alibaba-asr' ELSE 'whisper' END AS engine,
+    CASE WHEN l = 'zh' AND m >= 6 THEN 'qwen3-asr-1.7B' WHEN l = 'zh' AND m >= 3 THEN 'qwen3-asr-0.6B' WHEN l <> 'zh' AND m >= 6 THEN 'large-v3' WHEN l <> 'zh' AND m >= 4 THEN 'medium' WHEN l <> 'zh' AND m >= 2 THEN 'small' WHEN l <> 'zh' AND m >= 1 THEN 'base'
+      WHEN l = 'zh' AND m >= 2 THEN 'paraformer-large' WHEN l = 'zh' AND b THEN 'paraformer-v2' WHEN a THEN 'whisper-1' WHEN b THEN 'paraformer-v2' ELSE 'tiny' END AS model
+    FROM (SELECT event_id, {_LANGUAGES} AS l, value / 10 AS m, event_id % 5 = 0 AS a, event_id % 7 = 0 AS b FROM events)""")
+def recommended_engines(t):
+    i = F.col("event_id")
+    got = evaluation.recommended_engine(F.when(i % 3 == 0, "zh").when(i % 3 == 1, "en").otherwise("de"), F.col("value") / 10, i % 5 == 0, i % 7 == 0)
+    return t("events").select("event_id", got.alias("e")).select("event_id", "e.engine", "e.model")
+
+
+@query(r"SELECT doc_id, greatest(8000, CAST(ceil(length(text) * 1.8) AS BIGINT)) AS budget FROM documents")
+def token_budgets(t):
+    return t("documents").select("doc_id", tx.token_budget(F.col("text")).alias("budget"))
+
+
+@query("SELECT c_custkey, CAST(list_sum(list_transform(string_split(c_name, ''), lambda c: ascii(c))) % 8 AS INT) AS colour FROM customer")
+def speaker_colours(t):
+    return t("customer").select("c_custkey", tx.colour_index(F.col("c_name")).alias("colour"))
+
+
+@query("SELECT event_id, '会议 ' || strftime(ts, '%m-%d') || ' 周' || substr('日一二三四五六', CAST(dayofweek(ts) AS INT) + 1, 1) || strftime(ts, ' %H:%M') AS name FROM events")
+def meeting_names(t):
+    return t("events").select("event_id", tx.meeting_name(F.col("ts")).alias("name"))
+
+
+@query(r"SELECT doc_id, greatest(36.0, greatest(1, ceil((w * 12 + (length(text) - w) * 12 * CAST(0.55 AS DOUBLE)) / CAST(180 AS DOUBLE))) * 16.8 + 16) AS height FROM (SELECT doc_id, text, length(regexp_replace(text, '[^\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{3000}-\x{303F}\x{FF00}-\x{FFEF}]', '', 'g')) AS w FROM documents)")
+def node_heights(t):
+    return t("documents").select("doc_id", tx.node_height(F.col("text"), 12, 180, 16, 1.4, 36).cast("double").alias("height"))
+
+
+@query(r"SELECT conv_id, turn, regexp_replace(text, '[\x22\x27。.，,\n]', '', 'g') AS title FROM (SELECT conv_id, turn, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text FROM conversations) WHERE regexp_replace(text, '[\x22\x27。.，,\n]', '', 'g') = trim(regexp_replace(text, '[\x22\x27。.，,\n]', '', 'g'))")
+def clean_titles(t):
+    rows = t("conversations").select("conv_id", "turn", F.regexp_replace("text", r"^\s+|\s+$", "").alias("text"))
+    bare = F.regexp_replace("text", fixed.TITLE_MARKS, "")
+    return rows.filter(bare == F.trim(bare)).select("conv_id", "turn", tx.clean_title(F.col("text")).alias("title"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def fenced_answers(t):
+    answer = F.concat(F.lit("Here it is:\n```json\n"), F.col("props"), F.lit("\n```\nDone."))
+    return t("events").select("event_id", F.get_json_object(tx.fenced_json(answer), "$.k").cast("long").alias("k"))
+
+
+@query("SELECT event_id, event_type || '-' || event_id AS content FROM events")
+def streamed_completions(t):
+    """Bodies of a stream of two pieces, a malformed line between them and another one after its end."""
+    line = lambda c: F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(c.alias("content")).alias("delta"))).alias("choices"))), F.lit("\n"))
+    body = F.concat(line(F.col("event_type")), F.lit("data: {broken\n: ping\n"), line(F.concat(F.lit("-"), F.col("event_id").cast("string"))), F.lit("data: [DONE]\n"), line(F.lit("late")))
+    return t("events").select("event_id", tx.completion(body).alias("content"))
+
+
+# --- voiceprints ----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding[:32] AS DOUBLE[]), CAST(b.embedding[:32] AS DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = 0")
+def shorter_cosine(t):
+    v = vectors.doubles(F.col("embedding"))
+    first = t("embeddings").filter("vec_id = 0").select(F.slice(v, 1, 32).alias("short"))  # one row
+    return t("embeddings").join(F.broadcast(first), F.lit(True)).select("vec_id", F.round(vectors.cosine_shorter(v, F.col("short")), 6).alias("cosine"))
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)) / len(embedding)), 9) AS rms FROM embeddings")
+def vector_rms(t):
+    v = vectors.doubles(F.col("embedding"))
+    return t("embeddings").select("vec_id", F.round(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x) / F.size(v)), 9).alias("rms"))
+
+
+@query("SELECT e.vec_id, e.label, round(list_sum(list_transform(list_zip(CAST(e.embedding AS DOUBLE[]), c.m), lambda z: z[1] * z[2])) / sqrt(list_sum(list_transform(c.m, lambda x: x * x))), 6) AS along FROM embeddings e JOIN (SELECT label, list(m ORDER BY p) AS m FROM (SELECT label, p, avg(x) AS m FROM (SELECT label, generate_subscripts(embedding, 1) AS p, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY label, p) GROUP BY label) c ON e.label = c.label")
+def backfilled_centroids(t):
+    """Each label's centroid, back at all of its rows."""
+    mean = vectors.centroids(t("embeddings"), ["label"], "embedding").select("label", "centroid")
+    rows = t("embeddings").join(mean, "label")
+    return rows.select("vec_id", "label", F.round(vectors.dot(vectors.doubles(F.col("embedding")), F.col("centroid")), 6).alias("along"))
+
+
+def _voices(t) -> tuple[DataFrame, DataFrame]:
+    """Vectors of a batch are segments; the first of each label is a voiceprint, those of even labels never learned."""
+    v = t("embeddings").filter("label is not null").select("vec_id", "label", vectors.doubles(F.col("embedding")).alias("v"))
+    known = v.groupBy("label").agg(F.min("vec_id").alias("lid"), F.min_by("v", "vec_id").alias("lvec"))
+    library = known.select("lid", F.concat(F.lit("speaker "), "label").alias("name"), "lvec", F.when(F.col("label") % 2 == 0, 0).otherwise(3).alias("n"))
+    return v.select(F.floor(F.col("vec_id") / 256).alias("batch"), F.col("vec_id").alias("qid"), F.col("v").alias("qvec")), library
+
+
+@query()
+def enrolled_voiceprints(t):
+    queries, library = _voices(t)
+    return vectors.match_or_enrol(queries, library, 0.55)
+
+
+@query()
+def learned_voiceprints(t):
+    queries, library = _voices(t)
+    best = vectors.best_match(queries.select("qid", "qvec"), library.filter("n > 0").select("lid", "lvec"), 0.55).filter("matched")
+    got = vectors.learned_voiceprints(best.select("qid", "lid"), queries, library)
+    return got.select("lid", "n", F.round(vectors.norm(F.col("lvec")), 6).alias("norm"))
+
+
+@query()
+def spectral_speakers(t):
+    rows = t("embeddings").select(F.floor(F.col("vec_id") / 64).alias("recording"), "vec_id", "embedding")
+    return vectors.spectral_speakers(rows, ["recording"], "vec_id", "embedding")
+
+
+# --- changes of the store -------------------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders UNION ALL SELECT 0, 1.5")
+def insert_project(t):
+    new = t("region").limit(1).select(F.lit(0).cast("long").alias("o_orderkey"), F.lit(1.5).alias("o_totalprice"))
+    return t("orders").select("o_orderkey", "o_totalprice").unionByName(new)
+
+
+@query("SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
+def delete_folder(t):
+    """A region goes with all its nations and customers; what refers to them goes, too."""
+    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    nodes = t("region").select(key("r", "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent_id")).unionByName(t("nation").select(key("n", "n_nationkey").alias("id"), key("r", "n_regionkey").alias("parent_id")))
+    left = relational.delete_subtree(nodes, "r1", {"customers": (t("customer").withColumn("node", key("n", "c_nationkey")), "node")})
+    return left["customers"].select("c_custkey")
+
+
+@query("SELECT c_custkey, CASE WHEN c_nationkey <> 3 THEN CAST(c_nationkey AS VARCHAR) END AS nation FROM customer")
+def delete_voiceprint(t):
+    gone = t("nation").filter("n_nationkey = 3").select(F.col("n_nationkey").alias("id"))
+    return relational.unlinked(t("customer").select("c_custkey", F.col("c_nationkey").alias("nation")), "nation", gone).withColumn("nation", F.col("nation").cast("string"))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT (l_orderkey = 1 AND l_linenumber = 1)")
+def delete_attachment(t):
+    gone = t("lineitem").filter("l_orderkey = 1 and l_linenumber = 1").select("l_orderkey", "l_linenumber")
+    return t("lineitem").select("l_orderkey", "l_linenumber").join(gone, ["l_orderkey", "l_linenumber"], "left_anti")
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE label IS DISTINCT FROM 1 UNION ALL SELECT vec_id + 1000000000, label FROM embeddings WHERE label = 1")
+def reindexed_vectors(t):
+    """A project's vectors are deleted, and its new ones appended."""
+    rows = t("embeddings").select("vec_id", "label")
+    kept = rows.filter(~F.col("label").eqNullSafe(F.lit(1)))
+    return kept.unionByName(rows.filter("label = 1").withColumn("vec_id", F.col("vec_id") + 1_000_000_000))
+
+
+@query(f"SELECT project_id, idx, start FROM {_SEGMENTS} s WHERE s.start < 8 OR NOT EXISTS (SELECT 1 FROM {_SEGMENTS} n WHERE n.project_id = s.project_id AND n.idx = 2) UNION ALL SELECT project_id, idx + 100, start FROM {_SEGMENTS} WHERE idx >= 2 AND project_id IN (SELECT project_id FROM {_SEGMENTS} WHERE idx = 2)")
+def kept_prefix(t):
+    rows = spoken(t).select("project_id", "idx", "start")
+    having = rows.filter("idx = 2").select("project_id")
+    new = rows.filter("idx >= 2").join(having, "project_id", "left_semi").withColumn("idx", F.col("idx") + 100)
+    return ordered.keep_prefix(rows, new, ["project_id"])
+
+
+@query(f'SELECT project_id, idx // 3 AS paragraph, min(start) AS start, max("end") AS "end" FROM {_SEGMENTS} GROUP BY ALL')
+def paragraph_bounds(t):
+    rows = spoken(t).withColumn("paragraph", F.floor(F.col("idx") / 3))
+    return ordered.paragraph_bounds(rows, ["project_id"], "idx", "paragraph")
+
+
+@query(f"SELECT project_id, speaker, min(start) AS start, max(\"end\") AS \"end\" FROM (SELECT *, sum(c) OVER (PARTITION BY project_id ORDER BY start) AS g FROM (SELECT *, CASE WHEN speaker IS DISTINCT FROM lag(speaker) OVER (PARTITION BY project_id ORDER BY start) THEN 1 ELSE 0 END AS c FROM {_SEGMENTS} WHERE speaker IS NOT NULL)) GROUP BY project_id, speaker, g")
+def merged_windows(t):
+    return ordered.merge_windows(spoken(t), ["project_id"], "speaker").select("project_id", "speaker", "start", "end")
+
+
+@query(f"SELECT project_id, idx, text, role FROM (SELECT s.*, row_number() OVER (PARTITION BY project_id ORDER BY idx) AS r FROM {_SEGMENTS} s) LEFT JOIN (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations WHERE turn % 2 = 0) o ON project_id = conv_id AND o.r = r".replace("ON project_id = conv_id AND o.r = r", "ON project_id = conv_id AND o.r = s2.r").replace(f"FROM {_SEGMENTS} s) LEFT", f"FROM {_SEGMENTS} s) s2 LEFT"))
+def zipped_segments(t):
+    others = segments(t).filter("idx % 2 = 0").select("project_id", "idx", F.col("speaker").alias("role"))
+    return relational.zipped(spoken(t), others, ["project_id"], "idx", "role").select("project_id", "idx", "text", "role")
+
+
+@query("SELECT n_nationkey, n_regionkey = 0 AS is_folder FROM nation ORDER BY is_folder DESC, n_nationkey")
+def folders_first(t):
+    return t("nation").select("n_nationkey", (F.col("n_regionkey") == 0).alias("is_folder")).orderBy(F.desc("is_folder"), "n_nationkey")
+
+
+@query("SELECT doc_id FROM documents WHERE source IS DISTINCT FROM 'src0'")
+def projects_only(t):
+    return t("documents").filter(~F.coalesce(F.col("source") == "src0", F.lit(False))).select("doc_id")
+
+
+@query("SELECT event_type, array_to_string(list_sort(list(DISTINCT user_id)), ' ') AS users FROM events GROUP BY event_type")
+def grouped_by_type(t):
+    return t("events").groupBy("event_type").agg(F.array_join(F.array_sort(F.collect_set("user_id")), " ").alias("users"))
+
+
+@query("SELECT event_id, 15 + 0.85 * value AS progress, CAST(floor(value / 30) AS BIGINT) AS chunk FROM events")
+def job_progress(t):
+    return t("events").select("event_id", (15 + 0.85 * F.col("value")).alias("progress"), F.floor(F.col("value") / 30).alias("chunk"))
+
+
+@query(f"SELECT conv_id AS project_id, count(*) FILTER (length(text) = 0) > 0.8 * count(*) OR avg(length(text)) > 2 * 40 AS split FROM conversations GROUP BY conv_id")
+def sentence_split_needed(t):
+    """Whether a meeting's segments are to be cut into sentences: most have no duration, or they are far longer than its turns.
+    A text's length stands for its duration, and turns are of forty."""
+    long = F.avg(F.length("text")) > 2 * 40
+    return segments(t).groupBy("project_id").agg(((F.count_if(F.length("text") == 0) > 0.8 * F.count(F.lit(1))) | long).alias("split"))
+
+
+@query("SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[0-9]{2,}'))), ' '), '') AS numbers FROM documents WHERE text IS NOT NULL")
+def distinct_numbers(t):
+    return t("documents").filter("text is not null").select("doc_id", F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit("[0-9]{2,}"), F.lit(0)))), " ").alias("numbers"))
+
+
+@query(f"SELECT project_id, CAST(idx AS BIGINT) AS seq, CASE WHEN idx = last THEN 'done' ELSE 'token' END AS event, text AS data FROM (SELECT *, max(idx) OVER (PARTITION BY project_id) AS last FROM {_SEGMENTS})")
+def event_stream(t):
+    last = segments(t).groupBy("project_id").agg(F.max("idx").alias("last"))
+    rows = segments(t).join(last, "project_id")
+    return rows.select("project_id", F.col("idx").alias("seq"), F.when(F.col("idx") == F.col("last"), "done").otherwise("token").alias("event"), F.col("text").alias("data"))
+
+
+@query("SELECT event_id, CAST(epoch_us(ts) // 30000000 AS BIGINT) AS tick FROM events")
+def persist_ticks(t):
+    """The half minute at whose end each event of a stream is persisted."""
+    return t("events").select("event_id", F.floor(micros() / 30_000_000).alias("tick"))
+
+
+@query(f"SELECT conv_id, turn, {sql_any('lower(text)', fixed.MARKERS_ZH)} AS marked FROM conversations")
+def topic_markers_zh(t):
+    return t("conversations").select("conv_id", "turn", tx.any_of(F.lower("text"), fixed.MARKERS_ZH).alias("marked"))

@@ -47,10 +47,31 @@ def one(spark, column, **values):
         (tx.mime_type, "a.b.PDF", "application/pdf"),
         (tx.mime_type, "noext", "application/octet-stream"),
         (tx.number_issues_zh, "开会1个月", 2),
+        (lambda c: tx.language_switch(c, True), "a b c d e f g h i j k l", False),
+        (lambda c: tx.language_switch(c, False), "㐀㐁㐂豈𠀀𠀁", True),
+        (lambda c: tx.remove_fillers_en(c, middle=False), "Um, uh; so we start", "we start"),
+        (lambda c: tx.remove_fillers_en(c, middle=False), "Umbrella, so", "Umbrella, so"),
+        (lambda c: tx.remove_fillers_en(c, "light"), "so um we uh huh go", "so  we  go"),
+        (lambda c: tx.remove_fillers_zh(c, "medium", True), "嗯，就是我们那个开会", "我们开会"),
+        (lambda c: tx.filtered(c, True, "heavy"), "嗯", ""),
+        (lambda c: tx.merge_repeats_en(c, 3), "the the cat cat cat", "the the cat"),
+        (tx.repetition_density_zh, "对对对好", 0.75),
+        (tx.sentences, "你好，我是A. B!", ["你好，", "我是A.", " B!"]),
+        (tx.sentences, "好。。", ["好。。"]),
+        (tx.sentences, "", [""]),
+        (tx.fenced_json, 'x ```json\n{"a": 1}\n``` y', '{"a": 1}'),
+        (tx.fenced_json, ' {"a": 1} ', '{"a": 1}'),
+        (tx.clean_title, ' "季度，预算。" ', "季度预算"),
+        (tx.completion, '{"choices": [{"message": {"content": "hi"}}]}', "hi"),
+        (tx.completion, 'data: {"choices":[{"delta":{"content":"a"}}]}\ndata: oops\n\ndata: [DONE]\ndata: {"choices":[{"delta":{"content":"b"}}]}', "a"),
+        (tx.token_budget, "x" * 10_000, 18_000),
+        (tx.colour_index, "AB", 3),
+        (tx.numbered_lines, "<think>[9] no</think>[0] one\n[1]  two \nnoise", [(0, "one"), (1, "two")]),
     ],
 )
 def test_text(spark, f, given, want):
-    assert one(spark, f(F.col("t")), t=given) == want
+    got = one(spark, f(F.col("t")), t=given)
+    assert (list(map(tuple, got)) if isinstance(got, list) and got and not isinstance(got[0], str) else got) == want
 
 
 def test_similarity(spark):
@@ -73,32 +94,73 @@ def test_folds():
     assert ordered.paragraphs([0, 1.1], [1, 2], ["另外", "另外"], ("另外",), "semantic") == [0, 0]
     assert ordered.paragraphs([0, 10.1, 25], [10, 20, 30], ["a", "b", "c"], (), "hybrid") == [0, 0, 1]
     assert ordered.paragraphs([0, 5], [1, 6], ["a", "另外"], ("另外",), "hybrid") == [0, 0]
-    assert ordered.repeated_runs(["开会讨论"] * 3 + ["下一个议题"], lambda a, b: float(a == b), 0.6, 3) == [False, True, True, False]
-    assert ordered.overlap_flags([0, 0.1, 3, 3], [2, 2, 3, 5], 0.7) == [False, True, False, False]
+    runs = lambda *texts: ordered.repeated_runs(list(texts), ordered.char_similarity, 0.6, 3)
+    assert runs(*["开会讨论"] * 3, "下一个议题") == [False, True, True, False]
+    assert runs("今天讨论项目进展", "明天讨论技术方案") == [False, False] and runs("", "", "") == [False] * 3
+    assert runs("abcde", "abcdx", "abcxy") == [False, True, True]  # each like the first, not like each other
     assert ordered.pack_lines([3, 3, 3, 20, 1], 7) == [0, 0, 1, 2, 3]
 
 
+def speaker_at(turns, t):
+    """The rule of a sorted timeline, restated: the latest holding turn, else the nearer of the two around t."""
+    turns = sorted(turns, key=lambda u: u[1])
+    at = sum(u[1] <= t for u in turns)
+    for u in reversed(turns[:at]):
+        if u[1] <= t <= u[2]:
+            return u[4]
+    near = [(min(abs(t - u[1]), abs(t - u[2])), k, u[4]) for k, u in enumerate(turns[max(at - 1, 0) : at + 1])]
+    return min(near)[2] if near else None
+
+
 def test_turns_and_interpolation(spark):
     rng = random.Random(3)
-    turns = [(m, s, s + rng.choice([1, 3, 8]), p, f"s{p % 4}") for m in (1, 2) for p, s in enumerate(sorted(rng.randint(0, 40) for _ in range(8)))]
-    points = [(m, i, i * 1.5 - 3) for m in (1, 2, 3) for i in range(35)]
-    t = spark.createDataFrame(turns, "m long, start double, end double, pos long, speaker string") if False else spark.createDataFrame([(a, float(b), float(c), d, e) for a, b, c, d, e in turns], "m long, start double, end double, pos long, speaker string")
+    turns = [(m, float(s), float(s + rng.choice([1, 3, 8])), p, f"s{p % 4}") for m in (1, 2) for p, s in enumerate(sorted(rng.randint(0, 40) for _ in range(8)))]
+    turns += [(4, 0.0, 10.0, 0, "A"), (4, 5.0, 6.0, 1, "B"), (4, 20.0, 21.0, 2, "C")]
+    points = [(m, i, i * 1.5 - 3) for m in (1, 2, 3) for i in range(35)] + [(4, 0, 10.5), (4, 1, 5.5), (4, 2, 7.0), (4, 3, 99.0)]
+    t = spark.createDataFrame(turns, "m long, start double, end double, pos long, speaker string")
     p = spark.createDataFrame(points, "m long, idx long, t double")
-    for first in (False, True):
-        got = {(r.m, r.idx): r.speaker for r in intervals.assign_turns(p, t, ["m"], first).collect()}
-        for m, i, x in points:
-            own = [u for u in turns if u[0] == m]
-            inside = [u for u in own if u[1] <= x <= u[2]]
-            best = (min(inside, key=lambda u: u[3]) if first else max(inside, key=lambda u: (u[1], -u[3]))) if inside else min(own, key=lambda u: (min(abs(x - u[1]), abs(x - u[2])), u[3])) if own else None
-            assert got[m, i] == (best[4] if best else None)
-    a = spark.createDataFrame([(1, 0.0, 10.0), (1, 10.0, 20.0), (1, 30.0, 60.0)], "m long, pos double, time double")
-    q = spark.createDataFrame([(1, x) for x in (-5.0, 0.0, 5.0, 10.0, 20.0, 99.0)], "m long, at double")
-    assert [r.time for r in intervals.interpolate(q, a, ["m"]).orderBy("at").collect()] == [10.0, 10.0, 15.0, 20.0, 40.0, 60.0]
+    got = {(r.m, r.idx): r.speaker for r in intervals.assign_turns(p, t, ["m"]).collect()}
+    linear = {(r.m, r.idx): r.speaker for r in intervals.assign_turns_linear(p, t, ["m"]).collect()}
+    for m, i, x in points:
+        own = [u for u in turns if u[0] == m]
+        assert got[m, i] == speaker_at(own, x)
+        inside = [u for u in own if u[1] <= x <= u[2]]
+        best = min(inside, key=lambda u: u[3]) if inside else min(own, key=lambda u: (min(abs(x - u[1]), abs(x - u[2])), u[3])) if own else None
+        assert linear[m, i] == (best[4] if best else None)
+    assert got[4, 0] == "B" and linear[4, 0] == "A"
+    rows = spark.createDataFrame([(3, 0, 0.0, 1.0, "own"), (4, 0, 5.0, 6.0, "own")], "m long, idx long, start double, end double, speaker string")
+    assert {r.m: r.speaker for r in intervals.assign_speakers(rows, t, ["m"]).collect()} == {3: "own", 4: "B"}
+    a = spark.createDataFrame([(1, 0.0, 10.0), (1, 10.0, 20.0), (1, 10.0, 25.0), (1, 30.0, 60.0)], "m long, pos double, time double")
+    q = spark.createDataFrame([(1, k, x) for k, x in enumerate((-5.0, 0.0, 5.0, 10.0, 20.0, 99.0))], "m long, idx long, at double")
+    assert [r.time for r in intervals.interpolate(q, a, ["m"]).orderBy("at").collect()] == [10.0, 10.0, 15.0, 20.0, 42.5, 60.0]
+
+
+def test_time_flags(spark):
+    rows = [(0, 0.0, 2.0), (1, 0.1, 2.0), (2, 0.2, 2.0), (3, 5.0, 3.0), (4, 6.0, 200.0), (5, 6.0, 200.0), (6, 300.0, 300.0), (7, 300.0, 301.0)]
+    df = spark.createDataFrame([("m", *r) for r in rows], "k string, i long, start double, end double")
+    got = [r.odd for r in ordered.time_flags(df, ["k"], ["i"], 90.0, 0.7).orderBy("i").collect()]
+    assert got == [False, True, False, True, True, True, False, False]
+
+
+def test_deep_trees_and_cycles(spark):
+    chain = spark.createDataFrame([(f"n'{k}", f"n'{k - 1}" if k else None) for k in range(70)], "id string, parent_id string")
+    assert relational.subtree(chain, "n'0").count() == 70 and relational.subtree(chain, "none").count() == 0
+    with pytest.raises(Exception, match="RECURSION"):
+        relational.subtree(spark.createDataFrame([("a", "b"), ("b", "a")], "id string, parent_id string"), "a", levels=5).collect()
+
+
+def test_best_match_keeps_all_queries(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 2)
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, None), (4, [0.0, 2.0]), (5, [-1.0, -1.0])], "qid long, qvec array<double>")
+    lib = spark.createDataFrame([(k, v) for k, v in ((7, [1.0, 0.1]), (8, [1.0, 0.1]), (9, [0.0, 1.0]), (6, [0.5, 0.5]))], "lid long, lvec array<double>")
+    got = {r.qid: (r.lid, r.matched) for r in vectors.best_match(q, lib, 0.9).collect()}
+    assert got == {1: (7, True), 2: (None, False), 3: (None, False), 4: (9, True), 5: (9, False)}
 
 
 def test_vectors(spark):
     labels = vectors.spectral_labels([[1, 0, 0], [0, 1, 0], [1, 0.1, 0], [0.1, 1, 0]])
     assert labels[0] == labels[2] != labels[1] == labels[3]
+    assert vectors.spectral_labels([[1, 0], [1, 0.1]]) == {0: 0, 1: 1} and len(vectors.spectral_labels([[0, 0], [1, 0], [0, 1]])) == 3
     assert vectors.spectral_labels([[1, 0]]) == {0: 0} and vectors.spectral_labels([]) == {} and 1 not in vectors.spectral_labels([[1, 0], None, [0, 1]])
     assert vectors.greedy_clusters([np.array(v, float) for v in ([1, 0], [0, 1], [1, 0.1], [0, 2])], 0.9) == [0, 1, 0, 1]
     df = spark.createDataFrame([([3.0, 4.0], [1.0])], "a array<double>, b array<double>")
