@@ -91,12 +91,12 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", id_col: str
     Null sources are the source ''. Null texts have no tokens. Rows that repeat id and text share a block, hence their
     number of copies. Input columns named like an output are replaced; an empty table gives an empty table.
     """
-    plan = mixing_plan(docs, source, text, id_col, seed=seed, **targets).select("_s", "mix_weight", "mix_epochs", "whole", "blocks", "cutoff")
-    rows = without(docs, [*OUT, "_s", "_o", "whole", "blocks", "cutoff"]).withColumn("_s", F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")))
+    plan = mixing_plan(docs, source, text, id_col, seed=seed, **targets).select("_s", "mix_weight", "mix_epochs", *[F.col(c).alias(f"_{c}") for c in ("whole", "blocks", "cutoff")])
+    rows = without(docs, [*OUT, "_s", "_whole", "_blocks", "_cutoff"]).withColumn("_s", F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")))
     out = rows.join(plan, "_s")  # a small written table: broadcast while its size allows, else a split join
-    out = out.withColumns({"n_tokens": tokens(text), "block": F.pmod(_hash(id_col, text, seed), F.col("blocks"))})
-    extra = F.coalesce(_order("_s", "block", seed) <= F.col("cutoff"), F.lit(False)).cast("long")
-    return out.withColumn("copies", F.col("whole") + extra).drop("_s", "whole", "blocks", "cutoff")
+    out = out.withColumns({"n_tokens": tokens(text), "block": F.pmod(_hash(id_col, text, seed), F.col("_blocks"))})
+    extra = F.coalesce(_order("_s", "block", seed) <= F.col("_cutoff"), F.lit(False)).cast("long")
+    return out.withColumn("copies", F.col("_whole") + extra).drop("_s", "_whole", "_blocks", "_cutoff")
 
 
 def realise(mixed: DataFrame) -> DataFrame:

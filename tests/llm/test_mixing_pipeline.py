@@ -53,6 +53,12 @@ def test_weights_and_copies(spark, entropy, repeats):
     assert mixing.realise(mixing.mix(df, entropy=entropy, repeats=repeats)).count() == sum(r.copies for r in got)
 
 
+def test_columns_named_like_inner_ones_stay(spark):
+    df = spark.createDataFrame([(1, "x y", "a", "b", "w", "c")], "doc_id long, text string, source string, blocks string, whole string, cutoff string")
+    got = mixing.mix(df).first()
+    assert (got.blocks, got.whole, got.cutoff) == ("b", "w", "c")
+
+
 def test_budget_nulls_and_empty(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (None, "x y", None), (3, "x y z", "c"), (3, "x y z", "c")], "doc_id long, text string, source string")
     assert mixing.mix(df).count() == 5 and mixing.mix(df.limit(0)).count() == 0
@@ -80,3 +86,34 @@ def test_pipeline(spark, small):
     for r in out:
         assert hashlib.sha256(clean[r.doc_id].text.encode()).hexdigest() == r.decoded_sha256
     assert len(docs) >= len(clean) > 0.5 * len(docs)
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept string, COPIES string, n_tokens string, blocks string"
+
+
+def odd_documents(spark):
+    prose = " ".join(f"word{k} thing{k * 7 % 101}" for k in range(60))
+    texts = [None, "", " \n", prose, prose, prose + " end", prose.upper(), prose.replace("word3 ", "word3 token=abcdef123456 "), "long " + " ".join(f"w{k}" for k in range(200_000)), "same same same " * 40]
+    rows = [(k if k % 5 else None, t, None if k % 4 == 0 else "en", None if k % 3 == 0 else f"s{k % 2}", None if k % 2 else 7, "x", "x", "x", "x") for k, t in enumerate(texts)]
+    rows += [rows[3], (3, prose, "en", "s1", 7, "x", "x", "x", "x"), (None,) * 9]
+    return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_on_odd_rows(spark, small, name, stage):
+    docs = odd_documents(spark)
+    got = stage(spark, docs, small)
+    if stage is not corpus_pipeline.pieces:
+        assert got.columns == corpus_pipeline.COLUMNS
+    rows = got.collect()
+    if stage is corpus_pipeline.quality_rules:
+        assert rows and all(r.text and len(r.text.split()) >= 50 for r in rows) and not any(r.text.startswith("same") for r in rows)
+    elif stage is corpus_pipeline.near_dedup:
+        assert Counter(r.text for r in rows)[None] == 2 and {r.doc_id for r in rows if "word7" in (r.text or "").lower()} <= {3, 7}  # rows that repeat id and text stay together
+    elif stage is corpus_pipeline.secrets:
+        assert len(rows) == docs.count() and not any("abcdef123456" in (r.text or "") for r in rows)
+    elif stage is corpus_pipeline.mixture:
+        assert {r.text for r in rows} == {r.text for r in docs.collect()} and docs.count() <= len(rows) <= 2 * docs.count()
+    else:
+        assert len(rows) == docs.count() and all(r.n_tokens == len(r.piece_ids) and r.piece_ids[-1] == 2 for r in rows)
+    assert stage(spark, docs.limit(0), small).count() == 0
