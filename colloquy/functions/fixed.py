@@ -60,6 +60,7 @@ TITLE_MARKS = "[\"'。.，,\n]"
 WEEKDAYS = "日一二三四五六"
 QUANTITIES = "[0-9一二三四五六七八九十百千万]+[美金元块%年月日天个台]+"
 IMPERATIVES = "(?:你|我们|他)(?:先|要|去|可以|需要|应该)[^，。！？\n]{4,30}"
+PHRASE_ZH = "[\\x{4E00}-\\x{9FA5}]{4,}"
 STOP_WORDS = ["的", "了", "是", "在", "和", "与", "或", "这", "那", "个", "把", "被"]
 SUMMARY_WEIGHTS = {"topics": 0.35, "actions": 0.30, "data": 0.20, "structure": 0.15}
 LOCAL_ENGINES = {"zh": [(6.0, "qwen3", "qwen3-asr-1.7B"), (3.0, "qwen3", "qwen3-asr-0.6B"), (2.0, "paraformer", "paraformer-large")], "other": [(6.0, "whisper", "large-v3"), (4.0, "whisper", "medium"), (2.0, "whisper", "small"), (1.0, "whisper", "base")]}

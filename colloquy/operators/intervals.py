@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import fixed
+
 
 SPAN = 60.0  # seconds; a turn is held against the points of each span it touches
 
@@ -71,3 +74,28 @@ def interpolate(points: DataFrame, anchors: DataFrame, keys: list[str]) -> DataF
     near = _neighbours(points.withColumn("t", F.col("at").cast("double")), events, keys, True)
     mid = F.col("before.time") + (F.col("after.time") - F.col("before.time")) * F.try_divide(F.col("t") - F.col("before.pos"), F.col("after.pos") - F.col("before.pos"))
     return near.select(*keys, "idx", F.col("t").alias("at"), F.coalesce(F.when(F.col("after.pos") == F.col("t"), F.col("after.time")), mid, "before.time", "after.time").alias("time"))
+
+
+def common_length(a: str, b: str, most: int = 20) -> int:
+    """The length of the longest string that both hold, most at the most."""
+    short, long = sorted((a, b), key=len)
+    for n in range(min(len(short), most), 0, -1):
+        if any(short[i : i + n] in long for i in range(len(short) - n + 1)):
+            return n
+    return 0
+
+
+def locate(items: DataFrame, segments: DataFrame, key: str) -> DataFrame:
+    """items (key, item, text) with the start of the segment (key, idx, start, text) of their meeting that says most of them: the
+    lengths of the item's long words that it holds, and twice that of the longest string they share; the first of equals, none for 0."""
+
+    @F.pandas_udf("int")
+    def shared(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([common_length(x, y) for x, y in zip(a, b)])
+
+    words = F.array_distinct(F.concat(F.regexp_extract_all("_a", F.lit(fixed.PHRASE_ZH), F.lit(0)), F.regexp_extract_all("_a", F.lit("[a-z]{4,}"), F.lit(0))))
+    both = items.select(key, "item", F.lower("text").alias("_a")).join(segments.select(key, "idx", "start", F.lower("text").alias("_b")), key)
+    said = F.aggregate(F.filter(words, lambda w: F.contains(F.col("_b"), w)), F.lit(0), lambda s, w: s + F.length(w))
+    scored = both.withColumn("_score", said + 2 * shared(F.coalesce("_a", F.lit("")), F.coalesce("_b", F.lit("")))).filter("_score > 0")
+    best = scored.groupBy(key, "item").agg(F.max_by("start", F.struct("_score", -F.col("idx"))).alias("start"))
+    return items.join(best, [key, "item"], "left")

@@ -158,3 +158,21 @@ def pack_lines(lengths, limit: int, joiner: int = 1) -> list[int]:
             size += joiner + n
         out.append(number)
     return out
+
+
+def aligner_windows(starts, ends, most: float = 240.0) -> list[int]:
+    """Window numbers of one recording's sentences: a window takes sentences while the last one ends within so many seconds of the
+    window's start."""
+    out, number, begin = [], 0, None
+    for s, e in zip(starts, ends):
+        if begin is not None and e - begin > most:
+            number, begin = number + 1, s
+        begin = s if begin is None else begin
+        out.append(number)
+    return out
+
+
+def window_bounds(rows: DataFrame, keys: list[str], window: str, length: Column, margin: float = 5.0) -> DataFrame:
+    """The stretch of the recording that each window is aligned on, with a margin on both sides."""
+    bounds = rows.groupBy(*keys, window).agg(F.min("start").alias("a"), F.max_by("end", "start").alias("b"), F.max(length).alias("_length"))
+    return bounds.select(*keys, window, F.greatest(F.col("a") - margin, F.lit(0.0)).alias("start"), F.least(F.col("b") + margin, F.col("_length")).alias("end"))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as tx
-from ..operators import correction, evaluation, exports, intervals, knowledge, ordered, relational, vectors
+from ..operators import audio, correction, evaluation, exports, intervals, knowledge, ordered, relational, vectors
+from ..sources import store
 from .catalog import micros, query, segments, sql_any
 
 _SEGMENTS = "(SELECT conv_id AS project_id, turn AS idx, role AS speaker, text, turn * 4.0 AS start, turn * 4.0 + 3.0 AS \"end\" FROM conversations)"
@@ -471,3 +472,102 @@ def persist_ticks(t):
 @query(f"SELECT conv_id, turn, {sql_any('lower(text)', fixed.MARKERS_ZH)} AS marked FROM conversations")
 def topic_markers_zh(t):
     return t("conversations").select("conv_id", "turn", tx.any_of(F.lower("text"), fixed.MARKERS_ZH).alias("marked"))
+
+
+# --- audio and recognisers ------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(trunc(x * 1000) AS BIGINT)) AS a FROM embeddings),
+    m AS (SELECT vec_id, list_transform(range(32), lambda i: CAST(trunc((a[2 * i + 1] + a[2 * i + 2]) / 2) AS BIGINT)) AS mono, a FROM s),
+    r AS (SELECT vec_id, list_transform(range(16), lambda i: mono[2 * i + 1]) AS r, a FROM m)
+    SELECT vec_id, CAST(list_sum(list_transform(range(64), lambda i: CAST(trunc((a[i + 1] + coalesce(r[i + 1], 0)) / 2) AS BIGINT))) AS BIGINT) AS total FROM r""")
+def mixed_samples(t):
+    """Each vector as samples, mixed with itself as stereo at twice the rate."""
+    a = F.transform("embedding", lambda x: F.when(x < 0, -F.floor(F.abs(x * 1000.0))).otherwise(F.floor(x * 1000.0)))
+    other = audio.resampled(audio.mono(F.col("a"), 2), 2, 1)
+    total = F.aggregate(audio.mixed(F.col("a"), other), F.lit(0).cast("long"), lambda s, x: s + x)
+    return t("embeddings").withColumn("a", a).select("vec_id", total.alias("total"))
+
+
+_ENERGY = """WITH e AS (SELECT vec_id, list_transform(range(21), lambda i: sqrt(list_sum(list_transform(CAST(embedding[3 * i + 1 : 3 * i + 3] AS DOUBLE[]), lambda x: x * x)) / 3)) AS e FROM embeddings),
+    h AS (SELECT vec_id, e, list_sort(e)[7] + 0.25 * (list_sort(e)[20] - list_sort(e)[7]) AS least FROM e),
+    f AS (SELECT vec_id, unnest(range(21)) AS i, unnest(e) AS x, least FROM h),
+    g AS (SELECT vec_id, i, sum(CASE WHEN i - p - 1 >= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY vec_id ORDER BY i) AS g FROM (SELECT vec_id, i, lag(i) OVER (PARTITION BY vec_id ORDER BY i) AS p FROM f WHERE x > least)),
+    r AS (SELECT vec_id, min(i) AS a, CASE WHEN 21 - max(i) - 1 < 3 THEN 21 ELSE max(i) + 1 END AS b FROM g GROUP BY vec_id, g)
+    SELECT vec_id, round(a * 0.03, 6) AS start, round(CASE WHEN b = 21 THEN 0.64 ELSE least(b * 0.03, 0.64) END, 6) AS "end" FROM r WHERE b - a >= 2
+    UNION ALL SELECT vec_id, 0.0, 0.64 FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM r WHERE b - a >= 2)"""
+
+
+@query(_ENERGY)
+def speech_regions(t):
+    """Each vector as a stretch of 0.64 seconds at 100 samples a second."""
+    rows = t("embeddings").select("vec_id", F.lit(0.0).alias("start"), F.lit(0.64).alias("end"), vectors.doubles(F.col("embedding")).alias("samples"))
+    return audio.speech_regions(rows, ["vec_id"], 100, speech_ms=60, silence_ms=90).select("vec_id", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
+
+
+@query()
+def diarised_segments(t):
+    parts = t("embeddings").select(F.floor(F.col("vec_id") / 64).alias("recording"), F.floor(F.col("vec_id") / 4).alias("segment"), F.col("vec_id").alias("part"), "embedding")
+    return audio.diarised(parts, "recording", "segment")
+
+
+@query("SELECT event_id, CAST(unnest([0, 1]) AS INT) AS idx, round(unnest([event_id * 10, event_id * 10 + 5]) / 1000.0, 3) AS start, unnest([event_type, 'end']) AS text FROM events")
+def recogniser_segments(t):
+    sent = lambda a, text: F.struct(text.alias("text"), a.alias("start"), (a + 5).alias("end"))
+    at = F.col("event_id") * 10
+    body = F.to_json(F.array(F.struct(F.array(sent(at, F.concat(F.lit(" "), "event_type")), sent(at + 5, F.lit("end "))).alias("sentence_info"))))
+    rows = t("events").select("event_id", body.alias("body"))
+    return audio.sentence_segments(rows, "event_id", "body").select("event_id", "idx", "start", "text")
+
+
+@query("SELECT event_id, round(event_id % 4 * 30.0, 3) AS start, round(least(event_id % 4 * 30.0 + 30, 100), 3) AS \"end\" FROM events")
+def chunked_segments(t):
+    rows = t("events").select("event_id", (F.col("event_id") % 4).alias("chunk"), F.lit(0.0).alias("start"), F.lit(0.0).alias("end"))
+    return audio.chunk_segments(rows, "chunk", 30, F.lit(100.0)).select("event_id", "start", "end")
+
+
+@query(f'''WITH RECURSIVE s AS (SELECT project_id, idx, start * 20 AS a, start * 20 + 60 AS b, row_number() OVER (PARTITION BY project_id ORDER BY idx) AS r FROM {_SEGMENTS}),
+    f AS (SELECT project_id, idx, r, a AS begin, 0 AS w FROM s WHERE r = 1 UNION ALL
+      SELECT s.project_id, s.idx, s.r, CASE WHEN s.b - f.begin > 240 THEN s.a ELSE f.begin END, f.w + CASE WHEN s.b - f.begin > 240 THEN 1 ELSE 0 END FROM f JOIN s ON s.project_id = f.project_id AND s.r = f.r + 1)
+    SELECT f.project_id, CAST(w AS BIGINT) AS w, CAST(greatest(min(a) - 5, 0) AS DOUBLE) AS start, CAST(least(arg_max(b, a) + 5, 10000) AS DOUBLE) AS "end" FROM f JOIN s ON f.project_id = s.project_id AND f.r = s.r GROUP BY f.project_id, w''')
+def aligner_windows(t):
+    import pandas as pd
+
+    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf[["project_id", "idx", "start", "end"]].assign(w=ordered.aligner_windows(pdf["start"], pdf["end"]))
+
+    rows = spoken(t).select("project_id", "idx", (F.col("start") * 20).alias("start"), (F.col("start") * 20 + 60).alias("end"))
+    numbered = ordered.fold(rows, ["project_id"], ["idx"], step, "project_id long, idx long, start double, end double, w long")
+    return ordered.window_bounds(numbered, ["project_id"], "w", F.lit(10_000.0))
+
+
+@query()
+def located_items(t):
+    """Where in its meeting the start of each last turn was said."""
+    rows = spoken(t)
+    items = rows.groupBy("project_id").agg(F.substring(F.max_by("text", "idx"), 1, 60).alias("text")).withColumn("item", F.lit(0))
+    return intervals.locate(items, rows.select("project_id", "idx", "start", F.substring("text", 1, 400).alias("text")), "project_id").select("project_id", "item", "start")
+
+
+@query("SELECT conv_id AS project_id, CAST(sum(length(text) - length(replace(text, 'the', ''))) // 3 AS BIGINT) AS n FROM conversations GROUP BY conv_id")
+def map_reduced(t):
+    """Occurrences of a word, counted turn by turn and added up."""
+    rows = segments(t).groupBy("project_id").agg(F.collect_list("text").alias("texts"))
+    count = lambda x: ((F.length(x) - F.length(F.replace(x, F.lit("the"), F.lit("")))) / 3).cast("long")
+    got = audio.map_reduce(rows, "project_id", F.col("texts"), count, lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda s, x: s + x))
+    return got.withColumnRenamed("result", "n")
+
+
+@query("SELECT c_custkey, c_name FROM customer UNION ALL SELECT o_orderkey, 'legacy' FROM orders WHERE o_orderkey NOT IN (SELECT c_custkey FROM customer)")
+def imported_projects(t):
+    legacy = t("orders").select(F.col("o_orderkey").alias("c_custkey"), F.lit("legacy").alias("c_name"))
+    return store.imported(t("customer").select("c_custkey", "c_name"), legacy, "c_custkey")
+
+
+@query("SELECT user_id AS project_id, coalesce(CAST(json_extract(props, '$.k') AS BIGINT), -1) AS k FROM events e JOIN customer ON user_id = c_custkey WHERE CAST(json_extract(props, '$.k') AS BIGINT) % 2 <> 0")
+def open_action_items(t):
+    """Items whose done is true are left out; those without it stay."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    lists = t("events").select(F.col("user_id").alias("project_id"), F.to_json(F.array(F.struct(k.alias("k"), F.when(k % 2 == 0, True).alias("done")))).alias("action_items"))
+    projects = t("customer").select(F.col("c_custkey").alias("project_id"), F.col("c_name").alias("title"))
+    return relational.action_items(lists, projects, "array<struct<k:bigint,done:boolean>>", include_done=False).select("project_id", "k")

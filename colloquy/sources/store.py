@@ -15,7 +15,7 @@ def read_table(spark: SparkSession, folder: str, name: str, schema=None) -> Data
 
 
 def replace_partitions(df: DataFrame, path: str, key: str) -> None:
-    """Atomic replace-all per key: only the partitions of the keys in df are overwritten."""
+    """Replace-all per key: only the partitions of the keys in df are overwritten, when the whole job has committed."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
 
@@ -43,3 +43,8 @@ def wav_samples(data: bytes) -> list[int]:
         raise ValueError("a WAV file has 44 bytes at least")
     n = (len(data) - 44) // 2
     return list(struct.unpack(f"<{n}h", data[44 : 44 + 2 * n]))
+
+
+def imported(have: DataFrame, legacy: DataFrame, key: str) -> DataFrame:
+    """Rows of an older store (of equal columns) added where their key isn't there yet; a second run adds nothing."""
+    return have.unionByName(legacy.select(*have.columns).dropDuplicates([key]).join(have.select(key), key, "left_anti").select(*have.columns))

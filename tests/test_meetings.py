@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as tx
-from colloquy.operators import correction, evaluation, exports, knowledge, relational, vectors
+from colloquy.operators import audio, correction, evaluation, exports, knowledge, relational, vectors
 from colloquy.plans import meetings
 
 SEGMENTS = "project_id string, idx long, start double, end double, speaker string, text string"
@@ -126,3 +126,38 @@ def test_changes(spark):
     have = spark.createDataFrame([("a",)], "name string")
     new = spark.createDataFrame([("b",), ("b",), ("a",)], "name string")
     assert sorted(r.name for r in relational.created_if_absent(have, new, "name").collect()) == ["a", "b"]
+
+
+def test_audio(spark):
+    row = spark.range(1).select(F.array(*[F.lit(x).cast("long") for x in (3, -4, -5, 0, 7)]).alias("a"), F.array(*[F.lit(x).cast("long") for x in (2, 2)]).alias("b"))
+    r = row.select(audio.mono(F.col("a"), 2).alias("m"), audio.mixed(F.col("a"), F.col("b")).alias("x"), audio.resampled(F.col("a"), 2, 1).alias("d"), audio.resampled(F.col("b"), 1, 2).alias("u")).first()
+    assert r.m == [0, -2, 7] and r.x == [2, -1, -2, 0, 3] and r.d == [3, -5, 7] and r.u == [2, 2, 2, 2]
+    loud, quiet = [0.8, -0.8] * 500, [0.0] * 1000  # a second each at 1000 samples a second
+    rows = spark.createDataFrame([("a", 10.0, 15.0, loud + quiet + loud + quiet + quiet), ("b", 0.0, 1.0, quiet), ("c", 0.0, 0.01, [0.1]), ("d", 0.0, 0.0, [])], "k string, start double, end double, samples array<double>")
+    got = sorted((r.k, round(r.start, 2), round(r.end, 2)) for r in audio.speech_regions(rows, ["k"], 1000).collect())
+    assert got == [("a", 10.0, 11.02), ("a", 11.98, 13.0), ("b", 0.0, 1.0), ("c", 0.0, 0.01)]
+
+
+def test_speakers_of_segments(spark):
+    parts = [(0, k // 3, k, v) for k, v in enumerate([[1.0, 0.0], [1.0, 0.1], [0.0, 1.0], [0.1, 1.0], [0.0, 1.0], [0.0, 0.9], [1.0, 0.0], [1.0, 0.05], None])]
+    got = audio.diarised(spark.createDataFrame(parts, "r long, s long, part long, embedding array<double>"), "r", "s", 2).orderBy("s").collect()
+    assert got[0].speaker == got[2].speaker != got[1].speaker
+
+
+def test_recognisers_and_map_reduce(spark):
+    body = json.dumps([{"text": "whole", "sentence_info": [{"text": " a ", "start": 1234.4, "end": 2000}, {"text": "b"}]}, {"text": " alone "}, {"text": ""}])
+    got = [tuple(r) for r in audio.sentence_segments(spark.createDataFrame([(1, body)], "k long, body string"), "k", "body").collect()]
+    assert got == [(1, 0, 1.234, 2.0, "a"), (1, 1, 0.0, 0.0, "b"), (1, 2, 0.0, 0.0, "alone")]
+    rows = spark.createDataFrame([(1, ["2", "x", "3"])], "k long, p array<string>")
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda s, x: s + x)
+    assert audio.map_reduce(rows, "k", F.col("p"), lambda x: x.try_cast("int"), total).first().result == 5
+    with pytest.raises(Exception, match="every piece failed"):
+        audio.map_reduce(rows, "k", F.col("p"), lambda x: F.lit(None).cast("int"), total).collect()
+
+
+def test_items_are_located(spark, talk):
+    from colloquy.operators import intervals
+
+    items = spark.createDataFrame([("p", 0, "the NEXT thing"), ("p", 1, "zzz"), ("x", 2, "next")], "project_id string, item long, text string")
+    assert {r.item: r.start for r in intervals.locate(items, talk, "project_id").collect()} == {0: 65.0, 1: None, 2: None}
+    assert intervals.common_length("abcdef", "xxcdey") == 3 and intervals.common_length("", "a") == 0

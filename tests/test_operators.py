@@ -193,10 +193,24 @@ def test_stream_windows(spark, tmp_path):
     assert rows == [(0, 0.0, 5.0, 160_000)] and state == (0, 1, 5.0)
     assert windows.flush_tail(50, 1, 5.0, 32_000) is None and windows.flush_tail(3200, 1, 5.0, 32_000) == (1, 5.0, 5.1, 3200)
     schema = "job_id string, seq long, pcm binary"
-    frames = spark.createDataFrame([(j, s, bytes(50_000)) for j in "ab" for s in range(8)], schema)
+    frames = spark.createDataFrame([*[(j, s, bytes(50_000)) for j in "ab" for s in range(8)], ("b", 8, None)], schema)
     frames.write.parquet(str(tmp_path / "in"))
     out = windows.pcm_windows(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
     q = out.writeStream.format("memory").queryName("pcm_out").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
     q.processAllAvailable()
     q.stop()
-    assert sorted(map(tuple, spark.table("pcm_out").collect())) == [(j, i, i * 5.0, i * 5.0 + 5.0, 160_000) for j in "ab" for i in range(2)]
+    assert sorted(map(tuple, spark.table("pcm_out").collect())) == [(j, i, i * 5.0, i * 5.0 + 5.0, 160_000) for j in "a" for i in range(2)] + [("b", 0, 0.0, 5.0, 160_000), ("b", 1, 5.0, 10.0, 160_000), ("b", 2, 10.0, 12.5, 80_000)]
+
+
+def test_stream_of_segments_and_centroids(spark, tmp_path):
+    rows = spark.createDataFrame([("p", 0, [1.0, 3.0]), ("p", 1, [3.0, 5.0]), ("q", 0, [0.0, 1.0])], "project_id string, idx long, v array<double>")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    q = windows.persisted(stream, str(tmp_path / "out"), "project_id", str(tmp_path / "cp1"), "1 second")
+    q.processAllAvailable()
+    q.stop()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+    q = windows.running_centroids(stream, "project_id", "v").writeStream.format("memory").queryName("means").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp2")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert {(r.project_id, r.pos): (r.mean, r.n) for r in spark.table("means").collect()} == {("p", 0): (2.0, 2), ("p", 1): (4.0, 2), ("q", 0): (0.0, 1), ("q", 1): (1.0, 1)}
