@@ -23,7 +23,8 @@ from .components import components
 
 PIVOTS = 2048  # in all labels together: what the driver holds and sends to tasks
 CELL = 1024  # vectors that a cell should have
-BLOCK = 1024
+BLOCK = 2048  # vectors of a block; a task compares two blocks, TILE rows at a time
+TILE = 512
 OUT = ["n_links", "component_id", "kept"]
 
 
@@ -94,15 +95,18 @@ def _compare(cosine: float):
         for size in np.unique(sizes):  # vectors of other lengths never link
             at = np.flatnonzero(sizes == size)
             u = np.array([np.frombuffer(x.as_py()) for x in table.column("u").take(pa.array(at))])
-            near = u @ u.T >= cosine
-            cross = np.ones_like(near) if i[0] == j[0] else side[at][:, None] != side[at][None, :]
-            near &= cross
+            n_own, label, weight, own_home, own_side = len(at), rank[at], m[at], home[at], side[at]
+            near = np.zeros((n_own, n_own), bool)
+            for k in range(0, n_own, TILE):
+                t = slice(k, k + TILE)
+                near[t] = u[t] @ u.T >= cosine
+                if i[0] != j[0]:
+                    near[t] &= own_side[t][:, None] != own_side[None, :]
+                near[t] &= own_home[t][:, None] | own_home[None, :]
             np.fill_diagonal(near, False)
-            near &= home[at][:, None] | home[at][None, :]
-            links[at] = np.where(home[at], near @ m[at], 0)
-            label = rank[at]
+            links[at] = np.where(own_home, np.concatenate([near[k : k + TILE] @ weight for k in range(0, n_own, TILE)]), 0)
             while True:
-                least = np.where(near, label[None, :], n).min(axis=1, initial=n)
+                least = np.concatenate([np.where(near[k : k + TILE], label[None, :], n).min(axis=1, initial=n) for k in range(0, n_own, TILE)])
                 new = np.minimum(label, least)
                 if (new == label).all():
                     break
