@@ -90,13 +90,13 @@ def shingle_hashes(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarr
     return s[at], np.diff(np.append(at, len(s))), np.searchsorted(at, cut)
 
 
-def slices(column: pa.Array, rows: int = ROWS, lower: bool = True):
+def slices(column: pa.Array, rows: int = ROWS, lower: bool = True, size: int = BYTES):
     """(first row, bytes of some texts): the texts of an Arrow column, a bounded number at a time, in lower case if asked for."""
     ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False)) if len(column) else np.zeros(0)
     a = 0
     while a < len(column):
         before = ends[a - 1] if a else 0
-        b = min(max(a + 1, int(np.searchsorted(ends, before + BYTES, side="right"))), a + rows, len(column))
+        b = min(max(a + 1, int(np.searchsorted(ends, before + size, side="right"))), a + rows, len(column))
         some = column.slice(a, b - a)
         yield a, [t.lower().encode("utf-8", "surrogatepass") for t in some.to_pylist()] if lower else some.cast(pa.binary()).to_pylist()
         a = b

@@ -19,11 +19,12 @@ from functools import cache, lru_cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import text_of, without
+from .common import without
 from .hashing import Memo, slices
 
 SPACE = "▁"
@@ -132,30 +133,33 @@ def codec(model: str) -> PieceCodec:
     return PieceCodec(model)
 
 
-def piece_digests(docs: DataFrame, model: str, eos_id: int = 2, keep_ids: bool = False) -> DataFrame:
-    """docs with n_tokens, ids_sha256 and decoded_sha256 (and piece_ids if asked for) of each whole text.
+def piece_digests(docs: DataFrame, model: str, eos_id: int = 2, keep_ids: bool = False, keep_text: bool = True) -> DataFrame:
+    """docs with n_tokens, ids_sha256 and decoded_sha256 (and piece_ids if asked for) of each whole text; without the texts
+    themselves, if they aren't needed.
 
     Null and empty texts have the end id only and decode to the empty text. Input columns of these names (in any
     case) are replaced, all others and repeated rows are kept; an empty table gives an empty table.
     """
-    fields = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", piece_ids array<int>" if keep_ids else "")
-
-    @F.arrow_udf(fields)
-    def digest(texts: pa.Array) -> pa.Array:
-        c, rows, kept, sizes = codec(model), [], [np.zeros(0, np.int32)], [np.zeros(1, np.int32)]
-        for _, part in slices(texts, 4096, lower=False):
-            ids, cut = c.encode_all([t.decode() for t in part])
-            for a, b in zip(cut.tolist(), cut[1:].tolist()):  # lists of one text at a time: they take ten times the room
-                own = [*ids[a:b].tolist(), eos_id]
-                said = " ".join(map(c.said.__getitem__, own))
-                rows.append((len(own), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(c.library.decode(own).encode()).hexdigest()))
-            if keep_ids:
-                kept.append(np.insert(ids, cut[1:], eos_id))
-                sizes.append((np.diff(cut) + 1).astype(np.int32))
-        columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
-        if keep_ids:
-            columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes), dtype=np.int32)), pa.array(np.concatenate(kept))))
-        return pa.StructArray.from_arrays(columns, OUT[: len(columns)])
-
-    held = without(docs, OUT).withColumn("_d", digest(text_of()))
-    return held.select(*[F.col(f"`{c}`") for c in held.columns if c != "_d"], "_d.*")
+    held = without(docs, OUT)
+    names = [c for c in held.columns if keep_text or c != "text"]
+    kinds = [T.LongType(), T.StringType(), T.StringType(), *[T.ArrayType(T.IntegerType())] * keep_ids]
+    schema = T.StructType([held.schema[c] for c in names] + [T.StructField(c, kind) for c, kind in zip(OUT, kinds)])
+
+    def digest(batches):
+        c = codec(model)
+        for batch in batches:
+            for at, part in slices(pc.fill_null(batch.column("text"), ""), 1024, lower=False, size=1 << 20):
+                ids, cut = c.encode_all([t.decode() for t in part])
+                rows = []
+                for a, b in zip(cut.tolist(), cut[1:].tolist()):
+                    own = [*ids[a:b].tolist(), eos_id]
+                    said = " ".join(map(c.said.__getitem__, own))
+                    rows.append((len(own), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(c.library.decode(own).encode()).hexdigest()))
+                columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+                if keep_ids:
+                    ends = np.concatenate([[0], np.cumsum(np.diff(cut) + 1)]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.insert(ids, cut[1:], eos_id))))
+                kept = [batch.column(n).slice(at, len(part)) for n in names]
+                yield pa.RecordBatch.from_arrays([*kept, *columns], names=[*names, *OUT[: len(columns)]])
+
+    return held.mapInArrow(digest, schema)

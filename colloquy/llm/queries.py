@@ -43,7 +43,7 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number and digests of each text's piece ids, and of what they decode to."""
-    return piece_codec.piece_digests(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+    return piece_codec.piece_digests(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), keep_text=False)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
