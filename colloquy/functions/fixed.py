@@ -65,3 +65,5 @@ STOP_WORDS = ["的", "了", "是", "在", "和", "与", "或", "这", "那", "
 SUMMARY_WEIGHTS = {"topics": 0.35, "actions": 0.30, "data": 0.20, "structure": 0.15}
 LOCAL_ENGINES = {"zh": [(6.0, "qwen3", "qwen3-asr-1.7B"), (3.0, "qwen3", "qwen3-asr-0.6B"), (2.0, "paraformer", "paraformer-large")], "other": [(6.0, "whisper", "large-v3"), (4.0, "whisper", "medium"), (2.0, "whisper", "small"), (1.0, "whisper", "base")]}
 CLOUD_ENGINES = {"alibaba": ("alibaba-asr", "paraformer-v2"), "openai": ("openai-whisper", "whisper-1"), "none": ("whisper", "tiny")}
+SUMMARY_TITLES = {"conclusions": "结论", "decisions": "决策", "action_items": "待办事项", "discussion": "讨论要点", "technical_details": "技术细节", "next_steps": "下一步", "key_data": "关键数据", "participants": "参与者"}
+TREE_IDS = {"conclusions": ("conclusions", "conclusion"), "action_items": ("actions", "action"), "decisions": ("decisions", "decision"), "discussion": ("discussion", "disc"), "technical_details": ("tech", "tech"), "next_steps": ("nextsteps", "next")}

@@ -201,7 +201,7 @@ def partial_update(t):
     return relational.partial_update(t("customer").select("c_custkey", "c_name"), "c_custkey", 5, {"c_name": "renamed"})
 
 
-@query("SELECT n_nationkey, coalesce(o.pos, n_nationkey) AS sort_order FROM nation LEFT JOIN (VALUES (3, 0), (1, 1), (2, 2)) o(id, pos) ON n_nationkey = o.id")
+@query("SELECT n_nationkey, CAST(coalesce(o.pos, n_nationkey) AS BIGINT) AS sort_order FROM nation LEFT JOIN (VALUES (3, 0), (1, 1), (2, 2)) o(id, pos) ON n_nationkey = o.id")
 def reorder(t):
     return relational.reordered(t("nation").select("n_nationkey", F.col("n_nationkey").cast("long").alias("sort_order")), "n_nationkey", "sort_order", [3, 1, 2])
 
@@ -489,7 +489,7 @@ def hallucination_counts(t):
 _READABLE = f"greatest(0.0, 1 - 0.4 * d - least(0.1 * ({_HALL}), 0.3))"
 
 
-@query(rf"""SELECT doc_id, round(d, 9) AS filler_density, CASE WHEN regexp_matches(text, '[\x{{4E00}}-\x{{9FFF}}]') THEN NULL ELSE 0.0 END AS repetition_density, CAST({_HALL} AS BIGINT) AS hallucination_count,
+@query(rf"""SELECT doc_id, round(d, 9) AS filler_density, CASE WHEN regexp_matches(text, '[\x{{4E00}}-\x{{9FFF}}]') THEN NULL ELSE CAST(0 AS DOUBLE) END AS repetition_density, CAST({_HALL} AS BIGINT) AS hallucination_count,
     round(CASE WHEN trim(text) = '' THEN 0 ELSE {_READABLE} END, 9) AS readability FROM (SELECT doc_id, text, least(coalesce(list_sum(list_transform(list_filter(regexp_split_to_array(lower(text), '[ \t\n\r]+'), lambda w: w IN ({_EN})), lambda w: length(w))), 0) / greatest(length(text), 1), 1.0) AS d FROM documents)""")
 def readability_scores(t):
     """The SQL has no back-references: it can say that texts without ideographs repeat none, and the given ones have none."""

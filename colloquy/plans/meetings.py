@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as tx
-from ..operators import audio, correction, evaluation, exports, intervals, knowledge, ordered, relational, vectors
+from ..operators import audio, correction, evaluation, exports, intervals, knowledge, ordered, relational, summaries as sm, vectors
 from ..sources import store
 from .catalog import micros, query, segments, sql_any
 
-_SEGMENTS = "(SELECT conv_id AS project_id, turn AS idx, role AS speaker, text, turn * 4.0 AS start, turn * 4.0 + 3.0 AS \"end\" FROM conversations)"
+_SEGMENTS = "(SELECT conv_id AS project_id, turn AS idx, role AS speaker, text, CAST(turn * 4 AS DOUBLE) AS start, CAST(turn * 4 + 3 AS DOUBLE) AS \"end\" FROM conversations)"
 
 
 def spoken(t) -> DataFrame:
@@ -150,6 +150,30 @@ def retrieved_context(t):
     return knowledge.context(_found(t, 5).withColumn("question", F.lit("search")), ["question"])
 
 
+def _answers(t) -> DataFrame:
+    """A model's answer about each meeting: fenced JSON of its first two turns' roles, or, for odd ones, no JSON at all."""
+    first = segments(t).filter("idx < 2").groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("idx", "speaker"))).alias("s"))
+    roles = F.transform("s", lambda x: x["speaker"])
+    body = F.to_json(F.struct(F.get(roles, 0).alias("topic"), roles.alias("conclusions"), F.array(F.struct(F.lit("Ann").alias("assignee"), F.lit("write").alias("task"))).alias("action_items")))
+    return first.select("project_id", F.when(F.col("project_id") % 2 == 1, "no JSON").otherwise(F.concat(F.lit("```json\n"), body, F.lit("\n```"))).alias("answer"))
+
+
+@query(f"""SELECT project_id, CASE WHEN project_id % 2 = 1 THEN '' ELSE topic END AS topic, CASE WHEN project_id % 2 = 1 THEN 'no JSON' ELSE '# ' || topic || chr(10) || chr(10) || '## 结论' || chr(10) || chr(10)
+    || array_to_string(list_transform(conclusions, lambda c: '- ' || c), chr(10)) || chr(10) || chr(10) || '## 待办事项' || chr(10) || chr(10) || '- [ ] write (@Ann)' || chr(10) END AS raw FROM {_TOPICS}""")
+def parsed_summaries(t):
+    return _answers(t).select("project_id", sm.parsed(F.col("answer")).alias("s")).select("project_id", "s.topic", "s.raw")
+
+
+@query(f"""WITH s AS (SELECT * FROM {_TOPICS} WHERE project_id % 2 = 0), l AS (SELECT project_id, unnest(conclusions) AS label, unnest(range(len(conclusions))) AS i, len(conclusions) AS n FROM s)
+    SELECT project_id, 'root' AS id, NULL AS parent, topic AS label, CAST(0 AS DOUBLE) AS x, ((len(conclusions) - 1) * 28.0 + len(conclusions) * 56.0)::DOUBLE / 2 AS y FROM s
+    UNION ALL SELECT project_id, 'conclusions', 'root', '结论', 360, (len(conclusions) - 1) * 28.0 FROM s UNION ALL SELECT project_id, 'actions', 'root', '待办事项', 360, len(conclusions) * 56.0 FROM s
+    UNION ALL SELECT project_id, 'conclusion-' || i, 'conclusions', label, 680, i * 56.0 FROM l UNION ALL SELECT project_id, 'action-0', 'actions', 'Ann: write', 680, len(conclusions) * 56.0 FROM s""")
+def summary_trees(t):
+    """Labels of one line: every node is 40 high, and nodes are 16 apart."""
+    rows = _answers(t).filter("project_id % 2 = 0").select("project_id", sm.parsed(F.col("answer")).alias("summary"))
+    return sm.layout(sm.tree(rows, "project_id"), "project_id").select("project_id", "id", "parent", "label", "x", "y")
+
+
 # --- corrections and alignment --------------------------------------------------------------------------------------
 
 
@@ -175,7 +199,7 @@ def split_sentences(t):
 _UNITS = r"CAST(len(regexp_extract_all(text, '[A-Za-z0-9]+')) AS BIGINT)"
 
 
-@query(f"""SELECT project_id, idx, CASE WHEN n > 0 THEN (e - n) * 0.5 END AS start, CASE WHEN n > 0 THEN (e - 1) * 0.5 + 0.4 END AS "end" FROM
+@query(f"""SELECT project_id, idx, CASE WHEN n > 0 THEN (e - n) * CAST(0.5 AS DOUBLE) END AS start, CASE WHEN n > 0 THEN (e - 1) * CAST(0.5 AS DOUBLE) + CAST(0.4 AS DOUBLE) END AS "end" FROM
     (SELECT project_id, idx, {_UNITS} AS n, CAST(sum({_UNITS}) OVER (PARTITION BY project_id ORDER BY idx) AS BIGINT) AS e FROM {_SEGMENTS})""")
 def aligned_sentences(t):
     """The items are a meeting's own units, one each half second. Texts without ideographs: the SQL counts other units only."""
@@ -494,7 +518,7 @@ _ENERGY = """WITH e AS (SELECT vec_id, list_transform(range(21), lambda i: sqrt(
     f AS (SELECT vec_id, unnest(range(21)) AS i, unnest(e) AS x, least FROM h),
     g AS (SELECT vec_id, i, sum(CASE WHEN i - p - 1 >= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY vec_id ORDER BY i) AS g FROM (SELECT vec_id, i, lag(i) OVER (PARTITION BY vec_id ORDER BY i) AS p FROM f WHERE x > least)),
     r AS (SELECT vec_id, min(i) AS a, CASE WHEN 21 - max(i) - 1 < 3 THEN 21 ELSE max(i) + 1 END AS b FROM g GROUP BY vec_id, g)
-    SELECT vec_id, round(a * 0.03, 6) AS start, round(CASE WHEN b = 21 THEN 0.64 ELSE least(b * 0.03, 0.64) END, 6) AS "end" FROM r WHERE b - a >= 2
+    SELECT vec_id, CAST(round(a * 0.03, 6) AS DOUBLE) AS start, CAST(round(CASE WHEN b = 21 THEN 0.64 ELSE least(b * 0.03, 0.64) END, 6) AS DOUBLE) AS "end" FROM r WHERE b - a >= 2
     UNION ALL SELECT vec_id, 0.0, 0.64 FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM r WHERE b - a >= 2)"""
 
 
@@ -520,7 +544,7 @@ def recogniser_segments(t):
     return audio.sentence_segments(rows, "event_id", "body").select("event_id", "idx", "start", "text")
 
 
-@query("SELECT event_id, round(event_id % 4 * 30.0, 3) AS start, round(least(event_id % 4 * 30.0 + 30, 100), 3) AS \"end\" FROM events")
+@query("SELECT event_id, CAST(event_id % 4 * 30 AS DOUBLE) AS start, CAST(least(event_id % 4 * 30 + 30, 100) AS DOUBLE) AS \"end\" FROM events")
 def chunked_segments(t):
     rows = t("events").select("event_id", (F.col("event_id") % 4).alias("chunk"), F.lit(0.0).alias("start"), F.lit(0.0).alias("end"))
     return audio.chunk_segments(rows, "chunk", 30, F.lit(100.0)).select("event_id", "start", "end")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as tx
-from colloquy.operators import audio, correction, evaluation, exports, knowledge, relational, vectors
+from colloquy.operators import audio, correction, evaluation, exports, knowledge, relational, summaries, vectors
 from colloquy.plans import meetings
 
 SEGMENTS = "project_id string, idx long, start double, end double, speaker string, text string"
@@ -161,3 +161,23 @@ def test_items_are_located(spark, talk):
     items = spark.createDataFrame([("p", 0, "the NEXT thing"), ("p", 1, "zzz"), ("x", 2, "next")], "project_id string, item long, text string")
     assert {r.item: r.start for r in intervals.locate(items, talk, "project_id").collect()} == {0: 65.0, 1: None, 2: None}
     assert intervals.common_length("abcdef", "xxcdey") == 3 and intervals.common_length("", "a") == 0
+
+
+def test_summaries(spark):
+    answer = {
+        "topic": "T", "conclusions": ["c1"], "decisions": [{"decision": "d", "made_by": "Bo", "reasoning": "r"}], "next_steps": ["n"], "participants": ["Ann", "Bo"],
+        "action_items": [{"assignee": "Ann", "task": "write", "priority": "high", "deadline": "May"}, {"task": "rest"}],
+        "discussion": [{"topic": "x", "summary": "y", "participants": ["Ann"], "key_points": ["k"]}], "technical_details": [{"category": "db", "details": "z"}],
+    }
+    df = spark.createDataFrame([(0, "```json\n" + json.dumps(answer) + "\n```"), (1, "Sorry."), (2, "{}")], "k long, answer string").select("k", summaries.parsed(F.col("answer")).alias("summary"))
+    got = {r.k: r.summary for r in df.collect()}
+    assert got[1].raw == "Sorry." and got[1].topic == "" and got[2].raw == "" and got[2].conclusions == []
+    assert got[0].action_items[1].priority == "medium" and got[0].action_items[1].deadline is None and got[0].key_data == []
+    assert got[0].raw == "\n".join(["# T", "", "## 结论", "", "- c1", "", "## 决策", "", "- **d** (Bo) — r", "", "## 待办事项", "", "- [ ] write 🔴 (@Ann) [截止: May]", "- [ ] rest", "", "## 讨论要点", "", "### x", "", "**参与者:** Ann", "", "y", "", "**关键要点:**", "", "- k", "", "## 技术细节", "", "- **db**: z", "", "## 下一步", "", "- n", "", "## 参与者", "", "@Ann、@Bo", ""])
+    nodes = {r.id: r for r in summaries.layout(summaries.tree(df.filter("k = 0"), "k"), "k").collect()}
+    assert [nodes[i].label for i in ("root", "action-0", "action-1", "decision-0", "disc-0", "tech-0", "next-0")] == ["T", "Ann: write (May)", ": rest", "d (Bo)", "x: y", "db: z", "n"]
+    assert nodes["tech-0"].parent == "tech" and nodes["tech"].parent == "root" and nodes["conclusions"].x == 360.0
+    assert (nodes["conclusion-0"].y, nodes["action-0"].y, nodes["action-1"].y, nodes["actions"].y) == (0.0, 56.0, 112.0, 84.0)
+    assert nodes["root"].y == (nodes["conclusions"].y + nodes["nextsteps"].y) / 2
+    alone = summaries.layout(summaries.tree(df.filter("k = 2"), "k"), "k").collect()
+    assert [(r.id, r.y) for r in alone] == [("root", 0.0)]
