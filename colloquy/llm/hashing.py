@@ -9,9 +9,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-ROWS, BYTES = 256, 4 << 20  # texts that a task holds as Python objects: so many, or so many bytes, or one
+ROWS, BYTES = 256, 1 << 20  # texts that a task holds as Python objects: so many, or so many bytes, or one
 BASE = 0x9E3779B97F4A7C15
-PIECE = 1 << 20  # bytes hashed at a time, or one word
+PIECE = 1 << 18  # bytes hashed at a time, or one word
 BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 
 
@@ -53,7 +53,7 @@ def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     while a < len(start):
         b = max(a + 1, int(np.searchsorted(end, start[a] + PIECE, side="right")))
         part = data[start[a] : end[b - 1]]
-        up, down = powers(1 << max(20, len(part).bit_length()))
+        up, down = powers(1 << max(18, len(part).bit_length()))
         sums = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(numbers()[part] * up[: len(part)], out=sums[1:])
         s, e = start[a:b] - start[a], end[a:b] - start[a]

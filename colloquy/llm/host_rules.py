@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import text_of, without
 from .hashing import slices
+from .worker import owned
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BLANKS = " \t\n\x0b\x0c\r"
@@ -51,6 +52,7 @@ def measure(text: str) -> tuple[int, ...]:
 def text_stats(text: Column) -> Column:
     @F.arrow_udf(", ".join(f"{c} long" for c in STATS))
     def stats(texts: pa.Array) -> pa.Array:
+        owned("rules", dict)
         rows = [measure(t.decode()) for _, part in slices(texts, lower=False) for t in part]
         return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(len(STATS))], STATS)
 

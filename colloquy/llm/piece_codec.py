@@ -14,7 +14,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from functools import cache, lru_cache
+from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -26,6 +27,7 @@ from pyspark.sql import types as T
 
 from .common import without
 from .hashing import Memo, slices
+from .worker import owned
 
 SPACE = "▁"
 CACHED = 1 << 16  # parts of words, and pairs of pieces, that a worker remembers
@@ -103,9 +105,13 @@ class PieceCodec:
         cuts = [0, *[k for k in range(1, len(s)) if s[k - 1 : k + 1] not in self.joined], len(s)]
         return [i for a, b in zip(cuts, cuts[1:]) for i in self.part(s[a:b])]
 
-    def learn(self, words: list[bytes]) -> tuple[list[int], list[int]]:
-        got = [self._word(w.decode("utf-8", "surrogatepass").replace(" ", SPACE)) for w in words]
-        return [i for ids in got for i in ids], [len(ids) for ids in got]
+    def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        for k in range(0, len(words), 1000):  # few Python objects at a time
+            got = [self._word(w.decode("utf-8", "surrogatepass").replace(" ", SPACE)) for w in words[k : k + 1000]]
+            sizes.append(np.fromiter(map(len, got), np.int32, len(got)))
+            ids.append(np.fromiter(chain.from_iterable(got), np.int32, int(sizes[-1].sum())))
+        return np.concatenate(ids), np.concatenate(sizes)
 
     def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and where each text's begin (one more entry than texts). Words are cut before
@@ -128,9 +134,8 @@ class PieceCodec:
         return ids, "".join(f" {i}" for i in ids.tolist())
 
 
-@cache
 def codec(model: str) -> PieceCodec:
-    return PieceCodec(model)
+    return owned(("pieces", model), lambda: PieceCodec(model))
 
 
 def piece_digests(docs: DataFrame, model: str, eos_id: int = 2, keep_ids: bool = False, keep_text: bool = True) -> DataFrame:

@@ -11,7 +11,6 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +22,7 @@ from pyspark.sql.window import Window
 
 from .common import delete, materialize, shared_dir, text_of
 from .hashing import Memo, slices, words_of
+from .worker import owned
 
 PLAIN = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[.,:;!?()]*)$"  # letters, then marks: two pre-tokens at most
 STRIPE, STRIDE = 64 << 20, 10_000  # bytes of a stripe, rows of an index entry
@@ -79,16 +79,15 @@ class Words:
         return ids, np.diff(cut[np.concatenate([[0], np.cumsum(count)])])
 
 
-@cache
 def words(path: str) -> Words:
-    return Words(path)
+    return owned(("words", path), lambda: Words(path))
 
 
 def encoder(path: str, end_id: int):
     def encode(batches):
         w = words(path)
         for batch in batches:
-            for k, texts in slices(batch.column("text"), rows=4096, lower=False):
+            for k, texts in slices(batch.column("text"), rows=4096, lower=False, size=4 << 20):
                 ids, sizes = w.encode(texts)
                 ids, ends = np.insert(ids, np.cumsum(sizes), end_id), np.cumsum(sizes + 1)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))
