@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, without
+from .common import materialize, text_of, without
 from .hashing import slices
 from .worker import owned
 
@@ -103,6 +103,6 @@ def quality_rules(docs: DataFrame, host: str = "source", bad_host: float = BAD_H
         df = df.select(*cols, text_stats(text_of()).alias("_s")).select(*cols, "_s.*")
         return df.withColumn("base_failed", base_failed()).withColumn("rule_failed", rule_failed())
 
-    verdicts = host_verdicts(measured(rows.select("_host", "text"), [F.col("_host")]), bad_host)
-    judged = measured(rows, kept).join(verdicts, "_host")  # a row a host: broadcast while small, else a join that splits where a host is hot
+    verdicts = materialize(host_verdicts(measured(rows.select("_host", "text"), [F.col("_host")]), bad_host), "hosts")
+    judged = measured(rows, kept).join(verdicts, "_host")  # a written table of a row a host: broadcast while small, else a join that splits where a host is hot
     return judged.withColumn("kept", ~F.col("base_failed") & ~(F.col("host_bad") & F.col("rule_failed"))).drop("_host")

@@ -1,8 +1,9 @@
 """Suffix-array dedup: windows of `threshold` bytes that start anywhere else too, by depth-limited radix passes.
 
-Suffixes (the starts of all windows) are put in order by their first `threshold` bytes only, most significant digit
-first, and a suffix leaves as soon as its group has one member; groups that are left after the last digit are exactly
-the repeated windows. To spare one row per byte, digits are taken from the inside of the window outwards:
+A depth-limited radix sort would put suffixes (the starts of all windows) in order by their first `threshold` bytes, most
+significant digit first, dropping each as soon as its group has one member; groups left after the last digit are
+exactly the repeated windows. That takes a row for each byte, far beyond the disk there is, so this departs from it: only
+equality counts here, not order, and digits are taken from the inside of the window outwards, as digests of bytes:
 
 1. Digit one is a block of ANCHOR bytes, chosen by content: the least block hash within the window (the leftmost of
    equal ones). Equal windows choose equal blocks at equal offsets, and about 170 neighbouring windows share a block,
