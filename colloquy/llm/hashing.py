@@ -1,4 +1,4 @@
-"""64-bit hashes of words and slices, made by numpy on whole batches of bytes."""
+"""Words and slices of whole batches of bytes: their 64-bit hashes, and exact memories of them."""
 
 from __future__ import annotations
 
@@ -8,10 +8,10 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 ROWS, BYTES = 256, 1 << 20  # texts that a task holds as Python objects: so many, or so many bytes, or one
 BASE = 0x9E3779B97F4A7C15
-PIECE = 1 << 18  # bytes hashed at a time, or one word
 BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 
 
@@ -47,19 +47,25 @@ def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return data, start, end, np.diff(np.searchsorted(start, last), prepend=0)
 
 
+def distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The different slices, as bytes, and which of them each slice is: exact, by Arrow's dictionary. Slices ascend and don't overlap."""
+    if not len(start):
+        return [], np.zeros(0, np.int64)
+    edges = np.empty(2 * len(start), np.int64)  # slices, and the gaps between them
+    edges[::2], edges[1::2] = start, end
+    every = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = every.dictionary_encode()
+    which, kinds = coded.indices.to_numpy()[::2], coded.dictionary
+    used = np.zeros(len(kinds), bool)
+    used[which] = True
+    cut, raw = np.frombuffer(kinds.buffers()[1], np.int64)[: len(kinds) + 1], kinds.buffers()[2].to_pybytes()
+    return [raw[a:b] for a, b in zip(cut[:-1][used].tolist(), cut[1:][used].tolist())], (np.cumsum(used) - 1)[which]
+
+
 def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The hash of each slice; slices ascend and don't overlap."""
-    out, a = np.empty(len(start), np.uint64), 0
-    while a < len(start):
-        b = max(a + 1, int(np.searchsorted(end, start[a] + PIECE, side="right")))
-        part = data[start[a] : end[b - 1]]
-        up, down = powers(1 << max(18, len(part).bit_length()))
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(numbers()[part] * up[: len(part)], out=sums[1:])
-        s, e = start[a:b] - start[a], end[a:b] - start[a]
-        out[a:b] = mixed((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
-        a = b
-    return out
+    """The 64-bit XXH3 hash of each slice; slices ascend and don't overlap. Each different slice is hashed once."""
+    kinds, which = distinct(data, start, end)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, kinds), np.uint64, len(kinds))[which]
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -102,37 +108,57 @@ def slices(column: pa.Array, rows: int = ROWS, lower: bool = True, size: int = B
         a = b
 
 
-class Memo:
-    """Ids of words, learned once a worker: learn() takes words and gives all their ids and each one's number of them.
+class Known:
+    """Numbers of words, exact: a worker's words are keys of a dictionary, new ones are given to learn() in the order of their numbers.
 
-    Words are known by 64-bit hashes, sorted, with where each word's ids begin in `flat` and how many they are: about 40
-    bytes a word. All are forgotten when there are more than `most`.
+    All are forgotten (and reset() is called) before a call that would hold more than `most` words, or once they have more than
+    `size` bytes, so a worker needs bounded memory however many words there are, and however long.
     """
 
-    def __init__(self, learn, most: int = 1_000_000):
-        self.learn, self.most = learn, most
+    def __init__(self, learn, reset, most: int = 500_000, size: int = 32 << 20):
+        self.learn, self.reset, self.most, self.size = learn, reset, most, size
         self.forget()
 
     def forget(self) -> None:
-        self.hashes, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.number: dict[bytes, int] = {}
+        self.bytes = 0
+        self.reset()
+
+    def of(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The number of each slice; slices ascend and don't overlap. Numbers hold until the next call."""
+        kinds, which = distinct(data, start, end)
+        if self.bytes > self.size or len(self.number) + len(kinds) > self.most:
+            self.forget()
+        new = [w for w in kinds if w not in self.number]
+        if new:
+            self.learn(new)
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+            self.bytes += sum(map(len, new))
+        return np.fromiter(map(self.number.__getitem__, kinds), np.int64, len(kinds))[which]
+
+
+class Memo:
+    """Ids of words, learned once a worker: learn() takes words and gives all their ids and each one's number of them.
+
+    Words are compared whole (Known); where each word's ids begin in `flat` and how many they are is kept by its number.
+    """
+
+    def __init__(self, learn, most: int = 500_000):
+        self.ids_of = learn
+        self.known = Known(self.learn, self.reset, most)
+
+    def reset(self) -> None:
+        self.flat, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def learn(self, words: list[bytes]) -> None:
+        flat, size = self.ids_of(words)
+        size = np.asarray(size, np.int32)
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size, dtype=np.int64) - size])
+        self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, np.asarray(flat, np.int32)])
 
     def ids(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all slices, one after the other, and where each one's begin (one more entry than slices)."""
-        h, first, which = np.unique(hashes(data, start, end), return_index=True, return_inverse=True)
-        if len(self.hashes) + len(h) > self.most:
-            self.forget()
-        new = ~np.isin(h, self.hashes, assume_unique=True)
-        if new.any():
-            raw = data.tobytes()
-            flat, size = self.learn([raw[a:b] for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist())])
-            size = np.asarray(size, np.int32)
-            every = np.concatenate([self.hashes, h[new]])
-            order = np.argsort(every, kind="stable")
-            begin = len(self.flat) + np.cumsum(size, dtype=np.int64) - size
-            self.hashes, self.flat = every[order], np.concatenate([self.flat, np.asarray(flat, np.int32)])
-            self.start, self.size = np.concatenate([self.start, begin])[order], np.concatenate([self.size, size])[order]
-        at = np.searchsorted(self.hashes, h)[which]
+        at = self.known.of(data, start, end)
         size = self.size[at]
         cut = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
         return self.flat[np.repeat(self.start[at] - cut[:-1], size) + np.arange(cut[-1])], cut

@@ -7,7 +7,7 @@ the two, memoised), and otherwise tries shorter ones or steps back. A prefix has
 that was reached and could not be continued is no piece border: a bit field remembers those positions.
 
 Merges never cross two characters that are neighbours in no piece, so texts are cut there first, above all before spaces,
-and a word's ids are remembered by the word's hash, in bounded memory. Characters without a piece become their UTF-8 byte pieces.
+and a word's ids are remembered by the whole word, in bounded memory. Characters without a piece become their UTF-8 byte pieces.
 """
 
 from __future__ import annotations
