@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules, lm_scoring, mixing, piece_codec, secret_scan, sql, suffix_dedup, token_store, vector_join, weighted_minhash, wrapper_extract
+from . import byte_codec, host_rules, lm_scoring, mixing, piece_codec, secret_scan, sql, suffix_dedup, token_store, vector_join, weighted_minhash, wrapper_extract
 from .common import documents
 
 
@@ -70,8 +70,13 @@ def op10_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "component_id", "n_shingles", "kept")
 
 
+def op12_byte_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and digests of each text's byte-level ids, and of what they decode to."""
+    return byte_codec.byte_digests(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), keep_text=False)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_wrapper_extract, op2_source_mixing, op3_secret_scan, op4_lm_scoring, op5_token_store, op6_piece_codec, op7_suffix_dedup, op8_vector_join, op9_host_rules, op10_weighted_minhash)}
+    return {f.__name__: f for f in (op1_wrapper_extract, op2_source_mixing, op3_secret_scan, op4_lm_scoring, op5_token_store, op6_piece_codec, op7_suffix_dedup, op8_vector_join, op9_host_rules, op10_weighted_minhash, op12_byte_codec)}
 
 
 def oracle_sql() -> dict[str, str]:
