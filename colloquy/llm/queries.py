@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_codec, host_rules, lm_scoring, mixing, piece_codec, secret_scan, sql, suffix_dedup, token_store, vector_join, weighted_minhash, wrapper_extract
+from . import byte_codec, host_rules, lm_scoring, mixing, piece_codec, secret_scan, spelling, sql, suffix_dedup, token_store, vector_join, weighted_minhash, wrapper_extract
 from .common import documents
 
 
@@ -75,8 +75,13 @@ def op12_byte_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_codec.byte_digests(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), keep_text=False)
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each word with its near words' number, its form and its root."""
+    return spelling.variants(documents(spark, sf_dir).select("doc_id", "text")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_wrapper_extract, op2_source_mixing, op3_secret_scan, op4_lm_scoring, op5_token_store, op6_piece_codec, op7_suffix_dedup, op8_vector_join, op9_host_rules, op10_weighted_minhash, op12_byte_codec)}
+    return {f.__name__: f for f in (op1_wrapper_extract, op2_source_mixing, op3_secret_scan, op4_lm_scoring, op5_token_store, op6_piece_codec, op7_suffix_dedup, op8_vector_join, op9_host_rules, op10_weighted_minhash, op12_byte_codec, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
