@@ -127,9 +127,10 @@ class Known:
     def of(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The number of each slice; slices ascend and don't overlap. Numbers hold until the next call."""
         kinds, which = distinct(data, start, end)
-        if self.bytes > self.size or len(self.number) + len(kinds) > self.most:
-            self.forget()
         new = [w for w in kinds if w not in self.number]
+        if self.bytes > self.size or len(self.number) + len(new) > self.most:
+            self.forget()
+            new = kinds
         if new:
             self.learn(new)
             self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
@@ -143,7 +144,7 @@ class Memo:
     Words are compared whole (Known); where each word's ids begin in `flat` and how many they are is kept by its number.
     """
 
-    def __init__(self, learn, most: int = 500_000):
+    def __init__(self, learn, most: int = 1_000_000):
         self.ids_of = learn
         self.known = Known(self.learn, self.reset, most)
 

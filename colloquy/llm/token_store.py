@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,8 @@ from .common import delete, materialize, shared_dir, text_of
 from .hashing import Memo, slices, words_of
 from .worker import owned
 
-PLAIN = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[.,:;!?()]*)$"  # letters, then marks: two pre-tokens at most
+MARKS = b".,:;!?()"
+PLAIN = r"^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,:;!?()]*$"  # letters, then MARKS: two pre-tokens at most
 STRIPE, STRIDE = 64 << 20, 10_000  # bytes of a stripe, rows of an index entry
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
@@ -49,23 +51,22 @@ class Words:
     def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Plain words are encoded many to a text, as the token that ends a pre-token says so in its name, others one by one."""
         text = pa.array(words, pa.binary()).cast(pa.string())
-        found = pc.extract_regex(text, PLAIN)
-        plain = found.is_valid().to_numpy(zero_copy_only=False)
-        marks = pc.fill_null(pc.binary_length(found.field("marks")), 0).to_numpy(zero_copy_only=False)
+        plain = pc.match_substring_regex(text, PLAIN).to_numpy(zero_copy_only=False)
+        marks = np.fromiter((w[-1] in MARKS for w in words), bool, len(words))
         ids: list[np.ndarray] = []
         sizes = np.zeros(len(words), np.int64)
         at, odd = np.flatnonzero(plain), np.flatnonzero(~plain)
         for k in range(0, len(at), 2000):
             own = at[k : k + 2000]
             got = np.array(self.tokenizer.encode(" ".join(text.take(pa.array(own)).to_pylist()), add_special_tokens=False).ids, np.int32)
-            ends, pieces = np.flatnonzero(self.ends[got]) + 1, np.cumsum(1 + (marks[own] > 0))
+            ends, pieces = np.flatnonzero(self.ends[got]) + 1, np.cumsum(1 + marks[own])
             if len(ends) != pieces[-1] or ends[-1] != len(got):
                 raise ValueError("a plain word is not one or two pre-tokens")
             sizes[own] = np.diff(ends[pieces - 1], prepend=0)
             ids.append(got)
-        for k, e in zip(odd, self.tokenizer.encode_batch_fast(text.take(pa.array(odd)).to_pylist(), add_special_tokens=False)):
-            sizes[k] = len(e.ids)
-            ids.append(np.array(e.ids, np.int32))
+        others = [e.ids for e in self.tokenizer.encode_batch_fast(text.take(pa.array(odd)).to_pylist(), add_special_tokens=False)]
+        sizes[odd] = list(map(len, others))
+        ids.append(np.fromiter(chain.from_iterable(others), np.int32))
         order, flat = np.concatenate([at, odd]), np.concatenate([np.zeros(0, np.int32), *ids])
         begin = np.empty(len(words), np.int64)
         begin[order] = np.cumsum(sizes[order]) - sizes[order]
