@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_codec, host_rules, lm_scoring, mixing, piece_codec, secret_scan, spelling, sql, suffix_dedup, token_store, vector_join, weighted_minhash, wrapper_extract
+from . import byte_codec, host_rules, lm_scoring, mixing, piece_codec, secret_scan, spelling, sql, suffix_dedup, token_alignment, token_store, vector_join, weighted_minhash, wrapper_extract
 from .common import documents
 
 
@@ -70,6 +70,12 @@ def op10_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "component_id", "n_shingles", "kept")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, groups and links of each text under two vocabularies, with the links' counts in all documents."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return token_alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_byte_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number and digests of each text's byte-level ids, and of what they decode to."""
     return byte_codec.byte_digests(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), keep_text=False)
@@ -81,7 +87,7 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_wrapper_extract, op2_source_mixing, op3_secret_scan, op4_lm_scoring, op5_token_store, op6_piece_codec, op7_suffix_dedup, op8_vector_join, op9_host_rules, op10_weighted_minhash, op12_byte_codec, op13_spelling_variants)}
+    return {f.__name__: f for f in (op1_wrapper_extract, op2_source_mixing, op3_secret_scan, op4_lm_scoring, op5_token_store, op6_piece_codec, op7_suffix_dedup, op8_vector_join, op9_host_rules, op10_weighted_minhash, op11_token_alignment, op12_byte_codec, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
