@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
+from . import blocks
 from .relational import with_title
 from .vectors import doubles
 
@@ -19,28 +20,19 @@ def segment_chunks(segments: DataFrame, size: int = 500) -> DataFrame:
 
     A chunk closes when its text, with a space after each segment, and the next one are longer than size; blank segments
     are skipped. Start and speaker are the first segment's (of the first chunk, the meeting's first); end_time is that of the
-    segment that closed the chunk, and the last chunk has none. One meeting is packed by one task.
+    segment that closed the chunk, and the last chunk has none. A long meeting is packed by many tasks.
     """
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx", kind="stable")
-        out, held, start, speaker = [], "", pdf["start"].iloc[0], pdf["speaker"].iloc[0]
-        for s in pdf.itertuples(index=False):
-            text = (s.text or "").strip()
-            if not text:
-                continue
-            if held and len(held) + len(text) > size:
-                out.append((held.strip(), start, s.end, speaker))
-                held, start, speaker = "", s.start, s.speaker
-            held += text + " "
-        if held:
-            out.append((held.strip(), start, None, speaker))
-        rows = pd.DataFrame(out, columns=["text", "start_time", "end_time", "speaker"])
-        return rows.assign(project_id=pdf["project_id"].iloc[0], position=range(len(rows)))[["project_id", "position", "text", "start_time", "end_time", "speaker"]]
-
-    kind = segments.schema["project_id"].dataType.simpleString()
-    chosen = segments.select("project_id", "idx", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), "speaker", "text")
-    return chosen.groupBy("project_id").applyInPandas(pack, f"project_id {kind}, position int, text string, start_time double, end_time double, speaker string")
+    said = F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", "")
+    rows = segments.select("project_id", "idx", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), "speaker", said.alias("said"))
+    n = F.length("said")
+    spoken = n > 0
+    room = F.greatest(F.lit(1), size - n + 1)  # a chunk without text yet takes any
+    rows = blocks.parts(rows, ["project_id"], ["idx"], F.when(spoken, room), F.when(spoken, n + 1).otherwise(0), F.when(spoken, n + 1).otherwise(0), "position", low=F.lit(0))
+    texts = F.transform(F.array_sort(F.collect_list(F.when(spoken, F.struct("idx", "said")))), lambda x: x["said"])
+    parts = rows.groupBy("project_id", "position").agg(F.array_join(texts, " ").alias("text"), F.min_by("start", "idx").alias("start_time"), F.min_by("end", "idx").alias("_closes"), F.min_by("speaker", "idx").alias("speaker"))
+    after = parts.select("project_id", (F.col("position") - 1).alias("position"), F.col("_closes").alias("end_time"))
+    every = parts.filter("text <> ''").join(after, ["project_id", "position"], "left")
+    return every.select("project_id", F.col("position").cast("int").alias("position"), "text", "start_time", "end_time", "speaker")
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

@@ -91,7 +91,7 @@ def paragraphs(starts, ends, texts, markers: tuple[str, ...], mode: str, gap: fl
 
 def char_similarity(a: str, b: str) -> float:
     """Shared characters, with multiplicity, over the longer length; an empty text is only like an empty one."""
-    if not a or not b:
+    if not a or not b or a == b:
         return float(a == b)
     return sum((Counter(a) & Counter(b)).values()) / max(len(a), len(b))
 

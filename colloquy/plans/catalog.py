@@ -8,14 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import fixed
 from ..functions import text as tx
-from ..operators import intervals, knowledge, ordered, relational, vectors
+from ..operators import blocks, intervals, knowledge, ordered, relational, vectors
 from ..sources.store import read_table
 
 _QUERIES: dict[str, Callable] = {}
@@ -371,23 +370,19 @@ _FOLD = """WITH RECURSIVE s AS (SELECT conv_id, turn, row_number() OVER (PARTITI
 
 @query(_FOLD.format(marked=_MARKED, split="s.m AND f.n >= 2"))
 def semantic_paragraphs(t):
-    return ordered.fold(segments(t), ["project_id"], ["idx"], _number("semantic"), "project_id long, idx long, paragraph long")
+    return blocks.paragraphs(segments(t), ["project_id"], ["idx"], _marked(), "semantic").select("project_id", "idx", "paragraph")
 
 
 @query(_FOLD.format(marked=_MARKED, split="(s.a - f.b > 1.5 OR s.m OR f.speech >= 60) AND f.speech >= 5"))
 def hybrid_paragraphs(t):
-    return ordered.fold(segments(t), ["project_id"], ["idx"], _number("hybrid"), "project_id long, idx long, paragraph long")
+    start = F.col("idx") * F.lit(4.0)
+    rows = segments(t).withColumns({"start": start, "end": start + 3.0})
+    silence = start - F.lag(start + 3.0).over(Window.partitionBy("project_id").orderBy("idx")) > 1.5
+    return blocks.paragraphs(rows, ["project_id"], ["idx"], _marked(), "hybrid", gap=F.coalesce(silence, F.lit(False))).select("project_id", "idx", "paragraph")
 
 
-def _number(mode: str):
-    markers = tuple(fixed.MARKERS_EN)
-
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        start = pdf["idx"] * 4.0
-        numbers = ordered.paragraphs(start, start + 3.0, pdf["text"].str.lower(), markers, mode)
-        return pd.DataFrame({"project_id": pdf["project_id"], "idx": pdf["idx"], "paragraph": numbers})
-
-    return step
+def _marked():
+    return F.coalesce(tx.any_of(F.lower("text"), fixed.MARKERS_EN), F.lit(False))
 
 
 _PLAIN = r"regexp_replace(lower(trim(text)), '[\s\.,!?;:，。！？；：、\-—\x22\x27\(\)\[\]【】「」]+', '', 'g')"
@@ -401,13 +396,8 @@ _ALIKE = """CASE WHEN {a} = '' OR {b} = '' THEN CAST({a} = {b} AS INT) ELSE list
     SELECT conv_id AS project_id, turn AS idx, r > first AND count(*) OVER (PARTITION BY conv_id, first) >= 3 AS repeated FROM f""")
 def repeated_segments(t):
     limits = fixed.SENSITIVITY["medium"]
-
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        flags = ordered.repeated_runs(pdf["plain"].fillna("").tolist(), ordered.char_similarity, limits["repetition_ratio"], limits["min_repetition_count"])
-        return pd.DataFrame({"project_id": pdf["project_id"], "idx": pdf["idx"], "repeated": flags})
-
     rows = segments(t).select("project_id", "idx", tx.comparable(F.col("text")).alias("plain"))
-    return ordered.fold(rows, ["project_id"], ["idx"], step, "project_id long, idx long, repeated boolean")
+    return blocks.repeated(rows, ["project_id"], "idx", F.col("plain"), ordered.char_similarity, limits["repetition_ratio"], limits["min_repetition_count"]).drop("plain")
 
 
 @query(f"""WITH RECURSIVE s AS (SELECT user_id, event_id, start, "end", "end" - start AS d, row_number() OVER (PARTITION BY user_id ORDER BY start, event_id) AS r FROM {TIMED}),
@@ -424,10 +414,7 @@ def overlapping_segments(t):
       UNION ALL SELECT s.conv_id, s.turn, s.r, CASE WHEN f.held + s.n + 1 > 500 THEN s.n ELSE f.held + s.n + 1 END, f.chunk + CASE WHEN f.held + s.n + 1 > 500 THEN 1 ELSE 0 END FROM f JOIN s ON s.conv_id = f.conv_id AND s.r = f.r + 1)
     SELECT conv_id AS project_id, turn AS idx, CAST(chunk AS BIGINT) AS chunk FROM f""")
 def pack_segments(t):
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"project_id": pdf["project_id"], "idx": pdf["idx"], "chunk": ordered.pack_lines(pdf["text"].str.len(), 500)})
-
-    return ordered.fold(segments(t), ["project_id"], ["idx"], step, "project_id long, idx long, chunk long")
+    return blocks.packed(segments(t), ["project_id"], ["idx"], F.length(F.coalesce("text", F.lit(""))), 500).select("project_id", "idx", "chunk")
 
 
 # --- text -----------------------------------------------------------------------------------------------------------

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as tx
-from ..operators import audio, correction, evaluation, exports, intervals, knowledge, ordered, relational, summaries as sm, vectors
+from ..operators import audio, blocks, correction, evaluation, exports, intervals, knowledge, ordered, relational, summaries as sm, vectors
 from ..sources import store
 from .catalog import micros, query, segments, sql_any
 
@@ -237,21 +237,13 @@ def filtered_transcripts(t):
 def flagged(rows: DataFrame, language: str, sensitivity: str = "medium") -> DataFrame:
     """Segments (project_id, idx, start, end, text, confidence) with `flag`: whether any of the five detectors, all of which see
     the rows as they are, takes one for a hallucination."""
-    import pandas as pd
-
     limits = fixed.SENSITIVITY[sensitivity]
-
-    def repeated(pdf: pd.DataFrame) -> pd.DataFrame:
-        flags = ordered.repeated_runs(pdf["plain"].fillna("").tolist(), ordered.char_similarity, limits["repetition_ratio"], limits["min_repetition_count"])
-        return pd.DataFrame({"project_id": pdf["project_id"], "idx": pdf["idx"], "_run": flags})
-
-    keys = rows.schema["project_id"].dataType.simpleString(), rows.schema["idx"].dataType.simpleString()
-    runs = ordered.fold(rows.select("project_id", "idx", tx.comparable(F.col("text")).alias("plain")), ["project_id"], ["idx"], repeated, f"project_id {keys[0]}, idx {keys[1]}, _run boolean")
     timed = ordered.time_flags(rows, ["project_id"], ["idx"], limits["max_segment_duration"], limits["max_overlap_ratio"], "_time")
+    timed = blocks.repeated(timed, ["project_id"], "idx", tx.comparable(F.col("text")), ordered.char_similarity, limits["repetition_ratio"], limits["min_repetition_count"], "_run")
     text = F.col("text")
     cjk = language in ("zh", "yue", "wuu", "ja", "ko")
     any_of = F.col("_run") | F.col("_time") | tx.template_phrase(text) | tx.language_switch(text, cjk) | tx.low_confidence(text, F.col("confidence"), limits["min_confidence"])
-    return timed.join(runs, ["project_id", "idx"]).withColumn("flag", F.coalesce(any_of, F.lit(False))).drop("_run", "_time")
+    return timed.withColumn("flag", F.coalesce(any_of, F.lit(False))).drop("_run", "_time")
 
 
 def clean(rows: DataFrame, language: str) -> DataFrame:
@@ -555,14 +547,8 @@ def chunked_segments(t):
       SELECT s.project_id, s.idx, s.r, CASE WHEN s.b - f.begin > 240 THEN s.a ELSE f.begin END, f.w + CASE WHEN s.b - f.begin > 240 THEN 1 ELSE 0 END FROM f JOIN s ON s.project_id = f.project_id AND s.r = f.r + 1)
     SELECT f.project_id, CAST(w AS BIGINT) AS w, CAST(greatest(min(a) - 5, 0) AS DOUBLE) AS start, CAST(least(arg_max(b, a) + 5, 10000) AS DOUBLE) AS "end" FROM f JOIN s ON f.project_id = s.project_id AND f.r = s.r GROUP BY f.project_id, w''')
 def aligner_windows(t):
-    import pandas as pd
-
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf[["project_id", "idx", "start", "end"]].assign(w=ordered.aligner_windows(pdf["start"], pdf["end"]))
-
     rows = spoken(t).select("project_id", "idx", (F.col("start") * 20).alias("start"), (F.col("start") * 20 + 60).alias("end"))
-    numbered = ordered.fold(rows, ["project_id"], ["idx"], step, "project_id long, idx long, start double, end double, w long")
-    return ordered.window_bounds(numbered, ["project_id"], "w", F.lit(10_000.0))
+    return ordered.window_bounds(blocks.recording_windows(rows, ["project_id"], ["idx"], name="w"), ["project_id"], "w", F.lit(10_000.0))
 
 
 @query()
