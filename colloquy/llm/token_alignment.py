@@ -15,6 +15,7 @@ the tasks; links of all other pairs are joined. A pair beyond HOT has less than
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from itertools import chain
 
@@ -24,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from .byte_codec import ByteCodec, edges
 from .common import discard, materialize, without
@@ -32,7 +34,10 @@ from .piece_codec import SPACE, PieceCodec
 from .worker import owned
 
 HOT = 2_000_000  # pairs sent to the tasks: 34 MB
+BLOCK = 8 << 20  # bytes of a row group of written links, which a task holds in memory
 HELD = 1_000_000  # pairs that a task counts before it passes the counts on
+WORDS = 250_000  # that a worker remembers
+MARK, ODD_ENDS = SPACE.encode(), b"\xa0\n"  # B reads its mark as a space; a token of A may go on after these bytes
 SHIFT = 20  # a pair is one number: A's id, then so many bits of B's
 OUT = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 SPAN = re.compile(b"[.ab]*c")
@@ -43,33 +48,64 @@ class Aligner:
     """Words as a worker remembers them: tokens, groups, links, and the groups as they are said."""
 
     def __init__(self, a_path: str, b_path: str):
-        self.a, self.b = ByteCodec(a_path, special=False), PieceCodec(b_path)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+        self.a, self.b, self.a_tool = ByteCodec(a_path, special=False), PieceCodec(b_path), Tokenizer.from_file(a_path)
+        self.a_tool.encode_special_tokens = True
         self.a_bytes = self.a.token
         self.b_bytes = {i: p.replace(SPACE, " ").encode() for p, i in self.b.ids.items()} | {i: bytes([k]) for k, i in enumerate(self.b.byte)}
+        self.lengths = [np.zeros(max(t) + 1, np.int64) for t in (self.a_bytes, self.b_bytes)]
+        for n, t in zip(self.lengths, (self.a_bytes, self.b_bytes)):
+            n[list(t)] = list(map(len, t.values()))
         self.within = np.zeros((256, 256), bool)  # byte pairs that B's merges can cross
         for p in self.b.joined:
             s, t = (x.replace(SPACE, " ").encode() for x in p)
             self.within[s[-1], t[0]] = True
-        self.known = Known(self.learn, self.reset)
+        self.known = Known(self.learn, self.reset, WORDS)
 
     def reset(self) -> None:
         self.sizes = np.zeros((0, 4), np.int64)  # of each word: tokens of A, of B, groups, and 1 if its bytes don't come back
         self.left, self.right, self.start = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(1, np.int64)
         self.said: list[str] = []
 
+    def together(self, words: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of words one after the other, and each word's number of them, by A and by B: as words are cut where both have a certain
+        border, many are encoded as one text, and tokens' bytes tell where words end."""
+        ids, sizes = ([], []), ([], [])
+        for k in range(0, len(words), 2000):
+            some = [b" a", *words[k : k + 2000]]  # the first one takes what the libraries do to the front of a text
+            text, end = b"".join(some).decode(), np.cumsum(np.fromiter(map(len, some), np.int64, len(some)))
+            for t, found in enumerate((self.a_tool.encode(text, add_special_tokens=False).ids, self.b.library.encode(text[1:]))):
+                found = np.array(found, np.int32)
+                ends = np.cumsum(self.lengths[t][found])
+                at = np.searchsorted(ends, end)
+                if ends[-1] != end[-1] or (ends[at] != end).any():
+                    raise ValueError("a word's end is within a token")
+                ids[t].append(found[at[0] + 1 :])
+                sizes[t].append(np.diff(at))
+        return ([np.concatenate([np.zeros(0, np.int32), *x]) for x in ids], [np.concatenate([np.zeros(0, np.int64), *x]) for x in sizes])
+
+    def apart(self, words: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """The same, word by word, for those that don't go together, and which of them don't come back from a tokenizer."""
+        a, b = [self.a.word(w) for w in words], [self.b._word(w.decode().replace(" ", SPACE)) for w in words]
+        bad = np.array([b"".join(map(self.a_bytes.__getitem__, x)) != w or b"".join(map(self.b_bytes.__getitem__, y)) != w for x, y, w in zip(a, b, words)], bool)
+        a, b = ([[] if k else x for k, x in zip(bad, own)] for own in (a, b))
+        sizes = [np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b)]
+        return [np.fromiter(chain.from_iterable(x), np.int32) for x in (a, b)], sizes, bad
+
     def learn(self, words: list[bytes]) -> None:
-        a = list(map(self.a.word, words))
-        b = [self.b._word(w.decode().replace(" ", SPACE)) for w in words]
-        bad = np.zeros(len(words), bool)
-        raw = b"".join(words)
-        if raw != b"".join(map(self.a_bytes.__getitem__, chain.from_iterable(a))) or raw != b"".join(map(self.b_bytes.__getitem__, chain.from_iterable(b))):
-            for k, w in enumerate(words):
-                bad[k] = any(b"".join(map(t.__getitem__, i)) != w for t, i in ((self.a_bytes, a[k]), (self.b_bytes, b[k])))
-            for k in np.flatnonzero(bad):
-                a[k], b[k] = [], []
-        n = [np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b)]
-        ids = [np.fromiter(chain.from_iterable(x), np.int32, int(k.sum())) for x, k in zip((a, b), n)]
-        end = [np.cumsum(np.fromiter((len(t[i]) for i in x.tolist()), np.int64, len(x))) for t, x in zip((self.a_bytes, self.b_bytes), ids)]
+        odd = np.fromiter((w[-1] in ODD_ENDS or MARK in w for w in words), bool, len(words))
+        order = np.argsort(odd, kind="stable")
+        plain, rest = [w for w, o in zip(words, odd) if not o], [w for w, o in zip(words, odd) if o]
+        ids, n = self.together(plain)
+        more, m, wrong = self.apart(rest)
+        ids, n = [np.concatenate(x) for x in zip(ids, more)], [np.concatenate(x) for x in zip(n, m)]
+        bad = np.concatenate([np.zeros(len(plain), bool), wrong])
+        if rest:  # back to the order of the words
+            back = np.argsort(order)
+            first = [np.cumsum(x) - x for x in n]
+            ids = [x[np.concatenate([np.zeros(0, np.int64), *[np.arange(f[k], f[k] + c[k]) for k in back.tolist()]])] for x, f, c in zip(ids, first, n)]
+            n, bad = [x[back] for x in n], bad[back]
+        end = [np.cumsum(lengths[x]) for lengths, x in zip(self.lengths, ids)]
         label = np.zeros(int(end[0][-1]) if len(end[0]) else 0, np.uint8)
         label[end[0] - 1] += 1
         label[end[1] - 1] += 2
@@ -87,14 +123,11 @@ class Aligner:
 
     def _groups(self, labels: bytes, a: np.ndarray, b: np.ndarray) -> tuple[list[str], np.ndarray]:
         """Each group as `a1,a2|b1`, and the number of its first token of A."""
-        x, y, said, first = 0, 0, [], []
-        a, b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        for span in SPAN.findall(labels):
-            p, q = x + span.count(b"a") + 1, y + span.count(b"b") + 1
-            said.append(f"{','.join(a[x:p])}|{','.join(b[y:q])}")
-            first.append(x)
-            x, y = p, q
-        return said, np.array(first, np.int64)
+        spans = SPAN.findall(labels)
+        x, y = (np.concatenate([[0], np.cumsum(np.fromiter((s.count(k) + 1 for s in spans), np.int64, len(spans)))]) for k in (b"a", b"b"))
+        a, b, p, q = list(map(str, a.tolist())), list(map(str, b.tolist())), x.tolist(), y.tolist()
+        said = [a[i] + "|" + b[k] if j == i + 1 and m == k + 1 else ",".join(a[i:j]) + "|" + ",".join(b[k:m]) for i, j, k, m in zip(p, p[1:], q, q[1:])]
+        return said, x[:-1]
 
     def align(self, texts: list[bytes]) -> dict[str, pa.Array]:
         """Columns of the texts: sizes, digest, and the links of each different word, with how often the word occurs."""
@@ -195,7 +228,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, hot: int = HOT) -> DataFram
                 yield pa.RecordBatch.from_arrays([*[batch.column(o).slice(at, len(texts)) for o in own], *[found[c] for c in kinds]], names=[*own, *kinds])
 
     renamed = held.select(*[F.col(f"`{c}`").alias(o) for o, c in zip(own, names)], "text")
-    aligned = materialize(renamed.mapInArrow(tokens, T.StructType([*kept, *[T.StructField(c, k) for c, k in kinds.items()]])), "aligned")
+    aligned = materialize(renamed.mapInArrow(tokens, T.StructType([*kept, *[T.StructField(c, k) for c, k in kinds.items()]])), "aligned", BLOCK)
     counts = materialize(pair_counts(aligned), "pair-counts")
     common, more = _hot(counts, hot)
     table = common.toArrow()
