@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions import text as tx
 from ..operators import audio, blocks, correction, evaluation, exports, intervals, knowledge, ordered, relational, summaries as sm, vectors
-from ..sources import store
+from ..sources import index, store
+from ..sources.shared import new_path, written
 from .catalog import micros, query, segments, sql_any
 
 _SEGMENTS = "(SELECT conv_id AS project_id, turn AS idx, role AS speaker, text, CAST(turn * 4 AS DOUBLE) AS start, CAST(turn * 4 + 3 AS DOUBLE) AS \"end\" FROM conversations)"
@@ -97,6 +98,54 @@ def indexed(t) -> tuple[DataFrame, DataFrame]:
     return projects, knowledge.index_chunks(projects, spoken(t), briefs, notes, files)
 
 
+_CUT = r"length(regexp_extract(substr(text, {at}, 50), '(?s)^.*[。！？.!?\n]'))"
+
+
+def _chunk_texts(rows: str, kind: str, metadata: str) -> str:
+    """The chunks of each text, as chunk_text() makes them."""
+    return rf"""SELECT project_id, '{kind}' AS source_type, {metadata} AS metadata_json, x AS text FROM (WITH RECURSIVE d AS (SELECT *, length(text) AS n FROM {rows} WHERE regexp_matches(text, '\S')),
+      c AS (SELECT *, CAST(0 AS BIGINT) AS a, CASE WHEN n <= 500 THEN n ELSE 450 + CASE WHEN {_CUT.format(at=451)} > 0 THEN {_CUT.format(at=451)} ELSE 50 END END AS b FROM d
+        UNION ALL SELECT * EXCLUDE (a, b), b - 50, CASE WHEN b + 450 >= n THEN n ELSE b + 400 + CASE WHEN {_CUT.format(at='b + 401')} > 0 THEN {_CUT.format(at='b + 401')} ELSE 50 END END FROM c WHERE b < n)
+      SELECT *, CASE WHEN n <= 500 THEN text ELSE trim(substr(text, a + 1, b - a), ' ' || chr(9) || chr(10) || chr(13)) END AS x FROM c) WHERE x <> ''"""
+
+
+_GRAMS = " UNION ALL ".join(
+    f"SELECT c, {n} + " + " + ".join(f"{31**k} * p[i + {k}]" for k in range(n)) + f" AS h FROM (SELECT c, p, unnest(range(1, len(p) - {n} + 2)) AS i FROM p)" for n in (1, 2, 3)
+)
+_NONE = "'{}'"
+_TOPIC = """'{"topic":"benchmark"}'"""
+_FILENAME = """'{"filename":"' || filename || '"}'"""
+_NOTES = "(SELECT doc_id AS project_id, text FROM documents WHERE source <> 'src0' AND doc_id % 10 <> 2)"
+_FILES = "(SELECT item_id AS project_id, 'item-' || item_id || '.txt' AS filename, text FROM benchmark WHERE item_id IN (SELECT doc_id FROM documents WHERE source <> 'src0') AND item_id % 10 NOT IN (2, 3))"
+
+
+@query(f"""WITH chunks AS (
+      SELECT project_id, 'segment' AS source_type, '{{"start_time":' || start_time || ',' || CASE WHEN end_time IS NULL THEN '' ELSE '"end_time":' || end_time || ',' END || '"speaker":"' || speaker || '"}}' AS metadata_json, text
+        FROM ({_PACKED}) WHERE project_id IN (SELECT doc_id FROM documents WHERE source <> 'src0') AND project_id % 10 NOT IN (2, 3)
+      UNION ALL {_chunk_texts(_NOTES, 'note', _NONE)}
+      UNION ALL {_chunk_texts(_FILES, 'summary', _TOPIC)}
+      UNION ALL {_chunk_texts(_FILES, 'attachment', _FILENAME)}
+      UNION ALL {_chunk_texts('(SELECT * FROM ' + _FILES + ' WHERE project_id % 10 = 4)', 'attachment', _FILENAME)}),
+    own AS (SELECT *, row_number() OVER () AS c FROM chunks),
+    p AS (SELECT c, list_transform(range(1, length(text) + 1), lambda i: CAST(unicode(substr(text, i, 1)) AS BIGINT)) AS p FROM own),
+    v AS (SELECT c, h % 64 AS place, sum(CASE WHEN h % 8191 % 2 = 0 THEN 1 ELSE -1 END) AS x FROM ({_GRAMS}) GROUP BY ALL)
+    SELECT project_id, source_type, metadata_json, text, CAST(n_places AS BIGINT) AS n_places, CAST(top_place AS BIGINT) AS top_place FROM own
+      JOIN (SELECT c, count(*) FILTER (x <> 0) AS n_places, arg_min(place, -abs(x) * 1000 + place) AS top_place FROM v GROUP BY c) USING (c)""")
+def indexed_projects(t):
+    """Projects are indexed with a hashed embedder, in one commit. Then some lose all but their note, some are deleted, and the files of some are
+    appended once more."""
+    projects, chunks = indexed(t)
+    spark, key = projects.sparkSession, F.col("project_id") % 10
+    path = new_path(spark, "index")
+    rows = written(index.embed(chunks.withColumn("id", index.chunk_id()), lambda: index.HashedGrams(64), "hashed-64"), "embedded")
+    index.replace_projects(rows, projects, path)
+    index.replace_projects(rows.filter((key == 3) & (F.col("source_type") == "note")), projects.filter(key == 3), path)
+    index.delete_projects(projects.filter(key == 2), path)
+    index.append_chunks(rows.filter((key == 4) & (F.col("source_type") == "attachment")), path)
+    places = F.array_min(F.transform("vector", lambda x, i: F.struct((-F.abs(x)).alias("x"), i.alias("i"))))["i"]
+    return index.chunks_of(spark, path).select("project_id", "source_type", "metadata_json", "text", F.size(F.filter("vector", lambda x: x != 0)).cast("long").alias("n_places"), places.cast("long").alias("top_place"))
+
+
 def _chunk_counts(rows: str) -> str:
     """Chunks of each text by the number of cuts, as chunk_text() makes them."""
     mark = r"length(regexp_extract(substr(text, {at}, 50), '(?s)^.*[。！？.!?\n]'))"
