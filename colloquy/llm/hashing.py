@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -127,15 +128,18 @@ class Known:
     def of(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The number of each slice; slices ascend and don't overlap. Numbers hold until the next call."""
         kinds, which = distinct(data, start, end)
-        new = [w for w in kinds if w not in self.number]
-        if self.bytes > self.size or len(self.number) + len(new) > self.most:
+        at = np.fromiter(map(self.number.get, kinds, repeat(-1)), np.int64, len(kinds))
+        fresh = np.flatnonzero(at < 0)
+        if self.bytes > self.size or len(self.number) + len(fresh) > self.most:
             self.forget()
-            new = kinds
-        if new:
+            fresh = np.arange(len(kinds))
+        if len(fresh):
+            new = [kinds[k] for k in fresh.tolist()]
             self.learn(new)
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+            at[fresh] = range(len(self.number), len(self.number) + len(new))
+            self.number.update(zip(new, at[fresh].tolist()))
             self.bytes += sum(map(len, new))
-        return np.fromiter(map(self.number.__getitem__, kinds), np.int64, len(kinds))[which]
+        return at[which]
 
 
 class Memo:
@@ -144,7 +148,7 @@ class Memo:
     Words are compared whole (Known); where each word's ids begin in `flat` and how many they are is kept by its number.
     """
 
-    def __init__(self, learn, most: int = 1_000_000):
+    def __init__(self, learn, most: int = 1_500_000):
         self.ids_of = learn
         self.known = Known(self.learn, self.reset, most)
 

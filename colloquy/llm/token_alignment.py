@@ -74,7 +74,7 @@ class Aligner:
         for k in range(0, len(words), 2000):
             some = [b" a", *words[k : k + 2000]]  # the first one takes what the libraries do to the front of a text
             text, end = b"".join(some).decode(), np.cumsum(np.fromiter(map(len, some), np.int64, len(some)))
-            for t, found in enumerate((self.a_tool.encode(text, add_special_tokens=False).ids, self.b.library.encode(text[1:]))):
+            for t, found in enumerate((self.a_tool.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.b.library.encode(text[1:]))):
                 found = np.array(found, np.int32)
                 ends = np.cumsum(self.lengths[t][found])
                 at = np.searchsorted(ends, end)

@@ -50,21 +50,21 @@ class Words:
 
     def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Plain words are encoded many to a text, as the token that ends a pre-token says so in its name, others one by one."""
-        text = pa.array(words, pa.binary()).cast(pa.string())
-        plain = pc.match_substring_regex(text, PLAIN).to_numpy(zero_copy_only=False)
+        plain = pc.match_substring_regex(pa.array(words, pa.binary()).cast(pa.string()), PLAIN).to_numpy(zero_copy_only=False)
         marks = np.fromiter((w[-1] in MARKS for w in words), bool, len(words))
         ids: list[np.ndarray] = []
         sizes = np.zeros(len(words), np.int64)
         at, odd = np.flatnonzero(plain), np.flatnonzero(~plain)
         for k in range(0, len(at), 2000):
             own = at[k : k + 2000]
-            got = np.array(self.tokenizer.encode(" ".join(text.take(pa.array(own)).to_pylist()), add_special_tokens=False).ids, np.int32)
+            joined = b" ".join([words[i] for i in own.tolist()]).decode()
+            got = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int32)
             ends, pieces = np.flatnonzero(self.ends[got]) + 1, np.cumsum(1 + marks[own])
             if len(ends) != pieces[-1] or ends[-1] != len(got):
                 raise ValueError("a plain word is not one or two pre-tokens")
             sizes[own] = np.diff(ends[pieces - 1], prepend=0)
             ids.append(got)
-        others = [e.ids for e in self.tokenizer.encode_batch_fast(text.take(pa.array(odd)).to_pylist(), add_special_tokens=False)]
+        others = [e.ids for e in self.tokenizer.encode_batch_fast([words[i].decode() for i in odd.tolist()], add_special_tokens=False)]
         sizes[odd] = list(map(len, others))
         ids.append(np.fromiter(chain.from_iterable(others), np.int32))
         order, flat = np.concatenate([at, odd]), np.concatenate([np.zeros(0, np.int32), *ids])
@@ -84,6 +84,13 @@ def words(path: str) -> Words:
     return owned(("words", path), lambda: Words(path))
 
 
+def checksums(ids: pa.ListArray) -> pa.Array:
+    """The crc32 of each list, as little-endian 32-bit integers."""
+    flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<i4", copy=False).tobytes()
+    at = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))]) * 4
+    return pa.array(np.fromiter((zlib.crc32(flat[a:b]) for a, b in zip(at, at[1:])), np.int64, len(ids)))
+
+
 def encoder(path: str, end_id: int):
     def encode(batches):
         w = words(path)
@@ -92,7 +99,7 @@ def encoder(path: str, end_id: int):
                 ids, sizes = w.encode(texts)
                 ids, ends = np.insert(ids, np.cumsum(sizes), end_id), np.cumsum(sizes + 1)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(k, len(texts)).cast(pa.int64()), pa.array(sizes + 1), lists], names=["doc_id", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(k, len(texts)).cast(pa.int64()), pa.array(sizes + 1), lists, checksums(lists)], names=["doc_id", "n_tokens", "ids", "crc"])
 
     return encode
 
@@ -100,14 +107,15 @@ def encoder(path: str, end_id: int):
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, partitions: int | None = None, stripe: int = STRIPE, stride: int = STRIDE) -> str:
     """Encode every whole text (null: empty), append end_id, and write ORC files in ascending doc_id order.
 
-    Rows of one doc_id (repeated or null ones, which come first) stand next to each other, in the order of their
-    texts. An empty table gives a folder without rows. Columns other than doc_id and text aren't stored.
+    Rows of one doc_id (repeated or null ones, which come first) stand next to each other, in a file in the order of their ids'
+    checksums, as token_digests() reads them. An empty table gives a folder without rows. Columns other than doc_id and text aren't stored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    encoded = rows.repartitionByRange(n, "doc_id", F.xxhash64("text")).mapInArrow(encoder(tokenizer, end_id), T.StructType([*SCHEMA, T.StructField("crc", T.LongType())]))
     (
-        ranged.mapInArrow(encoder(tokenizer, end_id), SCHEMA)
+        encoded.sortWithinPartitions("doc_id", "crc", "n_tokens")
+        .drop("crc")
         .write.option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
         .option("orc.row.index.stride", str(stride))
@@ -137,12 +145,8 @@ def token_digests(tokens: DataFrame) -> DataFrame:
 
     def crc(batches):
         for batch in batches:
-            ids = batch.column("ids")
-            flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<i4", copy=False).tobytes()
-            at = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))]) * 4
-            sums = np.fromiter((zlib.crc32(flat[a:b]) for a, b in zip(at, at[1:])), np.int64, len(ids))
             cols = [batch.column(c) for c in ("file", "doc_id", "n_tokens")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(sums)], names=["file", "doc_id", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*cols, checksums(batch.column("ids"))], names=["file", "doc_id", "n_tokens", "ids_crc32"])
 
     located = tokens.select(file_number().alias("file"), "doc_id", "n_tokens", "ids")
     rows = located.mapInArrow(crc, "file long, doc_id long, n_tokens long, ids_crc32 long")

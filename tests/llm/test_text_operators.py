@@ -108,6 +108,22 @@ def test_token_files_round_trip(spark, odd, small, tmp_path):
             start += r.n_tokens
 
 
+def test_starts_of_repeated_ids_are_places_in_the_file(spark, tmp_path):
+    import pyarrow.orc
+
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(k)) for k in (4, 3, 2, 9, 1, 3, 2)]
+    docs = spark.createDataFrame([(7, t) for t in texts] + [(None, texts[0]), (8, "x"), (7, texts[0])], "doc_id long, text string")
+    token_store.write_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), f"file://{tmp_path}/t", partitions=1)
+    [file] = tmp_path.glob("t/*.orc")
+    place, start = [], 0
+    for row in pyarrow.orc.ORCFile(file).read().to_pylist():
+        place.append((start, row["n_tokens"], zlib.crc32(np.array(row["ids"], "<u4").tobytes())))
+        start += row["n_tokens"]
+    got = token_store.token_digests(token_store.read_tokens(spark, f"file://{tmp_path}/t")).collect()
+    assert sorted((r.start, r.n_tokens, r.ids_crc32) for r in got) == place
+
+
 def rows_scanned(df):
     """Rows that the scan of an executed query gave to the rest of its plan."""
     df.collect()
