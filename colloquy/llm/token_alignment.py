@@ -38,6 +38,7 @@ BLOCK = 8 << 20  # bytes of a row group of written links, which a task holds in
 HELD = 1_000_000  # pairs that a task counts before it passes the counts on
 WORDS = 250_000  # that a worker remembers
 MARK, ODD_ENDS = SPACE.encode(), b"\xa0\n"  # B reads its mark as a space; a token of A may go on after these bytes
+DOCUMENTS = 256  # whose links a task looks up at a time
 SHIFT = 20  # a pair is one number: A's id, then so many bits of B's
 OUT = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 SPAN = re.compile(b"[.ab]*c")
@@ -158,6 +159,13 @@ def _pairs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return left.astype(np.int64) << SHIFT | right, times, np.cumsum(batch.column("left").value_lengths().to_numpy(zero_copy_only=False))
 
 
+def parts_of(batches):
+    """Arrow's batches, some documents at a time: Spark bounds them by rows only."""
+    for batch in batches:
+        for k in range(0, len(batch), DOCUMENTS):
+            yield batch.slice(k, DOCUMENTS)
+
+
 def _added(pair: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     kinds, which = np.unique(pair, return_inverse=True)
     return kinds, np.bincount(which, weights=n, minlength=len(kinds)).astype(np.int64)
@@ -174,7 +182,8 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(pair[0][k : k + 50_000]), pa.array(n[0][k : k + 50_000])], names=["pair", "n"])
             pair[:], n[:] = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
-        for batch in batches:
+        owned("pairs", dict)  # what the worker remembers of words goes
+        for batch in parts_of(batches):
             found, times, _ = _pairs(batch)
             found, times = _added(found, times)
             pair.append(found)
@@ -239,8 +248,9 @@ def align(docs: DataFrame, a_path: str, b_path: str, hot: int = HOT) -> DataFram
     out = [*own, *plain]
 
     def counted(batches):
+        owned("pairs", dict)
         pair, n, best = shared.value
-        for batch in batches:
+        for batch in parts_of(batches):
             found, times, end = _pairs(batch)
             at = np.minimum(np.searchsorted(pair, found), max(0, len(pair) - 1))
             hit = pair[at] == found if len(pair) else np.zeros(len(found), bool)
