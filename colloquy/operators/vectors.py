@@ -8,6 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..sources.shared import written
 
 
 def doubles(v: Column) -> Column:
@@ -67,40 +70,170 @@ def cosine_shorter(a: Column, b: Column) -> Column:
     return cosine(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n))
 
 
-BLOCK = 4096
+BLOCK = 4096  # vectors of a block, at most; a library of no more is one block
+PIVOTS = 1024  # of a library's vectors of one length
+SLACK = 1e-6  # of angles, far above their rounding
 
 
-def best_match(queries: DataFrame, library: DataFrame, threshold: float) -> DataFrame:
-    """For each query (qid, qvec) the most similar library vector (lid, lvec) by cosine, the first of equal ones, and whether it
-    reaches the threshold. Only vectors of the query's length and a similarity above -1 count; queries without any, null
-    ones among them, have no lid, no score, and don't match.
+def _scores(q: np.ndarray, lib: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(lib, axis=1)[None, :]
+    return np.where(norms < 1e-12, 0.0, (q @ lib.T) / np.where(norms < 1e-12, 1.0, norms))
+
+
+def _angles(vectors: np.ndarray, units: np.ndarray) -> np.ndarray:
+    """Angles to unit vectors; a zero vector is at a right angle to all."""
+    return np.arccos(np.clip(vectors @ units.T / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300), -1, 1))
+
 
-    Blocks of queries meet blocks of the library, BLOCK vectors each, by one product of matrices a task; each pair of
-    blocks gives one best row a query, and a partial maximum the best of all.
+def _spread(vectors: list, dim: int, most: int) -> np.ndarray:
+    """Unit vectors of a sample that lie far apart: each is the one farthest from those before it, as long as there are others."""
+    if not vectors:
+        return np.eye(1, dim)
+    x = np.array(vectors, float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    chosen, near = [0], x @ x[0]
+    while len(chosen) < min(most, len(x)) and near.min() < 1 - 1e-9:
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, x @ x[chosen[-1]])
+    return x[chosen]
+
+
+def best_match(queries: DataFrame, library: DataFrame, threshold: float) -> DataFrame:
+    """For each query (qid, qvec) the most similar library vector (lid, lvec) by cosine, the first of equal ones, whether it
+    reaches the threshold, and the number of library blocks that the query was compared with. Only vectors of the query's length and
+    a similarity above -1 count; queries without any, null ones among them, have no lid, no score, and don't match.
+
+    The library's vectors lie in cells around pivots (of each length, the square root of their number, PIVOTS at most). Angles obey the
+    triangle inequality, so no vector of a cell is nearer to a query than its pivot's angle less the cell's radius. A query meets
+    the cell whose pivot is nearest first; of the others, it meets those alone that may hold a vector as near as the best it has
+    found. What it meets of a cell are blocks of BLOCK vectors, by one product of matrices a task. A library of no more than
+    BLOCK vectors is sent to the tasks instead.
     """
-    n = [max(1, math.ceil(df.count() / BLOCK)) for df in (queries, library)]
-    side = lambda df, id_col, own, other: df.withColumns({own: F.pmod(F.xxhash64(id_col), F.lit(n[own == "_l"])), other: F.explode(F.sequence(F.lit(0), F.lit(n[other == "_l"] - 1)))})
-    q = side(queries.filter("qvec is not null").select("qid", doubles(F.col("qvec")).alias("qvec")), "qid", "_q", "_l")
-    lib = side(library.filter("lvec is not null").select("lid", doubles(F.col("lvec")).alias("lvec")), "lid", "_l", "_q")
-    q, lib = (df.withColumns({c: F.col(c).cast("long") for c in ("_q", "_l")}) for df in (q, lib))
-
-    def scored(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"qid": pd.Series(dtype="int64"), "lid": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})]
-        right = right.sort_values("lid")
-        for size, own in left.groupby(left["qvec"].map(len)):
-            same = right[right["lvec"].map(len) == size]
-            if len(same):
-                a, b = np.vstack(own["qvec"].tolist()), np.vstack(same["lvec"].tolist())
-                norms = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
-                s = np.where(norms < 1e-12, 0.0, (a @ b.T) / np.where(norms < 1e-12, 1.0, norms))
-                k = s.argmax(axis=1)
-                out.append(pd.DataFrame({"qid": own["qid"], "lid": same["lid"].to_numpy()[k], "score": s[np.arange(len(k)), k]}))
-        return pd.concat(out)
-
-    found = q.groupBy("_q", "_l").cogroup(lib.groupBy("_q", "_l")).applyInPandas(scored, "qid long, lid long, score double")
-    best = found.filter("score > -1").groupBy("qid").agg(F.max_by(F.struct("lid", "score"), F.struct("score", -F.col("lid"))).alias("b"))
+    spark = queries.sparkSession
+    q = queries.filter("qvec is not null").select("qid", doubles(F.col("qvec")).alias("qvec")).withColumn("dim", F.size("qvec"))
+    lib = library.filter("lvec is not null").select("lid", doubles(F.col("lvec")).alias("lvec")).withColumn("dim", F.size("lvec"))
+    sizes = {r["dim"]: r["count"] for r in lib.filter("dim > 0").groupBy("dim").count().collect()}  # one row a length of vector
+    if sum(sizes.values()) <= BLOCK:
+        return _answers(queries, _small(q, lib), threshold)
+    chance = F.pmod(F.xxhash64("lid", F.lit(7)), F.lit(1 << 30))
+    picked = F.lit(False)
+    for dim, n in sizes.items():
+        picked = picked | (F.col("dim") == dim) & (chance < int((1 << 30) * min(1.0, 4 * min(PIVOTS, math.isqrt(n) + 1) / n)))
+    rows = lib.filter(picked & (norm(F.col("lvec")) >= 1e-12)).select("dim", "lvec").limit(8 * PIVOTS * max(1, len(sizes))).collect()  # bounded
+    units = {dim: _spread([r["lvec"] for r in rows if r["dim"] == dim], dim, min(PIVOTS, math.isqrt(n) + 1)) for dim, n in sizes.items()}
+
+    def cells(batches):
+        for pdf in batches:
+            for dim, own in pdf.groupby("dim"):
+                if dim:
+                    angles = _angles(np.vstack(own["lvec"].tolist()), units[dim])
+                    cell = angles.argmin(axis=1)
+                    yield own.assign(cell=cell.astype(np.int32), angle=angles[np.arange(len(cell)), cell])
+
+    held = written(lib.filter("dim > 0").mapInPandas(cells, "lid long, lvec array<double>, dim int, cell int, angle double"), "cells")
+    bounds = {(r["dim"], r["cell"]): (r["radius"], -(-r["n"] // BLOCK)) for r in held.groupBy("dim", "cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect()}  # PIVOTS a length
+    radii = {dim: np.array([bounds.get((dim, k), (-1.0, 0))[0] for k in range(len(u))]) for dim, u in units.items()}
+    parts = {dim: np.array([bounds.get((dim, k), (-1.0, 0))[1] for k in range(len(u))]) for dim, u in units.items()}
+
+    def bounded(own: pd.DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
+        """The cell of the nearest pivot, and the least angle at which each cell may hold a vector, for each query; empty cells hold none."""
+        angles = np.where(radii[dim] < 0, np.inf, _angles(np.vstack(own["qvec"].tolist()), units[dim]))
+        return angles.argmin(axis=1), angles - radii[dim]
+
+    def meeting(own: pd.DataFrame, at: np.ndarray, cell: np.ndarray, dim: int) -> pd.DataFrame:
+        """A row for each query (by place) and block of a cell."""
+        n = parts[dim][cell]
+        out = own.iloc[np.repeat(at, n)][["qid", "qvec", "dim"]]
+        return out.assign(cell=np.repeat(cell, n).astype(np.int32), part=(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32))
+
+    def nearest(batches):
+        for pdf in batches:
+            for dim, own in pdf.groupby("dim"):
+                if dim in units:
+                    yield meeting(own, np.arange(len(own)), bounded(own, dim)[0], dim)
+
+    def others(batches):
+        for pdf in batches:
+            for dim, own in pdf.groupby("dim"):
+                first, low = bounded(own, dim)
+                low[np.arange(len(own)), first] = np.inf  # met already
+                limit = np.arccos(np.clip(own["score"].to_numpy(float), -1, 1)) + SLACK
+                at, cell = np.nonzero(low <= limit[:, None])
+                if len(at):
+                    yield meeting(own, at, cell, dim)
+
+    shape = "qid long, qvec array<double>, dim int, cell int, part int"
+    by_part = held.withColumn("part", F.lit(0))
+    if any(n > 1 for _, n in bounds.values()):
+        numbers = spark.createDataFrame([(*k, n) for k, (_, n) in bounds.items()], "dim int, cell int, n int")
+        by_part = held.join(numbers, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("lid"), F.col("n")).cast("int"))
+
+    def met(wanted: DataFrame) -> DataFrame:
+        """The best of each block that a query meets. Blocks meet at most so many queries at once; a cell that all queries meet is many groups."""
+        share = max(1, -(-wanted.count() // (BLOCK * max(1, sum(n for _, n in bounds.values())))))
+        left = wanted.withColumn("share", F.pmod(F.xxhash64("qid"), F.lit(share)).cast("int"))
+        right = by_part.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(share - 1)))).select("lid", "lvec", "dim", "cell", "part", "share")
+        keys = ["dim", "cell", "part", "share"]
+
+        def scored(own: pd.DataFrame, lib: pd.DataFrame) -> pd.DataFrame:
+            if not len(own) or not len(lib):
+                return pd.DataFrame({"qid": pd.Series(dtype="int64"), "lid": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+            lib = lib.sort_values("lid")
+            vectors, found = np.vstack(lib["lvec"].tolist()), []
+            for k in range(0, len(own), BLOCK):
+                s = _scores(np.vstack(own["qvec"].iloc[k : k + BLOCK].tolist()), vectors)
+                best = s.argmax(axis=1)
+                found.append(pd.DataFrame({"qid": own["qid"].iloc[k : k + BLOCK].to_numpy(), "lid": lib["lid"].to_numpy()[best], "score": s[np.arange(len(best)), best]}))
+            return pd.concat(found)
+
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(scored, "qid long, lid long, score double")
+
+    first = written(met(q.mapInPandas(nearest, shape)), "first-cells")
+    if any(len(u) > 1 for u in units.values()):
+        so_far = first.groupBy("qid").agg(F.max("score").alias("score"))
+        more = written(q.join(so_far, "qid").mapInPandas(others, shape), "other-cells")
+        first = first.unionByName(met(more))
+    return _answers(queries, first, threshold)
+
+
+def _small(q: DataFrame, lib: DataFrame) -> DataFrame:
+    """The best of a library of BLOCK vectors at most, which is sent to the tasks whole, in order: (qid, lid, score)."""
+    held: dict[int, tuple[list[int], list]] = {}
+    for r in sorted(lib.collect()):
+        ids, rows = held.setdefault(r["dim"], ([], []))
+        ids.append(r["lid"])
+        rows.append(r["lvec"])
+    shared = q.sparkSession.sparkContext.broadcast({dim: (np.array(ids), np.array(rows, float)) for dim, (ids, rows) in held.items() if dim})
+
+    def scored(batches):
+        for pdf in batches:
+            for dim, own in pdf.groupby("dim"):
+                if dim in shared.value:
+                    ids, rows = shared.value[dim]
+                    for k in range(0, len(own), BLOCK):
+                        s = _scores(np.vstack(own["qvec"].iloc[k : k + BLOCK].tolist()), rows)
+                        best = s.argmax(axis=1)
+                        yield pd.DataFrame({"qid": own["qid"].iloc[k : k + BLOCK], "lid": ids[best], "score": s[np.arange(len(best)), best]})
+
+    return q.mapInPandas(scored, "qid long, lid long, score double")
+
+
+def _answers(queries: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    best = found.groupBy("qid").agg(F.max_by(F.struct("lid", "score"), F.when(F.col("score") > -1, F.struct("score", -F.col("lid")))).alias("b"), F.count(F.lit(1)).alias("blocks"))
     out = queries.select("qid").join(best, "qid", "left")
-    return out.select("qid", "b.lid", "b.score", F.coalesce(F.col("b.score") >= threshold, F.lit(False)).alias("matched"))
+    return out.select("qid", "b.lid", "b.score", F.coalesce(F.col("b.score") >= threshold, F.lit(False)).alias("matched"), F.coalesce("blocks", F.lit(0)).alias("blocks"))
+
+
+def ordinals(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """rows numbered from 0 in order (which tells them apart), without one task for all: numbers within sorted ranges, after the sizes
+    of the ranges before."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    held = written(ranged.withColumn("_id", F.monotonically_increasing_id()), "ordinals")
+    span = F.shiftright("_id", 33)
+    sizes = held.groupBy(span.alias("_span")).count()  # one row a range
+    before = sizes.select("_span", F.coalesce(F.sum("count").over(Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return held.withColumn("_span", span).join(before, "_span").withColumn(name, place).drop("_id", "_span", "_before")
 
 
 def greedy_clusters(vectors: list[np.ndarray], threshold: float) -> list[int]:
@@ -188,25 +321,25 @@ def match_or_enrol(queries: DataFrame, library: DataFrame, threshold: float, bat
     """Voiceprints of segments (batch, qid, qvec) -> (batch, qid, lid, name, fresh).
 
     Entries of the library (lid, name, lvec, n) with samples and the length of the queries can match; others are spare. A query
-    takes its best match at the threshold; the rest of a batch (one recording) is clustered greedily in order, and each
-    cluster takes the next spare entry, then a new name, numbered after those of the library that begin alike. Batches
-    see the same library; what they learn is learned_voiceprints().
+    takes its best match at the threshold; the rest of a batch (one recording) is clustered greedily in order. Clusters are numbered over
+    all batches in order, and each takes the spare entry of its number, then a new name, numbered after those of the library that
+    begin alike: no entry and no name goes to two clusters. Batches match the same library; what they learn is learned_voiceprints().
     """
     size = F.size("lvec")
-    dims = queries.filter("qvec is not null").groupBy(batch).agg(F.min_by(F.size("qvec"), "qid").alias("dim"))
-    [dim] = [r[0] for r in dims.agg(F.max("dim")).collect()]
-    usable = (F.col("n") > 0) & F.col("lvec").isNotNull() & (size > 0) & F.coalesce(size == F.lit(dim), F.lit(False))
+    dims = queries.filter("qvec is not null").agg(F.min_by(F.size("qvec"), F.struct(batch, "qid")).alias("dim"))
+    dim = dims.first()["dim"]
+    usable = (F.col("n") > 0) & F.col("lvec").isNotNull() & (size > 0) & F.coalesce(size == F.lit(dim).cast("int"), F.lit(False))
     best = best_match(queries.select("qid", "qvec"), library.filter(usable).select("lid", "lvec"), threshold)
-    spare = library.filter(~usable).agg(F.array_sort(F.collect_list(F.struct("lid", "name"))).alias("_spare"))  # entries never learned
-    known = library.filter(F.startswith("name", F.lit(UNKNOWN))).agg(F.count(F.lit(1)).alias("_known"))
+    spare = ordinals(library.filter(~usable).select("lid", "name"), ["lid"], "_k")  # entries never learned, or of another length
+    known = library.agg(F.count(F.when(F.startswith("name", F.lit(UNKNOWN)), 1)).alias("known"), F.count(F.when(~usable, 1)).alias("spare")).first()
     matched = best.filter("matched").select("qid", "lid").join(library.select("lid", "name"), "lid")
     first = queries.select(batch, "qid").join(matched, "qid").select(batch, "qid", "lid", "name", F.lit(False).alias("fresh"))
     left = queries.filter("qvec is not null").join(matched.select("qid"), "qid", "left_anti").select(batch, "qid", "qvec")
-    grouped = cluster_within(left, batch, "qid", "qvec", threshold).withColumn("_c", F.col("cluster").cast("int"))
-    placed = grouped.join(F.broadcast(spare), F.lit(True)).join(F.broadcast(known), F.lit(True))  # one row each
-    entry = F.get("_spare", F.col("_c"))
-    name = F.concat(F.lit(UNKNOWN + " "), (F.col("_known") + F.col("_c") - F.size("_spare") + 1).cast("string"))
-    rest = placed.select(batch, "qid", entry["lid"].alias("lid"), F.coalesce(entry["name"], name).alias("name"), entry.isNull().alias("fresh"))
+    grouped = written(cluster_within(left, batch, "qid", "qvec", threshold), "clusters")
+    numbered = ordinals(grouped.select(batch, "cluster").distinct(), [batch, "cluster"], "_k").join(spare, "_k", "left")
+    new = F.concat(F.lit(UNKNOWN + " "), (F.col("_k") + (known["known"] - known["spare"] + 1)).cast("string"))
+    named = numbered.select(F.col(batch).alias("_b"), F.col("cluster").alias("_c"), "lid", F.coalesce("name", new).alias("name"), F.col("lid").isNull().alias("fresh"))
+    rest = grouped.join(named, F.col(batch).eqNullSafe(F.col("_b")) & (F.col("cluster") == F.col("_c"))).select(batch, "qid", "lid", "name", "fresh")
     return first.unionByName(rest)
 
 

@@ -532,7 +532,7 @@ def match_voiceprints(t):
     v = t("embeddings").select("vec_id", "label", vectors.doubles(F.col("embedding")).alias("v"))
     known = v.groupBy("label").agg(F.min("vec_id").alias("lid"), F.min_by("v", "vec_id").alias("lvec"))  # a voiceprint a label
     others = v.join(known.select(F.col("lid").alias("vec_id")), "vec_id", "left_anti").select(F.col("vec_id").alias("qid"), F.col("v").alias("qvec"))
-    return vectors.best_match(others, known.select("lid", "lvec"), 0.3).withColumn("score", F.round("score", 6))
+    return vectors.best_match(others, known.select("lid", "lvec"), 0.3).withColumn("score", F.round("score", 6)).drop("blocks")
 
 
 def _sql_unit(values: str) -> str:

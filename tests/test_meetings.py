@@ -118,6 +118,9 @@ def test_voiceprints(spark):
     lib = spark.createDataFrame([(10, "Ann", [1.0, 0.1], 3), (11, "Bo", None, 0), (12, "未知说话人 1", [1.0], 2)], "lid long, name string, lvec array<double>, n long")
     got = {r.qid: (r.lid, r.name, r.fresh) for r in vectors.match_or_enrol(q, lib, 0.8).collect()}
     assert got == {1: (10, "Ann", False), 2: (11, "Bo", False), 3: (11, "Bo", False), 5: (12, "未知说话人 1", False), 6: (None, "未知说话人 2", True)}
+    more = spark.createDataFrame([(1, 7, [0.0, 1.0]), (1, 8, [0.0, -1.0]), (1, 9, [-1.0, 0.1])], q.schema)
+    both = [(r.batch, r.lid, r.name) for r in vectors.match_or_enrol(q.unionByName(more), lib, 0.8).collect() if r.batch == 1 or r.lid is None]
+    assert sorted(both, key=str) == [(0, None, "未知说话人 2"), (1, None, "未知说话人 3"), (1, None, "未知说话人 4"), (1, None, "未知说话人 5")]  # unique over batches
     after = {r.lid: r for r in vectors.learned_voiceprints(vectors.match_or_enrol(q, lib, 0.8), q, lib).collect()}
     assert after[10].n == 4 and after[11].n == 3 and after[12].lvec == [-1.0, 0.0] and after[10].lvec[0] == pytest.approx(0.997, abs=0.002)
 

@@ -157,6 +157,35 @@ def test_best_match_keeps_all_queries(spark, monkeypatch):
     assert got == {1: (7, True), 2: (None, False), 3: (None, False), 4: (9, True), 5: (9, False)}
 
 
+def test_best_match_by_bounds_equals_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 12))
+    near = lambda n: centres[rng.integers(40, size=n)] + rng.normal(size=(n, 12)) * 0.05
+    lib = [*near(1500).tolist(), [0.0] * 12, *rng.normal(size=(60, 5)).tolist(), None, []]
+    q = [*near(200).tolist(), *rng.normal(size=(20, 12)).tolist(), [0.0] * 12, *rng.normal(size=(20, 5)).tolist(), None, [1.0] * 3, []]
+    want = {}
+    for i, v in enumerate(q):
+        own = [(vectors._scores(np.array([v]), np.array([x]))[0, 0], -k) for k, x in enumerate(lib) if v and x and len(x) == len(v)]
+        own = [o for o in own if o[0] > -1]
+        want[i] = max(own) if own else (None, None)
+    dfs = spark.createDataFrame(list(enumerate(q)), "qid long, qvec array<double>"), spark.createDataFrame(list(enumerate(lib)), "lid long, lvec array<double>")
+    for block in (10_000, 25):
+        monkeypatch.setattr(vectors, "BLOCK", block)
+        got = {r.qid: r for r in vectors.best_match(*dfs, 0.9).collect()}
+        for i, (score, k) in want.items():
+            assert got[i].score == (None if score is None else pytest.approx(score, abs=1e-9))
+            assert score in (None, 0.0) or got[i].lid == -k
+            assert got[i].matched == (score is not None and score >= 0.9)
+    every = len(lib) / 25
+    assert 0 < np.mean([got[i].blocks for i in range(200)]) < every / 4  # of blocks of 25, most are never met
+
+
+def test_ordinals_count_on_over_ranges(spark):
+    df = spark.createDataFrame([(k * 7 % 1000, "x") for k in range(1000)], "k long, v string").repartition(6)
+    assert sorted((r.k, r.n) for r in vectors.ordinals(df, ["k"], "n").collect()) == [(k, k) for k in range(1000)]
+    assert vectors.ordinals(df.limit(0), ["k"], "n").count() == 0
+
+
 def test_vectors(spark):
     labels = vectors.spectral_labels([[1, 0, 0], [0, 1, 0], [1, 0.1, 0], [0.1, 1, 0]])
     assert labels[0] == labels[2] != labels[1] == labels[3]
