@@ -32,7 +32,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import meetings  # noqa: F401  registers the rest
+    from . import live, meetings  # noqa: F401  register the rest
 
     return dict(_QUERIES)
 
