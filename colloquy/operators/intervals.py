@@ -77,12 +77,14 @@ def interpolate(points: DataFrame, anchors: DataFrame, keys: list[str]) -> DataF
 
 
 def common_length(a: str, b: str, most: int = 20) -> int:
-    """The length of the longest string that both hold, most at the most."""
-    short, long = sorted((a, b), key=len)
-    for n in range(min(len(short), most), 0, -1):
-        if any(short[i : i + n] in long for i in range(len(short) - n + 1)):
-            return n
-    return 0
+    """The length of the longest string that both hold; longer ones than `most` count as that. Texts that share a string share all its parts,
+    so lengths are halved in on, each by the set of one text's strings of that length."""
+    low, high = 0, min(len(a), len(b), most)
+    while low < high:
+        n = (low + high + 1) // 2
+        held = {a[i : i + n] for i in range(len(a) - n + 1)}
+        low, high = (n, high) if any(b[i : i + n] in held for i in range(len(b) - n + 1)) else (low, n - 1)
+    return low
 
 
 def locate(items: DataFrame, segments: DataFrame, key: str) -> DataFrame:

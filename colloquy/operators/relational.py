@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import written
+
 
 def optional_in(df: DataFrame, column: str, ids) -> DataFrame:
     """Rows whose column is among ids; no or empty ids mean no filter."""
@@ -52,13 +54,58 @@ def partial_update(table: DataFrame, key: str, key_value, updates: dict, stamp:
     return table.withColumns({c: F.when(hit, v.cast(table.schema[c].dataType)).otherwise(F.col(c)) for c, v in given.items()})
 
 
-def subtree(nodes: DataFrame, root, levels: int = 10_000) -> DataFrame:
-    """(id, depth) of root and all below it in an adjacency list (id, parent_id). A root that doesn't exist gives no rows. More
-    levels than allowed, as in a cycle, or more rows than spark.sql.cteRecursionRowLimit, are an error, never a shorter result."""
-    text = f"""WITH RECURSIVE tree(id, depth) MAX RECURSION LEVEL {int(levels)} AS (
-      SELECT id, 0 FROM {{nodes}} WHERE id = :root UNION ALL SELECT n.id, t.depth + 1 FROM {{nodes}} n JOIN tree t ON n.parent_id = t.id)
-      SELECT id, depth FROM tree"""
-    return nodes.sparkSession.sql(text, args={"root": root}, nodes=nodes.select("id", "parent_id"))
+def subtree(nodes: DataFrame, root) -> DataFrame:
+    """(id, depth) of root and all below it in an adjacency list (id, parent_id; ids are unique). A root that doesn't exist gives no
+    rows, and one that lies in a cycle is an error.
+
+    By path doubling: each node points up, first to its parent, and in every round to where that one points, so a tree of any depth takes
+    a number of rounds that is the logarithm of its levels. Nodes whose pointer ends elsewhere leave; so do those that go round in a
+    cycle away from the root, once pointers are longer than any path.
+    """
+    root = F.lit(root).cast(nodes.schema["id"].dataType)
+    start = nodes.select("id", F.when(F.col("id") == root, root).otherwise(F.col("parent_id")).alias("up"), F.when(F.col("id") == root, 0).otherwise(1).cast("long").alias("depth"))
+    state = written(start.filter("up is not null"), "pointers")
+    reach, most = 1, None
+    while True:
+        open_ = state.filter(F.col("up") != root)
+        if most is None:
+            if state.filter(F.col("id") == root).isEmpty():
+                return state.filter(F.lit(False)).select("id", F.col("depth").cast("int").alias("depth"))
+            most = state.count()
+        if reach > most or open_.isEmpty():
+            break
+        onward = state.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
+        moved = open_.join(onward, "up").select("id", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"))
+        state, reach = written(state.filter(F.col("up") == root).unionByName(moved), "pointers"), reach * 2
+    found = state.filter(F.col("up") == root).select("id", F.col("depth").cast("int").alias("depth"))
+    above = nodes.filter(F.col("id") == root).select(F.col("parent_id").alias("id"))
+    if not found.join(above, "id", "left_semi").isEmpty():
+        raise ValueError("the root of the subtree lies in a cycle")
+    return found
+
+
+def allowed_moves(nodes: DataFrame, moves: DataFrame, most: int = 2) -> DataFrame:
+    """moves (moved, target) with `allowed`: a folder (nodes: id, parent_id, is_folder) may go into another folder that isn't below it
+    and isn't its own parent, if nothing of it comes to lie deeper than `most`; other items may go into any other folder.
+
+    Depths above `most` forbid a move anyway, so they are counted no further: `most` joins up, and as many down.
+    """
+    parent = nodes.select(F.col("id").alias("_id"), F.col("parent_id").alias("_parent"))
+    rows = moves.join(nodes.select(F.col("id").alias("moved"), F.col("is_folder").alias("_folder"), F.col("parent_id").alias("_from")), "moved", "left")
+    rows = rows.join(nodes.select(F.col("id").alias("target"), F.col("is_folder").alias("_into")), "target", "left").withColumns({"_at": F.col("target"), "_depth": F.lit(-1), "_below": F.lit(False)})
+    for _ in range(most + 1):  # from the target up
+        rows = rows.withColumns({"_depth": F.col("_depth") + F.col("_at").isNotNull().cast("int"), "_below": F.col("_below") | F.coalesce(F.col("_at") == F.col("moved"), F.lit(False))})
+        rows = rows.join(parent, F.col("_at") == F.col("_id"), "left").withColumn("_at", F.col("_parent")).drop("_id", "_parent")
+    rows = rows.withColumn("_deep", F.col("_at").isNotNull())
+    height, level = rows.select("moved").distinct().withColumns({"_at": F.col("moved"), "_height": F.lit(0)}), moves.select("moved").distinct().select("moved", F.col("moved").alias("_at"))
+    height = height.select("moved", "_height")
+    for k in range(1, most + 1):  # from what is moved down
+        level = level.join(parent, F.col("_at") == F.col("_parent")).select("moved", F.col("_id").alias("_at"))
+        height = height.unionByName(level.select("moved", F.lit(k).alias("_height")).distinct())
+    rows = rows.join(height.groupBy("moved").agg(F.max("_height").alias("_height")), "moved")
+    fits = ~F.col("_below") & ~F.col("_deep") & (F.col("_depth") + 1 + F.col("_height") <= most)
+    into = F.col("_into") & ~F.col("target").eqNullSafe(F.col("_from")) & (F.col("target") != F.col("moved"))
+    return rows.select(*moves.columns, F.coalesce(into & (~F.col("_folder") | fits), F.lit(False)).alias("allowed"))
 
 
 def delete_subtree(nodes: DataFrame, root, children: dict[str, tuple[DataFrame, str]]) -> dict[str, DataFrame]:

@@ -175,6 +175,25 @@ def folder_subtree(t):
     return relational.subtree(folders(t), "r1")
 
 
+@query(f"""WITH RECURSIVE f AS ({FOLDERS}), up(id, anc, k) AS (SELECT id, id, 0 FROM f UNION ALL SELECT up.id, f.parent_id, k + 1 FROM up JOIN f ON up.anc = f.id WHERE f.parent_id IS NOT NULL),
+    depth AS (SELECT id, max(k) AS d FROM up GROUP BY id), height AS (SELECT anc AS id, max(k) AS h FROM up GROUP BY anc),
+    m AS (SELECT 'c' || c_custkey AS moved, 'n' || (c_custkey % 25) AS target FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || (n_nationkey % 5) FROM nation
+      UNION ALL SELECT 'n' || n_nationkey, 'n' || (n_nationkey % 7) FROM nation UNION ALL SELECT 'r' || r_regionkey, 'n' || n_nationkey FROM region, nation WHERE n_nationkey < 5)
+    SELECT m.moved, m.target, m.target IS DISTINCT FROM f.parent_id AND m.moved <> m.target AND NOT EXISTS (SELECT 1 FROM up WHERE up.id = m.target AND up.anc = m.moved) AND d.d + 1 + h.h <= 2 AS allowed
+      FROM m JOIN f ON f.id = m.moved JOIN depth d ON d.id = m.target JOIN height h ON h.id = m.moved""")
+def allowed_moves(t):
+    """Folders dragged onto others: two levels below a root are allowed, and none into itself."""
+    name = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    key, nation, region = F.col("c_custkey"), F.col("n_nationkey"), t("region").select("r_regionkey")
+    moves = (
+        t("customer").select(name("c", key).alias("moved"), name("n", key % 25).alias("target"))
+        .unionByName(t("nation").select(name("n", nation).alias("moved"), name("r", nation % 5).alias("target")))
+        .unionByName(t("nation").select(name("n", nation).alias("moved"), name("n", nation % 7).alias("target")))
+        .unionByName(region.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4)))).select(name("r", F.col("r_regionkey")).alias("moved"), name("n", F.col("k")).alias("target")))
+    )
+    return relational.allowed_moves(folders(t).withColumn("is_folder", F.lit(True)), moves)
+
+
 @query("SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)")
 def cascade_delete(t):
     gone = t("nation").filter("n_regionkey = 2").select(F.col("n_nationkey").alias("id"))

@@ -352,11 +352,10 @@ def node_heights(t):
     return t("documents").select("doc_id", tx.node_height(F.col("text"), 12, 180, 16, 1.4, 36).cast("double").alias("height"))
 
 
-@query(r"SELECT conv_id, turn, regexp_replace(text, '[\x22\x27。.，,\n]', '', 'g') AS title FROM (SELECT conv_id, turn, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text FROM conversations) WHERE regexp_replace(text, '[\x22\x27。.，,\n]', '', 'g') = trim(regexp_replace(text, '[\x22\x27。.，,\n]', '', 'g'))")
+@query(r"SELECT conv_id, turn, regexp_replace(regexp_replace(text, '[\x22\x27。.，,\n]', '', 'g'), '^\s+|\s+$', '', 'g') AS title, substr(text, 1, 500) AS excerpt FROM conversations")
 def clean_titles(t):
-    rows = t("conversations").select("conv_id", "turn", F.regexp_replace("text", r"^\s+|\s+$", "").alias("text"))
-    bare = F.regexp_replace("text", fixed.TITLE_MARKS, "")
-    return rows.filter(bare == F.trim(bare)).select("conv_id", "turn", tx.clean_title(F.col("text")).alias("title"))
+    """Turns as a model's titles, cleaned, and the part of a transcript that a title is asked for."""
+    return t("conversations").select("conv_id", "turn", tx.clean_title(F.col("text")).alias("title"), F.substring("text", 1, 500).alias("excerpt"))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -600,12 +599,19 @@ def aligner_windows(t):
     return ordered.window_bounds(blocks.recording_windows(rows, ["project_id"], ["idx"], name="w"), ["project_id"], "w", F.lit(10_000.0))
 
 
-@query()
+_LCS = "list_max(list_transform(range(1, 21), lambda n: CASE WHEN len(list_filter(range(1, length({a}) - n + 2), lambda i: contains({b}, substr({a}, i, n)))) > 0 THEN n ELSE 0 END))"
+
+
+@query(rf"""WITH i AS (SELECT project_id, lower(arg_max(text, idx)) AS a FROM {_SEGMENTS} GROUP BY project_id),
+    k AS (SELECT project_id, a, list_distinct(list_concat(regexp_extract_all(a, '{fixed.PHRASE_ZH}'), regexp_extract_all(a, '[a-z]{{4,}}'))) AS words FROM i),
+    s AS (SELECT k.project_id, idx, start, coalesce(list_sum(list_transform(list_filter(words, lambda w: contains(lower(text), w)), lambda w: length(w))), 0) + 2 * {_LCS.format(a="k.a", b="lower(text)")} AS score
+      FROM k JOIN {_SEGMENTS} x ON k.project_id = x.project_id)
+    SELECT i.project_id, 0 AS item, start FROM i LEFT JOIN (SELECT project_id, start FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY score DESC, idx) = 1) b ON i.project_id = b.project_id""")
 def located_items(t):
-    """Where in its meeting the start of each last turn was said."""
+    """Where in its meeting each last turn was said."""
     rows = spoken(t)
-    items = rows.groupBy("project_id").agg(F.substring(F.max_by("text", "idx"), 1, 60).alias("text")).withColumn("item", F.lit(0))
-    return intervals.locate(items, rows.select("project_id", "idx", "start", F.substring("text", 1, 400).alias("text")), "project_id").select("project_id", "item", "start")
+    items = rows.groupBy("project_id").agg(F.max_by("text", "idx").alias("text")).withColumn("item", F.lit(0))
+    return intervals.locate(items, rows.select("project_id", "idx", "start", "text"), "project_id").select("project_id", "item", "start")
 
 
 @query("SELECT conv_id AS project_id, CAST(sum(length(text) - length(replace(text, 'the', ''))) // 3 AS BIGINT) AS n FROM conversations GROUP BY conv_id")

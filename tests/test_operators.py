@@ -145,8 +145,23 @@ def test_time_flags(spark):
 def test_deep_trees_and_cycles(spark):
     chain = spark.createDataFrame([(f"n'{k}", f"n'{k - 1}" if k else None) for k in range(70)], "id string, parent_id string")
     assert relational.subtree(chain, "n'0").count() == 70 and relational.subtree(chain, "none").count() == 0
-    with pytest.raises(Exception, match="RECURSION"):
-        relational.subtree(spark.createDataFrame([("a", "b"), ("b", "a")], "id string, parent_id string"), "a", levels=5).collect()
+    loops = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a"), ("x", None), ("y", "x"), ("z", "gone")], "id string, parent_id string")
+    with pytest.raises(ValueError, match="cycle"):
+        relational.subtree(loops, "a")
+    assert sorted(map(tuple, relational.subtree(loops, "x").collect())) == [("x", 0), ("y", 1)]  # cycles elsewhere are elsewhere
+    long = spark.range(100_000).select(F.col("id"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_id"))
+    found = relational.subtree(long, 99_000).agg(F.count("*").alias("n"), F.max("depth").alias("d")).first()
+    assert (found.n, found.d) == (1000, 999)
+    wide = spark.range(300_000).select(F.col("id"), F.when(F.col("id") > 0, F.floor((F.col("id") - 1) / 3)).alias("parent_id"))
+    assert relational.subtree(wide, 0).count() == 300_000
+
+
+def test_moves_of_folders(spark):
+    nodes = spark.createDataFrame([("a", None, True), ("b", "a", True), ("c", "b", True), ("d", None, True), ("e", "d", True), ("f", "e", False), ("g", None, False)], "id string, parent_id string, is_folder boolean")
+    moves = [("b", "d"), ("a", "d"), ("a", "c"), ("d", "a"), ("e", "a"), ("b", "a"), ("g", "c"), ("a", "a"), ("e", "g"), ("e", "c"), ("c", "e")]
+    got = {(r.moved, r.target): r.allowed for r in relational.allowed_moves(nodes, spark.createDataFrame(moves, "moved string, target string")).collect()}
+    yes = {("b", "d"), ("e", "a"), ("g", "c"), ("c", "e")}
+    assert got == {m: m in yes for m in moves}
 
 
 def test_best_match_keeps_all_queries(spark, monkeypatch):
