@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as tx
-from ..operators import audio, blocks, correction, evaluation, exports, intervals, knowledge, ordered, relational, summaries as sm, vectors
-from ..sources import index, store
+from ..operators import audio, blocks, correction, evaluation, exports, intervals, knowledge, ordered, relational, steps, summaries as sm, vectors
+from ..sources import index, store, wav
 from ..sources.shared import new_path, written
-from .catalog import micros, query, segments, sql_any
+from .catalog import _FOLD, micros, query, segments, sql_any
 
 _SEGMENTS = "(SELECT conv_id AS project_id, turn AS idx, role AS speaker, text, CAST(turn * 4 AS DOUBLE) AS start, CAST(turn * 4 + 3 AS DOUBLE) AS \"end\" FROM conversations)"
 
@@ -424,6 +424,45 @@ def spectral_speakers(t):
     return vectors.spectral_speakers(rows, ["recording"], "vec_id", "embedding")
 
 
+# --- recordings and post-processing ----------------------------------------------------------------------------------
+
+
+@query("""SELECT event_type, CAST(k // 500 AS BIGINT) AS block, count(*) AS n, CAST(sum(CAST(round(value) AS BIGINT) % 100 - 50) AS BIGINT) AS total
+    FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS k FROM events) GROUP BY ALL""")
+def recording_blocks(t):
+    """Each event type's values as a recording: written as WAV files by tasks, and read back in blocks of half a second."""
+    rows = t("events").select("event_type", "event_id", (F.round("value").cast("long") % 100 - 50).alias("x"))
+    folder = new_path(rows.sparkSession, "recordings")
+    saved = rows.groupBy("event_type").applyInPandas(wav.saver(folder, "event_type", "event_id", "x", 1000, 32768), "path string, samples long")
+    saved.write.format("noop").mode("overwrite").save()
+    wav.register(rows.sparkSession)
+    name = F.regexp_extract("path", r"([^/]+)\.wav$", 1)
+    total = F.aggregate("samples", F.lit(0.0), lambda s, x: s + x.cast("double") * 32768)
+    read = rows.sparkSession.read.format("wav").option("blockSeconds", 0.5).load(folder)
+    return read.select(name.alias("event_type"), "block", F.size("samples").cast("long").alias("n"), F.round(total).cast("long").alias("total"))
+
+
+@query(_FOLD.format(marked=sql_any("lower(text)", fixed.MARKERS_EN), split="s.m AND f.n >= 2").replace("SELECT conv_id AS project_id, turn AS idx, CAST(paragraph AS BIGINT) AS paragraph FROM f", r"""
+    SELECT f.conv_id AS project_id, f.turn AS idx, CAST(paragraph AS BIGINT) AS paragraph, contains(c.text, '|') AS failed, CASE WHEN regexp_matches(x, '[.!?。！？]$') THEN x ELSE x || '.' END AS text
+      FROM f JOIN (SELECT conv_id, turn, text, CASE WHEN contains(text, '|') THEN text ELSE regexp_replace(text, ' +', ' ', 'g') END AS x FROM conversations) c ON f.conv_id = c.conv_id AND f.turn = c.turn"""))
+def post_processed(t):
+    """Turns after correction, paragraphs and punctuation; the correction fails on texts with a bar, which keep theirs."""
+    todo = [
+        steps.Step("correction", text=_single_spaces),
+        steps.Step("segmentation", rows=lambda df: blocks.paragraphs(df, ["project_id"], ["idx"], F.coalesce(tx.any_of(F.lower("text"), fixed.MARKERS_EN), F.lit(False)), "semantic")),
+        steps.Step("punctuation", text=lambda s: s if s[-1:] in ".!?。！？" and s else s + "."),
+        steps.Step("hallucination", rows=lambda df: df.filter("idx < 0")),  # off: all rows would go
+    ]
+    done = steps.post_processed(segments(t), todo, {"hallucination": False})
+    return done.select("project_id", "idx", "paragraph", (F.size("errors") > 0).alias("failed"), "text")
+
+
+def _single_spaces(text: str) -> str:
+    if "|" in text:
+        raise ValueError("a table isn't speech")
+    return " ".join(x for k, x in enumerate(text.split(" ")) if x or k in (0, text.count(" ")))
+
+
 # --- changes of the store -------------------------------------------------------------------------------------------
 
 
