@@ -123,7 +123,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id
 
     Only vectors of equal, not null labels and equal length link. Vectors that are null, empty, all zero or hold null
     or non-finite components link with nothing, nor do those of a null label: 0 links, a component of their own.
-    Repeated rows are vectors that link with each other. Input columns named like an output are replaced, all others
+    Repeated rows are vectors that link with each other; rows of one id with different vectors are each their own, and only link
+    if they are near. Input columns named like an output are replaced, all others
     kept; an empty table gives an empty table.
     """
     r = math.sqrt(2 - 2 * cosine)
@@ -133,7 +134,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id
     text = F.concat_ws(",", v.cast("array<string>"))
     rows = rows.withColumn("_key", F.when(usable, F.md5(F.concat_ws("|", F.col(f"`{label}`").cast("string"), text))))
     classes = rows.filter(F.col("_key").isNotNull()).select("_key", F.col(f"`{label}`").cast("string").alias("label"), F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("v"))
-    classes = materialize(classes.groupBy("_key").agg(F.min("id").alias("cls"), F.count(F.lit(1)).alias("m"), F.first("label").alias("label"), F.first("v").alias("v")).filter("cls is not null"), "classes")
+    classes = materialize(classes.groupBy("_key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("m"), F.first("label").alias("label"), F.first("v").alias("v")).filter("id is not null").withColumn("cls", F.xxhash64("_key")), "classes")
     units = materialize(classes.select("label", "cls", "m", "v").mapInArrow(_units, "label string, cls long, m long, u binary"), "units")
     dealt = units.mapInArrow(_cells(pivots(units), r), "label string, cell int, home boolean, cls long, m long, u binary")
     dealt = materialize(dealt, "cells")
@@ -145,8 +146,10 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id
     found = materialize(found, "links")
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     parts = components(found.filter("cls <> root").select(F.col("cls").alias("a"), F.col("root").alias("b")))
-    known = classes.select("_key", "cls", "m").join(links, "cls", "left").join(parts.withColumnRenamed("node", "cls"), "cls", "left")
-    known = materialize(known.select("_key", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "cls").alias("component_id")), "known")
+    known = classes.select("_key", "cls", "m", "id").join(links, "cls", "left").join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    known = materialize(known.select("_key", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), "component", "id"), "known")
+    least = known.groupBy("component").agg(F.min("id").alias("component_id"))
+    known = known.join(least, "component").select("_key", "n_links", "component_id")
     own = F.col(f"`{id_col}`").cast("long")
     out = rows.join(known, "_key", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long"))).withColumn("component_id", F.coalesce("component_id", own))
     return out.withColumn("kept", own.eqNullSafe(F.col("component_id"))).drop("_key")

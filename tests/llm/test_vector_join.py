@@ -66,3 +66,9 @@ def test_range_join(spark, monkeypatch, cell):
 
 def test_empty(spark):
     assert vector_join.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_one_id_on_two_vectors(spark):
+    rows = [(1, [1.0, 0.0], "a"), (1, [0.0, 1.0], "a"), (2, [1.0, 0.01], "a"), (3, [0.01, 1.0], "a"), (4, [0.0, 1.0], "a"), (0, [-1.0, 0.0], "a")]
+    got = sorted((r.vec_id, tuple(r.embedding), r.n_links, r.component_id, r.kept) for r in vector_join.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect())
+    assert got == [(0, (-1.0, 0.0), 0, 0, True), (1, (0.0, 1.0), 2, 1, True), (1, (1.0, 0.0), 1, 1, True), (2, (1.0, 0.01), 1, 1, False), (3, (0.01, 1.0), 2, 1, False), (4, (0.0, 1.0), 2, 1, False)]
