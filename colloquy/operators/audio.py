@@ -89,6 +89,39 @@ def sentence_segments(answers: DataFrame, key: str, body: str) -> DataFrame:
     return rows.select(key, "idx", "s.start", "s.end", "s.text")
 
 
+def recognised_segments(answers: DataFrame, key: str, body: str) -> DataFrame:
+    """(key, format, idx, start, end, text, speaker, confidence) of recognisers' JSON answers, whatever format each row has:
+
+    `sentences`: a list of items with sentence_info in milliseconds, or a text; `verbose`: segments in seconds, with a mean log
+    probability; `output`: output.sentence in milliseconds, with speaker ids; `chunks`: pairs of seconds, or a text.
+    A row is parsed once, into a variant, and its paths tell its format. Rows that are no JSON, or of no format, have no segments. Blank
+    chunks and texts are left out, as are items without sentences and text.
+    """
+    v, none = F.col("_v"), lambda kind: F.lit(None).cast(kind)
+    at = lambda path, kind: F.try_variant_get(v, path, kind)
+    seconds = lambda c, by=1: F.round(F.coalesce(c, F.lit(0.0)) / by, 3)
+
+    def segment(start: Column, end: Column, text: Column, speaker: Column | None = None, confidence: Column | None = None) -> Column:
+        return F.struct(start.alias("start"), end.alias("end"), F.trim(F.coalesce(text, F.lit(""))).alias("text"), (none("string") if speaker is None else speaker).alias("speaker"), (none("double") if confidence is None else confidence).alias("confidence"))
+
+    def untimed(text: Column) -> Column:
+        return F.filter(F.array(segment(F.lit(0.0), F.lit(0.0), text)), lambda s: s["text"] != "")
+
+    items = F.coalesce(at("$", SENTENCES), F.array().cast(SENTENCES))
+    sentences = F.flatten(F.transform(items, lambda x: F.when(F.coalesce(F.size(x["sentence_info"]), F.lit(0)) > 0, F.transform(x["sentence_info"], lambda s: segment(seconds(s["start"], 1000), seconds(s["end"], 1000), s["text"]))).otherwise(untimed(x["text"]))))
+    log = lambda s: F.when(s["avg_logprob"] != 0, F.round(s["avg_logprob"], 3))
+    verbose = F.transform(at("$.segments", "array<struct<start:double,end:double,text:string,avg_logprob:double>>"), lambda s: segment(seconds(s["start"]), seconds(s["end"]), s["text"], confidence=log(s)))
+    said = F.transform(at("$.output.sentence", "array<struct<begin_time:double,end_time:double,text:string,speaker_id:string>>"), lambda s: segment(seconds(s["begin_time"], 1000), seconds(s["end_time"], 1000), s["text"], speaker=F.concat(F.lit("Speaker_"), s["speaker_id"])))
+    pairs = F.filter(F.transform(at("$.chunks", "array<struct<timestamp:array<double>,text:string>>"), lambda s: segment(seconds(F.get(s["timestamp"], F.lit(0))), seconds(F.coalesce(F.get(s["timestamp"], F.lit(1)), F.get(s["timestamp"], F.lit(0)))), s["text"])), lambda s: s["text"] != "")
+    chunks = F.when(F.coalesce(F.size(at("$.chunks", "array<variant>")), F.lit(0)) > 0, pairs).otherwise(untimed(at("$.text", "string")))
+    formats = [("sentences", F.startswith(F.schema_of_variant(v), F.lit("ARRAY")), sentences), ("verbose", at("$.segments", "variant").isNotNull(), verbose), ("output", at("$.output.sentence", "variant").isNotNull(), said), ("chunks", at("$.chunks", "variant").isNotNull() | at("$.text", "variant").isNotNull(), chunks)]
+    name, found = none("string"), none("array<struct<start:double,end:double,text:string,speaker:string,confidence:double>>")
+    for kind, is_it, segments in reversed(formats):
+        name, found = F.when(is_it, F.lit(kind)).otherwise(name), F.when(is_it, segments).otherwise(found)
+    rows = answers.select(key, F.try_parse_json(body).alias("_v")).select(key, name.alias("format"), F.posexplode(found).alias("idx", "s"))
+    return rows.select(key, "format", "idx", "s.*")
+
+
 def chunk_segments(rows: DataFrame, chunk: str, seconds: float, length: Column) -> DataFrame:
     """Segments (start, end) of chunks of so many seconds, numbered from 0, in the recording's time; those without times get their
     chunk's, which ends with the recording (length)."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,6 +77,56 @@ def reranked(found: DataFrame, ranking: DataFrame) -> DataFrame:
     return found.drop("score").join(ranking, "ordinal").select("rank", *[c for c in found.columns if c != "score"], F.col("relevance").alias("score")).orderBy("rank")
 
 
+_RERANKERS: dict = {}
+
+
+def rerank(found: DataFrame, key: str, question: str, reranker: Callable[[], object], name: str, k: int, retries: int = 2, batch: int = 64) -> DataFrame:
+    """The k best hits (key, question, ordinal, text) of each question in a reranker's order: (key, rank, ordinal, text, relevance, fallback).
+
+    `reranker()` makes the object whose rank(list of (question, texts)) gives, for each question, pairs of a text's place and its relevance. A worker makes it
+    once, by name. It gets some questions at a time; a call that raises is made again, `retries` times, then question by question, and a question that
+    still fails keeps the search's order, without relevance. Places beyond the hits, and places named twice, are left out. A question's hits are what the search
+    fetched for it, so they are few.
+    """
+    hits = F.array_sort(F.collect_list(F.struct("ordinal", "text"))).alias("hits")
+    asked = found.groupBy(key).agg(F.min(question).alias("question"), hits)
+    kind = found.schema[key].dataType.simpleString()
+
+    def answered(model, some: list[tuple]) -> list | None:
+        for _ in range(retries + 1):
+            try:
+                got = [list(a) for a in model.rank(some)]
+                if len(got) == len(some):
+                    return got
+            except Exception:  # noqa: S112  whatever the model raises, the question is asked again or keeps its order
+                continue
+        return None
+
+    def ranked(batches):
+        if name not in _RERANKERS:
+            _RERANKERS.clear()
+            _RERANKERS[name] = reranker()
+        model = _RERANKERS[name]
+        for pdf in batches:
+            for a in range(0, len(pdf), batch):
+                part = pdf.iloc[a : a + batch]
+                some = [(q, [h["text"] for h in hs]) for q, hs in zip(part["question"], part["hits"])]
+                whole = answered(model, some)
+                each = whole if whole is not None else [(answered(model, [s]) or [None])[0] for s in some]
+                rows = []
+                for own, hs, answer in zip(part[key], part["hits"], each):
+                    fallback = answer is None
+                    first: dict[int, float] = {}
+                    for i, r in answer or []:
+                        if 0 <= int(i) < len(hs):
+                            first.setdefault(int(i), float(r))
+                    order = [(i, None) for i in range(len(hs))] if fallback else sorted(first.items(), key=lambda x: -x[1])
+                    rows += [(own, rank, hs[i]["ordinal"], hs[i]["text"], r, fallback) for rank, (i, r) in enumerate(order[:k])]
+                yield pd.DataFrame(rows, columns=[key, "rank", "ordinal", "text", "relevance", "fallback"]).astype({"relevance": "float64"})
+
+    return asked.mapInPandas(ranked, f"`{key}` {kind}, rank long, ordinal long, text string, relevance double, fallback boolean")
+
+
 def context(hits: DataFrame, key: list[str]) -> DataFrame:
     """The text that a question's search hits (ordinal, project_title, source_type, text) give to a model; `keys` without hits
     are the caller's to add."""

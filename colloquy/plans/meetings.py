@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import fixed
 from ..functions import text as tx
@@ -194,6 +195,26 @@ def rerank_join(t):
     return knowledge.reranked(_found(t, 15), ranking).select("rank", "chunk_id", "score")
 
 
+class _Digits:
+    """A reranker that likes some numbers better; it can't answer some questions, alone or among others."""
+
+    def rank(self, asked):
+        if any(q.endswith("IA") for q, _ in asked):
+            raise RuntimeError("no answer")
+        return [[(i, int(t.split()[1]) * 37 % 101 / 101) for i, t in enumerate(texts)] for _, texts in asked]
+
+
+@query("""WITH h AS (SELECT label, vec_id, n_name, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS ordinal FROM embeddings JOIN nation ON label = n_nationkey),
+    s AS (SELECT *, n_name LIKE '%IA' AS fallback, CASE WHEN n_name LIKE '%IA' THEN NULL ELSE vec_id * 37 % 101 / CAST(101 AS DOUBLE) END AS r FROM h WHERE ordinal < 15)
+    SELECT label, row_number() OVER (PARTITION BY label ORDER BY r DESC, ordinal) - 1 AS rank, ordinal, r AS relevance, fallback FROM s QUALIFY row_number() OVER (PARTITION BY label ORDER BY r DESC, ordinal) <= 5""")
+def reranked_search(t):
+    """Each nation's first fifteen vectors in a reranker's order, the best five; questions that it can't answer keep the search's."""
+    names = t("nation").select(F.col("n_nationkey").alias("label"), "n_name")
+    hits = t("embeddings").join(names, "label").select("label", "n_name", "vec_id", (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")).cast("long") - 1).alias("ordinal")).filter("ordinal < 15")
+    found = hits.withColumn("text", F.concat(F.lit("chunk "), "vec_id"))
+    return knowledge.rerank(found, "label", "n_name", _Digits, "digits", 5).drop("text")
+
+
 @query(f"""SELECT 'search' AS question, '相关内容：' || chr(10) || string_agg(chr(10) || '[' || coalesce(n_name, 'Unknown') || ' - note]' || chr(10) || 'chunk ' || chunk_id || chr(10), '' ORDER BY ordinal) AS context FROM ({_FOUND}) WHERE ordinal < 5""")
 def retrieved_context(t):
     return knowledge.context(_found(t, 5).withColumn("question", F.lit("search")), ["question"])
@@ -623,6 +644,23 @@ def recogniser_segments(t):
     return audio.sentence_segments(rows, "event_id", "body").select("event_id", "idx", "start", "text")
 
 
+@query("""SELECT event_id, f AS format, CAST(i AS INT) AS idx, start, "end", text, speaker, confidence FROM (
+      SELECT event_id, 'sentences' AS f, 0 AS i, round(event_id / 1000.0, 3) AS start, round((event_id + 5) / 1000.0, 3) AS "end", event_type AS text, NULL AS speaker, CAST(NULL AS DOUBLE) AS confidence FROM events WHERE event_id % 5 = 0
+      UNION ALL SELECT event_id, 'sentences', 1, 0, 0, 'later', NULL, NULL FROM events WHERE event_id % 5 = 0
+      UNION ALL SELECT event_id, 'verbose', 0, round(value, 3), round(value + 1, 3), event_type, NULL, -0.25 FROM events WHERE event_id % 5 = 1
+      UNION ALL SELECT event_id, 'output', 0, round(event_id / 1000.0, 3), 0, event_type, CASE WHEN event_id % 2 = 0 THEN 'Speaker_' || user_id END, NULL FROM events WHERE event_id % 5 = 2
+      UNION ALL SELECT event_id, 'chunks', 0, CASE WHEN event_id % 2 = 0 THEN round(value, 3) ELSE 0 END, CASE WHEN event_id % 2 = 0 THEN round(value + 2, 3) ELSE 0 END, event_type, NULL, NULL FROM events WHERE event_id % 5 = 3)""")
+def recognised_segments(t):
+    """Answers of four recognisers and some that are none, in one table; of the chunked ones, the odd have a text only."""
+    s, i, x, name = (lambda **c: F.struct(*[v.alias(k) for k, v in c.items()])), F.col("event_id"), F.col("value"), F.concat(F.lit(" "), "event_type")
+    sentences = F.concat(F.lit("["), F.to_json(s(sentence_info=F.array(s(text=name, start=i, end=i + 5)))), F.lit(',{"text":"later"},{"text":" "}]'))
+    verbose = F.to_json(s(text=name, segments=F.array(s(start=x, end=x + 1, text=name, avg_logprob=F.lit(-0.25)))))
+    output = F.to_json(s(output=s(sentence=F.array(s(begin_time=i, text=name, speaker_id=F.when(i % 2 == 0, F.col("user_id")))))))
+    chunks = F.when(i % 2 == 0, F.to_json(s(text=name, chunks=F.array(s(timestamp=F.array(x, x + 2), text=name), s(timestamp=F.array(x, x), text=F.lit(" ")))))).otherwise(F.to_json(s(text=name, chunks=F.array())))
+    body = F.when(i % 5 == 0, sentences).when(i % 5 == 1, verbose).when(i % 5 == 2, output).when(i % 5 == 3, chunks).otherwise("{not JSON")
+    return audio.recognised_segments(t("events").select("event_id", body.alias("body")), "event_id", "body")
+
+
 @query("SELECT event_id, CAST(event_id % 4 * 30 AS DOUBLE) AS start, CAST(least(event_id % 4 * 30 + 30, 100) AS DOUBLE) AS \"end\" FROM events")
 def chunked_segments(t):
     rows = t("events").select("event_id", (F.col("event_id") % 4).alias("chunk"), F.lit(0.0).alias("start"), F.lit(0.0).alias("end"))

@@ -184,3 +184,23 @@ def test_summaries(spark):
     assert nodes["root"].y == (nodes["conclusions"].y + nodes["nextsteps"].y) / 2
     alone = summaries.layout(summaries.tree(df.filter("k = 2"), "k"), "k").collect()
     assert [(r.id, r.y) for r in alone] == [("root", 0.0)]
+
+
+class Flaky:
+    """Fails at first, then answers; never about 'bad'."""
+
+    calls = 0
+
+    def rank(self, asked):
+        self.calls += 1
+        if self.calls == 1 or any(q == "bad" for q, _ in asked):
+            raise RuntimeError("busy")
+        return [[(1, 0.9), (0, 0.4), (1, 0.1), (9, 1.0)] for _ in asked]
+
+
+def test_rerank_tries_again_and_falls_back(spark):
+    rows = [(q, q, o, f"{q}{o}") for q in ("good", "bad", "fine") for o in range(3)]
+    df = spark.createDataFrame(rows, "key string, question string, ordinal long, text string").coalesce(1)
+    got = sorted((r.key, r.rank, r.ordinal, r.relevance, r.fallback) for r in knowledge.rerank(df, "key", "question", Flaky, "flaky", 2).collect())
+    assert got == [("bad", 0, 0, None, True), ("bad", 1, 1, None, True), ("fine", 0, 1, 0.9, False), ("fine", 1, 0, 0.4, False), ("good", 0, 1, 0.9, False), ("good", 1, 0, 0.4, False)]
+    assert knowledge.rerank(df.limit(0), "key", "question", Flaky, "flaky", 2).count() == 0
