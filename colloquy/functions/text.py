@@ -170,7 +170,8 @@ def transcript_scores(text: Column, chinese: bool) -> Column:
         "number_issues": number_issues_zh(text) if chinese else F.lit(0).cast("long"),
         "hallucination_count": hallucination_count(text),
     }
-    full = F.struct(*[c.alias(k) for k, c in parts.items()], readability(*parts.values()).alias("readability"))
+    scored = lambda p: F.struct(*[p[k].alias(k) for k in parts], readability(*[p[k] for k in parts]).alias("readability"))
+    full = F.get(F.transform(F.array(F.struct(*[c.alias(k) for k, c in parts.items()])), scored), F.lit(0))  # each part is worked out once
     none = F.struct(zero.alias("filler_density"), zero.alias("repetition_density"), F.lit(0).cast("long").alias("number_issues"), F.lit(0).cast("long").alias("hallucination_count"), zero.alias("readability"))
     return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", none).otherwise(full)
 
@@ -263,6 +264,16 @@ def split_transcript(text: str, size: int) -> list[str]:
     return [*out, text] if text or not out else out
 
 
+def transcript_pieces(text: Column, size: int) -> Column:
+    """split_transcript() of a column: an array of pieces, null for null."""
+
+    @F.pandas_udf("array<string>")
+    def pieces(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: split_transcript(t, size), na_action="ignore")
+
+    return pieces(text)
+
+
 def rewrite_numbers(text: str) -> str:
     """Short runs of digits beside ideographs become Chinese digits, from right to left, unless a kept pattern covers them."""
     out = text

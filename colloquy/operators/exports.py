@@ -36,6 +36,12 @@ def _section(title: str, lines: Column) -> Column:
     return F.when(F.coalesce(F.size(lines), F.lit(0)) > 0, F.concat(F.lit(f"## {title}\n\n"), F.array_join(lines, "\n"), F.lit("\n\n"))).otherwise("")
 
 
+def preferred(edited: Column, raw: Column, structured: Column) -> Column:
+    """A summary's Markdown as its user edited it, else as the model gave it, else as made of its parts; empty ones don't count."""
+    given = lambda c: F.when(c != "", c)
+    return F.coalesce(given(edited), given(raw), structured)
+
+
 def markdown(segments: DataFrame, summaries: DataFrame, key: str = "project_id") -> DataFrame:
     """(key, body): the summary's topic, conclusions, action items (action, owner, deadline) and discussion, then the transcript."""
     spoken = F.concat(F.lit("`["), tx.clock(F.col("start")), F.lit("]` "), _named("**", "**: "), F.coalesce("text", F.lit("")), F.lit("\n"))

@@ -69,6 +69,25 @@ def sliding_windows(rows: DataFrame, duration: str, size: float = 3.0, step: flo
     return rows.withColumn("_k", F.explode(starts)).withColumn("window_start", F.col("_k") * step).drop("_k")
 
 
+def voiced_windows(rows: DataFrame, samples: str, rate: int, size: float = 3.0, step: float = 1.0, least: float = 0.01) -> DataFrame:
+    """rows (a recording's samples) with the start of each whole window that isn't silent, and its root mean square."""
+    length = F.size(samples) / F.lit(rate)
+    at = sliding_windows(rows.withColumn("_d", length), "_d", size, step).drop("_d")
+    window = F.slice(F.col(samples), (F.col("window_start") * rate).cast("int") + 1, int(size * rate))
+    power = F.sqrt(F.aggregate(window, F.lit(0.0), lambda s, x: s + x * x) / F.size(window))
+    return at.withColumn("rms", power).filter(F.col("rms") >= least)
+
+
+def sentence_split_needed(segments: DataFrame, turns: DataFrame, keys: list[str], share: float = 0.8, times: float = 2.0) -> DataFrame:
+    """(keys, split): whether a meeting's segments are to be cut into sentences: more than a share of them have no duration, or they
+    are on average more than so many times as long as the speakers' turns (start, end; none count as 0)."""
+    length = F.col("end") - F.col("start")
+    own = segments.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.count_if(length < 0.01).alias("_none"), F.avg(length).alias("_mean"))
+    turn = turns.groupBy(*keys).agg(F.avg(length).alias("_turn"))
+    split = (F.col("_none") > F.col("_n") * share) | (F.col("_mean") > F.coalesce("_turn", F.lit(0.0)) * times)
+    return own.join(turn, keys, "left").select(*keys, split.alias("split"))
+
+
 def fold(rows: DataFrame, keys: list[str], order: list[str], step: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """Apply a sequential step to each key's rows in order. A key is one meeting: its rows are bounded by its length."""
     return rows.groupBy(*keys).applyInPandas(lambda pdf: step(pdf.sort_values(order, kind="stable").reset_index(drop=True)), schema)

@@ -557,9 +557,10 @@ def projects_only(t):
     return t("documents").filter(~F.coalesce(F.col("source") == "src0", F.lit(False))).select("doc_id")
 
 
-@query("SELECT event_type, array_to_string(list_sort(list(DISTINCT user_id)), ' ') AS users FROM events GROUP BY event_type")
+@query("SELECT event_type, user_id, count(*) AS n FROM events GROUP BY event_type, user_id")
 def grouped_by_type(t):
-    return t("events").groupBy("event_type").agg(F.array_join(F.array_sort(F.collect_set("user_id")), " ").alias("users"))
+    """The users of each type, a row each: no type's users are gathered."""
+    return t("events").groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT event_id, 15 + 0.85 * value AS progress, CAST(floor(value / 30) AS BIGINT) AS chunk FROM events")
@@ -567,12 +568,78 @@ def job_progress(t):
     return t("events").select("event_id", (15 + 0.85 * F.col("value")).alias("progress"), F.floor(F.col("value") / 30).alias("chunk"))
 
 
-@query(f"SELECT conv_id AS project_id, count(*) FILTER (length(text) = 0) > 0.8 * count(*) OR avg(length(text)) > 2 * 40 AS split FROM conversations GROUP BY conv_id")
+@query(f"""SELECT s.project_id, count(*) FILTER (own < 0.01) > 0.8 * count(*) OR avg(own) > 2 * any_value(turn) AS split
+    FROM (SELECT project_id, CASE WHEN project_id % 4 = 0 OR idx % 3 = 0 THEN 0 ELSE 2 + idx END AS own FROM {_SEGMENTS}) s
+      JOIN (SELECT project_id, avg(1 + project_id % 3) AS turn FROM {_SEGMENTS} GROUP BY project_id) r ON s.project_id = r.project_id GROUP BY s.project_id""")
 def sentence_split_needed(t):
-    """Whether a meeting's segments are to be cut into sentences: most have no duration, or they are far longer than its turns.
-    A text's length stands for its duration, and turns are of forty."""
-    long = F.avg(F.length("text")) > 2 * 40
-    return segments(t).groupBy("project_id").agg(((F.count_if(F.length("text") == 0) > 0.8 * F.count(F.lit(1))) | long).alias("split"))
+    """Segments of no duration, or longer and longer ones, against speakers' turns of one to three seconds."""
+    own = F.when((F.col("project_id") % 4 == 0) | (F.col("idx") % 3 == 0), 0.0).otherwise(2.0 + F.col("idx"))
+    rows = spoken(t).withColumn("end", F.col("start") + own)
+    turns = spoken(t).withColumn("end", F.col("start") + 1.0 + F.col("project_id") % 3)
+    return ordered.sentence_split_needed(rows, turns, ["project_id"])
+
+
+_SOUND = "(SELECT event_type, user_id % 10 AS part, list((CAST(round(value) AS BIGINT) % 100 - 50) / 100.0 * CASE WHEN event_id % 200 < 120 THEN 0.001 ELSE 1 END ORDER BY event_id) AS samples FROM events GROUP BY ALL)"
+
+
+@query(f"""SELECT event_type, part, CAST(k AS DOUBLE) AS window_start, round(rms, 6) AS rms FROM (SELECT event_type, part, k, sqrt(list_avg(list_transform(samples[k * 4 + 1 : k * 4 + 12], lambda x: CAST(x AS DOUBLE) * x))) AS rms
+    FROM (SELECT *, unnest(range(0, CAST(floor(len(samples) / 4.0 - 3) AS BIGINT) + 1)) AS k FROM {_SOUND} WHERE len(samples) >= 12)) WHERE rms >= 0.01""")
+def voiced_windows(t):
+    """Three-second windows of recordings of four samples a second, without the silent ones."""
+    x = (F.round("value").cast("long") % 100 - 50) / 100.0 * F.when(F.col("event_id") % 200 < 120, 0.001).otherwise(1.0)
+    sound = F.transform(F.array_sort(F.collect_list(F.struct("event_id", x.alias("x")))), lambda s: s["x"])
+    rows = t("events").groupBy("event_type", (F.col("user_id") % 10).alias("part")).agg(sound.alias("samples"))
+    return ordered.voiced_windows(rows, "samples", 4).select("event_type", "part", "window_start", F.round("rms", 6).alias("rms"))
+
+
+@query("SELECT item_id, CASE WHEN item_id % 3 = 0 AND item_id % 2 = 0 THEN text WHEN item_id % 3 < 2 THEN 'raw: ' || text ELSE '# ' || item_id END AS body FROM benchmark")
+def preferred_summaries(t):
+    """Edited summaries come before a model's, and these before ones made of parts; an empty edit is none."""
+    i = F.col("item_id")
+    edited, raw = F.when(i % 3 == 0, F.when(i % 2 == 0, F.col("text")).otherwise("")), F.when(i % 3 < 2, F.concat(F.lit("raw: "), "text"))
+    return t("benchmark").select("item_id", exports.preferred(edited, raw, F.concat(F.lit("# "), i.cast("string"))).alias("body"))
+
+
+_MARKS = r"length(regexp_extract(substr(rest, 1, 201), '(?s)^.*[。！？.!?\n]'))"
+
+
+@query(rf"""WITH RECURSIVE p AS (SELECT conv_id, turn, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS piece, text AS rest FROM conversations WHERE text IS NOT NULL UNION ALL
+      SELECT conv_id, turn, k + 1, substr(rest, 1, c), substr(rest, c + 1) FROM (SELECT *, CASE WHEN length(rest) <= 200 THEN length(rest) WHEN {_MARKS} > 100 THEN {_MARKS} ELSE 200 END AS c FROM p WHERE length(rest) > 0))
+    SELECT conv_id, turn, CAST(k - 1 AS INT) AS pos, piece FROM p WHERE k > 0""")
+def transcript_pieces(t):
+    """Turns cut for a model: pieces of about two hundred characters that end with a sentence where one ends in their second half."""
+    rows = t("conversations").filter("text is not null").select("conv_id", "turn", F.posexplode(tx.transcript_pieces(F.col("text"), 200)).alias("pos", "piece"))
+    return rows.filter("piece <> ''")
+
+
+_ZH = """(SELECT event_id, ['我们开会讨论项目', '预算需要审批', '好好好好的', '嗯嗯那个就是说', '然后然后然后继续'][event_id % 5 + 1] || event_id % 130 || ['个月', '年预算', 'x', '', '9天'][event_id % 7 % 5 + 1] || repeat('对', event_id % 6) || user_id AS text FROM events)"""
+
+
+def _chinese(t) -> DataFrame:
+    """Turns in Chinese, of phrases that an event's numbers choose: repeats, fillers and numbers among them."""
+    pick = lambda words, k: F.element_at(F.array(*map(F.lit, words)), k.cast("int") + 1)
+    i = F.col("event_id")
+    text = F.concat(pick(("我们开会讨论项目", "预算需要审批", "好好好好的", "嗯嗯那个就是说", "然后然后然后继续"), i % 5), (i % 130).cast("string"), pick(("个月", "年预算", "x", "", "9天"), i % 7 % 5), F.repeat(F.lit("对"), (i % 6).cast("int")), F.col("user_id").cast("string"))
+    return t("events").select("event_id", text.alias("text"))
+
+
+def _sql_char(test: str, place: str) -> str:
+    at = f"substr(text, CAST({place} AS BIGINT), 1)"
+    return {"cjk": f"({at} <> '' AND unicode({at}) BETWEEN 19968 AND 40959)", "digit": f"({at} >= '0' AND {at} <= '9')"}[test]
+
+
+@query(f"""SELECT event_id, text, len(list_filter(range(2, length(text) + 1), lambda i: {_sql_char('digit', 'i')} AND {_sql_char('cjk', 'i - 1')} AND {_sql_char('cjk', 'i + 1')}))
+    + len(list_filter(range(1, length(text) + 1), lambda i: {_sql_char('digit', 'i')} AND NOT (i > 1 AND {_sql_char('digit', 'i - 1')}) AND {_sql_char('cjk', 'i + 1')} AND {_sql_char('cjk', 'i + 2')})) AS issues FROM {_ZH}""")
+def number_issues(t):
+    """Digits among ideographs, in Chinese turns."""
+    return _chinese(t).select("event_id", "text", tx.number_issues_zh(F.col("text")).alias("issues"))
+
+
+@query()
+def chinese_clean_up(t):
+    """Chinese turns with repeats merged, fillers removed and numbers rewritten."""
+    text = F.col("text")
+    return _chinese(t).select("event_id", "text", tx.merge_repeats_zh(text).alias("merged"), tx.filtered(text, True).alias("filtered"), tx.numbers_rewritten(text).alias("rewritten"), F.round(tx.repetition_density_zh(text), 9).alias("repetition"))
 
 
 @query("SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[0-9]{2,}'))), ' '), '') AS numbers FROM documents WHERE text IS NOT NULL")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import text as tx
 from colloquy.operators import audio, correction, evaluation, exports, knowledge, relational, summaries, vectors
-from colloquy.plans import meetings
+from colloquy.plans import catalog, meetings
 
 SEGMENTS = "project_id string, idx long, start double, end double, speaker string, text string"
 SUMMARY = "struct<topic:string,conclusions:array<string>,action_items:array<struct<action:string,owner:string,deadline:string>>,discussion:string>"
@@ -204,3 +204,21 @@ def test_rerank_tries_again_and_falls_back(spark):
     got = sorted((r.key, r.rank, r.ordinal, r.relevance, r.fallback) for r in knowledge.rerank(df, "key", "question", Flaky, "flaky", 2).collect())
     assert got == [("bad", 0, 0, None, True), ("bad", 1, 1, None, True), ("fine", 0, 1, 0.9, False), ("fine", 1, 0, 0.4, False), ("good", 0, 1, 0.9, False), ("good", 1, 0, 0.4, False)]
     assert knowledge.rerank(df.limit(0), "key", "question", Flaky, "flaky", 2).count() == 0
+
+
+def test_chinese_clean_up_over_the_whole_table(spark, small):
+    """Against plain restatements with Python's regular expressions."""
+    import re
+
+    digits = "零一二三四五六七八九"
+    cjk = "[\u4e00-\u9fff]"
+    for r in catalog.queries()["chinese_clean_up"](spark, small).collect():
+        merged = re.sub(rf"({cjk})\1{{2,}}", r"\1", r.text)
+        for n in range(6, 1, -1):
+            merged = re.sub(rf"({cjk}{{{n}}})\1+", r"\1", merged)
+        assert r.merged == merged
+        found = re.findall(rf"({cjk}{{1,6}})\1{{2,}}", r.text)
+        assert r.repetition == pytest.approx(min(1, sum(len(r.text) - len(r.text.replace(m * 3, "")) for m in found) / len(r.text)))
+        assert not re.search(rf"({cjk})\1\1", r.filtered) and not r.filtered.startswith("嗯")
+        back = "".join(str(digits.index(c)) if c in digits else c for c in r.rewritten)
+        assert back == r.text and re.findall(r"\d{4,}", r.rewritten) == re.findall(r"\d{4,}", r.text)  # numbers change their script alone
