@@ -7,7 +7,7 @@ group. Every labelled byte also ends one overlap of an A and a B token, so it is
 Texts are cut into words where both vocabularies have a certain border (byte pairs that occur in no token of either, before white
 space), so a word is tokenised and aligned once a worker, in whole batches of new words.
 
-Counts of id pairs come from all documents: the texts are tokenised once, each document's links written as arrays, and added
+Counts of id pairs come from all documents: the texts are tokenised once, each document's links written in six bytes each, and added
 up in tasks before they are shuffled. To give documents the counts of their links, the commonest pairs, HOT at most, are sent to
 the tasks; links of all other pairs are joined. A pair beyond HOT has less than a HOT-th of all links, so no key of that join is hot.
 """
@@ -22,6 +22,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,6 +39,7 @@ BLOCK = 8 << 20  # bytes of a row group of written links, which a task holds in
 HELD = 1_000_000  # pairs that a task counts before it passes the counts on
 WORDS = 250_000  # that a worker remembers
 MARK, ODD_ENDS = SPACE.encode(), b"\xa0\n"  # B reads its mark as a space; a token of A may go on after these bytes
+TIMES = (1 << 16) - 1  # the most that a written link says of how often a text has it
 DOCUMENTS = 256  # whose links a task looks up at a time
 SHIFT = 20  # a pair is one number: A's id, then so many bits of B's
 OUT = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
@@ -52,6 +54,7 @@ class Aligner:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.a, self.b, self.a_tool = ByteCodec(a_path, special=False), PieceCodec(b_path), Tokenizer.from_file(a_path)
         self.a_tool.encode_special_tokens = True
+        self.link = link_type(a_path, b_path)
         self.a_bytes = self.a.token
         self.b_bytes = {i: p.replace(SPACE, " ").encode() for p, i in self.b.ids.items()} | {i: bytes([k]) for k, i in enumerate(self.b.byte)}
         self.lengths = [np.zeros(max(t) + 1, np.int64) for t in (self.a_bytes, self.b_bytes)]
@@ -144,19 +147,35 @@ class Aligner:
         text = np.repeat(np.arange(len(texts)), np.diff(begin))
         both, often = np.unique((text * np.int64(max(1, len(self.said))) + words)[good[text]], return_counts=True)
         text, word = np.divmod(both, max(1, len(self.said)))
+        rows = -(-often // TIMES)  # a word that a text says more often than fits has several
+        last = np.cumsum(rows) - 1
+        text, word, times = np.repeat(text, rows), np.repeat(word, rows), np.full(int(rows.sum()), TIMES)
+        times[last] = often - (rows - 1) * TIMES
         size = self.start[word + 1] - self.start[word]
         cut = np.concatenate([[0], np.cumsum(size)])
         links = np.repeat(self.start[word] - cut[:-1], size) + np.arange(cut[-1])
-        ends = pa.array(cut[np.searchsorted(text, np.arange(len(texts) + 1))].astype(np.int32))
-        lists = {c: pa.ListArray.from_arrays(ends, pa.array(v)) for c, v in (("left", self.left[links]), ("right", self.right[links]), ("times", np.repeat(often, size).astype(np.int32)))}
+        packed = np.empty(len(links), self.link)
+        packed["left"], packed["right"], packed["times"] = self.left[links], self.right[links], np.repeat(times, size)
+        ends = (cut[np.searchsorted(text, np.arange(len(texts) + 1))] * self.link.itemsize).astype(np.int32)
+        column = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends), pa.py_buffer(packed.tobytes())])
         n_a, n_b, n_groups = (totals[:, k] for k in range(3))
-        return {"n_a": pa.array(n_a), "n_b": pa.array(n_b), "n_groups": pa.array(n_groups), "n_links": pa.array(n_a + n_b - n_groups), "groups_sha256": pa.array(digests)} | lists
+        return {"n_a": pa.array(n_a), "n_b": pa.array(n_b), "n_groups": pa.array(n_groups), "n_links": pa.array(n_a + n_b - n_groups), "groups_sha256": pa.array(digests), "links": column}
 
 
-def _pairs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def link_type(a_path: str, b_path: str) -> np.dtype:
+    """A link as it is written: two ids, of two bytes each where both vocabularies allow it, and how often the text has it."""
+    sizes = Tokenizer.from_file(a_path).get_vocab_size(), sentencepiece.SentencePieceProcessor(model_file=b_path).get_piece_size()
+    kind = "<u2" if max(sizes) <= 1 << 16 else "<u4"
+    return np.dtype([("left", kind), ("right", kind), ("times", "<u2")])
+
+
+def _pairs(batch: pa.RecordBatch, link: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pair and times of all links of a batch of documents, and where each document's end."""
-    left, right, times = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("left", "right", "times"))
-    return left.astype(np.int64) << SHIFT | right, times, np.cumsum(batch.column("left").value_lengths().to_numpy(zero_copy_only=False))
+    column = batch.column("links")
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1]
+    links = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(link) if data is not None else np.zeros(0, link)
+    return links["left"].astype(np.int64) << SHIFT | links["right"], links["times"], (ends[1:] - ends[0]) // link.itemsize
 
 
 def parts_of(batches):
@@ -171,7 +190,7 @@ def _added(pair: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return kinds, np.bincount(which, weights=n, minlength=len(kinds)).astype(np.int64)
 
 
-def pair_counts(aligned: DataFrame) -> DataFrame:
+def pair_counts(aligned: DataFrame, link: np.dtype) -> DataFrame:
     """(pair, n, best): the links of each id pair in all documents, and whether no other pair of its B id has more."""
 
     def count(batches):
@@ -184,7 +203,7 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
 
         owned("pairs", dict)  # what the worker remembers of words goes
         for batch in parts_of(batches):
-            found, times, _ = _pairs(batch)
+            found, times, _ = _pairs(batch, link)
             found, times = _added(found, times)
             pair.append(found)
             n.append(times)
@@ -195,7 +214,7 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
         pair[:], n[:] = ([x] for x in _added(np.concatenate(pair), np.concatenate(n)))
         yield from rows()
 
-    sums = materialize(aligned.select("left", "right", "times").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
+    sums = materialize(aligned.select("links").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
     b_id = F.col("pair").bitwiseAND(F.lit((1 << SHIFT) - 1)).alias("b")
     most = sums.groupBy(b_id).agg(F.max("n").alias("most"))
     return sums.withColumn("b", F.col("pair").bitwiseAND(F.lit((1 << SHIFT) - 1))).join(most, "b").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
@@ -225,8 +244,9 @@ def align(docs: DataFrame, a_path: str, b_path: str, hot: int = HOT) -> DataFram
     held = without(docs, OUT)
     names = [c for c in held.columns if c != "text"]
     own = [f"c{k}" for k in range(len(names))]  # whatever the input calls its columns, none clashes with ours
+    link = link_type(a_path, b_path)
     long, ints = T.LongType(), T.ArrayType(T.IntegerType())
-    kinds = {"n_a": long, "n_b": long, "n_groups": long, "n_links": long, "groups_sha256": T.StringType(), "left": ints, "right": ints, "times": ints}
+    kinds = {"n_a": long, "n_b": long, "n_groups": long, "n_links": long, "groups_sha256": T.StringType(), "links": T.BinaryType()}
     kept = [T.StructField(o, held.schema[c].dataType) for o, c in zip(own, names)]
 
     def tokens(batches):
@@ -238,27 +258,27 @@ def align(docs: DataFrame, a_path: str, b_path: str, hot: int = HOT) -> DataFram
 
     renamed = held.select(*[F.col(f"`{c}`").alias(o) for o, c in zip(own, names)], "text")
     aligned = materialize(renamed.mapInArrow(tokens, T.StructType([*kept, *[T.StructField(c, k) for c, k in kinds.items()]])), "aligned", BLOCK)
-    counts = materialize(pair_counts(aligned), "pair-counts")
+    counts = materialize(pair_counts(aligned, link), "pair-counts")
     common, more = _hot(counts, hot)
     table = common.toArrow()
     pair, n, best = (table.column(c).to_numpy() for c in ("pair", "n", "best"))
     order = np.argsort(pair)
     shared = docs.sparkSession.sparkContext.broadcast((pair[order], n[order], best[order]))
-    plain = [c for c in kinds if c not in ("left", "right", "times")]
+    plain = [c for c in kinds if c != "links"]
     out = [*own, *plain]
 
     def counted(batches):
         owned("pairs", dict)
         pair, n, best = shared.value
         for batch in parts_of(batches):
-            found, times, end = _pairs(batch)
+            found, times, end = _pairs(batch, link)
             at = np.minimum(np.searchsorted(pair, found), max(0, len(pair) - 1))
             hit = pair[at] == found if len(pair) else np.zeros(len(found), bool)
             often, top = np.where(hit, n[at], 0) if len(pair) else np.zeros(len(found), np.int64), np.where(hit, best[at], False) if len(pair) else np.zeros(len(found), bool)
             end = np.concatenate([[0], end])
             sums = [np.diff(np.concatenate([[0], np.cumsum(x * times.astype(np.int64))])[end]) for x in (top, often)]
             rare = np.concatenate([[0], np.cumsum(~hit)])[end].astype(np.int32)
-            left = [pa.ListArray.from_arrays(pa.array(rare), pa.array(x[~hit])) for x in (found, times)]
+            left = [pa.ListArray.from_arrays(pa.array(rare), pa.array(x[~hit])) for x in (found, times.astype(np.int32))]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in out], *map(pa.array, sums), *left], names=[*out, "n_best", "count_sum", "pair", "times"])
 
     schema = T.StructType([*kept, *[T.StructField(c, kinds[c]) for c in plain], T.StructField("n_best", long), T.StructField("count_sum", long), T.StructField("pair", T.ArrayType(long)), T.StructField("times", ints)])

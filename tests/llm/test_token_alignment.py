@@ -12,7 +12,7 @@ from tokenizers import Tokenizer  # noqa: E402
 from colloquy.llm import byte_codec, queries, token_alignment  # noqa: E402
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
-ODD = ["", None, "   ", "\n\n\t", "é中😀\x00 b", "a▁b is not given back", "ab́ ΑΣ İx <|endoftext|> don't <s> <0x41>", "x " * 3000, "a" * 5000, "one two\nthree  four\t\tfive", "!'t \xa0 nbsp", "tokenisation, tokenization"]
+ODD = ["", None, "   ", "\n\n\t", "é中😀\x00 b", "a▁b is not given back", "ab́ ΑΣ İx <|endoftext|> don't <s> <0x41>", "x " * 3000, "a" * 5000, "one two\nthree  four\t\tfive", "!'t \xa0 nbsp", "tokenisation, tokenization", "so " * 70_000]
 
 
 @pytest.fixture(scope="module")
@@ -94,6 +94,7 @@ def test_odd_texts_with_and_without_rare_pairs(spark, tools):
     rows = [(i, t, "clash", "kept") for i, t in enumerate(texts[:-2])] + [(9, ODD[9], "clash", "kept"), (None, "null id", None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, LEFT string, n_links string")
     want = Counter(zip([r[0] for r in rows], wanted(tools, texts)))
+    assert sum(len(t or "") for t in texts) > 200_000  # a word more often than a written link can say
     for hot in (token_alignment.HOT, 50, 0):
         got = token_alignment.align(df, A, B, hot)
         assert set(got.columns) == {"doc_id", "LEFT", *COLUMNS}
