@@ -604,7 +604,7 @@ _MARKS = r"length(regexp_extract(substr(rest, 1, 201), '(?s)^.*[。！？.!?\n]'
 
 
 @query(rf"""WITH RECURSIVE p AS (SELECT conv_id, turn, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS piece, text AS rest FROM conversations WHERE text IS NOT NULL UNION ALL
-      SELECT conv_id, turn, k + 1, substr(rest, 1, c), substr(rest, c + 1) FROM (SELECT *, CASE WHEN length(rest) <= 200 THEN length(rest) WHEN {_MARKS} > 100 THEN {_MARKS} ELSE 200 END AS c FROM p WHERE length(rest) > 0))
+      SELECT conv_id, turn, k + 1, substr(rest, 1, c), substr(rest, c + 1) FROM (SELECT *, CASE WHEN length(rest) <= 200 THEN length(rest) WHEN {_MARKS} > 101 THEN {_MARKS} ELSE 200 END AS c FROM p WHERE length(rest) > 0))
     SELECT conv_id, turn, CAST(k - 1 AS INT) AS pos, piece FROM p WHERE k > 0""")
 def transcript_pieces(t):
     """Turns cut for a model: pieces of about two hundred characters that end with a sentence where one ends in their second half."""
