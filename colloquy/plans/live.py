@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import new_path
 from ..streaming import live
-from .catalog import query
+from .catalog import micros, query
 
 
 def _events(t) -> DataFrame:
-    rows = t("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
+    at = F.timestamp_micros(micros("ts"))  # as UTC, whatever the session's time zone
+    rows = t("events").select("event_id", at.alias("ts"), "user_id", "event_type", "value")
     return live.arrivals(rows, "ts", new_path(rows.sparkSession, "arrivals"))
 
 
