@@ -70,9 +70,18 @@ def speech_regions(rows: DataFrame, keys: list[str], rate: int, frame_ms: int =
     return regions.drop("_from").unionByName(whole.select(*keys, F.col("_from").alias("start"), F.col("_to").alias("end")))
 
 
+def segment_parts(segments: DataFrame, keys: list[str], rate: int, most: float = 5.0, **limits) -> DataFrame:
+    """(keys, start, end): what a speaker is told by. Segments (start, end, samples) of more than `most` seconds are cut to their regions of
+    speech (speech_regions(), with its limits); others, and those of unknown length, stay whole."""
+    long = F.coalesce(F.col("end") - F.col("start") > most, F.lit(False))
+    return segments.filter(~long).select(*keys, "start", "end").unionByName(speech_regions(segments.filter(long), keys, rate, **limits))
+
+
 def diarised(parts: DataFrame, recording: str, segment: str, clusters: int | None = None) -> DataFrame:
     """Speakers of segments from their parts (recording, segment, part, embedding): spectral clusters of a recording's parts, then the
-    most frequent one of each segment, the first of equals."""
+    most frequent one of each segment, the first of equals. A recording with fewer than two embeddings has no speakers."""
+    enough = parts.groupBy(recording).agg(F.count("embedding").alias("_n")).filter("_n >= 2").select(recording)
+    parts = parts.join(enough, recording, "left_semi")
     named = spectral_speakers(parts, [recording], "part", "embedding", clusters).filter("speaker is not null")
     placed = parts.select(recording, "part", segment).join(named, [recording, "part"])
     return majority(placed, [recording, segment], "speaker", "part").drop("votes")

@@ -696,6 +696,14 @@ def speech_regions(t):
     return audio.speech_regions(rows, ["vec_id"], 100, speech_ms=60, silence_ms=90).select("vec_id", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
 
 
+@query(f"""SELECT vec_id, start, "end" FROM ({_ENERGY}) WHERE vec_id % 3 = 0 UNION ALL SELECT vec_id, 0.0, CASE WHEN vec_id % 3 = 1 THEN 0.3 END FROM embeddings WHERE vec_id % 3 > 0""")
+def segment_parts(t):
+    """Segments of more than half a second are cut to their regions of speech; shorter ones, and ones without an end, stay."""
+    end = F.when(F.col("vec_id") % 3 == 0, 0.64).when(F.col("vec_id") % 3 == 1, 0.3)
+    rows = t("embeddings").select("vec_id", F.lit(0.0).alias("start"), end.alias("end"), vectors.doubles(F.col("embedding")).alias("samples"))
+    return audio.segment_parts(rows, ["vec_id"], 100, most=0.5, speech_ms=60, silence_ms=90).select("vec_id", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
+
+
 @query()
 def diarised_segments(t):
     parts = t("embeddings").select(F.floor(F.col("vec_id") / 64).alias("recording"), F.floor(F.col("vec_id") / 4).alias("segment"), F.col("vec_id").alias("part"), "embedding")

@@ -145,6 +145,8 @@ def test_speakers_of_segments(spark):
     parts = [(0, k // 3, k, v) for k, v in enumerate([[1.0, 0.0], [1.0, 0.1], [0.0, 1.0], [0.1, 1.0], [0.0, 1.0], [0.0, 0.9], [1.0, 0.0], [1.0, 0.05], None])]
     got = audio.diarised(spark.createDataFrame(parts, "r long, s long, part long, embedding array<double>"), "r", "s", 2).orderBy("s").collect()
     assert got[0].speaker == got[2].speaker != got[1].speaker
+    alone = spark.createDataFrame([(1, 0, 0, [1.0, 0.0]), (1, 1, 1, None)], "r long, s long, part long, embedding array<double>")
+    assert audio.diarised(alone, "r", "s").count() == 0
 
 
 def test_recognisers_and_map_reduce(spark):
