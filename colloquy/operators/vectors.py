@@ -305,16 +305,49 @@ def spectral_labels(vectors: list, clusters: int | None = None, most: int = 20,
     return {i: names.setdefault(int(v), len(names)) for i, v in zip(at, label)}
 
 
-def spectral_speakers(rows: DataFrame, keys: list[str], id_col: str, vector: str, clusters: int | None = None) -> DataFrame:
-    """(keys, id, speaker): spectral clusters of each meeting's vectors in id order; null vectors get no speaker."""
-    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in [*keys, id_col])
+LANDMARKS = 1024  # vectors of a recording whose affinities one task holds
 
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id_col, kind="stable").reset_index(drop=True)
-        got = spectral_labels([None if v is None else np.asarray(v, float) for v in pdf[vector]], clusters)
-        return pdf[[*keys, id_col]].assign(speaker=[f"Speaker {got[i] + 1}" if i in got else None for i in range(len(pdf))])
 
-    return rows.select(*keys, id_col, doubles(F.col(vector)).alias(vector)).groupBy(*keys).applyInPandas(step, fields + ", speaker string")
+def spectral_speakers(rows: DataFrame, keys: list[str], id_col: str, vector: str, clusters: int | None = None, landmarks: int = LANDMARKS) -> DataFrame:
+    """(keys, id, speaker): spectral clusters of each meeting's vectors, named by first appearance in id order; null vectors get no speaker.
+
+    Of a meeting with more than `landmarks` vectors, about so many, chosen by a hash of their ids, are clustered; the others, in blocks over
+    many tasks, take the cluster of the most similar one. So no task holds the affinities of all parts of a long recording.
+    """
+    names = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in [*keys, id_col]]
+    fields = ", ".join("`{}` {}".format(*n.split(" ", 1)) for n in names)
+    given = rows.select(*keys, id_col, doubles(F.col(vector)).alias("_v"))
+    sizes = given.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count("_v").alias("_size"))
+    held = given.join(sizes, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    stride = F.ceil(F.col("_size") / landmarks)
+    chosen = F.col("_v").isNull() | (stride <= 1) | (F.pmod(F.xxhash64(id_col, F.lit(11)), stride) == 0)
+    held = written(held.select(*keys, id_col, "_v", stride.alias("_stride"), chosen.alias("_chosen")), "parts")
+
+    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(id_col, kind="stable").reset_index(drop=True)
+        got = spectral_labels([None if v is None else np.asarray(v, float) for v in pdf["_v"]], clusters)
+        return pdf[[*keys, id_col]].assign(label=[got.get(i) for i in range(len(pdf))]).astype({"label": "Int64"})
+
+    some = written(held.filter("_chosen").groupBy(*keys).applyInPandas(cluster, fields + ", label long"), "landmarks")
+    rest, labels = held.filter(~F.col("_chosen")), some
+    if not rest.isEmpty():
+        blocks = rest.withColumn("_b", F.pmod(F.xxhash64(id_col, F.lit(12)), F.col("_stride")))
+        marks = held.filter("_chosen and _stride > 1 and _v is not null").join(some.filter("label is not null").select(*[F.col(c).alias(f"_{c}") for c in [*keys, id_col]], "label"), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*keys, id_col]]).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_stride") - 1)))
+        marks = marks.select(*[F.col(k).alias(f"m_{k}") for k in keys], F.col(id_col).alias("m_id"), F.col("_v").alias("m_v"), F.col("_b").alias("m_b"), F.col("label").alias("m_label"))
+
+        def nearest(own: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
+            if not len(own) or not len(marks):
+                return own[[*keys, id_col]].iloc[:0].assign(label=pd.Series(dtype="Int64"))
+            marks = marks.sort_values("m_id")
+            at = _scores(np.vstack(own["_v"].tolist()), np.vstack(marks["m_v"].tolist())).argmax(axis=1)
+            return own[[*keys, id_col]].assign(label=marks["m_label"].to_numpy()[at]).astype({"label": "Int64"})
+
+        labels = some.unionByName(blocks.groupBy(*keys, "_b").cogroup(marks.groupBy(*[f"m_{k}" for k in keys], "m_b")).applyInPandas(nearest, fields + ", label long"))
+    first = labels.filter("label is not null").groupBy(*[F.col(k).alias(f"_{k}") for k in keys], F.col("label").alias("_label")).agg(F.min(id_col).alias("_first"))
+    place = F.row_number().over(Window.partitionBy(*[f"_{k}" for k in keys]).orderBy("_first"))  # of a meeting's few clusters
+    named = first.withColumn("speaker", F.concat(F.lit("Speaker "), place.cast("string")))
+    on = [F.col("label") == F.col("_label"), *[F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]]
+    return labels.join(named, on, "left").select(*keys, id_col, "speaker")
 
 
 def match_or_enrol(queries: DataFrame, library: DataFrame, threshold: float, batch: str = "batch") -> DataFrame:

@@ -201,6 +201,18 @@ def test_ordinals_count_on_over_ranges(spark):
     assert vectors.ordinals(df.limit(0), ["k"], "n").count() == 0
 
 
+def test_speakers_by_landmarks_equal_the_full_clusters(spark):
+    rng = np.random.default_rng(2)
+    centres = np.eye(4)[:3]
+    rows = [(m, k, (centres[k // 7 % 3] + rng.normal(size=4) * 0.05).tolist() if k % 50 else None) for m, n in (("long", 600), ("short", 30), (None, 40)) for k in range(n)]
+    df = spark.createDataFrame(rows, "meeting string, part long, v array<double>")
+    whole = {(r.meeting, r.part): r.speaker for r in vectors.spectral_speakers(df, ["meeting"], "part", "v", 3).collect()}
+    parts = {(r.meeting, r.part): r.speaker for r in vectors.spectral_speakers(df, ["meeting"], "part", "v", 3, landmarks=40).collect()}
+    assert whole == parts and len(whole) == len(rows)
+    assert whole["long", 1] == "Speaker 1" and whole["long", 0] is None and whole["long", 8] == "Speaker 2" and whole["long", 15] == "Speaker 3"
+    assert vectors.spectral_speakers(df.limit(0), ["meeting"], "part", "v").count() == 0
+
+
 def test_vectors(spark):
     labels = vectors.spectral_labels([[1, 0, 0], [0, 1, 0], [1, 0.1, 0], [0.1, 1, 0]])
     assert labels[0] == labels[2] != labels[1] == labels[3]
