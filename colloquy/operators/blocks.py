@@ -156,6 +156,23 @@ def parts(rows: DataFrame, keys: list[str], order: list[str], threshold: Column,
     return ready.mapInArrow(finish, T.StructType([*fields, T.StructField(name, T.LongType())]))
 
 
+def running(rows: DataFrame, keys: list[str], order: list[str], add: Column, name: str) -> DataFrame:
+    """rows with the sum of `add` (whole numbers) over the rows before, in its key and order.
+
+    Rows are range-partitioned by key and order. Sums run within a key's part of a range, after the sums of its parts in the ranges before; a range
+    begins in the middle of one key at most, so these sums are no more than ranges. Null keys are one key.
+    """
+    ranged = rows.withColumn("_add", F.coalesce(add.cast("long"), F.lit(0))).repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    held = written(ranged.withColumn("_id", F.monotonically_increasing_id()), "ranged").withColumn("_span", F.shiftright("_id", 33))
+    earlier = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    sums = held.groupBy("_span", *keys).agg(F.sum("_add").alias("_sum"))
+    cut = sums.withColumn("_before", F.sum("_sum").over(earlier(*keys).orderBy("_span"))).filter("_before <> 0")
+    cut = cut.select(F.col("_span").alias("_s"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_before")
+    same = [F.col("_span") == F.col("_s"), *[F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]]
+    own = held.withColumn("_own", F.coalesce(F.sum("_add").over(earlier("_span", *keys).orderBy("_id")), F.lit(0)))
+    return own.join(F.broadcast(cut), same, "left").select(*[F.col(c) for c in rows.columns if c != name], (F.col("_own") + F.coalesce("_before", F.lit(0))).alias(name))
+
+
 def micros(seconds: Column) -> Column:
     """Seconds in whole microseconds, of which sums are exact in any order."""
     return F.round(seconds * 1_000_000)
