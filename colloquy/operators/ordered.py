@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import blocks
+
 
 def islands(rows: DataFrame, keys: list[str], order: list[str], label: str, name: str = "island") -> DataFrame:
     """Number the runs of equal neighbouring labels (nulls are equal) from 0 within each key."""
@@ -69,13 +71,35 @@ def sliding_windows(rows: DataFrame, duration: str, size: float = 3.0, step: flo
     return rows.withColumn("_k", F.explode(starts)).withColumn("window_start", F.col("_k") * step).drop("_k")
 
 
-def voiced_windows(rows: DataFrame, samples: str, rate: int, size: float = 3.0, step: float = 1.0, least: float = 0.01) -> DataFrame:
-    """rows (a recording's samples) with the start of each whole window that isn't silent, and its root mean square."""
-    length = F.size(samples) / F.lit(rate)
-    at = sliding_windows(rows.withColumn("_d", length), "_d", size, step).drop("_d")
-    window = F.slice(F.col(samples), (F.col("window_start") * rate).cast("int") + 1, int(size * rate))
-    power = F.sqrt(F.aggregate(window, F.lit(0.0), lambda s, x: s + x * x) / F.size(window))
-    return at.withColumn("rms", power).filter(F.col("rms") >= least)
+PIECE = 4096  # samples of a recording that lie in one row, or those of one window if it has more
+
+
+def voiced_windows(rows: DataFrame, keys: list[str], order: str, sample: Column, rate: int, size: float = 3.0, step: float = 1.0, least: float = 0.01) -> DataFrame:
+    """Samples of recordings (keys), a row each, in order -> (keys, window_start, rms): the start of each whole window that isn't silent, and its
+    root mean square. Null samples count as none.
+
+    A recording is cut into pieces of some windows each, which overlap by a window, so no row or task holds a long one.
+    """
+    hop, length = step * rate, int(size * rate)
+    many = max(int(-(-length // hop)), int(PIECE // hop), 1)  # windows of a piece
+    first = lambda k: F.floor(F.round(k * F.lit(step), 9) * rate)  # noqa: E731  sample of a window's start
+    placed = blocks.running(rows.select(*keys, order, sample.cast("double").alias("_x")), keys, [order], F.lit(1), "_at")
+    near = F.floor(F.col("_at") / (many * hop))
+    spread = placed.withColumn("_piece", F.explode(F.sequence(F.greatest(near - 1, F.lit(0)), near + 1)))
+    lead = F.col("_piece") * many
+    held = spread.filter((F.col("_at") >= first(lead)) & (F.col("_at") < first(lead + many - 1) + length + 2))
+    x = F.transform(F.array_sort(F.collect_list(F.struct("_at", "_x"))), lambda s: s["_x"])
+    pieces = held.groupBy(*keys, "_piece").agg(x.alias("_samples"))
+    begin = first(lead)
+    last = F.least(lead + many - 1, F.floor(((begin + F.size("_samples")) / F.lit(rate) - size) / step))
+
+    def window(k: Column) -> Column:
+        own = F.filter(F.slice("_samples", (first(k) - begin).cast("int") + 1, length), lambda v: v.isNotNull())
+        return F.struct((k * F.lit(step)).alias("window_start"), F.sqrt(F.try_divide(F.aggregate(own, F.lit(0.0), lambda s, v: s + v * v), F.size(own))).alias("rms"))
+
+    windows = F.transform(F.sequence(lead, last), window)
+    found = pieces.filter(last >= lead).select(*keys, F.explode(F.filter(windows, lambda w: w["rms"] >= least)).alias("_w"))
+    return found.select(*keys, "_w.window_start", "_w.rms")
 
 
 def sentence_split_needed(segments: DataFrame, turns: DataFrame, keys: list[str], share: float = 0.8, times: float = 2.0) -> DataFrame:

@@ -5,7 +5,7 @@ import re
 import duckdb
 from pyspark.sql import functions as F
 
-from colloquy.operators import blocks
+from colloquy.operators import blocks, ordered
 from colloquy.plans.catalog import oracle_sql, queries
 
 from .test_catalog import canon
@@ -45,3 +45,26 @@ def test_running_sums_of_null_and_long_keys(spark):
         held[k] = held.get(k, 0) + n
     assert sorted((r.o, r.s) for r in blocks.running(df, ["k"], ["o"], F.col("n"), "s").collect()) == want
     assert blocks.running(df.limit(0), ["k"], ["o"], F.col("n"), "s").count() == 0
+
+
+def test_voiced_windows_over_many_pieces(spark, tmp_path):
+    """Recordings of several pieces, of just one window and of none, null values and keys: windows are found in pieces, not in whole recordings."""
+    kinds = ["a"] * 40 + ["b", None]
+    rows = [(k, kinds[k % 42], k % 2 * 10, None if k % 97 == 0 else (k * 7919 % 1000) / 10) for k in range(12_000)]
+    rows += [(20_150 + k, "c", 3, 7.0) for k in range(12)] + [(30_150 + k, "d", 3, 7.0) for k in range(11)]
+    events = spark.createDataFrame(rows, "event_id long, event_type string, user_id long, value double")
+    got = same_as_sql(spark, tmp_path, "voiced_windows", events=events)
+    assert set(got["event_type"]) == {"a", "b", "c", None} and (got["event_type"] == "c").sum() == 1
+    assert got["window_start"].max() > ordered.PIECE / 4
+    sound = [(1, k, float(k % 17)) for k in range(9000)]
+    some = ordered.voiced_windows(spark.createDataFrame(sound, "r long, k long, x double"), ["r"], "k", F.col("x"), 5, 2.5, 0.5)  # hops of 2.5 samples
+    want = {k * 0.5: (sum((int(k * 2.5) + i) % 17 * ((int(k * 2.5) + i) % 17) for i in range(12)) / 12) ** 0.5 for k in range(int((9000 / 5 - 2.5) / 0.5) + 1)}
+    assert {r.window_start: round(r.rms, 9) for r in some.collect()} == {k: round(v, 9) for k, v in want.items()}
+    plan = queries()["voiced_windows"](spark, str(tmp_path))._jdf.queryExecution().analyzed().toString()
+    assert "_piece" in plan  # samples are gathered by piece
+
+
+def test_grouped_by_type_lists_all_users(spark, tmp_path):
+    rows = [(k % 3 and f"t{k % 3}", k * 31 % 700 if k % 11 else None) for k in range(4000)] + [("nobody", None)]
+    got = same_as_sql(spark, tmp_path, "grouped_by_type", events=spark.createDataFrame([(a or None, b) for a, b in rows], "event_type string, user_id long"))
+    assert list(got.columns) == ["event_type", "users"]
