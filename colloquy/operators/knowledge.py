@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import chain
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,9 +41,35 @@ def segment_chunks(segments: DataFrame, size: int = 500) -> DataFrame:
     return every.select("project_id", F.col("position").cast("int").alias("position"), "text", "start_time", "end_time", "speaker")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def text_chunks(texts: pd.Series) -> pd.Series:
-    return texts.fillna("").map(tx.chunk_text)
+BYTES = 1 << 20  # of texts that a worker holds as Python objects: so many, or one text
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Where runs of rows begin and end whose texts have BYTES together, or are one."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    a = 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BYTES, side="right")))
+        yield a, b
+        a = b
+
+
+def text_chunks(rows: DataFrame, text: str, position: str, chunk: str) -> DataFrame:
+    """rows with, in place of the text, a row for each of its chunks (chunk_text()) and its position. Null texts have none. A worker cuts some texts at
+    a time, and hands their chunks on, so what it needs depends on a text's size alone."""
+    kept = [c for c in rows.columns if c != text]
+    schema = T.StructType([*[rows.schema[c] for c in kept], T.StructField(position, T.IntegerType(), False), T.StructField(chunk, T.StringType())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in _slices(batch.column(text)):
+                found = [tx.chunk_text(t or "") for t in batch.column(text).slice(a, b - a).to_pylist()]
+                size = np.fromiter(map(len, found), np.int64, len(found))
+                own = pa.array(np.repeat(np.arange(a, b), size))
+                place = pa.array(np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size), pa.int32())
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(own) for c in kept], place, pa.array(list(chain.from_iterable(found)), pa.string())], names=[*kept, position, chunk])
+
+    return rows.select(*kept, text).mapInArrow(cut, schema)
 
 
 def index_chunks(projects: DataFrame, segments: DataFrame, summaries: DataFrame, notes: DataFrame, attachments: DataFrame) -> DataFrame:
@@ -50,8 +80,8 @@ def index_chunks(projects: DataFrame, segments: DataFrame, summaries: DataFrame,
     meta = F.to_json(F.struct("start_time", "end_time", "speaker"))
     parts = [packed.select("project_id", F.lit("segment").alias("source_type"), "position", "text", meta.alias("metadata_json"))]
     for kind, table, text, metadata in (("summary", summaries, "raw_markdown", F.struct(F.coalesce("topic", F.lit("")).alias("topic"))), ("note", notes, "text", None), ("attachment", attachments, "text", F.struct("filename"))):
-        own = table.join(live, "project_id", "left_semi").select("project_id", (F.to_json(metadata) if metadata is not None else F.lit("{}")).alias("metadata_json"), text_chunks(F.col(text)).alias("c"))
-        parts.append(own.select("project_id", F.lit(kind).alias("source_type"), F.posexplode("c").alias("position", "text"), "metadata_json"))
+        own = table.join(live, "project_id", "left_semi").select("project_id", (F.to_json(metadata) if metadata is not None else F.lit("{}")).alias("metadata_json"), F.col(text).alias("_whole"))
+        parts.append(text_chunks(own.withColumn("source_type", F.lit(kind)), "_whole", "position", "text"))
     first, *rest = [p.select("project_id", "source_type", "position", "text", "metadata_json") for p in parts]
     for p in rest:
         first = first.unionByName(p)

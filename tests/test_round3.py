@@ -3,9 +3,11 @@
 import re
 
 import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from colloquy.operators import blocks, ordered
+from colloquy.functions import text as tx
+from colloquy.operators import blocks, knowledge, ordered
 from colloquy.plans.catalog import oracle_sql, queries
 
 from .test_catalog import canon
@@ -68,3 +70,17 @@ def test_grouped_by_type_lists_all_users(spark, tmp_path):
     rows = [(k % 3 and f"t{k % 3}", k * 31 % 700 if k % 11 else None) for k in range(4000)] + [("nobody", None)]
     got = same_as_sql(spark, tmp_path, "grouped_by_type", events=spark.createDataFrame([(a or None, b) for a, b in rows], "event_type string, user_id long"))
     assert list(got.columns) == ["event_type", "users"]
+
+
+def test_texts_are_chunked_some_at_a_time(spark):
+    """Workers hold a bounded number of bytes of texts, or one text; chunks are those of chunk_text(), of null, blank and long texts too."""
+    sizes = [0, 10, knowledge.BYTES, 5, knowledge.BYTES * 2, *[1000] * 3000]
+    cut = list(knowledge._slices(pa.array([None, *["x" * n for n in sizes]])))
+    assert [a for a, _ in cut] == [0, *[b for _, b in cut[:-1]]] and cut[-1][1] == len(sizes) + 1
+    held = [0, *sizes]
+    assert all(sum(held[a:b]) <= knowledge.BYTES or b == a + 1 for a, b in cut) and len(cut) > 4
+    texts = [None, "", "  \n", "short", "Words. " * 400, "é" * 2000, "a\n" * 50_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string").coalesce(1)
+    got = sorted((r.k, r.p, r.c) for r in knowledge.text_chunks(df, "t", "p", "c").collect())
+    assert got == [(k, p, c) for k, t in enumerate(texts) for p, c in enumerate(tx.chunk_text(t or ""))]
+    assert knowledge.text_chunks(df.limit(0), "t", "p", "c").count() == 0
