@@ -3,12 +3,14 @@
 import re
 
 import duckdb
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as tx
 from colloquy.operators import blocks, knowledge, ordered
 from colloquy.plans.catalog import oracle_sql, queries
+from colloquy.streaming import live
 
 from .test_catalog import canon
 
@@ -84,3 +86,34 @@ def test_texts_are_chunked_some_at_a_time(spark):
     got = sorted((r.k, r.p, r.c) for r in knowledge.text_chunks(df, "t", "p", "c").collect())
     assert got == [(k, p, c) for k, t in enumerate(texts) for p, c in enumerate(tx.chunk_text(t or ""))]
     assert knowledge.text_chunks(df.limit(0), "t", "p", "c").count() == 0
+
+
+def test_voices_ask_the_state_store_little():
+    """A key's samples cost one read, one write and one timer in place of the one before; timers aren't listed."""
+    calls, held = [], {}
+
+    class Handle:
+        def getValueState(self, *_):
+            return self
+
+        def get(self):
+            calls.append("get")
+            return held.get("v")
+
+        def update(self, v):
+            calls.append("update")
+            held["v"] = v
+
+        def deleteTimer(self, at):
+            calls.append(f"delete {at}")
+
+        def registerTimer(self, at):
+            calls.append(f"register {at}")
+
+    voices = live.Voices(10)
+    voices.init(Handle())
+    frame = lambda *rows: pd.DataFrame(rows, columns=["ms", "sample", "vector"])
+    assert list(voices.handleInputRows((7,), iter([frame((5, 1, [3.0, 4.0]))]), None)) == []
+    (got,) = voices.handleInputRows((7,), iter([frame((90, 3, [1.0, 0.0]), (6, 2, [3.0, 4.0])), frame((50, 1, [0.0, 2.0]))]), None)
+    assert calls == ["get", "register 16", "update", "get", "delete 16", "register 101", "update"]
+    assert got.drop(columns="voice").values.tolist() == [[7, 5, 6, 2], [7, 50, 50, 1]] and got["voice"][1] == [0.0, 1.0]
