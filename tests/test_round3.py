@@ -4,6 +4,7 @@ import re
 
 import duckdb
 import pandas as pd
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -117,3 +118,12 @@ def test_voices_ask_the_state_store_little():
     (got,) = voices.handleInputRows((7,), iter([frame((90, 3, [1.0, 0.0]), (6, 2, [3.0, 4.0])), frame((50, 1, [0.0, 2.0]))]), None)
     assert calls == ["get", "register 16", "update", "get", "delete 16", "register 101", "update"]
     assert got.drop(columns="voice").values.tolist() == [[7, 5, 6, 2], [7, 50, 50, 1]] and got["voice"][1] == [0.0, 1.0]
+
+
+def test_pieces_don_t_depend_on_the_words_remembered(spark, small):
+    """A worker that remembers a few words gives the same pieces, whole texts included."""
+    from colloquy.llm import piece_codec
+
+    docs, model = spark.read.parquet(f"{small}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model")
+    few, many = (sorted(piece_codec.piece_digests(docs, model, keep_ids=True, keep_text=False, words=n).select("doc_id", "ids_sha256", "decoded_sha256", "piece_ids").collect()) for n in (40, piece_codec.WORDS))
+    assert few == many and len(few) == docs.count()
