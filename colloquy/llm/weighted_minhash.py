@@ -37,7 +37,7 @@ SIMILAR = 0.8
 BANDS, ROWS = 16, 5
 HEAVY = 1 << 16  # shingles with an idf of their own, at most
 BUCKETS = 1 << 18
-PIECE = 256  # shingles sampled at a time, so that the arrays stay in the cache
+PIECE = 512  # shingles sampled at a time, so that the arrays stay in the cache
 SMALL = 16
 LEADERS = 2
 BLOCK = 1024  # texts of a large bucket that are compared with as many in one task
@@ -77,36 +77,47 @@ class Idf:
 
 @cache
 def draws() -> tuple[np.ndarray, ...]:
-    """Gamma(2, 1) draws r and 1 / r, their partners ln c for 16 hash bits each, and a seed for each sample."""
+    """Gamma(2, 1) draws r, their partners ln c for 16 hash bits each, and a seed for each sample."""
     u = [(mixed(mixed(np.arange(1, 65537, dtype=np.uint64) + np.uint64(k << 40))) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54 for k in range(4)]
     seeds = mixed(mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
-    r = (-np.log(u[0] * u[1])).astype(np.float32)
-    return r, np.float32(1) / r, np.log(-np.log(u[2] * u[3])).astype(np.float32), seeds
+    return (-np.log(u[0] * u[1])).astype(np.float32), np.log(-np.log(u[2] * u[3])).astype(np.float32), seeds
+
+
+@cache
+def scratch() -> tuple[np.ndarray, ...]:
+    """Arrays for the samples of PIECE shingles: new ones for each step would cost more than the arithmetic."""
+    size = BANDS * ROWS * PIECE
+    return *(np.empty(size, np.uint64) for _ in range(2)), *(np.empty(size, np.float32) for _ in range(4))
 
 
 def sample(s: np.ndarray, w: np.ndarray) -> np.ndarray:
     """The BANDS * ROWS samples of a weighted set, as 64-bit numbers."""
-    r_of, over_r, c_of, seeds = draws()
+    r_of, c_of, seeds = draws()
     best, value = np.zeros(len(seeds), np.uint64), np.full(len(seeds), np.inf, np.float32)
     logs, at = np.log(w).astype(np.float32), np.arange(len(seeds))
     for a in range(0, len(s), PIECE):
         part = s[a : a + PIECE]
-        x = part[None, :] + seeds[:, None]
-        x ^= x >> np.uint64(32)
+        x, bits, beta, r, ln, t = (b[: len(seeds) * len(part)].reshape(len(seeds), -1) for b in scratch())
+        np.add(part, seeds[:, None], out=x)
+        x ^= np.right_shift(x, np.uint64(32), out=bits)
         x *= np.uint64(0xD6E8FEB86659FD93)
-        x ^= x >> np.uint64(29)
-        i = x & np.uint64(0xFFFF)
-        beta = (x >> np.uint64(32)).astype(np.float32)
+        x ^= np.right_shift(x, np.uint64(29), out=bits)
+        np.right_shift(x, np.uint64(32), out=bits)
+        np.copyto(beta, bits.view(np.int64), casting="unsafe")  # signed numbers convert faster
         beta *= np.float32(2.0**-32)
-        t = over_r.take(i)
+        np.right_shift(x, np.uint64(16), out=bits)
+        bits &= np.uint64(0xFFFF)
+        c_of.take(bits.view(np.int64), out=ln, mode="wrap")  # with no mode given, take() copies its output
+        x &= np.uint64(0xFFFF)
+        r_of.take(x.view(np.int64), out=r, mode="wrap")
+        np.divide(np.float32(1), r, out=t)
         t *= logs[a : a + PIECE]
         t += beta
         np.floor(t, out=t)
         beta -= t
         beta -= 1
-        ln = r_of.take(i)
-        ln *= beta
-        ln += c_of.take((x >> np.uint64(16)) & np.uint64(0xFFFF))
+        r *= beta
+        ln += r
         k = ln.argmin(axis=1)
         low = ln[at, k]
         less = low < value

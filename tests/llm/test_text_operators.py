@@ -216,6 +216,14 @@ def test_words_that_collide_under_polynomial_hashes(spark, letters):
     assert h[0] != h[1]
 
 
+def test_word_hashes_are_the_same_for_short_and_long_batches(monkeypatch):
+    texts = [t.encode() for t in ODD if t is not None] + [b"\x0b a\x0cb\rc ", b"a\x1cb\x85 c\xa0d"]
+    short, n = hashing.word_hashes(texts)
+    monkeypatch.setattr(hashing, "LONG", 0)
+    long, m = hashing.word_hashes(texts)
+    assert short.tolist() == long.tolist() and n.tolist() == m.tolist()
+
+
 def test_known_words_are_forgotten_and_learned_again():
     learned = []
     known = hashing.Known(learned.extend, learned.clear, most=3)

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -55,6 +56,30 @@ def test_sampling_follows_similarity():
     assert abs(np.mean(same) - np.mean(want)) < 0.02
 
 
+def test_samples_by_the_formula_and_in_arrays_used_again():
+    r_of, c_of, seeds = wm.draws()
+    rng = np.random.default_rng(2)
+    for n in (1, 7, wm.PIECE, 3 * wm.PIECE + 1):
+        s, w = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)), rng.integers(1, 9, n) * 1.5
+        want = []
+        for seed in seeds:
+            x = s + seed
+            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            x ^= x >> np.uint64(29)
+            r, c = r_of[x & np.uint64(0xFFFF)], c_of[(x >> np.uint64(16)) & np.uint64(0xFFFF)]
+            beta = (x >> np.uint64(32)).astype(np.float32) * np.float32(2.0**-32)
+            t = np.floor(np.log(w).astype(np.float32) * (np.float32(1) / r) + beta)
+            k = (r * (beta - t - 1) + c).argmin()
+            want.append(wm.mixed(s[k : k + 1] + np.uint64(int(t[k]) % 2**64) * np.uint64(0xFF51AFD7ED558CCD))[0])
+        assert wm.sample(s, w).tolist() == want
+    tracemalloc.start()
+    try:
+        wm.sample(s, w)
+        assert tracemalloc.get_traced_memory()[1] < 300_000  # no new arrays of PIECE shingles by all samples
+    finally:
+        tracemalloc.stop()
+
+
 def test_bins_bound_the_overlap():
     rng = np.random.default_rng(1)
     for n in (1, 50, 5000):
