@@ -1,12 +1,13 @@
 """The knowledge index: embedder, commits of whole projects, failures, other dimensions."""
 
 import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from colloquy.sources import index
+from colloquy.sources import index, shared
 
 SCHEMA = "id string, text string, source_type string, project_id string, metadata_json string, vector array<float>"
 
@@ -99,3 +100,42 @@ def test_a_search_reads_the_shards_of_its_projects(spark, tmp_path):
     one = index.chunks_of(spark, path, ["p7"])
     assert [p for p, _ in sorted((r.project_id, r.text) for r in one.collect())] == ["p7", "p7"]
     assert re.search(r"PartitionFilters: \[[^]]*shard", one._jdf.queryExecution().executedPlan().toString())
+
+
+def test_chunks_that_stay_are_not_shuffled(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    names = [f"p{k}" for k in range(200)]
+    noise = F.concat_ws("", *[F.sha2(F.concat("id", F.lit(str(k))), 512) for k in range(80)])  # 10,240 letters
+    index.replace_projects(chunks(spark, names).withColumn("text", noise), named(spark, *names), path)
+
+    def shuffled():
+        bus = spark.sparkContext._jsc.sc()
+        bus.listenerBus().waitUntilEmpty(30_000)
+        time.sleep(0.5)
+        return bus.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = shuffled()
+    index.replace_projects(chunks(spark, names[:3], word="new"), named(spark, *names[:3]), path)
+    assert shuffled() - before < 400_000  # of 4,096,000 letters
+    got = stored(spark, path)
+    assert [p for p, _ in got] == sorted(2 * names) and [t for p, t in got if p in names[:3]] == ["new 0", "new 1"] * 3
+
+
+def test_chunks_that_the_filter_takes_for_gone_ones_stay(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shared, "BITS", 8)
+    monkeypatch.setattr(shared, "SLOT", 8)
+    path = f"file://{tmp_path}/index"
+    names = [f"p{k}" for k in range(60)]
+    index.replace_projects(chunks(spark, names), named(spark, *names), path, shards=3)
+    index.delete_projects(named(spark, *names[::2], "unknown"), path, shards=3)
+    assert [p for p, _ in stored(spark, path)] == sorted(2 * names[1::2])
+
+
+def test_settings_are_put_back(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    keys = [*index._SMALL_FILES, *index._NO_REMAINS]
+    was = [spark.conf.get(k) for k in keys]
+    for p in ("a", "b"):
+        index.replace_projects(chunks(spark, p), named(spark, "a"), path)
+    index.append_chunks(chunks(spark, "c"), path)
+    assert [spark.conf.get(k) for k in keys] == was
